@@ -4,8 +4,9 @@ All DataFrame expressions. The benchmark's windows of ``n`` words (an item with
 fewer words is one window of its own length) form a hash set, broadcast after a
 check of its size; a larger set meets the documents' windows through a shuffle
 instead. Documents are cut into overlapping chunks of words before windows are
-made, so a row's memory doesn't grow with a document. A hit is verified by the
-equality of the whole window, then spans or documents are removed.
+made, so a row's memory doesn't grow with a document. The set is probed with a
+hash of three words of a window, and each hit verified by the equality of the
+whole window; then spans or documents are removed.
 
 Defined results: null and empty texts have no words and no hits; rows with the
 same id and text give the same result each; a null ``doc_id`` is an id like any
@@ -47,6 +48,12 @@ def _grams(words: Column, length: Column | int, starts: Column) -> Column:
     return F.when(starts >= 1, made).otherwise(F.array().cast("array<struct<start:int,gram:string>>"))
 
 
+def _probe(words: Column, start: Column, length: Column | int) -> Column:
+    """A hash of the first, middle and last word of a window, and of its length."""
+    length = length if isinstance(length, Column) else F.lit(length)
+    return F.xxhash64(length, F.get(words, start), F.get(words, start + F.floor(length / 2).cast("int")), F.get(words, start + length - 1))
+
+
 def benchmark_grams(benchmark: DataFrame, n: int) -> DataFrame:
     """The distinct windows of the items: gram, length, items (sorted ids as strings)."""
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -64,21 +71,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     grams = benchmark_grams(benchmark, n)
     size = grams.groupBy("length").agg(F.sum(F.length("gram") + 64).alias("bytes")).collect()  # n rows at most
     lengths = sorted(r["length"] for r in size)
-    grams = F.broadcast(grams) if sum(r["bytes"] for r in size) <= BROADCAST_BYTES else grams
     words = _key(docs.select("doc_id", "text")).select("doc_id", "_text_key", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / CHUNK).cast("int")), lambda i: F.struct((i * CHUNK).alias("at"), F.slice("w", i * CHUNK + 1, CHUNK + n - 1).alias("w")))
     chunks = words.select("doc_id", "_text_key", F.explode(cut).alias("c")).select("doc_id", "_text_key", "c.at", "c.w")
 
-    def placed(k: int) -> Column:
-        grams_k = _grams(F.col("w"), k, F.least(F.lit(CHUNK), F.size("w") - k + 1))
-        return F.transform(grams_k, lambda g: F.struct((F.col("at") + g["start"]).alias("start"), F.lit(k).alias("length"), g["gram"].alias("gram")))
+    def probes(k: int) -> Column:
+        starts = F.least(F.lit(CHUNK), F.size("w") - k + 1)
+        made = F.transform(F.sequence(F.lit(0), starts - 1), lambda i: _probe(F.col("w"), i, k))
+        return F.struct(F.lit(k).alias("length"), F.when(starts >= 1, made).otherwise(F.array().cast("array<bigint>")).alias("probes"))
 
-    made = [placed(k) for k in lengths]
-    if not made:
-        made = [F.array().cast("array<struct<start:int,length:int,gram:string>>")]
-    seen = chunks.select("doc_id", "_text_key", F.explode(F.concat(*made)).alias("g")).select("doc_id", "_text_key", "g.*")
+    sets = F.array(*(probes(k) for k in lengths)) if lengths else F.array().cast("array<struct<length:int,probes:array<bigint>>>")
+    seen = chunks.select("doc_id", "_text_key", "at", "w", F.explode(sets).alias("s")).select("doc_id", "_text_key", "at", "w", F.col("s.length").alias("k"), F.posexplode("s.probes").alias("place", "probe"))
+    grams = grams.withColumn("probe", _probe(F.split("gram", " ", -1), F.lit(0), F.col("length")))
+    grams = F.broadcast(grams) if sum(r["bytes"] for r in size) <= BROADCAST_BYTES else grams
+    window = F.concat_ws(" ", F.slice("w", F.col("place") + 1, F.col("k")))
+    # between, as an equality would become a join key and be computed for every window
+    found = seen.join(grams, "probe").where((F.col("k") == F.col("length")) & F.col("gram").between(window, window))
+    found = found.select("doc_id", "_text_key", (F.col("at") + F.col("place")).alias("start"), "length", "items")
     return (
-        seen.join(grams, ["gram", "length"])
+        found
         .groupBy("doc_id", "_text_key")
         .agg(
             F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("spans"),
