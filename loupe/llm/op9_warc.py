@@ -33,7 +33,7 @@ from loupe.llm.common import join_counted, staged, table
 
 CHUNK = 1 << 18
 #: Bytes after which a writer begins another archive.
-ARCHIVE = 1 << 26
+ARCHIVE = 1 << 24
 _HEAD_LIMIT = 1 << 16
 
 _ARCHIVE_SCHEMA = pa.schema([("archive", pa.string()), ("chunk", pa.int64()), ("data", pa.binary())])
