@@ -128,6 +128,19 @@ def inside(offsets: np.ndarray, n: int, total: int) -> np.ndarray:
     return ok[:m]
 
 
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values of sorted columns begin and end."""
+    n = len(columns[0])
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], n)
+
+
 def slices(sizes: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``limit`` bytes; a longer row stands alone."""
     start, held = 0, 0
