@@ -131,8 +131,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, how: Near) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the word sequence, or null) and signature of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.binary())])
+    """doc_id, text_key, n_shingles, node (digest of the word sequence, or null) and signature of every document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("sig", pa.binary())])
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source):
@@ -141,9 +141,9 @@ def signed(docs: DataFrame, how: Near) -> DataFrame:
                 sizes.append(len(found))
                 nodes.append(node)
                 sigs.append(signature(found).tobytes() if node is not None else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id long, n_shingles long, node binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id long, text_key long, n_shingles long, node binary, sig binary")
 
 
 def banded(nodes: DataFrame, rows: int) -> DataFrame:
@@ -294,6 +294,22 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def near_deduplicated(docs: DataFrame, how: Near = Near()) -> DataFrame:
+    """One document of each component, the one with the least id, with all columns.
+
+    Documents without words all stay. Rows that repeat the id and text that stay
+    do so too; of null ids, or texts that share the least id, one text stays.
+    """
+    rows, found = linked(docs, how)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_key")).alias("best")
+    texts = rows.where("node is not null").groupBy("node").agg(best).join(found, "node", "left")
+    stay = texts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.doc_id", "best.text_key")
+    stay = stay.unionByName(rows.where("node is null").select("doc_id", "text_key"))
+    stay = staged(stay, "near-stay").withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    return keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["_doc"]) & (keyed["_text_key"] == stay["_key"]), "left_semi").select(*docs.columns)
+
+
 def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document at 0.85 on shingles of three words."""
     return near_duplicates(table(spark, sf_dir, "documents"), Near(3, 85, 100))
