@@ -8,12 +8,15 @@ posterior under a flat prior is Beta(s + 1, m - s + 1), and a pair is dropped
 once the chance that it reaches the threshold falls below ``MISS``. Survivors are
 verified on their full shingle sets.
 
-A bucket's nodes are not paired with each other at once. First each node meets
-the head of one of its buckets. The links found give components, and only
-buckets that still hold nodes of different components are searched further:
-their members are compared across components, in blocks of bounded size, and
-what the signatures don't rule out is verified as well. So no link between
-components is lost, and none within a component is needed.
+A bucket's nodes are not all paired with each other. First each node meets the
+hub that it shares most buckets with; hubs are the nodes with most neighbours,
+so a family's origin meets its copies. The links found give components, and only
+buckets that still hold nodes of different components are searched further, in
+blocks of bounded size: then each node outside its block's largest component
+meets the few nodes of other components that its signature comes closest to. In
+what is mixed even then, all pairs across components that the signatures don't
+rule out are verified, each in the first bucket that it shares. So no link
+between components is lost, and none within a component is needed.
 
 Defined results: a text without words, null or empty, has no shingles and is
 linked with nothing; one with fewer words than a shingle is the whole sequence;
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import batches, hashes, inside, join_counted, staged, table, whole, windows
+from loupe.llm.common import batches, hashes, join_counted, staged, table, whole, windows
 from loupe.llm.components import components
 
 #: Hash functions of a signature, and how many are compared at a time.
@@ -44,6 +47,10 @@ HASHES, BATCH = 180, 20
 MISS = 1e-6
 #: Members of one side of a block of comparisons.
 BLOCK = 1024
+#: What halved hashes may take from a similarity at most, by hashes that meet in their upper half.
+SHORT_MARGIN = 0.01
+#: Partners of a node that are tried before all are.
+CLOSEST = 3
 #: Rows of a table of node names that is broadcast.
 BROADCAST_ROWS = 1 << 20
 
@@ -146,21 +153,28 @@ def signed(docs: DataFrame, how: Near) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text")).mapInArrow(made, "doc_id long, text_key long, n_shingles long, node binary, sig binary")
 
 
+def band_keys(sigs: np.ndarray, rows: int) -> np.ndarray:
+    """The bucket of each signature in every band."""
+    n_bands = HASHES // rows
+    parts = sigs[:, : n_bands * rows].reshape(-1, n_bands, rows)
+    key = np.repeat(np.arange(1, n_bands + 1, dtype=np.uint64)[None, :], len(sigs), 0)
+    for r in range(rows):
+        key = (key ^ parts[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 def banded(nodes: DataFrame, rows: int) -> DataFrame:
     """(band, node): each node once for every band of its signature."""
     n_bands = HASHES // rows
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in source:
-            for i in range(0, whole_batch.num_rows, 2048):
-                batch = whole_batch.slice(i, 2048)
-                sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)[:, : n_bands * rows].reshape(-1, n_bands, rows)
-                key = np.repeat(np.arange(1, n_bands + 1, dtype=np.uint64)[None, :], len(sigs), 0)
-                for r in range(rows):
-                    key = (key ^ sigs[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-                take = pa.array(np.repeat(np.arange(len(sigs)), n_bands))
-                yield pa.record_batch([pa.array(key.reshape(-1).view(np.int64)), batch.column("node").take(take)], names=["band", "node"])
+        for full in source:
+            for i in range(0, full.num_rows, 2048):
+                batch = full.slice(i, 2048)
+                keys = band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES), rows)
+                take = pa.array(np.repeat(np.arange(len(keys)), n_bands))
+                yield pa.record_batch([pa.array(keys.reshape(-1)), batch.column("node").take(take)], names=["band", "node"])
 
     return nodes.select("node", "sig").mapInArrow(made, "band long, node binary")
 
@@ -227,29 +241,70 @@ def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, how: Near) -> Da
     return staged(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
 
 
-def _across(members: DataFrame, how: Near) -> DataFrame:
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The share of common members of two sorted sets without repeats."""
+    merged = np.concatenate([a, b])
+    merged.sort(kind="stable")
+    both = int((merged[1:] == merged[:-1]).sum())
+    return both / (len(merged) - both)
+
+
+def shortened(sets: DataFrame) -> DataFrame:
+    """(node, short): the distinct upper halves of the shingle hashes."""
+
+    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            halves = [np.unique((np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column("shingles").to_pylist()]
+            yield pa.record_batch([batch.column("node"), pa.array(halves, pa.binary())], names=["node", "short"])
+
+    return sets.mapInArrow(made, "node binary, short binary")
+
+
+def _across(members: DataFrame, how: Near, closest: int | None) -> DataFrame:
     """Plausible pairs of members (band, node, root, sig, n) of one bucket and different roots.
 
     The members of a bucket fall into parts of about BLOCK; each two parts, and
-    each part with itself, meet in one task.
+    each part with itself, meet in one task. With ``closest``, each member
+    outside the block's largest root gets that many pairs at most; without it,
+    all pairs come, each from the first bucket that its nodes share, and are
+    sifted by the upper halves of their shingle hashes (``short``) before they
+    leave the task.
     """
     least = least_matches(how.threshold)
+    rows = how.rows
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sent = sent.select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "root", "sig")
+    short = [] if closest else ["short"]
+    sent = sent.select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "root", "sig", *short)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = pdf["p"].iloc[0], pdf["q"].iloc[0]
-        left, right = pdf[pdf["part"] == p], pdf[pdf["part"] == q]
-        sigs = [np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(-1, HASHES) for x in (left, right)]
-        names, roots = ([x[c].to_numpy() for x in (left, right)] for c in ("node", "root"))
+        band, p, q = (pdf[c].iloc[0] for c in ("band", "p", "q"))
+        pdf = pdf.sort_values("part", kind="stable")
+        n, n_left = len(pdf), int((pdf["part"] == p).sum())
+        sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
+        names, (roots, _) = pdf["node"].to_numpy(), pd.factorize(pdf["root"])
+        largest = np.bincount(roots).argmax()
+        keys = band_keys(sigs, rows)
+        sets = [] if closest else [np.frombuffer(x, np.uint32) for x in pdf["short"]]
         out_a, out_b = [], []
-        for i in range(len(left)):
-            js = np.flatnonzero((roots[1] != roots[0][i]) & ((names[1] > names[0][i]) if p == q else np.ones(len(right), bool)))
-            js = js[plausible(np.repeat(sigs[0][i : i + 1], len(js), 0), sigs[1][js], least)]
-            out_a += [names[0][i]] * len(js)
-            out_b += list(names[1][js])
+        for i in range(n if closest else n_left):
+            if closest and roots[i] == largest:
+                continue
+            if p == q:
+                js = np.arange(n) if closest else np.arange(i + 1, n)
+            else:
+                js = np.arange(n_left, n) if i < n_left else np.arange(n_left)
+            js = js[roots[js] != roots[i]]
+            js = js[plausible(np.repeat(sigs[i : i + 1], len(js), 0), sigs[js], least)]
+            if closest and len(js) > closest:
+                js = js[np.argsort(-(sigs[js] == sigs[i]).sum(1), kind="stable")[:closest]]
+            elif not closest and len(js):
+                shared = keys[js] == keys[i]
+                js = js[keys[i][shared.argmax(1)] == band]
+                js = js[[similarity(sets[i], sets[j]) >= how.threshold - SHORT_MARGIN for j in js]] if len(js) else js
+            out_a += [names[i]] * len(js)
+            out_b += list(names[js])
         return pd.DataFrame({"a": pd.Series(out_a, dtype=object), "b": pd.Series(out_b, dtype=object)})
 
     pairs = sent.groupBy("band", "p", "q").applyInPandas(compare, "a binary, b binary")
@@ -261,25 +316,40 @@ def linked(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     rows = staged(signed(docs, how), "near-rows")
     nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig")), "near-nodes")
     bands = banded(nodes, how.rows)
-    heads = bands.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = staged(join_counted(bands, staged(heads, "near-heads"), "band", nodes.count() * (HASHES // how.rows)), "near-met")
-
-    votes = met.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("n"))
-    first = votes.groupBy("node").agg(F.max_by("head", F.struct("n", "head")).alias("head"))
-    first = staged(pruned(first.select(F.col("head").alias("a"), F.col("node").alias("b")), nodes, how), "near-first")
-    sets = sets_of(docs, rows.select("node", "doc_id"), first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), how)
-    links = staged(verified(first, sets, how), "near-links")
-    found = staged(components(links), "near-found")
-
-    labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    mixed_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
-    members = staged(labelled.join(mixed_bands, "band").join(nodes, "node"), "near-members")
-    more = staged(_across(members, how).join(first, ["a", "b"], "left_anti"), "near-more")
-    if more.isEmpty():
-        return rows.drop("sig"), found
-    sets = sets_of(docs, rows.select("node", "doc_id"), more.select(F.explode(F.array("a", "b")).alias("node")).distinct(), how)
-    links = links.unionByName(verified(more, sets, how))
-    return rows.drop("sig"), staged(components(links), "near-found")
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    met = staged(join_counted(bands, staged(sizes, "near-sizes"), "band", nodes.count() * (HASHES // how.rows)), "near-met")
+
+    degrees = met.groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = staged(met.join(degrees, "node"), "near-ranked")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub"), F.max("size").alias("n")).select("band", "n", F.col("hub.node").alias("hub"), F.col("hub.degree").alias("hub_degree"))
+    votes = join_counted(ranked, hubs, "band", met.count()).where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("hub_degree").alias("hub_degree"))
+    first = votes.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub_degree", "hub")).alias("hub"))
+    first = staged(pruned(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), nodes, how), "near-pairs")
+
+    words = rows.select("node", "doc_id")
+    links, tried = None, None
+    for closest in (0, CLOSEST, None):
+        if links is None:
+            pairs = first
+        else:
+            labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+            mixed_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
+            members = staged(labelled.join(mixed_bands, "band").join(nodes, "node"), "near-members")
+            if closest is None:
+                sets = sets_of(docs, words, members.select("node").distinct(), how)
+                members = members.join(shortened(sets), "node")
+            pairs = staged(_across(members, how, closest).join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        if pairs.isEmpty():
+            if links is None:
+                return rows.drop("sig"), components(pairs)
+            continue
+        if closest is not None:
+            sets = sets_of(docs, words, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), how)
+        new = staged(verified(pairs, sets, how), "near-links")
+        links = new if links is None else links.unionByName(new)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = components(links)
+    return rows.drop("sig"), found
 
 
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
