@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from loupe.llm.common import batches, mixed, runs, staged, table
 from loupe.llm.deepshallow import common_prefixes, deep_shallow
 from loupe.llm.op6_substring import _pack, _unpack
-from loupe.llm.spans import BROADCAST_BYTES, LAST_ID, gathered, joined_spans
+from loupe.llm.spans import BROADCAST_BYTES, LAST_ID, covered, gathered, joined_spans, ranged
 
 LENGTH = 100
 GRAM = 32
@@ -51,7 +51,7 @@ GRAMS = LENGTH - GRAM + 1
 LEFT = GRAMS - 1
 #: Anchors that a task gathers before it sends them, and those of a part.
 GATHERED = 1 << 20
-PART = 1 << 20
+PART = 1 << 21
 #: Contexts of a part of the second step.
 CONTEXTS = 1 << 17
 #: Words of eight bytes that the quicksort orders, to the right and to the left.
@@ -264,7 +264,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
 
         for batch, texts in batches(source):
             for i, (text, places) in enumerate(zip(texts, batch.column("spans").to_pylist(), strict=True)):
-                at = np.unique(np.frombuffer(places, np.uint32)).astype(np.int64)
+                at = np.unique(np.frombuffer(b"".join(places), np.uint32)).astype(np.int64)
                 data = np.frombuffer(text, np.uint8)
                 # UTF-8 has no byte above 0xF4: one more leaves 0 for what is outside the document
                 padded = np.concatenate([np.zeros(LEFT, np.uint8), data + np.uint8(1), np.zeros(LENGTH, np.uint8)])
@@ -355,23 +355,14 @@ def compared(sent: DataFrame) -> DataFrame:
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans): pairs of first and last start of repeated strings."""
+    """(doc_id, text_key, spans): for each document that loses bytes, the ranges of its repeated strings' starts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     first = staged(settled_anchors(docs, ceil(max(size, 1) * 2 / (GRAMS + 1) / PART)), "suffix-anchors")
     wanted = first.where(F.col("kind") == _WANTED)
     n = (wanted.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 4
     more = compared(contexts(docs, wanted, ceil(max(n, 1) / CONTEXTS)))
     both = first.where(F.col("kind") == _SPANS).unionByName(more)
-    return staged(both.select("doc_id", "text_key", F.col("data").alias("spans")), "suffix-spans")
-
-
-def removed(spans: bytes, n: int) -> np.ndarray:
-    """Which of a document's bytes go."""
-    pairs = np.frombuffer(spans, np.uint32).reshape(-1, 2).astype(np.int64)
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, pairs[:, 0], 1)
-    np.add.at(edge, pairs[:, 1] + LENGTH, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return ranged(both.select("doc_id", "text_key", F.col("data").alias("spans")), 2)
 
 
 def suffixes_removed(docs: DataFrame) -> DataFrame:
@@ -382,7 +373,7 @@ def suffixes_removed(docs: DataFrame) -> DataFrame:
             out = []
             for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
                 if spans is not None:
-                    text = np.frombuffer(text, np.uint8)[~removed(spans, len(text))].tobytes().decode(errors="ignore").encode()
+                    text = np.frombuffer(text, np.uint8)[~covered(spans, LENGTH, len(text))].tobytes().decode(errors="ignore").encode()
                 out.append(text)
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, "text", pa.array(out, pa.binary()).cast(pa.string())).drop_columns(["spans"])
@@ -401,7 +392,7 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
             for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), texts, batch.column("spans").to_pylist(), strict=True):
                 text, n_spans, n = text or b"", 0, len(text or b"")
                 if spans is not None:
-                    gone = removed(spans, n)
+                    gone = covered(spans, LENGTH, n)
                     n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     text = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 rows.append((doc_id, n, n - len(text), n_spans, hashlib.sha256(text).hexdigest()))

@@ -32,8 +32,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import batches, hashes, inside, runs, staged, table, windows
-from loupe.llm.spans import LAST_ID, covered, joined_spans
+from loupe.llm.common import batches, hashes, inside, runs, table, windows
+from loupe.llm.spans import LAST_ID, covered, joined_spans, ranged
 
 WINDOW = 13
 ROWS = 2
@@ -44,7 +44,7 @@ RANGE_BITS = 22
 #: Windows that a task gathers before it sends them.
 GATHERED = 1 << 21
 #: Windows of one part of the second pass, if all were repeated.
-PART = 1 << 22
+PART = 10 << 20
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SECOND = 0xD6E8FEB86659FD93
@@ -188,13 +188,14 @@ def estimated_repeated(h: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> n
     return out
 
 
-def _settled(h: np.ndarray, check: np.ndarray, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _settled(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which windows also start in a document with a smaller id, of those given."""
-    order = np.lexsort((place, ids, check, h))
-    h, check, ids = h[order], check[order], ids[order]
-    starts, ends = runs(h, check)
+    order = np.lexsort((check, h))
+    starts, ends = runs(h[order], check[order])
     later = np.empty(len(h), bool)
-    later[order] = ids > np.repeat(ids[starts], ends - starts)
+    if len(h):
+        ids = ids[order]
+        later[order] = ids > np.repeat(np.minimum.reduceat(ids, starts), ends - starts)
     return later
 
 
@@ -226,7 +227,7 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
             base = np.cumsum([0, *(len(x[0]) for x in held)])
             h, check, place = (np.concatenate([x[i] for x in held]) for i in (2, 3, 5))
             doc = np.concatenate([x[4] + b for x, b in zip(held, base[:-1], strict=True)])
-            later = _settled(h, check, ids[doc], place)
+            later = _settled(h, check, ids[doc])
             rows = [(parts + int(k % parts), i, k, data) for i, k, data in _by_document(ids, keys, doc[later], place[later])]
             at = np.flatnonzero(~later)
             part = (h[at] % np.uint64(parts)).astype(np.int64)
@@ -261,7 +262,7 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
             base = np.cumsum([0, *(len(x[0]) for x in held)])
             ids, keys, h, check, place = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 3, 5))
             doc = np.concatenate([x[4].astype(np.int64) + b for x, b in zip(held, base[:-1], strict=True)])
-            later = _settled(h, check, ids[doc], place)
+            later = _settled(h, check, ids[doc])
             rows = list(_by_document(ids, keys, doc[later], place[later]))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SPAN_SCHEMA.types, strict=True)], schema=_SPAN_SCHEMA)
@@ -283,12 +284,12 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
 
 
 def found_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, spans): for each document that loses words, the starts of its windows to go."""
+    """(doc_id, text_key, spans): for each document that loses words, the ranges of its windows to go."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = max(size // 6, 1)  # windows: words of five letters and a space
     bits = min(max(ceil(log2(4 * expected)), LEAST_BITS), MOST_BITS)
     found = repeated_windows(docs, n, repeated_cells(docs, n, bits), bits, ceil(expected / PART))
-    return staged(found, "substring-spans")
+    return ranged(found, 1)
 
 
 def substrings_removed(docs: DataFrame, n: int = WINDOW) -> DataFrame:
