@@ -50,7 +50,7 @@ GRAM = 32
 GRAMS = LENGTH - GRAM + 1
 LEFT = GRAMS - 1
 #: Anchors that a task gathers before it sends them, and those of a part.
-GATHERED = 1 << 20
+GATHERED = 1 << 19
 PART = 1 << 21
 #: Contexts of a part of the second step.
 CONTEXTS = 1 << 17
@@ -121,37 +121,52 @@ def _plain(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 class _Entries:
-    """Anchors as columns: h, x, and the document's id, key and length, and the place in it."""
+    """Anchors as columns: h, x, the document as a place in (ids, keys, sizes), and the place in it.
 
-    NAMES = ("h", "x", "id", "key", "n", "at")
+    Documents are ordered by id and key, so their places compare as they do.
+    """
 
-    def __init__(self, *columns: np.ndarray) -> None:
-        self.h, self.x, self.id, self.key, self.n, self.at = columns
+    def __init__(self, docs: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray, x: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
+        self.docs, self.h, self.x, self.doc, self.at = docs, h, x, doc, at
+
+    def __len__(self) -> int:
+        return len(self.h)
 
     @classmethod
     def joined(cls, parts: list[_Entries]) -> _Entries:
-        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in cls.NAMES))
+        ids, keys, sizes = (np.concatenate([p.docs[i] for p in parts]) for i in range(3))
+        order = np.lexsort((keys, ids))
+        starts, ends = runs(ids[order], keys[order])
+        place = np.empty(len(ids), np.int32)
+        place[order] = np.repeat(np.arange(len(starts), dtype=np.int32), ends - starts)
+        base = np.cumsum([0, *(len(p.docs[0]) for p in parts)])
+        doc = np.concatenate([place[p.doc + b] for p, b in zip(parts, base[:-1], strict=True)])
+        first = order[starts]
+        return cls((ids[first], keys[first], sizes[first]), *(np.concatenate([getattr(p, c) for p in parts]) for c in ("h", "x")), doc, np.concatenate([p.at for p in parts]))
 
     def take(self, which: np.ndarray) -> _Entries:
-        return _Entries(*(getattr(self, c)[which] for c in self.NAMES))
+        return _Entries(self.docs, self.h[which], self.x[which], self.doc[which], self.at[which])
 
     def packed(self) -> bytes:
-        docs, first, local = np.unique(np.stack([self.id, self.key], 1), axis=0, return_index=True, return_inverse=True)
-        return _pack(docs[:, 0].copy(), docs[:, 1].copy(), self.n[first], self.h, self.x, local.reshape(-1).astype(np.uint32), self.at.astype(np.uint32))
+        used, local = np.unique(self.doc, return_inverse=True)
+        return _pack(*(c[used] for c in self.docs), self.h, self.x, local.astype(np.uint32), self.at)
 
     @classmethod
     def unpacked(cls, data: bytes) -> _Entries:
-        ids, keys, n, h, x, local, at = _unpack(data, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32)
-        return cls(h, x, ids[local], keys[local], n[local], at.astype(np.int64))
+        ids, keys, sizes, h, x, local, at = _unpack(data, np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint32, np.uint32)
+        return cls((ids, keys, sizes), h, x, local.astype(np.int32), at)
+
+    def sizes(self) -> np.ndarray:
+        return self.docs[2][self.doc]
 
     def settled(self) -> tuple[_Entries, np.ndarray, np.ndarray]:
         """In order, without repeats; which are later in their class, and whether their gram has several classes."""
-        e = self.take(np.lexsort((self.at, self.key, self.id, self.x, self.h)))
-        new = np.ones(len(e.h), bool)
-        new[1:] = (e.h[1:] != e.h[:-1]) | (e.x[1:] != e.x[:-1]) | (e.id[1:] != e.id[:-1]) | (e.key[1:] != e.key[:-1]) | (e.at[1:] != e.at[:-1])
-        e = e.take(new)
+        e = self.take(np.lexsort((self.at, self.doc, self.x, self.h)))
+        new = np.ones(len(e), bool)
+        new[1:] = (e.h[1:] != e.h[:-1]) | (e.x[1:] != e.x[:-1]) | (e.doc[1:] != e.doc[:-1]) | (e.at[1:] != e.at[:-1])
+        e = e if new.all() else e.take(new)
         starts, _ = runs(e.h, e.x)
-        later = np.ones(len(e.h), bool)
+        later = np.ones(len(e), bool)
         later[starts] = False
         a, b = runs(e.h)
         several = np.repeat(np.add.reduceat(~later, a) > 1, b - a) if len(a) else later
@@ -160,16 +175,17 @@ class _Entries:
 
 def _rows(e: _Entries, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """(id, key, packed uint32 columns, row by row) for each document of the entries."""
-    order = np.lexsort((e.at, e.key, e.id))
-    table_ = np.stack(columns, 1).astype(np.uint32)[order]
-    ids, keys = e.id[order], e.key[order]
-    for a, b in zip(*(x.tolist() for x in runs(ids, keys)), strict=True):
-        yield int(ids[a]), int(keys[a]), table_[a:b].tobytes()
+    order = np.lexsort((e.at, e.doc))
+    packed = np.stack(columns, 1).astype(np.uint32)[order]
+    doc = e.doc[order]
+    for a, b in zip(*(x.tolist() for x in runs(doc)), strict=True):
+        yield int(e.docs[0][doc[a]]), int(e.docs[1][doc[a]]), packed[a:b].tobytes()
 
 
 def _strings(e: _Entries) -> tuple[np.ndarray, np.ndarray]:
     """First and last start of the strings over each anchor."""
-    return np.maximum(e.at - LEFT, 0), np.minimum(e.at, e.n - LENGTH)
+    at = e.at.astype(np.int64)
+    return np.maximum(at - LEFT, 0), np.minimum(at, e.sizes() - LENGTH)
 
 
 _SENT = "part long, kind int, doc_id long, text_key long, data binary"
@@ -212,7 +228,7 @@ def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
             doc = np.searchsorted(offsets, at, "right") - 1
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             start, end = offsets[doc], offsets[doc + 1]
-            held.append(_Entries(h[at], _reach(data, h, at, start, end), ids[doc], keys[doc], end - start, at - start))
+            held.append(_Entries((ids, keys, np.diff(offsets)), h[at], _reach(data, h, at, start, end), doc.astype(np.int32), (at - start).astype(np.uint32)))
             size += len(at)
             if size >= GATHERED:
                 yield sent()
@@ -270,10 +286,10 @@ def contexts(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
                 padded = np.concatenate([np.zeros(LEFT, np.uint8), data + np.uint8(1), np.zeros(LENGTH, np.uint8)])
                 around = np.lib.stride_tricks.sliding_window_view(padded, LEFT + LENGTH)[at]
                 doc_id, key = batch.column("doc_id")[i].as_py(), batch.column("text_key")[i].as_py()
-                n = len(at)
-                held.append((_Entries(grams(data)[at], np.zeros(n, np.uint64), np.full(n, doc_id), np.full(n, key), np.full(n, len(data)), at), around))
-                size += n
-            if size >= GATHERED // 8:
+                docs_ = (np.array([doc_id]), np.array([key]), np.array([len(data)]))
+                held.append((_Entries(docs_, grams(data)[at], np.zeros(len(at), np.uint64), np.zeros(len(at), np.int32), at.astype(np.uint32)), around))
+                size += len(at)
+            if size >= GATHERED // 4:
                 yield sent()
                 held, size = [], 0
         if size:
@@ -295,8 +311,9 @@ def _classes(order: np.ndarray, prefixes: np.ndarray, group_changes: np.ndarray,
 
 def repeated_starts(e: _Entries, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(entry, start) of every string over the anchors that an earlier entry holds at the same offset."""
-    by = np.lexsort((e.at, e.key, e.id))  # from here, earlier is smaller
+    by = np.lexsort((e.at, e.doc))  # from here, earlier is smaller
     e, around = e.take(by), around[by]
+    place, size = e.at.astype(np.int64), e.sizes()
     right, left = around[:, LEFT:], around[:, :LEFT][:, ::-1]
     _, group = np.unique(e.h, return_inverse=True)
     sides = []
@@ -307,15 +324,15 @@ def repeated_starts(e: _Entries, around: np.ndarray) -> tuple[np.ndarray, np.nda
         sides.append((order, common_prefixes(order, rows), changes))
     whos, starts = [], []
     for offset in range(GRAMS):
-        fits = np.flatnonzero((e.at >= offset) & (e.at - offset + LENGTH <= e.n))
+        fits = np.flatnonzero((place >= offset) & (place - offset + LENGTH <= size))
         if len(fits) < 2:
             continue
-        key = _classes(*sides[0], LENGTH - offset)[fits] * (len(e.h) + 1) + _classes(*sides[1], offset)[fits]
+        key = _classes(*sides[0], LENGTH - offset)[fits] * (len(e) + 1) + _classes(*sides[1], offset)[fits]
         _, first = np.unique(key, return_index=True)
         later = np.ones(len(fits), bool)
         later[first] = False
         whos.append(fits[later])
-        starts.append(e.at[fits[later]] - offset)
+        starts.append(place[fits[later]] - offset)
     who = np.concatenate(whos) if whos else np.empty(0, np.int64)
     return by[who], np.concatenate(starts) if starts else who
 
@@ -333,11 +350,11 @@ def compared(sent: DataFrame) -> DataFrame:
             who, start = repeated_starts(e, np.concatenate([y for _, y in held]))
             gone = e.take(who)
             gone.at = start
-            gone = gone.take(np.lexsort((gone.at, gone.key, gone.id)))
-            new = np.ones(len(gone.at), bool)  # runs of starts of one document
-            new[1:] = (gone.id[1:] != gone.id[:-1]) | (gone.key[1:] != gone.key[:-1]) | (gone.at[1:] > gone.at[:-1] + 1)
+            gone = gone.take(np.lexsort((gone.at, gone.doc)))
+            new = np.ones(len(gone), bool)  # runs of starts of one document
+            new[1:] = (gone.doc[1:] != gone.doc[:-1]) | (gone.at[1:] > gone.at[:-1] + 1)
             a = np.flatnonzero(new)
-            last = gone.at[np.append(a[1:], len(gone.at)) - 1] if len(a) else gone.at
+            last = gone.at[np.append(a[1:], len(gone)) - 1] if len(a) else gone.at
             gone = gone.take(a)
             if rows := [(part, _SPANS, *r) for r in _rows(gone, gone.at, last)]:
                 yield _batch(rows)
