@@ -12,11 +12,10 @@ A bucket's nodes are not all paired with each other. First each node meets the
 hub that it shares most buckets with; hubs are the nodes with most neighbours,
 so a family's origin meets its copies. The links found give components, and only
 buckets that still hold nodes of different components are searched further, in
-blocks of bounded size: then each node outside its block's largest component
-meets the few nodes of other components that its signature comes closest to. In
-what is mixed even then, all pairs across components that the signatures don't
-rule out are verified, each in the first bucket that it shares. So no link
-between components is lost, and none within a component is needed.
+blocks of bounded size: all pairs across components, each in the first bucket
+that it shares, that neither the signatures nor, inside the task, the halved
+shingle hashes rule out are verified. So no link between components is lost, and
+none within a component is needed.
 
 Defined results: a text without words, null or empty, has no shingles and is
 linked with nothing; one with fewer words than a shingle is the whole sequence;
@@ -49,8 +48,6 @@ MISS = 1e-6
 BLOCK = 1024
 #: What halved hashes may take from a similarity at most, by hashes that meet in their upper half.
 SHORT_MARGIN = 0.01
-#: Partners of a node that are tried before all are.
-CLOSEST = 3
 #: Rows of a table of node names that is broadcast.
 BROADCAST_ROWS = 1 << 20
 
@@ -180,12 +177,10 @@ def banded(nodes: DataFrame, rows: int) -> DataFrame:
 
 
 def _fetched(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with ``column`` of both nodes as x and y; a node with many pairs isn't one task's."""
-    total = pairs.count()
+    """Pairs (a, b) with ``column`` of both nodes as x and y. A hub's pairs stream past its one row,
+    and adaptive execution splits them where they are many."""
     for end, name in (("a", "x"), ("b", "y")):
-        counts = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))
-        side = facts.select(F.col("node").alias(end), F.col(column).alias(name)).join(counts, end)
-        pairs = join_counted(pairs, side, end, total)
+        pairs = pairs.join(facts.select(F.col("node").alias(end), F.col(column).alias(name)), end)
     return pairs
 
 
@@ -260,51 +255,40 @@ def shortened(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(made, "node binary, short binary")
 
 
-def _across(members: DataFrame, how: Near, closest: int | None) -> DataFrame:
-    """Plausible pairs of members (band, node, root, sig, n) of one bucket and different roots.
+def _across(members: DataFrame, how: Near) -> DataFrame:
+    """Likely pairs of members (band, node, root, sig, short, n) of one bucket and different roots.
 
     The members of a bucket fall into parts of about BLOCK; each two parts, and
-    each part with itself, meet in one task. With ``closest``, each member
-    outside the block's largest root gets that many pairs at most; without it,
-    all pairs come, each from the first bucket that its nodes share, and are
-    sifted by the upper halves of their shingle hashes (``short``) before they
-    leave the task.
+    each part with itself, meet in one task. A pair comes from the first bucket
+    that its nodes share, if neither its signatures nor the upper halves of its
+    shingle hashes (``short``) rule it out.
     """
     least = least_matches(how.threshold)
     rows = how.rows
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
     own = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    short = [] if closest else ["short"]
-    sent = sent.select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "root", "sig", *short)
+    sent = sent.select("band", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "root", "sig", "short")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         band, p, q = (pdf[c].iloc[0] for c in ("band", "p", "q"))
         pdf = pdf.sort_values("part", kind="stable")
         n, n_left = len(pdf), int((pdf["part"] == p).sum())
         sigs = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(-1, HASHES)
-        names, (roots, _) = pdf["node"].to_numpy(), pd.factorize(pdf["root"])
-        largest = np.bincount(roots).argmax()
+        names, roots = pdf["node"].to_numpy(), pd.factorize(pdf["root"])[0]
+        sets = [np.frombuffer(x, np.uint32) for x in pdf["short"]]
         keys = band_keys(sigs, rows)
-        sets = [] if closest else [np.frombuffer(x, np.uint32) for x in pdf["short"]]
         out_a, out_b = [], []
-        for i in range(n if closest else n_left):
-            if closest and roots[i] == largest:
-                continue
-            if p == q:
-                js = np.arange(n) if closest else np.arange(i + 1, n)
-            else:
-                js = np.arange(n_left, n) if i < n_left else np.arange(n_left)
+        for i in range(n_left):
+            js = np.arange(i + 1, n) if p == q else np.arange(n_left, n)
             js = js[roots[js] != roots[i]]
+            if not len(js):
+                continue
+            js = js[keys[i][(keys[js] == keys[i]).argmax(1)] == band]
             js = js[plausible(np.repeat(sigs[i : i + 1], len(js), 0), sigs[js], least)]
-            if closest and len(js) > closest:
-                js = js[np.argsort(-(sigs[js] == sigs[i]).sum(1), kind="stable")[:closest]]
-            elif not closest and len(js):
-                shared = keys[js] == keys[i]
-                js = js[keys[i][shared.argmax(1)] == band]
-                js = js[[similarity(sets[i], sets[j]) >= how.threshold - SHORT_MARGIN for j in js]] if len(js) else js
+            js = [j for j in js.tolist() if similarity(sets[i], sets[j]) >= how.threshold - SHORT_MARGIN]
             out_a += [names[i]] * len(js)
-            out_b += list(names[js])
+            out_b += [names[j] for j in js]
         return pd.DataFrame({"a": pd.Series(out_a, dtype=object), "b": pd.Series(out_b, dtype=object)})
 
     pairs = sent.groupBy("band", "p", "q").applyInPandas(compare, "a binary, b binary")
@@ -316,40 +300,30 @@ def linked(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     rows = staged(signed(docs, how), "near-rows")
     nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig")), "near-nodes")
     bands = banded(nodes, how.rows)
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("size", F.col("n"))
-    met = staged(join_counted(bands, staged(sizes, "near-sizes"), "band", nodes.count() * (HASHES // how.rows)), "near-met")
-
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = staged(bands.join(sizes, "band"), "near-met")
     degrees = met.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = staged(met.join(degrees, "node"), "near-ranked")
-    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub"), F.max("size").alias("n")).select("band", "n", F.col("hub.node").alias("hub"), F.col("hub.degree").alias("hub_degree"))
-    votes = join_counted(ranked, hubs, "band", met.count()).where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("hub_degree").alias("hub_degree"))
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.degree").alias("hub_degree"))
+    votes = ranked.join(hubs, "band").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("hub_degree").alias("hub_degree"))
     first = votes.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub_degree", "hub")).alias("hub"))
     first = staged(pruned(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), nodes, how), "near-pairs")
 
     words = rows.select("node", "doc_id")
-    links, tried = None, None
-    for closest in (0, CLOSEST, None):
-        if links is None:
-            pairs = first
-        else:
-            labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-            mixed_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
-            members = staged(labelled.join(mixed_bands, "band").join(nodes, "node"), "near-members")
-            if closest is None:
-                sets = sets_of(docs, words, members.select("node").distinct(), how)
-                members = members.join(shortened(sets), "node")
-            pairs = staged(_across(members, how, closest).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            if links is None:
-                return rows.drop("sig"), components(pairs)
-            continue
-        if closest is not None:
-            sets = sets_of(docs, words, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), how)
-        new = staged(verified(pairs, sets, how), "near-links")
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = components(links)
-    return rows.drop("sig"), found
+    rows = rows.drop("sig")
+    sets = sets_of(docs, words, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), how)
+    links = staged(verified(first, sets, how), "near-links")
+    found = components(links)
+
+    labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    mixed_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
+    members = staged(labelled.join(mixed_bands, "band"), "near-members")
+    sets = sets_of(docs, words, members.select("node").distinct(), how)
+    members = members.join(nodes, "node").join(shortened(sets), "node")
+    more = staged(_across(members, how), "near-pairs")
+    if more.isEmpty():
+        return rows, found
+    return rows, components(links.unionByName(verified(more, sets, how)))
 
 
 def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
