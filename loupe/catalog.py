@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from pyspark.sql import DataFrame, SparkSession
 
 from loupe import registry
 
+MODULES = ("operators.detect_text",)
+
+for _name in MODULES:
+    import_module(f"loupe.{_name}")
+
 
 def queries() -> dict[str, registry.Query]:
     return dict(registry.QUERIES)
