@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loupe import registry
 
-MODULES = ("operators.detect_text",)
+MODULES = ("operators.detect_text", "operators.scan", "operators.policy")
 
 for _name in MODULES:
     import_module(f"loupe.{_name}")
