@@ -127,7 +127,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFr
     keyed = _key(docs)
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_text_key"] == found["_key"]), "left").where(~F.coalesce("_out", F.lit(False)))
     seps, words = F.split("text", WORDS, -1), F.filter(F.split("text", CASED_SEPARATORS, -1), lambda w: w != "")
-    kept = F.transform(words, lambda w, i: F.when(F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(F.concat(w, F.coalesce(F.get(seps, i + 1), F.lit("")))))
+    # zipped first: what a lambda refers to outside its argument is computed for every element
+    pairs = F.arrays_zip(words.alias("word"), F.slice(seps, F.lit(2), F.size(seps)).alias("after"))
+    kept = F.transform(pairs, lambda x, i: F.when(F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(F.concat(F.coalesce(x["word"], F.lit("")), F.coalesce(x["after"], F.lit("")))))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.get(seps, F.lit(0)), F.array_join(kept, "")))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
