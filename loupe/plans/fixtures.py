@@ -12,7 +12,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 def bound(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run SQL over the tables of a folder."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)}
-    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql), **used)
+    plain = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", plain), **used)
 
 
 #: Findings of a scan: one for each line item.
@@ -57,7 +58,7 @@ FROM orders
 """
 CONSENTS = """
 SELECT concat('c', c_custkey) AS consent_id, TIMESTAMP '1993-01-01 00:00:00' AS granted_at,
-  CASE WHEN c_custkey % 5 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' ELSE NULL END AS expires_at,
+  CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' ELSE TIMESTAMP '2003-01-01 00:00:00' END ELSE NULL END AS expires_at,
   CASE WHEN c_custkey % 7 = 0 THEN 'withdrawn' ELSE 'active' END AS status,
   CASE WHEN c_custkey % 6 = 0 THEN 'research' ELSE 'training' END AS purpose
 FROM customer WHERE c_custkey % 9 <> 0
