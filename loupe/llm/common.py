@@ -48,6 +48,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): all columns in one, so that none can clash with an operator's own."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unwrapped(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some with a new value of their old type."""
+    row = F.col("row")
+    for name, value in changed.items():
+        if name in docs.columns:
+            row = row.withField(name, value.cast(docs.schema[name].dataType))
+    return df.select(row.alias("row")).select("row.*")
+
+
 def word_list(text: Column, pattern: str) -> Column:
     """The words of a text, by the complement of a pattern of separators."""
     return F.filter(F.split(text, pattern, -1), lambda w: w != "")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import table
+from loupe.llm.common import table, unwrapped, wrapped
 
 #: What stands between words, once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -124,17 +124,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFr
     """The documents without the contaminated ones, and with hit words cut from the others."""
     found = contamination(docs, benchmark, n).where(F.col("n_hit") > 0).select(F.col("doc_id").alias("_doc"), F.col("_text_key").alias("_key"), "spans", "contaminated").dropDuplicates(["_doc", "_key"])
     found = found.withColumnsRenamed({"spans": "_spans", "contaminated": "_out"})
-    keyed = _key(docs)
+    keyed = _key(wrapped(docs))
     joined = keyed.join(found, keyed["doc_id"].eqNullSafe(found["_doc"]) & (keyed["_text_key"] == found["_key"]), "left").where(~F.coalesce("_out", F.lit(False)))
     seps, words = F.split("text", WORDS, -1), F.filter(F.split("text", CASED_SEPARATORS, -1), lambda w: w != "")
     # zipped first: what a lambda refers to outside its argument is computed for every element
     pairs = F.arrays_zip(words.alias("word"), F.slice(seps, F.lit(2), F.size(seps)).alias("after"))
     kept = F.transform(pairs, lambda x, i: F.when(F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])), F.lit("")).otherwise(F.concat(F.coalesce(x["word"], F.lit("")), F.coalesce(x["after"], F.lit("")))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.get(seps, F.lit(0)), F.array_join(kept, "")))
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    hit = F.col("_spans").isNotNull()
+    text = F.when(hit, F.concat(F.get(seps, F.lit(0)), F.array_join(kept, ""))).otherwise(F.col("text"))
+    joined = joined.withColumn("_cut", text)
+    if "n_chars" not in docs.columns:
+        return unwrapped(joined, docs, text=F.col("_cut"))
+    return unwrapped(joined, docs, text=F.col("_cut"), n_chars=F.when(hit, F.length("_cut")).otherwise(F.col("row.n_chars")))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from loupe.llm.common import batches, mixed, runs, staged, table
 from loupe.llm.deepshallow import common_prefixes, deep_shallow
 from loupe.llm.op6_substring import _pack, _unpack
-from loupe.llm.spans import BROADCAST_BYTES, LAST_ID, covered, gathered, joined_spans, ranged
+from loupe.llm.spans import BROADCAST_BYTES, LAST_ID, covered, gathered, joined_spans, ranged, with_cuts
 
 LENGTH = 100
 GRAM = 32
@@ -385,17 +385,10 @@ def found_spans(docs: DataFrame) -> DataFrame:
 def suffixes_removed(docs: DataFrame) -> DataFrame:
     """The documents without repeated bytes."""
 
-    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches(source):
-            out = []
-            for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
-                if spans is not None:
-                    text = np.frombuffer(text, np.uint8)[~covered(spans, LENGTH, len(text))].tobytes().decode(errors="ignore").encode()
-                out.append(text)
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, pa.binary()).cast(pa.string())).drop_columns(["spans"])
+    def cut(text: bytes, spans: bytes) -> bytes:
+        return np.frombuffer(text, np.uint8)[~covered(spans, LENGTH, len(text))].tobytes().decode(errors="ignore").encode()
 
-    return joined_spans(docs, found_spans(docs)).select(*docs.columns, "spans").mapInArrow(made, docs.schema)
+    return with_cuts(docs, found_spans(docs), cut)
 
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import batches, hashes, join_counted, staged, table, whole, windows
+from loupe.llm.common import batches, hashes, join_counted, staged, table, unwrapped, whole, windows, wrapped
 from loupe.llm.components import components
 
 #: Hash functions of a signature, and how many are compared at a time.
@@ -350,8 +350,8 @@ def near_deduplicated(docs: DataFrame, how: Near = Near()) -> DataFrame:
     stay = texts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")).select("best.doc_id", "best.text_key")
     stay = stay.unionByName(rows.where("node is null").select("doc_id", "text_key"))
     stay = staged(stay, "near-stay").withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    return keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["_doc"]) & (keyed["_text_key"] == stay["_key"]), "left_semi").select(*docs.columns)
+    keyed = wrapped(docs).withColumn("_text_key", F.xxhash64("text"))
+    return unwrapped(keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_doc"]) & (keyed["_text_key"] == stay["_key"]), "left_semi"), docs)
 
 
 def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:

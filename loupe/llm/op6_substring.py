@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loupe.llm.common import batches, hashes, inside, runs, table, windows
-from loupe.llm.spans import LAST_ID, covered, joined_spans, ranged
+from loupe.llm.spans import LAST_ID, covered, joined_spans, ranged, with_cuts
 
 WINDOW = 13
 ROWS = 2
@@ -293,22 +293,13 @@ def found_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def substrings_removed(docs: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The documents with repeated passages cut; words that stay keep one space between them where something went."""
+    """The documents with repeated passages cut; where words went, those that stay are joined by one space."""
 
-    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches(source):
-            out = []
-            for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
-                if spans is not None:
-                    words = text.split()
-                    gone = covered(spans, n, len(words))
-                    text = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                out.append(text)
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, pa.binary()).cast(pa.string())).drop_columns(["spans"])
-
-    joined = joined_spans(docs, found_spans(docs, n)).select(*docs.columns, "spans")
-    return joined.mapInArrow(made, docs.schema)
+    def cut(text: bytes, spans: bytes) -> bytes:
+        words = text.split()
+        return b" ".join(w for w, g in zip(words, covered(spans, n, len(words)).tolist(), strict=True) if not g)
+
+    return with_cuts(docs, found_spans(docs, n), cut)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.common import staged
+from loupe.llm.common import batches, staged, unwrapped, wrapped
 
 #: What stands for a null document id: later than all others.
 LAST_ID = (1 << 63) - 1
@@ -64,3 +64,15 @@ def joined_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_text", F.xxhash64("text"))
     found = keyed.join(one, (F.coalesce(keyed["doc_id"].cast("long"), F.lit(LAST_ID)) == one["_doc"]) & (keyed["_text"] == one["_key"]), "left")
     return found.drop("_doc", "_key", "_text")
+
+
+def with_cuts(docs: DataFrame, spans: DataFrame, cut: Callable[[bytes, bytes], bytes]) -> DataFrame:
+    """All documents with all columns; ``cut`` makes the new text of one that has spans."""
+
+    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in batches(source):
+            new = [t if s is None else cut(t, s) for t, s in zip(texts, batch.column("spans").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("row"), pa.array(new, pa.binary()).cast(pa.string())], names=["row", "text"])
+
+    joined = joined_spans(wrapped(docs), spans).select("row", "text", "spans")
+    return unwrapped(joined.mapInArrow(made, joined.select("row", "text").schema), docs, text=F.col("text"))
