@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loupe import registry
 
-MODULES = ("operators.detect_text", "operators.scan", "operators.policy", "operators.stats", "operators.corpus", "operators.style", "operators.trust", "operators.cache", "operators.measure")
+MODULES = ("operators.detect_text", "operators.scan", "operators.policy", "operators.stats", "operators.corpus", "operators.style", "operators.trust", "operators.cache", "operators.measure", "operators.structure")
 
 for _name in MODULES:
     import_module(f"loupe.{_name}")

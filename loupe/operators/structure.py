@@ -1,0 +1,573 @@
+"""Structure of markup, style sheets, source comments and containers.
+
+Parsing needs a state that SQL expressions don't hold, so each operator here is
+a pass over Arrow batches that turns an artifact into rows; what is concluded
+from those rows is DataFrame code again. Every parser works within budgets and
+reports what stopped it as a row of its own instead of failing the task.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import struct
+import tokenize
+import xml.parsers.expat
+import zipfile
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loupe.operators.detect_text import COMMENT, HTML_COMMENT, METADATA, PROTECTED_MARKERS, RULES
+from loupe.registry import query
+from loupe.sources.artifacts import table
+
+# Budgets, elements without content, and where containers keep what they tell.
+MAX_EVENTS, MAX_DEPTH, MAX_PARTS, MAX_INFLATED, MAX_RATIO = 100_000, 512, 10_000, 64 << 20, 200
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+RIFF_INFO = {"IART": "artist", "ICMT": "comment", "ICOP": "copyright", "ICRD": "created", "IENG": "engineer", "IGNR": "genre", "IKEY": "keywords", "INAM": "title", "IPRD": "product", "ISFT": "software", "ISRC": "source"}
+PDF_INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
+
+
+def parsed(artifacts: DataFrame, column: str, parse: Callable[[object], Iterator[tuple]], schema: str) -> DataFrame:
+    """(artifact_path, ...): the rows that ``parse`` makes of each artifact's ``column``; an error is a row with its name."""
+    names = ["artifact_path", *(part.split()[0] for part in schema.split(", ")), "error"]
+
+    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            rows = []
+            for path, value in zip(batch.column("artifact_path"), batch.column(column), strict=True):
+                path = path.as_py()
+                try:
+                    rows += [(path, *r, None) for r in parse(value.as_py())]
+                except Exception as e:  # an artifact that can't be read is a finding, not a failed scan
+                    rows.append((path, *[None] * (len(names) - 2), type(e).__name__))
+                if len(rows) > 10_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+                    rows = []
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
+
+    full = "artifact_path string, " + schema + ", error string"
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    arrow = pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in full.split(", ")])
+    return artifacts.select("artifact_path", column).mapInArrow(made, full)
+
+
+# -- HTML
+
+
+class _Events(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=False)
+        self.rows: list[tuple] = []
+
+    def _add(self, kind: str, tag: str | None, name: str | None, value: str | None) -> None:
+        if len(self.rows) >= MAX_EVENTS:
+            raise OverflowError("events")
+        line, column = self.getpos()
+        self.rows.append((kind, tag, name, value, line, column + 1))
+
+    def handle_starttag(self, tag, attrs):
+        self._add("start", tag, None, None)
+        for key, value in attrs:
+            self._add("attribute", tag, key.lower(), value or "")
+
+    def handle_comment(self, data):
+        self._add("comment", None, None, data)
+
+
+def _html_events(text: str | None) -> Iterator[tuple]:
+    p = _Events()
+    p.feed(text or "")
+    p.close()
+    return iter(p.rows)
+
+
+def html_events(pages: DataFrame) -> DataFrame:
+    """Start tags, attributes and comments with their place."""
+    return parsed(pages, "text", _html_events, "kind string, tag string, name string, value string, line int, col int")
+
+
+def _rule_hits(text_column: str, context: str):
+    """Whether any rule of a context matches, and the provider of the first that does."""
+    out = F.lit(None).cast("string")
+    for _, provider, _, contexts, pattern in reversed(RULES):
+        if context in contexts:
+            out = F.when(F.col(text_column).rlike(f"(?i:{pattern})"), provider).otherwise(out)
+    return out
+
+
+def html_findings(events: DataFrame) -> DataFrame:
+    """Generator metadata, hidden elements, scripts, data URIs and attributed comments."""
+    e = events.where("error is null")
+    starts = e.where("kind = 'start' AND tag = 'script'").select("artifact_path", "line", F.lit("security_issue").alias("category"), F.lit("script").alias("detail"), F.lit(False).alias("removable"))
+    attrs = e.where("kind = 'attribute'")
+    tidy = F.lower(F.replace("value", F.lit(" "), F.lit("")))
+    reason = (
+        F.when(F.col("name") == "hidden", "hidden attribute")
+        .when((F.col("name") == "style") & tidy.contains("display:none"), "display:none")
+        .when((F.col("name") == "style") & tidy.contains("visibility:hidden"), "visibility:hidden")
+        .when((F.col("name") == "style") & tidy.contains("opacity:0"), "zero opacity")
+    )
+    hidden = attrs.withColumn("detail", reason).where("detail is not null").select("artifact_path", "line", F.lit("hidden_element").alias("category"), "detail", F.lit(False).alias("removable"))
+    data = attrs.where(F.lower(F.ltrim("value")).startswith("data:")).select("artifact_path", "line", F.lit("structural_signal").alias("category"), F.lit("data uri").alias("detail"), F.lit(False).alias("removable"))
+    meta = attrs.where("tag = 'meta'").groupBy("artifact_path", "line", "col").agg(F.max(F.when(F.col("name") == "name", F.lower("value"))).alias("n"), F.max(F.when(F.col("name") == "content", F.col("value"))).alias("c"))
+    meta = meta.where("n = 'generator'").select("artifact_path", "line", F.lit("generator_metadata").alias("category"), F.coalesce("c", F.lit("")).alias("detail"), F.lit(True).alias("removable"))
+    notes = e.where("kind = 'comment'").withColumn("detail", _rule_hits("value", HTML_COMMENT)).where("detail is not null").select("artifact_path", "line", F.lit("generated_comment").alias("category"), "detail", F.lit(True).alias("removable"))
+    return starts.unionByName(hidden).unionByName(data).unionByName(meta).unionByName(notes)
+
+
+class _Topology(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[list] = []  # tag, children, had text
+        self.n: Counter[str] = Counter()
+        self.ids: Counter[str] = Counter()
+        self.classes: Counter[str] = Counter()
+
+    def handle_starttag(self, tag, attrs):
+        self.n["elements"] += 1
+        if self.n["elements"] > MAX_EVENTS:
+            raise OverflowError("elements")
+        self.n["markup_characters"] += len(self.get_starttag_text() or "")
+        if self.stack:
+            self.stack[-1][1] += 1
+        if tag in VOID:
+            self.n["void_elements"] += 1
+        else:
+            self.stack.append([tag, 0, False])
+            if len(self.stack) > MAX_DEPTH:
+                raise OverflowError("depth")
+            self.n["max_depth"] = max(self.n["max_depth"], len(self.stack))
+        self.n["script_elements"] += tag == "script"
+        self.n["style_elements"] += tag == "style"
+        for key, value in attrs:
+            key, value = key.lower(), value or ""
+            self.n["attributes"] += 1
+            self.n["inline_styles"] += key == "style"
+            if key == "id" and value:
+                self.ids[value] += 1
+            elif key == "class":
+                self.classes.update(value.split())
+            elif key in ("src", "href", "srcset", "data") and value and not value.startswith(("#", "data:")):
+                self.n["external_references"] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and self.stack and self.stack[-1][0] == tag:
+            self._close()
+
+    def handle_endtag(self, tag):
+        self.n["markup_characters"] += len(tag) + 3
+        if tag in VOID:
+            return
+        if all(s[0] != tag for s in self.stack):
+            self.n["mismatched_closes"] += 1
+            return
+        while self.stack[-1][0] != tag:
+            self.n["mismatched_closes"] += 1
+            self._close()
+        self._close()
+
+    def _close(self):
+        _, children, text = self.stack.pop()
+        self.n["wrapper_only_elements"] += children == 1 and not text
+
+    def handle_data(self, data):
+        if self.stack and self.stack[-1][0] in ("script", "style"):
+            self.n["markup_characters"] += len(data)
+            return
+        bare = data.strip()
+        self.n["text_characters"] += len(bare)
+        if bare and self.stack:
+            self.stack[-1][2] = True
+
+    def handle_comment(self, data):
+        self.n["comments"] += 1
+        self.n["markup_characters"] += len(data) + 7
+
+
+TOPOLOGY = ("elements", "max_depth", "void_elements", "mismatched_closes", "unclosed_elements", "wrapper_only_elements", "comments", "inline_styles", "distinct_ids", "duplicate_ids", "class_tokens", "distinct_class_tokens", "attributes", "text_characters", "markup_characters", "script_elements", "style_elements", "external_references")
+
+
+def topology_of(text: str | None) -> Iterator[tuple]:
+    p, stopped = _Topology(), None
+    try:
+        p.feed(text or "")
+        p.close()
+    except OverflowError as e:  # what was measured so far is a lower bound, and says so
+        stopped = str(e)
+    p.n |= Counter({"unclosed_elements": len(p.stack), "distinct_ids": len(p.ids), "duplicate_ids": sum(c > 1 for c in p.ids.values()), "class_tokens": sum(p.classes.values()), "distinct_class_tokens": len(p.classes)})
+    yield (*(p.n[k] for k in TOPOLOGY), stopped)
+
+
+def dom_topology(pages: DataFrame) -> DataFrame:
+    """The shape of each document, in one row."""
+    return parsed(pages, "text", topology_of, ", ".join(f"{k} int" for k in TOPOLOGY) + ", truncated_by string")
+
+
+# -- comments and style sheets
+
+
+def comment_spans(text: str, path: str) -> Iterator[tuple[str, int, bool]]:
+    """(comment, line, verified by a real tokenizer)."""
+    if path.endswith(".py"):
+        try:
+            found = [(t.string, t.start[0], True) for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT]
+            yield from found
+            return
+        except (SyntaxError, tokenize.TokenError):
+            pass
+    at, line, seen = 0, 1, 0
+    opener = re.compile(r"//|#|/\*|<!--")
+    while m := opener.search(text, at):
+        start = m.start()
+        close = {"/*": "*/", "<!--": "-->"}.get(m[0], "\n")
+        end = text.find(close, m.end())
+        if end < 0 and close != "\n":  # never closed: no comment, nor is any later one of its kind
+            at = m.end()
+            if text.find(close, at) < 0:
+                opener = re.compile("|".join(re.escape(o) for o in ("//", "#", "/*", "<!--") if o != m[0] and o in opener.pattern.replace("\\", "")) or r"(?!)")
+            continue
+        end = len(text) if end < 0 else end + (0 if close == "\n" else len(close))
+        line += text.count("\n", seen, start)
+        seen = start
+        yield text[start:end], line, False
+        at = end
+
+
+def source_comments(sources: DataFrame) -> DataFrame:
+    """Comments of source files. The text carries its path in the first line of the pair."""
+
+    def parse(value: str | None) -> Iterator[tuple]:
+        path, _, text = (value or "").partition("\0")
+        return comment_spans(text, path)
+
+    keyed = sources.select("artifact_path", F.concat("artifact_path", F.lit("\0"), "text").alias("text"))
+    return parsed(keyed, "text", parse, "comment string, line int, verified boolean")
+
+
+def comment_findings(comments: DataFrame) -> DataFrame:
+    """Attributions inside comments; only those that a tokenizer has verified may be removed."""
+    return comments.where("error is null").withColumn("provider", _rule_hits("comment", COMMENT)).where("provider is not null").select("artifact_path", "line", "provider", "verified", F.lit("generated_comment").alias("category"), F.when(F.col("verified"), 0.99).otherwise(0.65).alias("confidence"))
+
+
+def _blocks(text: str, depth: int = 0) -> Iterator[tuple[str, str]]:
+    """(selector, body) of the innermost rules; at-rules are entered, a block that doesn't close ends the sheet."""
+    at = 0
+    while depth < 16 and (open_ := text.find("{", at)) >= 0:
+        level, i = 1, open_ + 1
+        while level and i < len(text):
+            level += {"{": 1, "}": -1}.get(text[i], 0)
+            i += 1
+        if level:
+            return
+        head, body = text[at:open_].strip(), text[open_ + 1 : i - 1]
+        if "{" in body:
+            yield from _blocks(body, depth + 1)
+        else:
+            yield head, body
+        at = i
+
+
+def sheet_of(text: str | None) -> Iterator[tuple]:
+    bare = re.sub(r"/\*.*?(?:\*/|\Z)", "", text or "", flags=re.S)
+    rules = list(_blocks(bare))
+    hiding = sum(bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", b, re.I)) for _, b in rules)
+    yield len(rules), sum(b.count(":") for _, b in rules), hiding, len(re.findall(r"url\(\s*['\"]?data:", bare, re.I)), sum(b.count("!important") for _, b in rules)
+
+
+def stylesheet_features(sheets: DataFrame) -> DataFrame:
+    """Rules, declarations, hiding rules, data URIs and forced declarations of each sheet."""
+    return parsed(sheets, "text", sheet_of, "rules int, declarations int, hiding_rules int, data_uris int, important int")
+
+
+# -- containers
+
+
+def _safe_xml(data: bytes) -> Iterator[tuple[str, str, str, str]]:
+    """(element, attribute, value, kind) of an XML part; document types are refused."""
+    out: list[tuple[str, str, str, str]] = []
+    text: list[str] = []
+    p = xml.parsers.expat.ParserCreate()
+
+    def refuse(*_):
+        raise ValueError("document type")
+
+    def start(name, attrs):
+        if len(out) > MAX_EVENTS:
+            raise OverflowError("elements")
+        text.clear()
+        out.extend((name, k, v, "attribute") for k, v in attrs.items())
+
+    def end(name):
+        if value := "".join(text).strip():
+            out.append((name, "", value, "text"))
+        text.clear()
+
+    p.StartDoctypeDeclHandler, p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = refuse, start, end, text.append
+    p.Parse(data, True)
+    return iter(out)
+
+
+def package_of(content: bytes | None) -> Iterator[tuple]:
+    """(part, kind, field, value) of an office package: properties, macros, embedded objects, outside links."""
+    z = zipfile.ZipFile(io.BytesIO(content or b""))
+    infos = z.infolist()
+    names = [i.filename for i in infos]
+    if len(infos) > MAX_PARTS or sum(i.file_size for i in infos) > MAX_INFLATED or any(i.file_size > 1024 and i.file_size > MAX_RATIO * max(i.compress_size, 1) for i in infos):
+        raise OverflowError("package")
+    if len(set(names)) < len(names) or any(n.startswith("/") or ".." in n.split("/") for n in names) or any(i.flag_bits & 1 for i in infos):
+        raise ValueError("package")
+    for name in names:
+        low = name.lower()
+        if low.endswith("vbaproject.bin"):
+            yield name, "macro", "", ""
+        elif "/embeddings/" in low:
+            yield name, "embedded", "", ""
+        elif low in ("docprops/core.xml", "docprops/app.xml", "docprops/custom.xml", "meta.xml"):
+            for element, _, value, kind in _safe_xml(z.read(name)):
+                if kind == "text":
+                    yield name, "property", element.split(":")[-1], value
+        elif low.endswith(".rels"):
+            links = [(a, v) for _, a, v, kind in _safe_xml(z.read(name)) if kind == "attribute"]
+            yield from ((name, "external", "Target", v) for (a, v), (b, w) in zip(links, links[1:] + [("", "")]) if a == "Target" and b == "TargetMode" and w == "External")
+        elif low.endswith(("comments.xml", "document.xml", "workbook.xml")):
+            for element, a, v, kind in _safe_xml(z.read(name)):
+                if a.endswith("author"):
+                    yield name, element.split(":")[-1], "author", v
+                elif a == "state" and v in ("hidden", "veryHidden"):
+                    yield name, "hidden_sheet", "state", v
+
+
+def _png(b: bytes) -> Iterator[tuple]:
+    at = 8
+    while at + 8 <= len(b):
+        size, kind = struct.unpack(">I4s", b[at : at + 8])
+        body = b[at + 8 : at + 8 + size]
+        if kind in (b"tEXt", b"iTXt"):
+            key, _, value = body.partition(b"\0")
+            yield "png", key.decode("latin-1"), (value if kind == b"tEXt" else value.split(b"\0", 4)[-1]).decode("utf-8", "replace"), at
+        elif kind == b"zTXt":
+            key, _, value = body.partition(b"\0")
+            yield "png", key.decode("latin-1"), zlib.decompressobj().decompress(value[1:], 1 << 18).decode("latin-1"), at
+        at += 12 + size
+
+
+def _jpeg(b: bytes) -> Iterator[tuple]:
+    at = 2
+    while at + 4 <= len(b) and b[at] == 0xFF and b[at + 1] not in (0xDA, 0xD9):
+        size = struct.unpack(">H", b[at + 2 : at + 4])[0]
+        body = b[at + 4 : at + 2 + size]
+        if b[at + 1] == 0xFE:
+            yield "jpeg", "comment", body.decode("utf-8", "replace"), at
+        elif b[at + 1] == 0xE1:
+            yield "jpeg", "exif" if body.startswith(b"Exif") else "xmp", str(len(body)), at
+        at += 2 + size
+
+
+def _riff(b: bytes) -> Iterator[tuple]:
+    order = ">" if b[:4] == b"RIFX" else "<"
+    at = 12
+    while at + 8 <= len(b):
+        kind, size = b[at : at + 4], struct.unpack(order + "I", b[at + 4 : at + 8])[0]
+        if kind == b"LIST" and b[at + 8 : at + 12] == b"INFO":
+            i, end = at + 12, min(at + 8 + size, len(b))
+            while i + 8 <= end:
+                n = struct.unpack(order + "I", b[i + 4 : i + 8])[0]
+                name = b[i : i + 4].decode("latin-1")
+                yield "wave", RIFF_INFO.get(name, name), b[i + 8 : i + 8 + n].rstrip(b"\0").decode("utf-8", "replace"), i
+                i += 8 + n + n % 2
+        elif kind == b"bext":
+            yield "wave", "originator", b[at + 8 + 256 : at + 8 + 288].rstrip(b"\0").decode("latin-1"), at
+        elif kind in (b"iXML", b"_PMX", b"XMP "):
+            yield "wave", kind.decode().strip(), str(size), at
+        at += 8 + size + size % 2
+
+
+def _id3(b: bytes) -> Iterator[tuple]:
+    if b[:3] == b"ID3" and b[3] in (3, 4):
+        size = sum(x << s for x, s in zip(b[6:10], (21, 14, 7, 0), strict=True))
+        at, end = 10, min(10 + size, len(b))
+        while at + 10 <= end and b[at]:
+            n = sum(x << s for x, s in zip(b[at + 4 : at + 8], (21, 14, 7, 0), strict=True)) if b[3] == 4 else struct.unpack(">I", b[at + 4 : at + 8])[0]
+            name, body = b[at : at + 4].decode("latin-1"), b[at + 10 : at + 10 + n]
+            if name[0] == "T" and body:
+                yield "mp3", name, body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace").strip("\0"), at
+            at += 10 + n
+    if len(b) >= 128 and b[-128:-125] == b"TAG":
+        for name, a, z in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("comment", 97, 127)):
+            if value := b[len(b) - 128 + a : len(b) - 128 + z].rstrip(b"\0 ").decode("latin-1"):
+                yield "mp3", name, value, len(b) - 128 + a
+
+
+def _flac(b: bytes) -> Iterator[tuple]:
+    at, last = 4, False
+    while not last and at + 4 <= len(b):
+        last, kind, size = bool(b[at] & 0x80), b[at] & 0x7F, int.from_bytes(b[at + 1 : at + 4])
+        body = b[at + 4 : at + 4 + size]
+        if kind == 4:
+            n = struct.unpack("<I", body[:4])[0]
+            yield "flac", "vendor", body[4 : 4 + n].decode("utf-8", "replace"), at
+            i = 8 + n
+            for _ in range(min(struct.unpack("<I", body[4 + n : 8 + n])[0], 10_000)):
+                n = struct.unpack("<I", body[i : i + 4])[0]
+                key, _, value = body[i + 4 : i + 4 + n].decode("utf-8", "replace").partition("=")
+                yield "flac", key.lower(), value, at + 4 + i
+                i += 4 + n
+        at += 4 + size
+
+
+def _boxes(b: bytes, start: int, end: int, depth: int) -> Iterator[tuple]:
+    at = start
+    while at + 8 <= end and depth < 12:
+        size, kind = struct.unpack(">I4s", b[at : at + 8])
+        head = 8
+        if size == 1:
+            size, head = struct.unpack(">Q", b[at + 8 : at + 16])[0], 16
+        size = size or end - at
+        if size < head or at + size > end:
+            raise ValueError("box")
+        name = kind.decode("latin-1")
+        if name in ("moov", "udta", "trak", "mdia"):
+            yield from _boxes(b, at + head, at + size, depth + 1)
+        elif name[0] == "©":
+            n = struct.unpack(">H", b[at + head : at + head + 2])[0]
+            yield "bmff", name, b[at + head + 4 : at + head + 4 + n].decode("utf-8", "replace"), at
+        else:
+            yield "bmff", "box", name, at
+        at += size
+
+
+def _pdf(b: bytes) -> Iterator[tuple]:
+    if b"%%EOF" not in b[-1024:]:
+        raise ValueError("no end of file")
+    for key in PDF_INFO:
+        for m in re.finditer(rb"/" + key.encode() + rb"\s*\(((?:[^()\\]|\\.)*)\)", b):
+            yield "pdf", key, re.sub(rb"\\(.)", rb"\1", m[1]).decode("utf-8", "replace"), m.start()
+    for marker in (b"/EmbeddedFile", b"/Filespec", b"/Annots"):
+        if (at := b.find(marker)) >= 0:
+            yield "pdf", "marker", marker.decode()[1:], at
+
+
+def metadata_of(content: bytes | None) -> Iterator[tuple]:
+    """(container, field, value, offset) by the content's signature; office packages come through package_of."""
+    b = content or b""
+    if b.startswith(b"\x89PNG\r\n\x1a\n"):
+        return _png(b)
+    if b.startswith(b"\xff\xd8"):
+        return _jpeg(b)
+    if b[:4] in (b"RIFF", b"RIFX") and b[8:12] == b"WAVE":
+        return _riff(b)
+    if b.startswith(b"fLaC"):
+        return _flac(b)
+    if b.startswith(b"%PDF-"):
+        return _pdf(b)
+    if b[4:8] == b"ftyp":
+        return _boxes(b, 0, len(b), 0)
+    if b.startswith(b"PK\x03\x04"):
+        return (("package", f"{part}:{kind}:{name}", value, 0) for part, kind, name, value in package_of(b))
+    return _id3(b)
+
+
+def container_metadata(files: DataFrame) -> DataFrame:
+    """The metadata of images, audio, video, PDF and office files, as binaryFile reads them."""
+    return parsed(files, "content", lambda c: ((k, f, v, o) for k, f, v, o in metadata_of(c)), "container string, field string, value string, byte_offset long")
+
+
+def metadata_findings(entries: DataFrame) -> DataFrame:
+    """What each field is, whether it may go, and which attribution it spells."""
+    name = F.lower(F.substring_index("field", ":", -1))
+    category = (
+        F.when(name.isin("author", "artist", "creator", "engineer", "originator", "lastmodifiedby", "tpe1"), "personal_metadata")
+        .when(name.isin("software", "producer", "application", "generator", "encoder", "vendor", "tsse", "tenc"), "generator_metadata")
+        .when(F.col("container").isin("png", "jpeg"), "image_metadata")
+        .when(F.col("container").isin("pdf", "package"), "document_metadata")
+        .otherwise("media_metadata")
+    )
+    protected = F.lit(False)
+    for marker in PROTECTED_MARKERS:
+        protected = protected | F.lower("value").contains(marker)
+    return entries.where("error is null and field <> 'box'").select("artifact_path", "container", "field", "value", F.when(protected, "c2pa_provenance").otherwise(category).alias("category"), (~protected).alias("removable"), _rule_hits("value", METADATA).alias("provider"))
+
+
+#: Pages with planted traces.
+def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    trace = F.concat(
+        F.when(F.col("page_id") % 4 == 0, '<meta name="generator" content="Maker 1">').otherwise(""),
+        F.when(F.col("page_id") % 5 == 0, '<div style="display: none">x</div>').otherwise(""),
+        F.when(F.col("page_id") % 6 == 0, '<img src="data:image/png;base64,AA">').otherwise(""),
+        F.when(F.col("page_id") % 7 == 0, "<!-- generated by ChatGPT -->").otherwise(""),
+    )
+    return p.select(F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("artifact_path"), "page_id", F.concat(F.coalesce("html", F.lit("")), trace).alias("text"))
+
+
+@query(
+    "html_findings",
+    """
+    SELECT 'generator_metadata' AS category, count(*) FILTER (WHERE page_id % 4 = 0) AS n FROM pages UNION ALL SELECT 'hidden_element', count(*) FILTER (WHERE page_id % 5 = 0) FROM pages
+    UNION ALL SELECT 'structural_signal', count(*) FILTER (WHERE page_id % 6 = 0) FROM pages UNION ALL SELECT 'generated_comment', count(*) FILTER (WHERE page_id % 7 = 0) FROM pages
+    UNION ALL SELECT 'security_issue', CAST(sum(len(regexp_extract_all(html, '(?i)<script[ >]'))) AS BIGINT) FROM pages
+    """,
+)
+def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_findings(html_events(planted_pages(spark, sf_dir))).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dom_topology")
+def q_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_topology(planted_pages(spark, sf_dir))
+
+
+@query("stylesheet_features", "SELECT concat('css/', p_partkey) AS artifact_path, 2 + CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS rules, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS hiding_rules, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS data_uris FROM part")
+def q_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("/* a { */ @media x { .a { color: red } .b { margin: 1px } } "), F.when(F.col("p_size") % 4 == 0, ".c{display : none}").otherwise(""), F.when(F.col("p_size") % 3 == 0, " url( 'data:x')").otherwise(""), F.lit(" .open { x: y"))
+    return stylesheet_features(p.select(F.concat(F.lit("css/"), "p_partkey").alias("artifact_path"), text.alias("text"))).select("artifact_path", "rules", "hiding_rules", "data_uris")
+
+
+@query(
+    "comment_findings",
+    """SELECT concat('src/', conv_id, '-', turn, CASE WHEN turn % 2 = 0 THEN '.py' ELSE '.js' END) AS artifact_path, CAST(2 AS INT) AS line, 'openai' AS provider, turn % 2 = 0 AS verified, 'generated_comment' AS category, CASE WHEN turn % 2 = 0 THEN 0.99 ELSE 0.65 END::DOUBLE AS confidence
+    FROM conversations WHERE conv_id % 3 = 0""",
+)
+def q_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    py = F.col("turn") % 2 == 0
+    mark = F.when(F.col("conv_id") % 3 == 0, "generated by ChatGPT").otherwise("plain note")
+    text = F.when(py, F.concat(F.lit("x = 'created with Codex # no comment'\n# "), mark, F.lit("\n"))).otherwise(F.concat(F.lit("let x = 1;\n/* "), mark, F.lit(" */\n")))
+    rows = c.select(F.concat(F.lit("src/"), "conv_id", F.lit("-"), "turn", F.when(py, ".py").otherwise(".js")).alias("artifact_path"), text.alias("text"))
+    return comment_findings(source_comments(rows))
+
+
+def sample_files() -> dict[str, bytes]:
+    """A small file of each container, with metadata to find."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0" * 13) + chunk(b"tEXt", b"Software\0generated by ChatGPT") + chunk(b"IEND", b"")
+    jpeg = b"\xff\xd8\xff\xfe" + struct.pack(">H", 7) + b"hello" + b"\xff\xd9"
+    info = b"INFOISFT" + struct.pack("<I", 6) + b"Maker\0" + b"IART" + struct.pack("<I", 4) + b"Anna"
+    wave = b"RIFF" + struct.pack("<I", 4 + 8 + len(info)) + b"WAVELIST" + struct.pack("<I", len(info)) + info
+    vorbis = struct.pack("<I", 3) + b"lib" + struct.pack("<I", 1) + struct.pack("<I", 11) + b"ARTIST=Anna"
+    flac = b"fLaC\x84" + len(vorbis).to_bytes(3) + vorbis
+    frame = b"TPE1" + struct.pack(">I", 5) + b"\0\0" + b"\x03Anna"
+    mp3 = b"ID3\x03\0\0" + bytes([0, 0, 0, len(frame)]) + frame
+    pdf = b"%PDF-1.4\n1 0 obj << /Author (Anna) /Producer (Maker) >> endobj\n%%EOF"
+    bmff = struct.pack(">I", 16) + b"ftypisom\0\0\0\0" + struct.pack(">I", 8 + 20) + b"moov" + struct.pack(">I", 20) + b"\xa9nam" + struct.pack(">HH", 8, 0) + b"A title!"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("docProps/core.xml", "<c:core xmlns:c='x' xmlns:d='y'><d:creator>Anna</d:creator></c:core>")
+        z.writestr("word/vbaProject.bin", b"x")
+        z.writestr("word/_rels/document.xml.rels", "<R><Relationship Target='http://x' TargetMode='External'/></R>")
+    return {"a.png": png, "a.jpg": jpeg, "a.wav": wave, "a.flac": flac, "a.mp3": mp3, "a.pdf": pdf, "a.mp4": bmff, "a.docx": held.getvalue(), "broken.pdf": b"%PDF-1.4"}
+
+
+@query("container_metadata")
+def q_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame([(k, bytearray(v)) for k, v in sample_files().items()], "artifact_path string, content binary")
+    return metadata_findings(container_metadata(files))
