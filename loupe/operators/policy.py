@@ -220,8 +220,10 @@ def q_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "plan_problems",
-    f"""WITH f AS ({FINDINGS}) SELECT CASE WHEN emit_ord % 31 = 0 THEN concat(id, 'x') ELSE id END AS id, CASE WHEN emit_ord % 31 = 0 THEN 'missing' WHEN emit_ord % 37 = 0 THEN 'mismatched' ELSE 'duplicate' END AS problem
-    FROM f WHERE emit_ord % 31 = 0 OR emit_ord % 37 = 0 OR emit_ord % 41 = 0""",
+    f"""WITH f AS ({FINDINGS}), s AS (SELECT CASE WHEN emit_ord % 31 = 0 THEN concat(id, 'x') ELSE id END AS id, CASE WHEN emit_ord % 37 = 0 THEN 'elsewhere' ELSE artifact_path END AS planned, emit_ord FROM f),
+    c AS (SELECT id, count(*) + count(*) FILTER (WHERE emit_ord % 41 = 0) AS times, min(planned) AS planned FROM s GROUP BY 1),
+    p AS (SELECT c.id, CASE WHEN f.id IS NULL THEN 'missing' WHEN planned <> artifact_path THEN 'mismatched' WHEN times > 1 THEN 'duplicate' END AS problem FROM c LEFT JOIN f ON f.id = c.id)
+    SELECT id, problem FROM p WHERE problem IS NOT NULL""",
 )
 def q_plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings_of(spark, sf_dir)
