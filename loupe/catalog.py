@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loupe import registry
 
-MODULES = ("operators.detect_text", "operators.scan", "operators.policy", "operators.stats", "operators.corpus", "operators.style", "operators.trust", "operators.cache", "operators.measure", "operators.structure", "operators.clean", "sources.files", "streaming.scan")
+MODULES = ("operators.detect_text", "operators.scan", "operators.policy", "operators.stats", "operators.corpus", "operators.style", "operators.trust", "operators.cache", "operators.measure", "operators.structure", "operators.clean", "operators.gates", "sources.files", "streaming.scan")
 
 for _name in MODULES:
     import_module(f"loupe.{_name}")
