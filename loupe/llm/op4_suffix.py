@@ -15,8 +15,12 @@ a sampled suffix array that misses no repeated string.
    then tell, for each offset, which strings over the anchors are equal, and all
    but the earliest of those are repeats.
 
+3. A gram with so many classes that they shouldn't meet in one task (a passage
+   that a large share of all documents quotes) is settled string by string: each
+   string over its anchors is sent by its own hash, and settled in its task first.
+
 Bytes are compared, never only hashes of them, between different classes; a
-class is told by 128 bits. Positions travel as packed arrays, in parts of the
+class, and a string of the third step, is told by 128 bits. Positions travel as packed arrays, in parts of the
 hash space whose number grows with the corpus.
 
 Defined results: null and empty texts, and those shorter than ``LENGTH``, lose
@@ -29,7 +33,7 @@ all columns, and drops what a cut leaves of a character.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -54,11 +58,13 @@ GATHERED = 1 << 19
 PART = 1 << 21
 #: Contexts of a part of the second step.
 CONTEXTS = 1 << 17
+#: Classes of one gram from which its strings go separate ways instead of meeting in one task.
+HOT = 1 << 16
 #: Words of eight bytes that the quicksort orders, to the right and to the left.
 SHALLOW_RIGHT, SHALLOW_LEFT = 6, 2
 
 _TABLE = np.random.default_rng(20240117).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR, _OTHER_FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -160,7 +166,7 @@ class _Entries:
         return self.docs[2][self.doc]
 
     def settled(self) -> tuple[_Entries, np.ndarray, np.ndarray]:
-        """In order, without repeats; which are later in their class, and whether their gram has several classes."""
+        """In order, without repeats; which are later in their class, and how many classes their gram has."""
         e = self.take(np.lexsort((self.at, self.doc, self.x, self.h)))
         new = np.ones(len(e), bool)
         new[1:] = (e.h[1:] != e.h[:-1]) | (e.x[1:] != e.x[:-1]) | (e.doc[1:] != e.doc[:-1]) | (e.at[1:] != e.at[:-1])
@@ -169,8 +175,8 @@ class _Entries:
         later = np.ones(len(e), bool)
         later[starts] = False
         a, b = runs(e.h)
-        several = np.repeat(np.add.reduceat(~later, a) > 1, b - a) if len(a) else later
-        return e, later, several
+        classes = np.repeat(np.add.reduceat((~later).astype(np.int64), a), b - a) if len(a) else later.astype(np.int64)
+        return e, later, classes
 
 
 def _rows(e: _Entries, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -190,8 +196,8 @@ def _strings(e: _Entries) -> tuple[np.ndarray, np.ndarray]:
 
 _SENT = "part long, kind int, doc_id long, text_key long, data binary"
 _SCHEMA = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("data", pa.binary())])
-#: Kinds of rows: packed entries; spans (first and last start) of a document; anchors whose bytes are wanted.
-_ENTRIES, _SPANS, _WANTED = 0, 1, 2
+#: Kinds of rows: packed entries; spans (first and last start) of a document; anchors whose bytes are wanted, and those of hot grams.
+_ENTRIES, _SPANS, _WANTED, _HOT = 0, 1, 2, 3
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -202,8 +208,12 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
-def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """Spans of what is settled by classes, and the anchors whose bytes are wanted."""
+def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes | None]], _Entries | None], strings: Callable, parts: int, wants: bool) -> DataFrame:
+    """Entries made of each slice, settled in their task and then by parts of the hash space.
+
+    Gives the spans (``strings``) of those that are later in their class and, if
+    that ``wants`` them, the earliest of each class of a gram with several.
+    """
 
     def mapped(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[_Entries] = []
@@ -212,7 +222,7 @@ def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
         def sent() -> pa.RecordBatch:
             e, later, _ = _Entries.joined(held).settled()
             gone = e.take(later)
-            rows = [(parts + key % parts, _SPANS, i, key, data) for i, key, data in _rows(gone, *_strings(gone))]
+            rows = [(parts + key % parts, _SPANS, i, key, data) for i, key, data in _rows(gone, *strings(gone))]
             e = e.take(~later)
             part = (e.h % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -221,15 +231,11 @@ def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
             return _batch(rows)
 
         for batch, texts in batches(source):
-            data, joined, offsets = _plain(texts)
-            at, h = anchors(joined, offsets)
-            if not len(at):
+            found = entries_of(batch, texts)
+            if found is None or not len(found):
                 continue
-            doc = np.searchsorted(offsets, at, "right") - 1
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
-            start, end = offsets[doc], offsets[doc + 1]
-            held.append(_Entries((ids, keys, np.diff(offsets)), h[at], _reach(data, h, at, start, end), doc.astype(np.int32), (at - start).astype(np.uint32)))
-            size += len(at)
+            held.append(found)
+            size += len(found)
             if size >= GATHERED:
                 yield sent()
                 held, size = [], 0
@@ -241,9 +247,13 @@ def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                e, later, several = _Entries.joined(held).settled()
-                gone, wanted = e.take(later), e.take(~later & several)
-                rows = [(part, _SPANS, *r) for r in _rows(gone, *_strings(gone))] + [(part, _WANTED, *r) for r in _rows(wanted, wanted.at)]
+                e, later, classes = _Entries.joined(held).settled()
+                gone = e.take(later)
+                rows = [(part, _SPANS, *r) for r in _rows(gone, *strings(gone))]
+                if wants:
+                    for kind, which in ((_WANTED, (classes > 1) & (classes <= HOT)), (_HOT, classes > HOT)):
+                        wanted = e.take(~later & which)
+                        rows += [(part, kind, *r) for r in _rows(wanted, wanted.at)]
                 if rows:
                     yield _batch(rows)
 
@@ -259,7 +269,55 @@ def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
                 held.append(_Entries.unpacked(data))
         yield from done()
 
-    return _named(docs).mapInArrow(mapped, _SENT).repartition("part").sortWithinPartitions("part").mapInArrow(reduced, _SENT)
+    return rows.mapInArrow(mapped, _SENT).repartition("part").sortWithinPartitions("part").mapInArrow(reduced, _SENT)
+
+
+def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
+    """Spans of what is settled by classes, and the anchors whose bytes are wanted."""
+
+    def found(batch: pa.RecordBatch, texts: list[bytes | None]) -> _Entries | None:
+        data, joined, offsets = _plain(texts)
+        at, h = anchors(joined, offsets)
+        if not len(at):
+            return None
+        doc = np.searchsorted(offsets, at, "right") - 1
+        ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
+        start, end = offsets[doc], offsets[doc + 1]
+        return _Entries((ids, keys, np.diff(offsets)), h[at], _reach(data, h, at, start, end), doc.astype(np.int32), (at - start).astype(np.uint32))
+
+    return _exchanged(_named(docs), found, _strings, parts, True)
+
+
+def _with_places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text, spans): the documents with the packed places wanted of them."""
+    named = _named(docs).withColumnsRenamed({"doc_id": "doc", "text_key": "key"})
+    one = gathered(wanted.select("doc_id", "text_key", F.col("data").alias("spans")))
+    small = (wanted.agg(F.sum(F.octet_length("data") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    joined = named.join(F.broadcast(one) if small else one, (named["doc"] == one["doc_id"]) & (named["key"] == one["text_key"]))
+    return joined.select("doc_id", "text_key", "text", "spans")
+
+
+def hot_strings(docs: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
+    """Spans of repeated strings over anchors of hot grams: each string goes its own way, by 128 bits of hashes."""
+
+    def found(batch: pa.RecordBatch, texts: list[bytes | None]) -> _Entries | None:
+        made = []
+        for i, (text, places) in enumerate(zip(texts, batch.column("spans").to_pylist(), strict=True)):
+            at = np.frombuffer(b"".join(places), np.uint32).astype(np.int64)
+            n = len(text)
+            edge = np.zeros(n + 1, np.int64)
+            np.add.at(edge, np.maximum(at - LEFT, 0), 1)
+            np.add.at(edge, np.minimum(at, n - LENGTH) + 1, -1)
+            starts = np.flatnonzero(np.cumsum(edge) > 0)
+            h = grams(np.frombuffer(text, np.uint8))
+            x, y = np.zeros(len(starts), np.uint64), np.ones(len(starts), np.uint64)
+            for step in (0, GRAM, 2 * GRAM, LENGTH - GRAM):
+                x, y = mixed(x * _FACTOR + h[starts + step]), mixed(y * _OTHER_FACTOR ^ h[starts + step])
+            doc = (np.array([batch.column("doc_id")[i].as_py()]), np.array([batch.column("text_key")[i].as_py()]), np.array([n]))
+            made.append(_Entries(doc, x, y, np.zeros(len(starts), np.int32), starts.astype(np.uint32)))
+        return _Entries.joined(made) if made else None
+
+    return _exchanged(_with_places(docs, hot), found, lambda e: (e.at, e.at), parts, False)
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
@@ -295,11 +353,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
         if size:
             yield sent()
 
-    named = _named(docs).withColumnsRenamed({"doc_id": "doc", "text_key": "key"})
-    one = gathered(wanted.select("doc_id", "text_key", F.col("data").alias("spans")))
-    small = (wanted.agg(F.sum(F.octet_length("data") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    joined = named.join(F.broadcast(one) if small else one, (named["doc"] == one["doc_id"]) & (named["key"] == one["text_key"]))
-    return joined.select("doc_id", "text_key", "text", "spans").mapInArrow(made, _SENT)
+    return _with_places(docs, wanted).mapInArrow(made, _SENT)
 
 
 def _classes(order: np.ndarray, prefixes: np.ndarray, group_changes: np.ndarray, depth: int) -> np.ndarray:
@@ -379,6 +433,10 @@ def found_spans(docs: DataFrame) -> DataFrame:
     n = (wanted.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 4
     more = compared(contexts(docs, wanted, ceil(max(n, 1) / CONTEXTS)))
     both = first.where(F.col("kind") == _SPANS).unionByName(more)
+    hot = first.where(F.col("kind") == _HOT)
+    n = (hot.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 4
+    if n:
+        both = both.unionByName(hot_strings(docs, hot, ceil(n * GRAMS / PART)))
     return ranged(both.select("doc_id", "text_key", F.col("data").alias("spans")), 2)
 
 

@@ -161,12 +161,15 @@ def repeated_bytes(rows):
     return out
 
 
-def test_suffixes(docs_of, texts):
+@pytest.mark.parametrize("hot", [op4_suffix.HOT, 1])
+def test_suffixes(docs_of, texts, monkeypatch, hot):
     from loupe.llm.spans import covered, joined_spans
 
+    monkeypatch.setattr(op4_suffix, "HOT", hot)
     rows = plain(texts)
     want = repeated_bytes(rows)
     docs = docs_of(rows).select("doc_id", "text")
+    assert (op4_suffix.settled_anchors(docs, 4).where(F.col("kind") == op4_suffix._HOT).count() > 0) == (hot == 1)
     got = joined_spans(docs, op4_suffix.found_spans(docs)).collect()
     for r in got:
         b = (r["text"] or "").encode()
