@@ -212,3 +212,21 @@ def test_files(spark, tmp_path):
     got = files.files(spark, str(tmp_path)).select(F.substring_index("artifact_path", "/", -1).alias("n"), files.artifact_type(F.col("artifact_path"), F.col("content")).alias("k")).collect()
     assert {r["n"]: r["k"] for r in got} == {"x.py": "source_code", "y.dat": "binary", "z": "png"}
     assert files.inventory(spark, str(tmp_path)).count() == 3
+
+
+def test_media_cleaning_keeps_the_content(spark):
+    from loupe.operators.media_clean import media_cleaned
+
+    files_ = {**structure.sample_files(), "marked.png": structure.sample_files()["a.png"].replace(b"generated", b"c2pa rate")}
+    rows = {r["artifact_path"]: r for r in media_cleaned(spark.createDataFrame([(k, bytearray(v)) for k, v in files_.items()], "artifact_path string, content binary")).collect()}
+    for name in ("a.png", "a.wav", "a.flac", "a.mp3"):
+        assert rows[name]["status"] == "cleaned" and rows[name]["material_before"] == rows[name]["material_after"]
+        assert [f for _, f, v, _ in structure.metadata_of(bytes(rows[name]["clean"])) if v] == []
+    assert rows["marked.png"]["status"] == "protected" and rows["a.pdf"]["status"] == "unsupported"
+
+
+def test_seeded_corpus_is_stable(spark):
+    from loupe.operators.reports import seeded_corpus
+
+    a, b = (sorted(map(tuple, seeded_corpus(spark, 500, 7).repartition(k).collect())) for k in (1, 5))
+    assert a == b and len({r[1] for r in a}) == 8
