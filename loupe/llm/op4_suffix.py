@@ -471,5 +471,18 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.mapInArrow(made, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+_ORACLE = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, x, unnest(range(0, CAST(length(x) // 2 - 99 AS BIGINT))) AS i FROM t WHERE length(x) >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+m AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM m),
+v AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, s),
+p AS (SELECT v.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM v),
+k AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM p JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT t.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {"op4_suffix": op4_suffix}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_suffix": _ORACLE}

@@ -217,10 +217,9 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
     return _fetched(pairs, sets, "shingles").select("a", "b", "x", "y").mapInArrow(made, "a binary, b binary")
 
 
-def sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
-    """(node, shingles) of the named nodes, each from one document that has its word sequence."""
-    wanted = rows.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = staged(wanted, "near-wanted")
+def sets_of(docs: DataFrame, owners: DataFrame, nodes: DataFrame, how: Near) -> DataFrame:
+    """(node, shingles) of the named nodes, each from its owner, a document that has its word sequence."""
+    wanted = staged(owners.join(nodes, "node"), "near-wanted")
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_ROWS else ids
     schema = pa.schema([("node", pa.binary()), ("shingles", pa.binary())])
@@ -298,7 +297,7 @@ def _across(members: DataFrame, how: Near) -> DataFrame:
 def linked(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     """The documents' (doc_id, n_shingles, node), and (node, root) of the nodes that are linked."""
     rows = staged(signed(docs, how), "near-rows")
-    nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig")), "near-nodes")
+    nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("doc_id")), "near-nodes")
     bands = banded(nodes, how.rows)
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = staged(bands.join(sizes, "band"), "near-met")
@@ -309,17 +308,17 @@ def linked(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     first = votes.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub_degree", "hub")).alias("hub"))
     first = staged(pruned(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), nodes, how), "near-pairs")
 
-    words = rows.select("node", "doc_id")
+    owners = nodes.select("node", "doc_id")
     rows = rows.drop("sig")
-    sets = sets_of(docs, words, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), how)
+    sets = sets_of(docs, owners, first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), how)
     links = staged(verified(first, sets, how), "near-links")
     found = components(links)
 
     labelled = met.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
     members = staged(labelled.join(mixed_bands, "band"), "near-members")
-    sets = sets_of(docs, words, members.select("node").distinct(), how)
-    members = members.join(nodes, "node").join(shortened(sets), "node")
+    sets = sets_of(docs, owners, members.select("node").distinct(), how)
+    members = members.join(nodes.select("node", "sig"), "node").join(shortened(sets), "node")
     more = staged(_across(members, how), "near-pairs")
     if more.isEmpty():
         return rows, found
