@@ -60,3 +60,38 @@ def q_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = arriving(spark, sf_dir, "documents").select(F.expr("concat('doc/', doc_id, '.txt')").alias("artifact_path"), F.expr(TEXT).alias("text"))
     return run_once(continuous_findings(docs), "append")
+
+
+def ledger_links(entries: DataFrame) -> DataFrame:
+    """Appended entries (log_id, sequence, entry_hash, previous_hash), each judged against the head that is kept of its log.
+
+    A head is a sequence and a hash, so the state of a log doesn't grow.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def judged(key, batches, state):
+        sequence, head = state.get if state.exists else (0, "")
+        rows = pd.concat(list(batches)).sort_values("sequence")
+        verdicts = []
+        for r in rows.itertuples():
+            verdict = "rolled_back" if r.sequence <= sequence else "gap" if r.sequence > sequence + 1 else "unlinked" if r.previous_hash != head else "linked"
+            if verdict != "rolled_back":
+                sequence, head = int(r.sequence), r.entry_hash
+            verdicts.append((key[0], int(r.sequence), verdict))
+        state.update((sequence, head))
+        yield pd.DataFrame(verdicts, columns=["log_id", "sequence", "verdict"])
+
+    return entries.groupBy("log_id").applyInPandasWithState(judged, "log_id long, sequence long, verdict string", "sequence long, head string", "append", GroupStateTimeout.NoTimeout)
+
+
+@query("stream_ledger", "SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS sequence, 'linked' AS verdict FROM events")
+def q_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loupe.operators.trust import chained
+    from loupe.plans.fixtures import LEDGER, bound
+
+    whole = chained(bound(spark, sf_dir, LEDGER)).select(F.col("log_id").cast("long").alias("log_id"), F.col("sequence").cast("long").alias("sequence"), "entry_hash", "previous_hash")
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
+    path = f"{base}/ledger_{uuid.uuid4().hex}"
+    whole.coalesce(1).write.parquet(path)
+    return run_once(ledger_links(spark.readStream.schema(whole.schema).parquet(path)), "append")
