@@ -230,3 +230,26 @@ def test_seeded_corpus_is_stable(spark):
 
     a, b = (sorted(map(tuple, seeded_corpus(spark, 500, 7).repartition(k).collect())) for k in (1, 5))
     assert a == b and len({r[1] for r in a}) == 8
+
+
+def test_streams_skip_content_they_have_seen(spark, tmp_path):
+    from loupe.streaming.scan import fresh_only, ledger_links, run_once
+
+    at = datetime(2024, 1, 1)
+    rows = [(at, "a", "x"), (at, "b", "x"), (at, "c", "y")]
+    spark.createDataFrame(rows, "ts timestamp, artifact_path string, text string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, artifact_path string, text string").parquet(str(tmp_path / "in"))
+    assert run_once(fresh_only(stream), "append").groupBy("text").count().where("count > 1").count() == 0
+    entries = [(1, 1, "h1", ""), (1, 2, "h2", "h1"), (1, 2, "h2", "h1"), (1, 4, "h4", "h2"), (2, 1, "g1", "z")]
+    spark.createDataFrame(entries, "log_id long, sequence long, entry_hash string, previous_hash string").coalesce(1).write.parquet(str(tmp_path / "log"))
+    log = spark.readStream.schema("log_id long, sequence long, entry_hash string, previous_hash string").parquet(str(tmp_path / "log"))
+    got = sorted(map(tuple, run_once(ledger_links(log), "append").collect()))
+    assert got == [(1, 1, "linked"), (1, 2, "linked"), (1, 2, "rolled_back"), (1, 4, "gap"), (2, 1, "unlinked")]
+
+
+def test_svg_that_cannot_be_read_is_a_row(spark):
+    from loupe.operators.vector import svg_elements, svg_findings
+
+    rows = svg_elements(texts(spark, "<svg><g", "<!DOCTYPE svg [<!ENTITY a 'b'>]><svg/>", None, '<svg><g opacity="0"/></svg>'))
+    assert {r["artifact_path"] for r in rows.where("error is not null").collect()} == {"t0", "t1", "t2"}
+    assert [r["detail"] for r in svg_findings(rows).collect()] == ["hidden"]
