@@ -62,11 +62,6 @@ def unwrapped(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
     return df.select(row.alias("row")).select("row.*")
 
 
-def word_list(text: Column, pattern: str) -> Column:
-    """The words of a text, by the complement of a pattern of separators."""
-    return F.filter(F.split(text, pattern, -1), lambda w: w != "")
-
-
 def join_counted(left: DataFrame, right: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:
     """Inner join with a right side that has one row for each key and ``n``, the
     rows of the left side with it.

@@ -166,8 +166,12 @@ class _Entries:
         return self.docs[2][self.doc]
 
     def settled(self) -> tuple[_Entries, np.ndarray, np.ndarray]:
-        """In order, without repeats; which are later in their class, and how many classes their gram has."""
-        e = self.take(np.lexsort((self.at, self.doc, self.x, self.h)))
+        """Themselves put in order, without repeats; which are later in their class, and how many classes their gram has."""
+        e = self
+        order = np.lexsort((e.at, e.doc, e.x, e.h))
+        for column in ("h", "x", "doc", "at"):  # one after the other: a part takes much of a task's memory
+            setattr(e, column, getattr(e, column)[order])
+        del order
         new = np.ones(len(e), bool)
         new[1:] = (e.h[1:] != e.h[:-1]) | (e.x[1:] != e.x[:-1]) | (e.doc[1:] != e.doc[:-1]) | (e.at[1:] != e.at[:-1])
         e = e if new.all() else e.take(new)
@@ -220,7 +224,9 @@ def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes
         size = 0
 
         def sent() -> pa.RecordBatch:
-            e, later, _ = _Entries.joined(held).settled()
+            joined = _Entries.joined(held)
+            held.clear()
+            e, later, _ = joined.settled()
             gone = e.take(later)
             rows = [(parts + key % parts, _SPANS, i, key, data) for i, key, data in _rows(gone, *strings(gone))]
             e = e.take(~later)
@@ -247,7 +253,9 @@ def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes
 
         def done() -> Iterator[pa.RecordBatch]:
             if held:
-                e, later, classes = _Entries.joined(held).settled()
+                joined = _Entries.joined(held)
+                held.clear()
+                e, later, classes = joined.settled()
                 gone = e.take(later)
                 rows = [(part, _SPANS, *r) for r in _rows(gone, *strings(gone))]
                 if wants:
@@ -262,11 +270,11 @@ def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes
             if (spans := batch.filter(pc.invert(entries))).num_rows:
                 yield spans
             sent = batch.filter(entries)
-            for at, data in zip(sent.column("part").to_pylist(), sent.column("data").to_pylist(), strict=True):
+            for i, at in enumerate(sent.column("part").to_pylist()):
                 if at != part:
                     yield from done()
                     part, held = at, []
-                held.append(_Entries.unpacked(data))
+                held.append(_Entries.unpacked(sent.column("data")[i].as_buffer()))
         yield from done()
 
     return rows.mapInArrow(mapped, _SENT).repartition("part").sortWithinPartitions("part").mapInArrow(reduced, _SENT)
@@ -400,8 +408,9 @@ def compared(sent: DataFrame) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            e = _Entries.joined([x for x, _ in held])
-            who, start = repeated_starts(e, np.concatenate([y for _, y in held]))
+            e, around = _Entries.joined([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held.clear()
+            who, start = repeated_starts(e, around)
             gone = e.take(who)
             gone.at = start
             gone = gone.take(np.lexsort((gone.at, gone.doc)))
@@ -414,11 +423,11 @@ def compared(sent: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
         for batch in source:
-            for at, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for i, at in enumerate(batch.column("part").to_pylist()):
                 if at != part:
                     yield from done()
                     part, held = at, []
-                packed, around = _unpack(data, np.uint8, np.uint8)
+                packed, around = _unpack(batch.column("data")[i].as_buffer(), np.uint8, np.uint8)
                 held.append((_Entries.unpacked(packed.tobytes()), around.reshape(-1, LEFT + LENGTH)))
         yield from done()
 

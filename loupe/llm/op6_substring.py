@@ -261,7 +261,8 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
                 return
             base = np.cumsum([0, *(len(x[0]) for x in held)])
             ids, keys, h, check, place = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2, 3, 5))
-            doc = np.concatenate([x[4].astype(np.int64) + b for x, b in zip(held, base[:-1], strict=True)])
+            doc = np.concatenate([(x[4] + b).astype(np.int32) for x, b in zip(held, base[:-1], strict=True)])
+            held.clear()  # a part takes much of a task's memory
             later = _settled(h, check, ids[doc])
             rows = list(_by_document(ids, keys, doc[later], place[later]))
             if rows:
@@ -272,11 +273,11 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
             if settled.num_rows:
                 yield pa.record_batch([settled.column("doc_id"), settled.column("text_key"), settled.column("data")], schema=_SPAN_SCHEMA)
             open_rows = batch.filter(pc.is_null(batch.column("text_key")))
-            for at, data in zip(open_rows.column("part").to_pylist(), open_rows.column("data").to_pylist(), strict=True):
+            for i, at in enumerate(open_rows.column("part").to_pylist()):
                 if at != part:
                     yield from done()
                     part, held = at, []
-                held.append(_unpack(data, np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint32))
+                held.append(_unpack(open_rows.column("data")[i].as_buffer(), np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint32))
         yield from done()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))

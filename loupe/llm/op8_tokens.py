@@ -87,7 +87,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
         for batch in source:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            begun, names, places = 0, [], []
+            names, places = [], []
             for i in range(batch.num_rows):
                 flat = tokens_of(texts[i].as_py(), encode)
                 held += [flat, np.array([END], np.uint16)]
@@ -106,7 +106,7 @@ def write_token_files(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                         yield block(np.concatenate(held))
                     streams, blocks, n_docs, held, size = streams + 1, 0, 0, [], 0
             n = len(names)
-            yield pa.record_batch([names, [False] * n, pa.array(places, pa.int64()), pa.nulls(n, pa.binary()), ids.slice(begun, n)], schema=schema)
+            yield pa.record_batch([names, [False] * n, pa.array(places, pa.int64()), pa.nulls(n, pa.binary()), ids], schema=schema)
         if size:
             yield block(np.concatenate(held))
 
