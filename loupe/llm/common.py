@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time, besides a single longer text.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Words whose hashes a worker remembers before it starts afresh.
 VOCABULARY = 1 << 19
 

@@ -247,7 +247,7 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
             ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             held.append((ids, keys, w.h[keep], w.check(keep), w.doc[keep], w.place[keep]))
             size += len(keep)
-            if size >= GATHERED:
+            if size >= GATHERED // 2:
                 yield from sent()
                 held, size = [], 0
         if size:
