@@ -9,7 +9,8 @@ from loupe.plans.fixtures import bound
 from loupe.registry import query
 from loupe.sources.artifacts import PLANTED, described, planted
 
-# Types by what a file begins with, then by suffix.
+# Commits read of a log; types by what a file begins with, then by suffix.
+COMMIT_LIMIT = 500
 SIGNATURES = (("png", "89504E470D0A1A0A"), ("jpeg", "FFD8FF"), ("pdf", "255044462D"), ("audio", "664C6143"), ("audio", "494433"), ("video", "1A45DFA3"), ("ole", "D0CF11E0A1B11AE1"), ("zip", "504B0304"), ("text", "FFFE"), ("text", "FEFF"))
 SUFFIXES = {"svg": "svg", "html": "html", "htm": "html", "css": "css", "md": "markdown", "markdown": "markdown", "py": "source_code", "js": "source_code", "ts": "source_code", "java": "source_code", "c": "source_code", "go": "source_code", "rs": "source_code", "txt": "text", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "odt": "odf"}
 
@@ -48,11 +49,12 @@ def nearest_rule(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select("path", ((F.col("n") > 0) & ~F.coalesce("negated", F.lit(False))).alias("ignored"))
 
 
-def parsed_log(raw: DataFrame, limit: int) -> DataFrame:
-    """Commits from one text: records end with U+001E, fields with U+0000; one more than the limit tells a truncated log."""
-    records = raw.select(F.posexplode(F.filter(F.split("log", "\x1e", -1), lambda s: s != "")).alias("position", "record"))
+def parsed_log(raw: DataFrame, limit: int = COMMIT_LIMIT) -> DataFrame:
+    """Commits of each log, beside its other columns: records end with U+001E, fields with U+0000; one more than the limit tells a truncated log."""
+    keys = [c for c in raw.columns if c != "log"]
+    records = raw.select(*keys, F.posexplode(F.filter(F.split("log", "\x1e", -1), lambda s: s != "")).alias("position", "record"))
     parts = F.split("record", "\0", 4)
-    return records.where(F.col("position") <= limit).select("position", F.get(parts, F.lit(0)).alias("commit_hash"), F.get(parts, F.lit(1)).alias("author"), F.get(parts, F.lit(3)).alias("message"), (F.col("position") == limit).alias("over_limit"))
+    return records.where(F.col("position") <= limit).select(*keys, "position", F.get(parts, F.lit(0)).alias("commit_hash"), F.get(parts, F.lit(1)).alias("author"), F.get(parts, F.lit(3)).alias("message"), (F.col("position") == limit).alias("over_limit"))
 
 
 def inventory_digest(artifacts: DataFrame) -> DataFrame:
@@ -95,3 +97,14 @@ def q_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.lit("h"), "conv_id", F.lit("\0Ann\0a@x\0m "), "conv_id", F.lit("\x1e"))
     log = commits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", one.alias("c")))), lambda x: x["c"]), "").alias("log"))
     return parsed_log(log, 40)
+
+
+#: Every conversation is a commit; 500 successive ids share a repository, so no log grows with the table.
+_COMMITS = "SELECT DISTINCT CAST(floor(coalesce(conv_id, -1) / 500) AS BIGINT) AS repository, coalesce(conv_id, -1) AS conv_id FROM conversations"
+
+
+@query("git_logs_parse", f"WITH c AS ({_COMMITS}), r AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY conv_id) - 1 AS position FROM c) SELECT repository, CAST(position AS INT) AS position, concat('h', conv_id) AS commit_hash, 'Ann' AS author, concat('m ', conv_id) AS message, position = {COMMIT_LIMIT} AS over_limit FROM r WHERE position <= {COMMIT_LIMIT}")
+def q_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.concat(F.lit("h"), "conv_id", F.lit("\0Ann\0a@x\0m "), "conv_id", F.lit("\x1e"))
+    logs = bound(spark, sf_dir, _COMMITS).groupBy("repository").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", one.alias("c")))), lambda x: x["c"]), "").alias("log"))
+    return parsed_log(logs)

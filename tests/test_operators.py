@@ -99,6 +99,17 @@ def test_hostile_packages_are_refused():
         list(structure.metadata_of(struct.pack(">I4s", 4, b"ftyp") + b"ftyp"))
 
 
+def test_logs_of_all_repositories_are_parsed(spark, tmp_path):
+    ids = [None, *range(700, 760), *range(1000, 2000), 5000]
+    spark.createDataFrame([(i, 0) for i in ids], "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = files.q_logs(spark, str(tmp_path)).collect()
+    assert {r["commit_hash"] for r in rows} == {f"h{-1 if i is None else i}" for i in ids} and len(rows) == len(ids)
+    assert [r["position"] for r in sorted(rows, key=lambda r: r["commit_hash"]) if r["repository"] == 1] == list(range(60))
+    logs = spark.createDataFrame([("a", "h\0A\0e\0m\x1e" * 700), ("b", "h\0A\0e\0m\x1e" * 500)], "repository string, log string")
+    got = files.parsed_log(logs).groupBy("repository").agg(F.count(F.lit(1)).alias("n"), F.max("over_limit").alias("over")).collect()
+    assert {tuple(r) for r in got} == {("a", 501, True), ("b", 500, False)}
+
+
 def test_stylometry(spark):
     text = "# Title\n\nOne two; three four.\n\n- item a\n- item b\n"
     r = measure.stylometry(texts(spark, text, "")).where("artifact_path = 't0'").first()
