@@ -31,6 +31,16 @@ from loupe.sources.artifacts import table
 MAX_EVENTS, MAX_DEPTH, MAX_PARTS, MAX_INFLATED, MAX_RATIO = 100_000, 512, 10_000, 64 << 20, 200
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 RIFF_INFO = {"IART": "artist", "ICMT": "comment", "ICOP": "copyright", "ICRD": "created", "IENG": "engineer", "IGNR": "genre", "IKEY": "keywords", "INAM": "title", "IPRD": "product", "ISFT": "software", "ISRC": "source"}
+ID3V22 = {"TT2": "TIT2", "TP1": "TPE1", "TP2": "TPE2", "TAL": "TALB", "TCM": "TCOM", "TCR": "TCOP", "TEN": "TENC", "TSS": "TSSE", "COM": "COMM", "TXX": "TXXX"}
+ATOMS = {"©nam": "title", "©ART": "artist", "aART": "album_artist", "©wrt": "composer", "©cmt": "comment", "©cpy": "copyright", "©day": "creation_date", "©too": "encoder_software"}
+XMP_UUID = bytes.fromhex("be7acfcb97a942e89c71999491e3afac")
+MAX_BOXES, MAX_VALUE = 12, 256 << 10
+EBML_MASTERS = frozenset((0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1254C367, 0x7373, 0x63C0))
+EBML_TEXT = {0x4282: "document_type", 0x5741: "writing_application", 0x4D80: "muxing_application", 0x7BA9: "title"}
+#: EXIF tags by name; others go by number. Pointers lead to further directories; what rendering needs may not go.
+EXIF = {0x010D: "DocumentName", 0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x011A: "XResolution", 0x011B: "YResolution", 0x0128: "ResolutionUnit", 0x000B: "ProcessingSoftware", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x013C: "HostComputer", 0x02BC: "XMLPacket", 0x8298: "Copyright", 0x9003: "DateTimeOriginal", 0x9004: "DateTimeDigitized", 0x927C: "MakerNote", 0x9286: "UserComment", 0x9C9B: "XPTitle", 0x9C9C: "XPComment", 0x9C9D: "XPAuthor", 0x9C9E: "XPKeywords", 0x9C9F: "XPSubject", 0xA001: "ColorSpace", 0xA420: "ImageUniqueID", 0xA430: "CameraOwnerName", 0xA431: "BodySerialNumber", 0xA433: "LensMake", 0xA434: "LensModel"}
+EXIF_POINTERS = {0x8769: "", 0x8825: "GPS", 0xA005: "Interop"}
+RENDERING = ("Orientation", "XResolution", "YResolution", "ResolutionUnit", "ColorSpace")
 PDF_INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
 
 
@@ -345,6 +355,59 @@ def package_of(content: bytes | None) -> Iterator[tuple]:
                     yield name, "hidden_sheet", "state", v
 
 
+def _text(raw: bytes, codec: str = "utf-8") -> str:
+    """A value's text; one above the reference's size is an error, not a prefix."""
+    if len(raw) > MAX_VALUE:
+        raise OverflowError("value")
+    return raw.decode(codec, "replace").strip("\0\ufeff \t\r\n")
+
+
+def _exif(b: bytes, base: int) -> Iterator[tuple]:
+    """Every tag of a TIFF structure's directories: the chain from the first, and those that tags point to."""
+    order = {b"II": "<", b"MM": ">"}.get(b[:2])
+    if order is None:
+        raise ValueError("exif")
+    sizes = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "s", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I"}
+    todo, seen, events = [(struct.unpack(order + "I", b[4:8])[0], "")], set(), 0
+    while todo:
+        at, prefix = todo.pop()
+        if not at or at in seen:
+            continue
+        seen.add(at)
+        n = struct.unpack(order + "H", b[at : at + 2])[0]
+        for i in range(at + 2, at + 2 + 12 * n, 12):
+            events += 1
+            if events > MAX_EVENTS:
+                raise OverflowError("exif")
+            tag, kind, count = struct.unpack(order + "HHI", b[i : i + 8])
+            form = sizes.get(kind)
+            if form is None:
+                raise ValueError("exif type")
+            size = count * struct.calcsize(order + form)
+            where = i + 8 if size <= 4 else struct.unpack(order + "I", b[i + 8 : i + 12])[0]
+            raw = b[where : where + size]
+            if len(raw) < size:
+                raise ValueError("exif value")
+            if tag in EXIF_POINTERS and not prefix:
+                todo.append((struct.unpack(order + "I", raw[:4])[0], EXIF_POINTERS[tag]))
+                continue
+            if len(raw) > MAX_VALUE:
+                raise OverflowError("value")
+            if 0x9C9B <= tag <= 0x9C9F:
+                value = _text(raw, "utf-16-le")
+            elif tag == 0x9286:
+                value = _text(raw[8:], ("utf-16-le" if order == "<" else "utf-16-be") if raw.startswith(b"UNICODE") else "utf-8")
+            elif form == "s":
+                value = _text(raw)
+            else:
+                numbers = struct.unpack(f"{order}{count * len(form)}{form[0]}", raw)
+                value = " ".join(map(str, numbers) if len(form) == 1 else (f"{x}/{y}" for x, y in zip(numbers[::2], numbers[1::2], strict=True)))
+            yield "exif", prefix + str(tag) if prefix else EXIF.get(tag, str(tag)), value, base + where
+        end = at + 2 + 12 * n
+        if not prefix and end + 4 <= len(b):
+            todo.append((struct.unpack(order + "I", b[end : end + 4])[0], prefix))
+
+
 def _png(b: bytes) -> Iterator[tuple]:
     at = 8
     while at + 8 <= len(b):
@@ -356,19 +419,27 @@ def _png(b: bytes) -> Iterator[tuple]:
         elif kind == b"zTXt":
             key, _, value = body.partition(b"\0")
             yield "png", key.decode("latin-1"), zlib.decompressobj().decompress(value[1:], 1 << 18).decode("latin-1"), at
+        elif kind == b"eXIf":
+            yield from _exif(body, at + 8)
         at += 12 + size
 
 
 def _jpeg(b: bytes) -> Iterator[tuple]:
-    at = 2
+    at, extended = 2, {}
     while at + 4 <= len(b) and b[at] == 0xFF and b[at + 1] not in (0xDA, 0xD9):
         size = struct.unpack(">H", b[at + 2 : at + 4])[0]
         body = b[at + 4 : at + 2 + size]
         if b[at + 1] == 0xFE:
             yield "jpeg", "comment", body.decode("utf-8", "replace"), at
+        elif body.startswith(b"Exif\0") and b[at + 1] == 0xE1:
+            yield from _exif(body[6:], at + 10)
+        elif body.startswith(b"http://ns.adobe.com/xmp/extension/\0") and b[at + 1] == 0xE1:  # guid, whole length, place, piece
+            extended.setdefault(body[35:67], []).append((struct.unpack(">I", body[71:75])[0], body[75:], at))
         elif b[at + 1] == 0xE1:
-            yield "jpeg", "exif" if body.startswith(b"Exif") else "xmp", str(len(body)), at
+            yield "jpeg", "xmp", _text(body.removeprefix(b"http://ns.adobe.com/xap/1.0/\0")), at
         at += 2 + size
+    for pieces in extended.values():
+        yield "jpeg", "xmp", _text(b"".join(p for _, p, _ in sorted(pieces))), min(at for *_, at in pieces)
 
 
 def _riff(b: bytes) -> Iterator[tuple]:
@@ -390,16 +461,31 @@ def _riff(b: bytes) -> Iterator[tuple]:
         at += 8 + size + size % 2
 
 
+def _id3_texts(body: bytes) -> list[str]:
+    """The strings of a text frame, by its first byte's encoding."""
+    codec = ("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)]
+    return [p for p in (p.strip("\ufeff") for p in _text(body[1:], codec).split("\0")) if p]
+
+
 def _id3(b: bytes) -> Iterator[tuple]:
-    if b[:3] == b"ID3" and b[3] in (3, 4):
-        size = sum(x << s for x, s in zip(b[6:10], (21, 14, 7, 0), strict=True))
-        at, end = 10, min(10 + size, len(b))
-        while at + 10 <= end and b[at]:
-            n = sum(x << s for x, s in zip(b[at + 4 : at + 8], (21, 14, 7, 0), strict=True)) if b[3] == 4 else struct.unpack(">I", b[at + 4 : at + 8])[0]
-            name, body = b[at : at + 4].decode("latin-1"), b[at + 10 : at + 10 + n]
-            if name[0] == "T" and body:
-                yield "mp3", name, body[1:].decode(("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)], "replace").strip("\0"), at
-            at += 10 + n
+    if b[:3] == b"ID3" and len(b) >= 10:
+        if b[3] not in (2, 3, 4) or b[3] == 2 and b[5] & 0x40:
+            raise ValueError("id3 version")
+        safe = lambda raw: sum(x << s for x, s in zip(raw, (21, 14, 7, 0), strict=True))
+        width, head = (3, 6) if b[3] == 2 else (4, 10)
+        at, end = 10, min(10 + safe(b[6:10]), len(b))
+        if b[3] > 2 and b[5] & 0x40:
+            at += safe(b[10:14]) if b[3] == 4 else struct.unpack(">I", b[10:14])[0] + 4
+        while at + head <= end and b[at]:
+            raw = b[at + width : at + width + (3 if b[3] == 2 else 4)]
+            n = safe(raw) if b[3] == 4 else int.from_bytes(raw)
+            name, body = b[at : at + width].decode("latin-1"), b[at + head : at + head + n]
+            name = ID3V22.get(name, name)
+            if name == "COMM" and len(body) > 4:  # encoding, language, description, text
+                yield "mp3", name, ": ".join(_id3_texts(body[:1] + body[4:])), at
+            elif name[0] == "T" and body:
+                yield "mp3", name, (": " if name == "TXXX" else "; ").join(_id3_texts(body)), at
+            at += head + n
     if len(b) >= 128 and b[-128:-125] == b"TAG":
         for name, a, z in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("comment", 97, 127)):
             if value := b[len(b) - 128 + a : len(b) - 128 + z].rstrip(b"\0 ").decode("latin-1"):
@@ -424,8 +510,10 @@ def _flac(b: bytes) -> Iterator[tuple]:
 
 
 def _boxes(b: bytes, start: int, end: int, depth: int) -> Iterator[tuple]:
+    if depth > MAX_BOXES:
+        raise OverflowError("depth")
     at = start
-    while at + 8 <= end and depth < 12:
+    while at + 8 <= end:
         size, kind = struct.unpack(">I4s", b[at : at + 8])
         head = 8
         if size == 1:
@@ -436,6 +524,12 @@ def _boxes(b: bytes, start: int, end: int, depth: int) -> Iterator[tuple]:
         name = kind.decode("latin-1")
         if name in ("moov", "udta", "trak", "mdia"):
             yield from _boxes(b, at + head, at + size, depth + 1)
+        elif name == "meta":  # QuickTime's has no version before its boxes
+            yield from _meta(b, at + head + (0 if b[at + head + 4 : at + head + 8] == b"hdlr" else 4), at + size, depth + 1)
+        elif name == "XMP_" or name == "uuid" and b[at + head : at + head + 16] == XMP_UUID:
+            yield "bmff", "xmp", _text(b[at + head + (16 if name == "uuid" else 0) : at + size]), at
+        elif name in ATOMS and (values := _item_values(b, at + head, at + size)):
+            yield from (("bmff", ATOMS[name], value, at) for _, value in values)
         elif name[0] == "©":
             n = struct.unpack(">H", b[at + head : at + head + 2])[0]
             yield "bmff", name, b[at + head + 4 : at + head + 4 + n].decode("utf-8", "replace"), at
@@ -444,6 +538,124 @@ def _boxes(b: bytes, start: int, end: int, depth: int) -> Iterator[tuple]:
         at += size
 
 
+def _spans(b: bytes, start: int, end: int) -> list[tuple[str, int, int]]:
+    """(type, begin of the content, end) of the boxes between two places."""
+    at, out = start, []
+    while at + 8 <= end:
+        size, kind = struct.unpack(">I4s", b[at : at + 8])
+        if size < 8 or at + size > end:
+            raise ValueError("box")
+        out.append((kind.decode("latin-1"), at + 8, at + size))
+        at += size
+    return out
+
+
+def _item_values(b: bytes, start: int, end: int) -> list[tuple[str, str]]:
+    """(name, value) of an item's data boxes; nothing if it holds a plain string instead."""
+    try:
+        boxes = _spans(b, start, end)
+    except ValueError:
+        return []
+    name, out = "", []
+    for kind, a, z in boxes:
+        if kind == "name":
+            name = _text(b[a + 4 : z])
+        elif kind == "data" and z - a >= 8:
+            code, raw = struct.unpack(">I", b[a : a + 4])[0], b[a + 8 : z]
+            if code in (21, 22) and len(raw) <= 8:
+                value = str(int.from_bytes(raw, signed=code == 21))
+            elif code in (13, 14, 27):
+                value = f"<{len(raw)} bytes, data type {code}>"
+            else:
+                try:
+                    raw.decode("utf-16-be" if code == 2 else "utf-8")
+                    value = _text(raw, "utf-16-be" if code == 2 else "utf-8")
+                except UnicodeDecodeError:  # not a text, whatever its code says
+                    value = f"<{len(raw)} bytes, data type {code}>"
+            out.append((name, value))
+    return out
+
+
+def _meta(b: bytes, start: int, end: int, depth: int) -> Iterator[tuple]:
+    """A meta box: names in keys, values in ilst; other boxes as anywhere."""
+    boxes = _spans(b, start, end)
+    keys: dict[int, str] = {}
+    for kind, a, z in boxes:
+        if kind == "keys":
+            keys = {i: _text(b[x:y]) for i, (_, x, y) in enumerate(_spans(b, a + 8, z), 1)}
+    for kind, a, z in boxes:
+        if kind == "ilst":
+            for item, x, y in _spans(b, a, z):
+                field = keys.get(int.from_bytes(item.encode("latin-1"))) or ATOMS.get(item) or item
+                yield from (("bmff", name or field, value, x - 8) for name, value in _item_values(b, x, y))
+        elif kind != "keys":
+            yield from _boxes(b, a - 8, z, depth)
+
+
+def _vint(b: bytes, at: int, end: int, marked: bool) -> tuple[int, int]:
+    """An EBML number and its width; identifiers keep their marker."""
+    width = 9 - b[at].bit_length() if at < end else 9
+    if width > (4 if marked else 8) or at + width > end:
+        raise ValueError("ebml number")
+    value = int.from_bytes(b[at : at + width])
+    return value if marked else value & ((1 << 7 * width) - 1), width
+
+
+def _elements(b: bytes, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(identifier, begin, end) of the elements between two places; what an element of unknown size holds follows it."""
+    at, events = start, 0
+    while at < end:
+        events += 1
+        if events > MAX_EVENTS:
+            raise OverflowError("elements")
+        kind, n = _vint(b, at, end, True)
+        size, m = _vint(b, at + n, end, False)
+        at += n + m
+        if size == (1 << 7 * m) - 1:
+            continue
+        if at + size > end:
+            raise ValueError("ebml size")
+        yield kind, at, at + size
+        at += size
+
+
+def _simple_tag(b: bytes, start: int, end: int, depth: int) -> Iterator[tuple]:
+    if depth > MAX_BOXES:
+        raise OverflowError("depth")
+    name = value = ""
+    nested: list[tuple] = []
+    at = start
+    for kind, a, z in _elements(b, start, end):
+        if kind == 0x45A3:
+            name = _text(b[a:z]).casefold()
+        elif kind == 0x4487:
+            value, at = _text(b[a:z]), a
+        elif kind == 0x67C8:
+            nested += _simple_tag(b, a, z, depth + 1)
+    if name and value:
+        yield "ebml", name, value, at
+    yield from nested
+
+
+def _ebml_fields(b: bytes, start: int, end: int, depth: int) -> Iterator[tuple]:
+    if depth > MAX_BOXES:
+        raise OverflowError("depth")
+    for kind, a, z in _elements(b, start, end):
+        if kind == 0x67C8:
+            yield from _simple_tag(b, a, z, depth + 1)
+        elif kind in EBML_MASTERS:
+            yield from _ebml_fields(b, a, z, depth + 1)
+        elif kind in EBML_TEXT and (value := _text(b[a:z])):
+            yield "ebml", EBML_TEXT[kind], value, a
+
+
+def _ebml(b: bytes) -> Iterator[tuple]:
+    rows = list(_ebml_fields(b, 0, len(b), 0))
+    if next((v.casefold() for _, f, v, _ in rows if f == "document_type"), "") not in ("webm", "matroska"):
+        raise ValueError("document type")
+    return iter(rows)
+
+
 def _pdf(b: bytes) -> Iterator[tuple]:
     if b"%%EOF" not in b[-1024:]:
         raise ValueError("no end of file")
@@ -472,6 +684,11 @@ def metadata_of(content: bytes | None) -> Iterator[tuple]:
         return _boxes(b, 0, len(b), 0)
     if b.startswith(b"PK\x03\x04"):
         return (("package", f"{part}:{kind}:{name}", value, 0) for part, kind, name, value in package_of(b))
+    if b.startswith(b"\x1aE\xdf\xa3"):
+        return _ebml(b)
+    frame = len(b) > 2 and b[0] == 0xFF and b[1] & 0xE6 > 0xE0 and b[2] & 0x0C < 0x0C
+    if b and not frame and b[:3] != b"ID3" and b[-128:-125] != b"TAG":
+        raise ValueError("signature")
     return _id3(b)
 
 
@@ -482,18 +699,19 @@ def container_metadata(files: DataFrame) -> DataFrame:
 
 def metadata_findings(entries: DataFrame) -> DataFrame:
     """What each field is, whether it may go, and which attribution it spells."""
-    name = F.lower(F.substring_index("field", ":", -1))
+    last = F.when(F.col("container") == "package", F.substring_index("field", ":", -1)).otherwise(F.col("field"))
+    name = F.regexp_replace(F.lower(last), r"^com\.apple\.quicktime\.", "")
     category = (
-        F.when(name.isin("author", "artist", "creator", "engineer", "originator", "lastmodifiedby", "tpe1"), "personal_metadata")
-        .when(name.isin("software", "producer", "application", "generator", "encoder", "vendor", "tsse", "tenc"), "generator_metadata")
-        .when(F.col("container").isin("png", "jpeg"), "image_metadata")
+        F.when(name.isin("author", "artist", "creator", "engineer", "originator", "lastmodifiedby", "tpe1", "©art", "album_artist", "composer", "copyright", "owner", "cameraownername", "xpauthor"), "personal_metadata")
+        .when(name.isin("software", "producer", "application", "generator", "encoder", "vendor", "tsse", "tenc", "©too", "encoder_software", "writing_application", "muxing_application", "processingsoftware", "hostcomputer"), "generator_metadata")
+        .when(F.col("container").isin("png", "jpeg", "exif"), "image_metadata")
         .when(F.col("container").isin("pdf", "package"), "document_metadata")
         .otherwise("media_metadata")
     )
     protected = F.lit(False)
     for marker in PROTECTED_MARKERS:
         protected = protected | F.lower("value").contains(marker)
-    return entries.where("error is null and field <> 'box'").select("artifact_path", "container", "field", "value", F.when(protected, "c2pa_provenance").otherwise(category).alias("category"), (~protected).alias("removable"), _rule_hits("value", METADATA).alias("provider"))
+    return entries.where("error is null and field <> 'box'").select("artifact_path", "container", "field", "value", F.when(protected, "c2pa_provenance").otherwise(category).alias("category"), (~protected & ~((F.col("container") == "exif") & F.col("field").isin(*RENDERING))).alias("removable"), _rule_hits("value", METADATA).alias("provider"))
 
 
 #: Pages with planted traces.
@@ -559,12 +777,24 @@ def sample_files() -> dict[str, bytes]:
     mp3 = b"ID3\x03\0\0" + bytes([0, 0, 0, len(frame)]) + frame
     pdf = b"%PDF-1.4\n1 0 obj << /Author (Anna) /Producer (Maker) >> endobj\n%%EOF"
     bmff = struct.pack(">I", 16) + b"ftypisom\0\0\0\0" + struct.pack(">I", 8 + 20) + b"moov" + struct.pack(">I", 20) + b"\xa9nam" + struct.pack(">HH", 8, 0) + b"A title!"
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    data = lambda text: box(b"data", struct.pack(">II", 1, 0) + text)
+    keys = box(b"keys", struct.pack(">II", 0, 1) + box(b"mdta", b"com.apple.quicktime.software"))
+    ilst = box(b"ilst", box(struct.pack(">I", 1), data(b"generated by ChatGPT")) + box(b"\xa9ART", data(b"Anna")))
+    items = box(b"ftyp", b"M4A \0\0\0\0") + box(b"moov", box(b"udta", box(b"meta", b"\0" * 4 + box(b"hdlr", b"\0" * 25) + keys + ilst))) + box(b"uuid", XMP_UUID + b"<x>Anna</x>")
+    element = lambda kind, body: bytes.fromhex(kind) + (0x4000 | len(body)).to_bytes(2) + body
+    tags = element("1254c367", element("7373", element("67c8", element("45a3", b"ARTIST") + element("4487", b"Anna"))))
+    webm = element("1a45dfa3", element("4282", b"webm")) + bytes.fromhex("18538067") + b"\x01" + b"\xff" * 7 + element("1549a966", element("5741", b"Maker")) + bytes.fromhex("1f43b675ff") + element("e7", b"\0") + tags
+    tiff = b"II*\0" + struct.pack("<IH", 8, 3) + struct.pack("<HHII", 0x013B, 2, 5, 50) + struct.pack("<HHIHH", 0x0112, 3, 1, 1, 0) + struct.pack("<HHII", 0x8769, 4, 1, 55) + b"\0" * 4 + b"Anna\0" + struct.pack("<H", 1) + struct.pack("<HHII", 0x9286, 7, 28, 73) + b"\0" * 4 + b"ASCII\0\0\0generated by ChatGPT"
+    photo = b"\xff\xd8\xff\xe1" + struct.pack(">H", 8 + len(tiff)) + b"Exif\0\0" + tiff + b"\xff\xd9"
+    old = b"TP1" + (5).to_bytes(3) + b"\0Anna" + b"COM" + (25).to_bytes(3) + b"\0eng\0generated by ChatGPT"
+    note = b"COMM" + struct.pack(">I", 27) + b"\0\0" + b"\0engby\0generated by ChatGPT"
     held = io.BytesIO()
     with zipfile.ZipFile(held, "w") as z:
         z.writestr("docProps/core.xml", "<c:core xmlns:c='x' xmlns:d='y'><d:creator>Anna</d:creator></c:core>")
         z.writestr("word/vbaProject.bin", b"x")
         z.writestr("word/_rels/document.xml.rels", "<R><Relationship Target='http://x' TargetMode='External'/></R>")
-    return {"a.png": png, "a.jpg": jpeg, "a.wav": wave, "a.flac": flac, "a.mp3": mp3, "a.pdf": pdf, "a.mp4": bmff, "a.docx": held.getvalue(), "broken.pdf": b"%PDF-1.4"}
+    return {"a.png": png, "a.jpg": jpeg, "a.wav": wave, "a.flac": flac, "a.mp3": mp3, "a.pdf": pdf, "a.mp4": bmff, "a.docx": held.getvalue(), "items.m4a": items, "a.webm": webm, "photo.jpg": photo, "old.mp3": b"ID3\x02\0\0" + bytes([0, 0, 0, len(old)]) + old, "note.mp3": b"ID3\x03\0\0" + bytes([0, 0, 0, len(note)]) + note, "broken.pdf": b"%PDF-1.4"}
 
 
 @query("container_metadata")

@@ -78,6 +78,26 @@ def test_containers(spark):
     assert found.where("artifact_path = 'a.png'").first()["provider"] == "openai"
 
 
+def test_containers_of_every_kind_tell_their_metadata(spark):
+    rows = [(k, bytearray(v)) for k, v in structure.sample_files().items()] + [("what.bin", bytearray(b"unknown"))]
+    entries = structure.container_metadata(spark.createDataFrame(rows, "artifact_path string, content binary"))
+    got = {(r["artifact_path"], r["field"], r["value"]) for r in entries.where("error is null").collect()}
+    assert {("items.m4a", "com.apple.quicktime.software", "generated by ChatGPT"), ("items.m4a", "artist", "Anna"), ("items.m4a", "xmp", "<x>Anna</x>")} <= got
+    assert {("a.webm", "document_type", "webm"), ("a.webm", "writing_application", "Maker"), ("a.webm", "artist", "Anna")} <= got
+    assert {("photo.jpg", "Artist", "Anna"), ("photo.jpg", "Orientation", "1"), ("photo.jpg", "UserComment", "generated by ChatGPT")} <= got
+    assert {("old.mp3", "TPE1", "Anna"), ("old.mp3", "COMM", "generated by ChatGPT"), ("note.mp3", "COMM", "by: generated by ChatGPT")} <= got
+    assert {r["artifact_path"] for r in entries.where("error is not null").collect()} == {"broken.pdf", "what.bin"}
+    found = {(r["artifact_path"], r["field"]): r for r in structure.metadata_findings(entries).collect()}
+    assert found["items.m4a", "com.apple.quicktime.software"]["category"] == "generator_metadata" and found["photo.jpg", "Artist"]["category"] == "personal_metadata"
+    assert [k[1] for k, r in found.items() if k[0] == "photo.jpg" and not r["removable"]] == ["Orientation"]
+    assert {k[0] for k, r in found.items() if r["provider"] == "openai"} == {"a.png", "items.m4a", "photo.jpg", "old.mp3", "note.mp3"}
+    deep = b"x"
+    for _ in range(20):
+        deep = struct.pack(">I4s", 8 + len(deep), b"udta") + deep
+    with pytest.raises(OverflowError):
+        list(structure.metadata_of(struct.pack(">I4s", 16, b"ftyp") + b"isom\0\0\0\0" + deep))
+
+
 def test_hostile_packages_are_refused():
     import io
     import zipfile
