@@ -34,7 +34,7 @@ RIFF_INFO = {"IART": "artist", "ICMT": "comment", "ICOP": "copyright", "ICRD": "
 ID3V22 = {"TT2": "TIT2", "TP1": "TPE1", "TP2": "TPE2", "TAL": "TALB", "TCM": "TCOM", "TCR": "TCOP", "TEN": "TENC", "TSS": "TSSE", "COM": "COMM", "TXX": "TXXX"}
 ATOMS = {"©nam": "title", "©ART": "artist", "aART": "album_artist", "©wrt": "composer", "©cmt": "comment", "©cpy": "copyright", "©day": "creation_date", "©too": "encoder_software"}
 XMP_UUID = bytes.fromhex("be7acfcb97a942e89c71999491e3afac")
-MAX_BOXES, MAX_VALUE = 12, 256 << 10
+MAX_BOXES, MAX_VALUE, MAX_NESTING = 12, 256 << 10, 4096
 EBML_MASTERS = frozenset((0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0xAE, 0x1254C367, 0x7373, 0x63C0))
 EBML_TEXT = {0x4282: "document_type", 0x5741: "writing_application", 0x4D80: "muxing_application", 0x7BA9: "title"}
 #: EXIF tags by name; others go by number. Pointers lead to further directories; what rendering needs may not go.
@@ -267,34 +267,37 @@ def comment_findings(comments: DataFrame) -> DataFrame:
     return comments.where("error is null").withColumn("provider", _rule_hits("comment", COMMENT)).where("provider is not null").select("artifact_path", "line", "provider", "verified", F.lit("generated_comment").alias("category"), F.when(F.col("verified"), 0.99).otherwise(0.65).alias("confidence"))
 
 
-def _blocks(text: str, depth: int = 0) -> Iterator[tuple[str, str]]:
-    """(selector, body) of the innermost rules; at-rules are entered, a block that doesn't close ends the sheet."""
-    at = 0
-    while depth < 16 and (open_ := text.find("{", at)) >= 0:
-        level, i = 1, open_ + 1
-        while level and i < len(text):
-            level += {"{": 1, "}": -1}.get(text[i], 0)
-            i += 1
-        if level:
-            return
-        head, body = text[at:open_].strip(), text[open_ + 1 : i - 1]
-        if "{" in body:
-            yield from _blocks(body, depth + 1)
-        else:
-            yield head, body
-        at = i
+def _blocks(text: str) -> Iterator[tuple[str, str]]:
+    """(selector, body) of the innermost rules; at-rules are entered, a block that doesn't close is none."""
+    stack: list[tuple[int, int, int]] = []  # brace, where its selector starts, blocks opened so far
+    begin = opened = 0
+    for m in re.finditer("[{}]", text):
+        if m[0] == "{":
+            if len(stack) == MAX_NESTING:
+                raise OverflowError("depth")
+            opened += 1
+            stack.append((m.start(), begin, opened))
+        elif stack:
+            brace, head, before = stack.pop()
+            if opened == before:
+                yield text[head:brace].strip(), text[brace + 1 : m.start()]
+        begin = m.end()
 
 
 def sheet_of(text: str | None) -> Iterator[tuple]:
     bare = re.sub(r"/\*.*?(?:\*/|\Z)", "", text or "", flags=re.S)
-    rules = list(_blocks(bare))
-    hiding = sum(bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", b, re.I)) for _, b in rules)
-    yield len(rules), sum(b.count(":") for _, b in rules), hiding, len(re.findall(r"url\(\s*['\"]?data:", bare, re.I)), sum(b.count("!important") for _, b in rules)
+    n, stopped = Counter(), None
+    try:
+        for _, b in _blocks(bare):
+            n.update(rules=1, declarations=b.count(":"), hiding=int(bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", b, re.I))), important=b.count("!important"))
+    except OverflowError as e:  # what was counted so far is a lower bound, and says so
+        stopped = str(e)
+    yield n["rules"], n["declarations"], n["hiding"], len(re.findall(r"url\(\s*['\"]?data:", bare, re.I)), n["important"], stopped
 
 
 def stylesheet_features(sheets: DataFrame) -> DataFrame:
     """Rules, declarations, hiding rules, data URIs and forced declarations of each sheet."""
-    return parsed(sheets, "text", sheet_of, "rules int, declarations int, hiding_rules int, data_uris int, important int")
+    return parsed(sheets, "text", sheet_of, "rules int, declarations int, hiding_rules int, data_uris int, important int, truncated_by string")
 
 
 # -- containers

@@ -68,6 +68,12 @@ def test_comments():
     assert list(structure.comment_spans("<!-- " * 50_000, "a.js")) == []
 
 
+def test_deep_rules_of_style_sheets_are_counted(spark):
+    nested = lambda n: "@media x { " * n + ".a { display: none } " + "} " * n
+    rows = structure.stylesheet_features(texts(spark, nested(40), nested(4000) + ".b { x: y }", ".c { visibility: hidden } " + nested(5000))).orderBy("artifact_path").collect()
+    assert [(r["rules"], r["hiding_rules"], r["truncated_by"], r["error"]) for r in rows] == [(1, 1, None, None), (2, 1, None, None), (1, 1, "depth", None)]
+
+
 def test_containers(spark):
     rows = [(k, bytearray(v)) for k, v in structure.sample_files().items()] + [("empty", bytearray(b"")), ("cut.png", bytearray(b"\x89PNG\r\n\x1a\n\0"))]
     entries = structure.container_metadata(spark.createDataFrame(rows, "artifact_path string, content binary"))
