@@ -411,8 +411,22 @@ def _exif(b: bytes, base: int) -> Iterator[tuple]:
             todo.append((struct.unpack(order + "I", b[end : end + 4])[0], prefix))
 
 
+def _inflated(data: bytes, most: int) -> bytes:
+    """All that a stream holds, in bounded pieces; more than ``most`` bytes are an error, and so is a stream without an end."""
+    stream, out = zlib.decompressobj(), bytearray()
+    while not stream.eof:
+        piece = stream.decompress(data, 1 << 18)
+        out += piece
+        data = stream.unconsumed_tail
+        if len(out) > most:
+            raise OverflowError("inflated")
+        if not piece and not data and not stream.eof:
+            raise ValueError("inflated")
+    return bytes(out)
+
+
 def _png(b: bytes) -> Iterator[tuple]:
-    at = 8
+    at, left = 8, MAX_INFLATED
     while at + 8 <= len(b):
         size, kind = struct.unpack(">I4s", b[at : at + 8])
         body = b[at + 8 : at + 8 + size]
@@ -421,7 +435,9 @@ def _png(b: bytes) -> Iterator[tuple]:
             yield "png", key.decode("latin-1"), (value if kind == b"tEXt" else value.split(b"\0", 4)[-1]).decode("utf-8", "replace"), at
         elif kind == b"zTXt":
             key, _, value = body.partition(b"\0")
-            yield "png", key.decode("latin-1"), zlib.decompressobj().decompress(value[1:], 1 << 18).decode("latin-1"), at
+            value = _inflated(value[1:], left)
+            left -= len(value)
+            yield "png", key.decode("latin-1"), value.decode("latin-1"), at
         elif kind == b"eXIf":
             yield from _exif(body, at + 8)
         at += 12 + size
@@ -504,7 +520,9 @@ def _flac(b: bytes) -> Iterator[tuple]:
             n = struct.unpack("<I", body[:4])[0]
             yield "flac", "vendor", body[4 : 4 + n].decode("utf-8", "replace"), at
             i = 8 + n
-            for _ in range(min(struct.unpack("<I", body[4 + n : 8 + n])[0], 10_000)):
+            for k in range(struct.unpack("<I", body[4 + n : 8 + n])[0]):
+                if k >= MAX_EVENTS:
+                    raise OverflowError("comments")
                 n = struct.unpack("<I", body[i : i + 4])[0]
                 key, _, value = body[i + 4 : i + 4 + n].decode("utf-8", "replace").partition("=")
                 yield "flac", key.lower(), value, at + 4 + i

@@ -104,6 +104,27 @@ def test_containers_of_every_kind_tell_their_metadata(spark):
         list(structure.metadata_of(struct.pack(">I4s", 16, b"ftyp") + b"isom\0\0\0\0" + deep))
 
 
+def test_long_metadata_is_read_whole_or_refused(monkeypatch):
+    import zlib
+
+    def png(text):
+        body = b"Comment\0\0" + zlib.compress(text)
+        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I", len(body)) + b"zTXt" + body + b"\0" * 4
+
+    text = b"x" * 400_000 + b"generated by ChatGPT"
+    assert [v for _, _, v, _ in structure.metadata_of(png(text))] == [text.decode()]
+    with pytest.raises(ValueError):
+        list(structure.metadata_of(png(text)[:-200]))
+    vorbis = struct.pack("<I", 0) + struct.pack("<I", 10_001) + b"".join(struct.pack("<I", len(c)) + c for c in [b"a=b"] * 10_000 + [b"ARTIST=Anna"])
+    flac = b"fLaC\x84" + len(vorbis).to_bytes(3) + vorbis
+    assert [(f, v) for _, f, v, _ in structure.metadata_of(flac)][-1] == ("artist", "Anna")
+    monkeypatch.setattr(structure, "MAX_INFLATED", 300_000)
+    monkeypatch.setattr(structure, "MAX_EVENTS", 10_000)
+    for content in (png(text), flac):
+        with pytest.raises(OverflowError):
+            list(structure.metadata_of(content))
+
+
 def test_hostile_packages_are_refused():
     import io
     import zipfile
