@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.plans.fixtures import STYLES_DUCK, STYLES_SPARK, bound
+from loupe.plans.fixtures import STYLES_DUCK, STYLES_SPARK, VECTORS_DUCK, VECTORS_SPARK, bound
 from loupe.registry import query
 
 # What a baseline needs, and where bands begin.
@@ -33,6 +33,26 @@ def compared(candidates: DataFrame, bases: DataFrame, features: tuple[str, ...]
     return joined.select("writer", "doc_id", F.round(sigma, 6).alias("sigma"), band.alias("band"))
 
 
+def vector_baselines(documents: DataFrame) -> DataFrame:
+    """The same of ``features`` arrays, a row for each writer and dimension: (writer, dimension, mean, dev, documents, span_days, insufficiency)."""
+    whole = documents.groupBy("writer").agg(F.count(F.lit(1)).alias("documents"), (F.max("day") - F.min("day")).alias("span_days"))
+    spread = F.when((F.max("x") == F.min("x")) | (F.count("x") < 2), F.lit(0.0)).otherwise(F.stddev_samp("x"))
+    each = documents.select("writer", F.posexplode("features").alias("dimension", "x")).groupBy("writer", "dimension").agg(F.avg("x").alias("mean"), spread.alias("dev"))
+    widest = each.groupBy("writer").agg(F.max("dev").alias("widest"))
+    reasons = F.array_compact(F.array(F.when(F.col("documents") < MIN_DOCUMENTS, "documents"), F.when(F.col("span_days") < MIN_SPAN_DAYS, "span"), F.when(F.col("widest") == 0, "no_variability")))
+    return each.join(whole.join(widest, "writer"), "writer").select("writer", "dimension", "mean", "dev", "documents", "span_days", F.array_join(reasons, ",").alias("insufficiency"))
+
+
+def vectors_compared(candidates: DataFrame, bases: DataFrame) -> DataFrame:
+    """``compared`` over every dimension of the ``features`` array."""
+    held = bases.groupBy("writer").agg(F.first("insufficiency").alias("insufficiency"), F.array_sort(F.collect_list(F.struct("dimension", "mean", "dev"))).alias("base"))
+    z = F.array_compact(F.zip_with("features", "base", lambda x, b: F.when(b["dev"] != 0, (x - b["mean"]) / b["dev"])))
+    total = F.aggregate(F.transform(z, lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
+    sigma = F.when((F.col("insufficiency") == "") & (F.size(z) > 0), F.sqrt(total / F.size(z)))
+    band = F.when(F.col("sigma").isNull(), "undetermined").when(F.col("sigma") >= MARKED, "marked").when(F.col("sigma") >= NOTABLE, "notable").otherwise("within_variation")
+    return candidates.join(held, "writer").select("writer", "doc_id", sigma.alias("sigma")).select("writer", "doc_id", F.round("sigma", 6).alias("sigma"), band.alias("band"))
+
+
 def feature_problems(vectors: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Vectors (map of feature to value) that lack a feature or hold another; nothing is filled in."""
     wanted = F.array(*map(F.lit, names))
@@ -60,6 +80,27 @@ def q_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(v.where("candidate"), baselines(v.where("NOT candidate")))
 
 
+_ALL = f"""v AS ({VECTORS_DUCK}), e AS (SELECT writer, doc_id, candidate, unnest(features) AS x, unnest(range(0, len(features))) AS dimension FROM v),
+  w AS (SELECT writer, count(*) AS documents, max(day) - min(day) AS span_days FROM v WHERE NOT candidate GROUP BY 1),
+  d AS (SELECT writer, dimension, avg(x) AS mean, CASE WHEN max(x) = min(x) OR count(x) < 2 THEN 0.0 ELSE stddev_samp(x) END AS dev FROM e WHERE NOT candidate GROUP BY 1, 2),
+  b AS (SELECT d.*, documents, span_days, concat_ws(',', CASE WHEN documents < 8 THEN 'documents' END, CASE WHEN span_days < 30 THEN 'span' END, CASE WHEN max(dev) OVER (PARTITION BY d.writer) = 0 THEN 'no_variability' END) AS insufficiency FROM d JOIN w USING (writer))"""
+
+
+@query("style_baseline_all", f"WITH {_ALL} SELECT writer, CAST(dimension AS INT) AS dimension, round(mean, 6) AS mean, round(dev, 6) AS dev, documents, span_days, insufficiency FROM b")
+def q_baseline_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_baselines(bound(spark, sf_dir, VECTORS_SPARK).where("NOT candidate"))
+    return rows.withColumns({"mean": F.round("mean", 6), "dev": F.round("dev", 6)})
+
+
+@query(
+    "style_comparison_all",
+    f"WITH {_ALL}, s AS (SELECT writer, doc_id, CASE WHEN max(insufficiency) = '' THEN sqrt(sum(((x - mean) / dev) ** 2) FILTER (WHERE dev <> 0) / count(x) FILTER (WHERE dev <> 0)) END AS sigma FROM e JOIN b USING (writer, dimension) WHERE candidate GROUP BY 1, 2) SELECT writer, doc_id, round(sigma, 6) AS sigma, CASE WHEN sigma IS NULL THEN 'undetermined' WHEN sigma >= 3.5 THEN 'marked' WHEN sigma >= 2 THEN 'notable' ELSE 'within_variation' END AS band FROM s",
+)
+def q_compare_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = bound(spark, sf_dir, VECTORS_SPARK)
+    return vectors_compared(v.where("candidate"), vector_baselines(v.where("NOT candidate")))
+
+
 @query("feature_contract", "SELECT vec_id AS doc_id, CASE WHEN vec_id % 3 = 0 THEN 'b' ELSE '' END AS missing, CASE WHEN vec_id % 5 = 0 THEN 'c' ELSE '' END AS extra FROM embeddings WHERE vec_id % 3 = 0 OR vec_id % 5 = 0")
 def q_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_compact(F.array(F.lit("a"), F.when(F.col("vec_id") % 3 != 0, "b"), F.when(F.col("vec_id") % 5 == 0, "c")))

@@ -64,7 +64,7 @@ SELECT concat('c', c_custkey) AS consent_id, TIMESTAMP '1993-01-01 00:00:00' AS
 FROM customer WHERE c_custkey % 9 <> 0
 """
 
-#: Writers and their documents: labelled embeddings, the first four dimensions and a constant.
+#: Writers and their documents: labelled embeddings, the first three dimensions and a constant.
 STYLES = """
 SELECT label AS writer, vec_id AS doc_id, vec_id % 400 AS day, round(CAST(embedding[{a}] AS DOUBLE), 6) AS f1, round(CAST(embedding[{b}] AS DOUBLE), 6) AS f2, round(CAST(embedding[{c}] AS DOUBLE), 6) AS f3, CAST(0.3 AS DOUBLE) AS f4, vec_id % 10 = 7 AS candidate
 FROM embeddings
@@ -72,6 +72,10 @@ FROM embeddings
 #: Spark counts the elements of an array from 0 in brackets, DuckDB from 1.
 STYLES_SPARK, STYLES_DUCK = STYLES.format(a=0, b=1, c=2), STYLES.format(a=1, b=2, c=3)
 
+#: The same with every dimension.
+VECTORS = "SELECT label AS writer, vec_id AS doc_id, vec_id % 400 AS day, CAST(embedding AS {doubles}) AS features, vec_id % 10 = 7 AS candidate FROM embeddings"
+VECTORS_SPARK, VECTORS_DUCK = VECTORS.format(doubles="ARRAY<DOUBLE>"), VECTORS.format(doubles="DOUBLE[]")
+
 #: A hash-chained ledger for each user; some entries are broken.
 LEDGER = """
 SELECT user_id AS log_id, event_id, ts AS recorded_at, event_type AS kind, concat(event_id, ':', event_type) AS payload, event_id % 97 = 0 AS tampered

@@ -157,6 +157,14 @@ def test_logs_of_all_repositories_are_parsed(spark, tmp_path):
     assert {tuple(r) for r in got} == {("a", 501, True), ("b", 500, False)}
 
 
+def test_a_shift_in_any_dimension_counts(spark, tmp_path):
+    vector = lambda i: [0.1 * (i % 3 - 1 + k % 2) for k in range(64)]
+    rows = [(i, vector(i), 1) for i in range(1, 400) if i % 10 != 7] + [(7, vector(1), 1), (17, [*vector(2)[:63], 90.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r["doc_id"]: r["band"] for r in style.q_compare_all(spark, str(tmp_path)).collect()} == {7: "within_variation", 17: "marked"}
+    assert style.q_baseline_all(spark, str(tmp_path)).count() == 64
+
+
 def test_stylometry(spark):
     text = "# Title\n\nOne two; three four.\n\n- item a\n- item b\n"
     r = measure.stylometry(texts(spark, text, "")).where("artifact_path = 't0'").first()
