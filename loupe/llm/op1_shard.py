@@ -7,8 +7,11 @@ groups: sizes are exact below 2**16 and rounded up to 13 significant bits above,
 which leaves fewer than 260,000 classes whatever the data. Equal groups that
 meet one bin enter it together, exactly as one after another.
 
-``shard_balanced`` looks for the least capacity at which the packing needs no
-more than the bins asked for; ``pack`` alone minimises bins of a fixed capacity.
+``shard_balanced`` looks for the capacity at which the packing needs no more than
+the bins asked for, while one byte less takes more: slacks double until one fits,
+then bisect. Best fit isn't monotone, so a still lesser capacity that happens to
+fit below one that fails isn't sought. ``pack`` alone minimises bins of a fixed
+capacity.
 A group larger than a bin can't be indivisible: it is cut into the fewest pieces
 of whole documents that each fit, and a document larger than a bin stands alone.
 
@@ -122,9 +125,15 @@ def shard_balanced(classes: list[tuple[int, int]], n_bins: int) -> list[tuple[in
     rest = [(s, n - taken.get(s, 0)) for s, n in classes if n > taken.get(s, 0)]
     if not rest:
         return runs
-    slack, least = 0, max(-(-left // (n_bins - alone)), rest[0][0])
+    fails, slack, least = -1, 0, max(-(-left // (n_bins - alone)), rest[0][0])
     while (found := pack(rest, least + slack, n_bins - alone)) is None:
-        slack = max(1, 2 * slack)
+        fails, slack = slack, max(1, 2 * slack)
+    while slack - fails > 1:
+        middle = (fails + slack) // 2
+        if (tighter := pack(rest, least + middle, n_bins - alone)) is None:
+            fails = middle
+        else:
+            found, slack = tighter, middle
     return runs + [(s, a + taken.get(s, 0), b + taken.get(s, 0), k + alone) for s, a, b, k in found[0]]
 
 

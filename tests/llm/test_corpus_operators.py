@@ -44,6 +44,19 @@ def test_tightest_fit_is_best_fit():
     assert [100 - held[k] for k in range(bins)] == room
 
 
+def test_no_byte_of_slack_is_wasted(monkeypatch):
+    tried, pack = {}, op1_shard.pack
+
+    def noted(classes, capacity, most=None):
+        tried[capacity] = pack(classes, capacity, most)
+        return tried[capacity]
+
+    monkeypatch.setattr(op1_shard, "pack", noted)
+    got = op1_shard.shard_balanced([(997, 5), (611, 7), (503, 6), (211, 3)], 6)
+    best = min(c for c, found in tried.items() if found)
+    assert tried[best - 1] is None and Counter(r[0] for r in got for _ in range(r[1], r[2] + 1)) == {997: 5, 611: 7, 503: 6, 211: 3}
+
+
 def test_shards(docs_of, texts):
     got = op1_shard.shards(docs_of(texts), 4).collect()
     assert len(got) == len(texts)
