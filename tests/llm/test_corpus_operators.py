@@ -44,6 +44,14 @@ def test_tightest_fit_is_best_fit():
     assert [100 - held[k] for k in range(bins)] == room
 
 
+def test_unlisted_categories_keep_their_share():
+    cells = {("src1", "en", "0"): 600, (op2_mix.OTHER, "en", "0"): 200, ("src2", op2_mix.OTHER, "1"): 200}
+    want = op2_mix.targets_of(op2_mix.PRODUCTION.source, {"src1": 600.0, "src2": 200.0, op2_mix.OTHER: 200.0})
+    assert want[op2_mix.OTHER] == pytest.approx(0.2) and want["src1"] == pytest.approx(0.4) and sum(want.values()) == pytest.approx(1)
+    p = op2_mix.raked(cells, op2_mix.PRODUCTION)
+    assert all(v > 0.1 for v in p.values())
+
+
 def test_no_byte_of_slack_is_wasted(monkeypatch):
     tried, pack = {}, op1_shard.pack
 
