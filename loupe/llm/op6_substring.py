@@ -1,17 +1,19 @@
 """Substring dedup on windows of words, behind a count-min prefilter.
 
-First pass: every task sketches the windows of its documents, counting each
-window once for a document. A sketch has ``ROWS`` rows of cells whose counts
-stop at 2; partial sketches travel as sorted cell lists for ranges of cells and
-are merged range by range, into a bitmap of the cells counted twice. A window is
-estimated repeated if all its cells are; the estimate is never too low. The
-bitmaps have a fixed largest size (``MOST_BITS``), so they are broadcast; on a
-corpus beyond it they only filter less.
-
-Second pass: only windows estimated repeated are grouped, exactly, by 96 bits of
-hashes. Windows repeated within a task are settled there, so a hot window is
-sent once by each task. The spans found for a document meet its text through a
-broadcast of checked size or else a shuffle.
+First pass: every task cuts its documents into chunks and sketches the windows of
+each chunk, counting each window once for a document. A sketch has ``ROWS`` rows of
+cells whose counts stop at 2. The cells of a row are dealt into parts, whose number
+grows with the corpus while a part keeps its size, so that the sketch has the same
+load at any size. Partial sketches travel as sorted cell lists, one for each chunk
+and part; whoever merges a part sends back to each chunk which of its cells were
+counted twice. A window is estimated repeated if all its cells are; the estimate is
+never too low.
+
+Second pass: chunks meet their answers, and only windows estimated repeated are
+grouped, exactly, by 96 bits of hashes. Windows repeated within a task are settled
+there, so a hot window is sent once by each task. No task or driver holds more than
+a part of the sketch or the answers of a chunk. The spans found for a document meet
+its text through a broadcast of checked size or else a shuffle.
 
 Defined results: null and empty texts and those with fewer words than a window
 lose nothing; documents with one id don't count as earlier than each other, so
@@ -23,30 +25,33 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import batches, hashes, inside, runs, table, windows
-from loupe.llm.spans import LAST_ID, covered, joined_spans, ranged, with_cuts
+from loupe.llm.common import batches, discarded, hashes, inside, mixed, parts_for, runs, staged, table, windows
+from loupe.llm.spans import LAST_ID, SPREAD, covered, joined_spans, ranged, with_cuts
 
 WINDOW = 13
 ROWS = 2
-#: Cells of a row, as a power of two, at least and at most: the largest bitmaps take ROWS * 64 MB.
-LEAST_BITS, MOST_BITS = 16, 29
-#: Cells of the range that one merged row holds, as a power of two.
-RANGE_BITS = 22
-#: Windows that a task gathers before it sends them.
+#: Cells of a row for each window expected.
+SPARE = 4
+#: Windows expected in a part of a row of cells, and those that make a part worth while.
+SKETCH_PART, LEAST_SKETCH_PART = 8 << 20, 1 << 14
+#: Windows that a chunk and a task gather before they send them.
 GATHERED = 1 << 21
-#: Windows of one part of the second pass, if all were repeated.
-PART = 10 << 20
+#: Windows of one part of the second pass, if all were repeated, and those that make a part worth while.
+PART, LEAST_PART = 10 << 20, 1 << 14
 
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 _SECOND = 0xD6E8FEB86659FD93
 
 
@@ -68,8 +73,52 @@ class _Windows:
         return (windows(self._flat, self._n, _SECOND)[self._at[keep]] >> np.uint64(32)).astype(np.uint32)
 
 
-def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((h * _ODD[row]) >> np.uint64(64 - bits)).astype(np.uint32)
+@dataclass(frozen=True)
+class Sketch:
+    """The shape of a sketch: the parts of each row, and the cells of a part as a power of two."""
+
+    parts: int
+    bits: int
+
+    @classmethod
+    def of(cls, spark: SparkSession, expected: int) -> Sketch:
+        parts = parts_for(spark, expected, SKETCH_PART, LEAST_SKETCH_PART)
+        return cls(parts, max(ceil(log2(SPARE * expected / parts)), 8))
+
+    def cells(self, h: np.ndarray, row: int) -> np.ndarray:
+        """The cell of each window: its part in the upper half, its place there in the lower."""
+        for _ in range(row):
+            h = mixed(h * _ODD)
+        part = ((h >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)
+        return (part << np.uint64(32)) | ((h & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - self.bits))
+
+    def partial(self, h: np.ndarray, twice: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """The sketch of some windows: (row * parts + part, cells counted and whether twice)."""
+        order = np.argsort(h)
+        h, twice = h[order], twice[order]
+        starts, _ = runs(h)
+        count = np.minimum(np.add.reduceat(twice.astype(np.int64) + 1, starts), 2)
+        h = h[starts]
+        for row in range(ROWS):
+            c = self.cells(h, row)
+            order = np.argsort(c)
+            c, n = c[order], count[order]
+            starts, _ = runs(c)
+            n = np.add.reduceat(n, starts) > 1
+            c = c[starts]
+            edges = np.searchsorted(c, np.arange(self.parts + 1, dtype=np.uint64) << np.uint64(32))
+            for part, (a, b) in enumerate(pairwise(edges.tolist())):
+                if a < b:
+                    yield row * self.parts + part, _pack(_gaps(c[a:b]), np.packbits(n[a:b]))
+
+
+def _gaps(cells: np.ndarray) -> np.ndarray:
+    """Sorted places as the gaps between them, byte plane by byte plane: the upper planes compress."""
+    return np.diff(cells.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _places(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.reshape(4, -1).T.copy().view(np.uint32).reshape(-1), dtype=np.uint32)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -86,51 +135,35 @@ def _unpack(data: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
-def _ranges(found: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Sorted cells by range: (range, where)."""
-    n = 1 << max(0, bits - RANGE_BITS)
-    edges = np.searchsorted(found, np.arange(n + 1, dtype=np.uint64) << np.uint64(min(bits, RANGE_BITS)))
-    for i in range(n):
-        if edges[i] < edges[i + 1]:
-            yield i, slice(edges[i], edges[i + 1])
-
-
-def _partial(gathered: list[tuple[np.ndarray, np.ndarray]], bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """The sketch of gathered (hashes, twice): row, range, and the cells with their counts."""
-    h = np.concatenate([x for x, _ in gathered])
-    twice = np.concatenate([x for _, x in gathered])
-    order = np.argsort(h)
-    h, twice = h[order], twice[order]
-    starts, _ = runs(h)
-    count = np.minimum(np.add.reduceat(twice.astype(np.int64) + 1, starts), 2)
-    h = h[starts]
-    for row in range(ROWS):
-        c = cells(h, row, bits)
-        order = np.argsort(c)
-        c, n = c[order], count[order]
-        starts, _ = runs(c)
-        n = np.add.reduceat(n, starts) > 1
-        c = c[starts]
-        for i, part in _ranges(c, bits):
-            low = c[part] & np.uint32((1 << RANGE_BITS) - 1)
-            blocks = np.bincount(low >> np.uint32(16), minlength=1 << (RANGE_BITS - 16)).astype(np.uint32)
-            yield row, i, _pack(blocks, (low & np.uint32(0xFFFF)).astype(np.uint16), np.packbits(n[part]))
-
-
-def sketched(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """(row, range, cells): the partial sketches of the tasks."""
+_CHUNKS = "chunk long, part long, doc_id long, text_key long, data binary"
+_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("data", pa.binary())])
+#: The part of rows that hold documents.
+_TEXT = -1
+
+
+def _lists(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    """(chunk, part, data) as rows that name no document."""
+    none = pa.nulls(len(rows), pa.int64())
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), none, none, pa.array([r[2] for r in rows], pa.binary())], schema=_CHUNK_SCHEMA)
+
+
+def chunked(docs: DataFrame, n: int, sketch: Sketch) -> DataFrame:
+    """The documents that have windows, each in a chunk, and the partial sketches of the chunks."""
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def sent() -> pa.RecordBatch:
-            rows = list(_partial(held, bits))
-            return pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["row", "range", "cells"])
+            h, twice = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            return _lists([(chunk, part, data) for part, data in sketch.partial(h, twice)])
 
-        for _, texts in batches(source):
+        for batch, texts in batches(source):
             w = _Windows(texts, n)
             if not len(w.h):
                 continue
+            has = pa.array(np.unique(w.doc))
+            named = [batch.column(c).take(has) for c in ("doc_id", "text_key")]
+            yield pa.record_batch([pa.array(np.full(len(has), chunk)), pa.array(np.full(len(has), _TEXT)), *named, batch.column("text").cast(pa.binary()).take(has)], schema=_CHUNK_SCHEMA)
             order = np.argsort(w.h, kind="stable")  # documents stay in order within a window
             h, doc = w.h[order], w.doc[order]
             starts, ends = runs(h)
@@ -138,54 +171,52 @@ def sketched(docs: DataFrame, n: int, bits: int) -> DataFrame:
             size += len(starts)
             if size >= GATHERED:
                 yield sent()
-                held, size = [], 0
+                chunk, held, size = chunk + 1, [], 0
         if size:
             yield sent()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(made, "row int, range int, cells binary")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(made, _CHUNKS)
 
 
-def merged(sketches: DataFrame, bits: int) -> DataFrame:
-    """(row, range, bitmap): the cells counted twice, range by range."""
-    n_cells = 1 << min(bits, RANGE_BITS)
+def answered(chunks: DataFrame, sketch: Sketch) -> DataFrame:
+    """For each chunk and part, the cells of the chunk that were counted twice in all."""
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, counts = None, np.zeros(n_cells, np.uint8)
+        part, held, counts = None, [], np.zeros(1 << sketch.bits, np.uint8)
 
-        def done() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], names=["row", "range", "bitmap"])
+        def done() -> Iterator[pa.RecordBatch]:
+            for _, c, twice in held:
+                counts[c] = np.minimum(counts[c] + 1 + twice, 2)
+            for i in range(0, len(held), 256):
+                told = [(chunk, c[counts[c] > 1]) for chunk, c, _ in held[i : i + 256]]
+                if rows := [(chunk, part, _pack(_gaps(c))) for chunk, c in told if len(c)]:
+                    yield _lists(rows)
+            for _, c, _ in held:
+                counts[c] = 0
 
         for batch in source:
-            for row, at, data in zip(*(batch.column(c).to_pylist() for c in ("row", "range", "cells")), strict=True):
-                if (row, at) != key:
-                    if key is not None:
-                        yield done()
-                    key = (row, at)
-                    counts[:] = 0
-                blocks, low, twice = _unpack(data, np.uint32, np.uint16, np.uint8)
-                c = (np.repeat(np.arange(len(blocks), dtype=np.uint32), blocks) << np.uint32(16)) | low
-                counts[c] = np.minimum(counts[c] + 1 + np.unpackbits(twice, count=len(c)), 2)
-        if key is not None:
-            yield done()
-
-    return sketches.repartition("row", "range").sortWithinPartitions("row", "range").mapInArrow(made, "row int, range int, bitmap binary")
-
-
-def repeated_cells(docs: DataFrame, n: int, bits: int) -> list[np.ndarray]:
-    """The merged bitmaps, ROWS << (bits - 3) bytes in all."""
-    out = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
-    width = 1 << (min(bits, RANGE_BITS) - 3)
-    for r in merged(sketched(docs, n, bits), bits).toLocalIterator():
-        out[r["row"]][r["range"] * width : (r["range"] + 1) * width] = np.frombuffer(r["bitmap"], np.uint8)
-    return out
+            for chunk, at, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "data")), strict=True):
+                if at != part:
+                    yield from done()
+                    part, held = at, []
+                planes, twice = _unpack(data, np.uint8, np.uint8)
+                c = _places(planes)
+                held.append((chunk, c, np.unpackbits(twice, count=len(c))))
+        yield from done()
 
+    return chunks.where(F.col("part") != _TEXT).repartition("part").sortWithinPartitions("part").mapInArrow(made, _CHUNKS)
 
-def estimated_repeated(h: np.ndarray, bitmaps: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for row, bitmap in enumerate(bitmaps):
-        c = cells(h, row, bits)
-        out &= (bitmap[c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & np.uint8(1) != 0
-    return out
+
+def estimated_repeated(h: np.ndarray, told: list[np.ndarray], sketch: Sketch) -> np.ndarray:
+    """Places of the windows whose cells are, row for row, among the sorted ones ``told``."""
+    at = np.arange(len(h))
+    for row, found in enumerate(told):
+        if not len(found):
+            return at[:0]
+        c = sketch.cells(h[at], row)
+        at = at[found[np.minimum(np.searchsorted(found, c), len(found) - 1)] == c]
+    return at
 
 
 def _settled(h: np.ndarray, check: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -214,9 +245,25 @@ def _by_document(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.n
         yield int(ids[d]), int(keys[d]), place[a:b].astype(np.uint32).tobytes()
 
 
-def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: int, parts: int) -> DataFrame:
+def repeated_windows(chunks: DataFrame, answers: DataFrame, n: int, sketch: Sketch, parts: int) -> DataFrame:
     """(doc_id, text_key, spans): the starts of windows that a document with a smaller id has as well."""
-    sent_bitmaps = docs.sparkSession.sparkContext.broadcast(bitmaps)
+
+    def met(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+        """The documents of each chunk that got answers, with its cells counted twice; the answers come first."""
+        chunk, lists, told = None, [[] for _ in range(ROWS)], None
+        for batch in source:
+            keys = np.stack([batch.column("chunk").to_numpy(), batch.column("part").to_numpy() == _TEXT], 1)
+            for a, b in zip(*(x.tolist() for x in runs(keys[:, 0], keys[:, 1])), strict=True):
+                if keys[a, 0] != chunk:
+                    chunk, lists, told = keys[a, 0], [[] for _ in range(ROWS)], None
+                if keys[a, 1]:
+                    told = told or [np.sort(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in lists]
+                    if all(map(len, told)):
+                        yield batch.slice(a, b - a), told
+                    continue
+                for part, data in zip(batch.column("part").slice(a, b - a).to_pylist(), batch.column("data").slice(a, b - a).to_pylist(), strict=True):
+                    row, part = divmod(part, sketch.parts)
+                    lists[row].append(_places(_unpack(data, np.uint8)[0]).astype(np.uint64) | (np.uint64(part) << np.uint64(32)))
 
     def mapped(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -228,7 +275,7 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
             h, check, place = (np.concatenate([x[i] for x in held]) for i in (2, 3, 5))
             doc = np.concatenate([x[4] + b for x, b in zip(held, base[:-1], strict=True)])
             later = _settled(h, check, ids[doc])
-            rows = [(parts + int(k % parts), i, k, data) for i, k, data in _by_document(ids, keys, doc[later], place[later])]
+            rows = [(parts + int(k % SPREAD), i, k, data) for i, k, data in _by_document(ids, keys, doc[later], place[later])]
             at = np.flatnonzero(~later)
             part = (h[at] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -239,17 +286,18 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
                 rows.append((int(part[a]), None, None, _pack(ids[names], keys[names], h[x], check[x], local.astype(np.uint32), place[x])))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SENT_SCHEMA.types, strict=True)], schema=_SENT_SCHEMA) if rows else pa.RecordBatch.from_pylist([], schema=_SENT_SCHEMA)
 
-        for batch, texts in batches(source):
-            w = _Windows(texts, n)
-            keep = np.flatnonzero(estimated_repeated(w.h, sent_bitmaps.value, bits))
-            if not len(keep):
-                continue
-            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
-            held.append((ids, keys, w.h[keep], w.check(keep), w.doc[keep], w.place[keep]))
-            size += len(keep)
-            if size >= GATHERED // 2:
-                yield from sent()
-                held, size = [], 0
+        for run, told in met(source):
+            for batch, texts in batches(iter([run]), "data"):
+                w = _Windows(texts, n)
+                keep = estimated_repeated(w.h, told, sketch)
+                if not len(keep):
+                    continue
+                ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
+                held.append((ids, keys, w.h[keep], w.check(keep), w.doc[keep], w.place[keep]))
+                size += len(keep)
+                if size >= GATHERED // 2:
+                    yield from sent()
+                    held, size = [], 0
         if size:
             yield from sent()
 
@@ -280,17 +328,22 @@ def repeated_windows(docs: DataFrame, n: int, bitmaps: list[np.ndarray], bits: i
                 held.append(_unpack(open_rows.column("data")[i].as_buffer(), np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint32))
         yield from done()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
+    rows = answers.unionByName(chunks.where(F.col("part") == _TEXT)).withColumn("_text", F.col("part") == _TEXT)
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "_text").drop("_text")
     return rows.mapInArrow(mapped, _SENT).repartition("part").sortWithinPartitions("part").mapInArrow(reduced, "doc_id long, text_key long, spans binary")
 
 
 def found_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, spans): for each document that loses words, the ranges of its windows to go."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = max(size // 6, 1)  # windows: words of five letters and a space
-    bits = min(max(ceil(log2(4 * expected)), LEAST_BITS), MOST_BITS)
-    found = repeated_windows(docs, n, repeated_cells(docs, n, bits), bits, ceil(expected / PART))
-    return ranged(found, 1)
+    sketch = Sketch.of(spark, expected)
+    chunks = staged(chunked(docs, n, sketch), "windows")
+    found = repeated_windows(chunks, answered(chunks, sketch), n, sketch, parts_for(spark, expected, PART, LEAST_PART))
+    spans = ranged(found, 1)
+    discarded(chunks)
+    return spans
 
 
 def substrings_removed(docs: DataFrame, n: int = WINDOW) -> DataFrame:

@@ -15,6 +15,8 @@ from loupe.llm.common import batches, staged, unwrapped, wrapped
 LAST_ID = (1 << 63) - 1
 #: Bytes of a table of spans, with 64 a row, up to which it is broadcast.
 BROADCAST_BYTES = 96 << 20
+#: Parts over which spans are dealt that need no more settling.
+SPREAD = 1 << 12
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("spans", pa.binary())])
 

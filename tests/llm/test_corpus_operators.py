@@ -276,43 +276,84 @@ def test_a_pair_at_the_threshold_survives():
 # -- 6
 
 
-def test_substrings(docs_of, texts):
+def word_windows(text, n=13):
+    w = WORD.findall(text or "")
+    return [tuple(w[k : k + n]) for k in range(len(w) - n + 1)]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_substrings(docs_of, texts, monkeypatch, small):
+    from loupe.llm import spans
     from loupe.llm.spans import covered, joined_spans
 
-    rows = plain(texts)
+    if small:  # many parts, many chunks, and spans that meet their texts through a shuffle
+        monkeypatch.setattr(op6_substring, "SKETCH_PART", 512)
+        monkeypatch.setattr(op6_substring, "GATHERED", 256)
+        monkeypatch.setattr(op6_substring, "PART", 512)
+        monkeypatch.setattr(spans, "BROADCAST_BYTES", 0)
+    rng = random.Random(61)
+    rows = [*plain(texts), (700, " ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(500)) for _ in range(20_000)))]
     first = {}
     for i, t in rows:
-        w = WORD.findall(t or "")
-        for k in range(len(w) - 12):
-            g = tuple(w[k : k + 13])
+        for g in word_windows(t):
             first[g] = min(first.get(g, i), i)
     docs = docs_of(rows).select("doc_id", "text")
     for r in joined_spans(docs, op6_substring.found_spans(docs)).collect():
-        w = WORD.findall(r["text"] or "")
         gone = set()
-        for k in range(len(w) - 12):
-            if first[tuple(w[k : k + 13])] < r["doc_id"]:
+        for k, g in enumerate(word_windows(r["text"])):
+            if first[g] < r["doc_id"]:
                 gone |= set(range(k, k + 13))
-        found = covered(r["spans"], 13, len(w)) if r["spans"] is not None else np.zeros(len(w), bool)
+        n = len(WORD.findall(r["text"] or ""))
+        found = covered(r["spans"], 13, n) if r["spans"] is not None else np.zeros(n, bool)
         assert set(np.flatnonzero(found).tolist()) == gone
     whole = op6_substring.substrings_removed(docs_of(texts))
     assert whole.columns == docs_of([]).columns and whole.count() == len(texts)
     assert op6_substring.substrings_removed(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("n_docs", [200, 800])
+def test_few_unique_windows_pass_at_any_size(spark, docs_of, monkeypatch, n_docs):
+    from loupe.llm.common import staged
+
+    monkeypatch.setattr(op6_substring, "SKETCH_PART", 1024)
+    monkeypatch.setattr(op6_substring, "GATHERED", 2048)
+    rng = random.Random(62)
+    say = lambda n: " ".join(str(rng.randrange(10_000)) for _ in range(n))
+    shared = say(40)
+    docs = docs_of([(i, say(60) + (" " + shared if i % 10 == 0 else "")) for i in range(n_docs)]).select("doc_id", "text")
+    sketch = op6_substring.Sketch.of(spark, n_docs * 55)
+    assert sketch.parts >= n_docs * 55 // 1024
+    chunks = staged(op6_substring.chunked(docs, 13, sketch), "test-windows")
+    lists = defaultdict(lambda: [[] for _ in range(op6_substring.ROWS)])
+    for r in op6_substring.answered(chunks, sketch).collect():
+        row, part = divmod(r["part"], sketch.parts)
+        lists[r["chunk"]][row].append(op6_substring._places(op6_substring._unpack(bytes(r["data"]), np.uint8)[0]).astype(np.uint64) | np.uint64(part << 32))
+    held = Counter(g for r in docs.collect() for g in set(word_windows(r["text"])))
+    unique = passed = 0
+    for r in chunks.where("part = -1").collect():
+        text = bytes(r["data"]).decode()
+        told = [np.sort(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in lists[r["chunk"]]]
+        kept = set(op6_substring.estimated_repeated(op6_substring._Windows([text.encode()], 13).h, told, sketch).tolist())
+        for k, g in enumerate(word_windows(text)):
+            assert held[g] == 1 or k in kept
+            unique += held[g] == 1
+            passed += held[g] == 1 and k in kept
+    assert passed < 0.1 * unique
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 1 << 62, 5000, dtype=np.uint64)
     twice = rng.random(5000) < 0.2
-    bits = 16
-    bitmaps = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(op6_substring.ROWS)]
-    for row, _, data in op6_substring._partial([(h, twice)], bits):
-        blocks, low, two = op6_substring._unpack(data, np.uint32, np.uint16, np.uint8)
-        c = (np.repeat(np.arange(len(blocks), dtype=np.uint32), blocks) << np.uint32(16)) | low
-        flags = np.zeros(1 << bits, bool)
-        flags[c[np.unpackbits(two, count=len(c)).astype(bool)]] = True
-        bitmaps[row] = np.packbits(flags)
-    assert op6_substring.estimated_repeated(h[twice], bitmaps, bits).all()
+    sketch = op6_substring.Sketch(7, 12)
+    told = [[] for _ in range(op6_substring.ROWS)]
+    for at, data in sketch.partial(h, twice):
+        planes, two = op6_substring._unpack(data, np.uint8, np.uint8)
+        c = op6_substring._places(planes)
+        c = c[np.unpackbits(two, count=len(c)).astype(bool)]
+        told[at // 7].append(c.astype(np.uint64) | np.uint64((at % 7) << 32))
+    kept = op6_substring.estimated_repeated(h, [np.sort(np.concatenate(x)) for x in told], sketch)
+    assert set(np.flatnonzero(twice).tolist()) <= set(kept.tolist())
 
 
 # -- 7
