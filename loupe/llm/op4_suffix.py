@@ -8,20 +8,23 @@ a sampled suffix array that misses no repeated string.
 1. Every task finds the anchors of its documents and sends, for each, the hash
    of the gram and a hash of all bytes that strings over the anchor can reach.
    Anchors whose reach is equal settle each other at once; of such a class only
-   the earliest matters from then on. Classes within a task are settled there.
-2. Where a gram has several classes, the bytes around each class's earliest
-   anchor are fetched, and the suffixes to the right and the reversed prefixes
-   to the left are sorted by deep-shallow sorting. Common prefixes of neighbours
-   then tell, for each offset, which strings over the anchors are equal, and all
-   but the earliest of those are repeats.
-
+   the earliest matters from then on. Classes within a task are settled there. The
+   classes of one gram are dealt over ``SALTS`` parts, and each part tells of how
+   many it has, if they are many.
+2. Classes meet again by their gram. Where a gram has several, the bytes around
+   each class's earliest anchor are fetched, and the suffixes to the right and the
+   reversed prefixes to the left are sorted by deep-shallow sorting. Common prefixes
+   of neighbours then tell, for each offset, which strings over the anchors are
+   equal, and all but the earliest of those are repeats.
 3. A gram with so many classes that they shouldn't meet in one task (a passage
-   that a large share of all documents quotes) is settled string by string: each
-   string over its anchors is sent by its own hash, and settled in its task first.
+   that a large share of all documents quotes) is known from the counts of the first
+   step, so its classes never meet: each string over its anchors is sent by its own
+   hash, and settled in its task first.
 
-Bytes are compared, never only hashes of them, between different classes; a
-class, and a string of the third step, is told by 128 bits. Positions travel as packed arrays, in parts of the
-hash space whose number grows with the corpus.
+Bytes are compared, never only hashes of them, between different classes of the
+second step; a class, and a string of the third step, is told by 128 bits.
+Positions travel as packed arrays, in parts of the hash space whose number grows
+with the corpus.
 
 Defined results: null and empty texts, and those shorter than ``LENGTH``, lose
 nothing; rows that repeat an id and text are one document and lose the same;
@@ -34,7 +37,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import batches, mixed, runs, staged, table
+from loupe.llm.common import batches, discarded, mixed, parts_for, runs, staged, table
 from loupe.llm.deepshallow import common_prefixes, deep_shallow
 from loupe.llm.op6_substring import _pack, _unpack
-from loupe.llm.spans import BROADCAST_BYTES, LAST_ID, covered, gathered, joined_spans, ranged, with_cuts
+from loupe.llm.spans import BROADCAST_BYTES, LAST_ID, SPREAD, covered, gathered, joined_spans, ranged, with_cuts
 
 LENGTH = 100
 GRAM = 32
@@ -58,8 +60,12 @@ GATHERED = 1 << 19
 PART = 1 << 21
 #: Contexts of a part of the second step.
 CONTEXTS = 1 << 17
+#: Anchors or contexts that make a part worth while.
+LEAST_PART = 1 << 12
 #: Classes of one gram from which its strings go separate ways instead of meeting in one task.
 HOT = 1 << 16
+#: Hot grams that may be told to all tasks; with more, HOT rises. Parts over which a gram's classes are dealt at first.
+HOT_GRAMS, SALTS = 1 << 20, 64
 #: Words of eight bytes that the quicksort orders, to the right and to the left.
 SHALLOW_RIGHT, SHALLOW_LEFT = 6, 2
 
@@ -200,8 +206,9 @@ def _strings(e: _Entries) -> tuple[np.ndarray, np.ndarray]:
 
 _SENT = "part long, kind int, doc_id long, text_key long, data binary"
 _SCHEMA = pa.schema([("part", pa.int64()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("data", pa.binary())])
-#: Kinds of rows: packed entries; spans (first and last start) of a document; anchors whose bytes are wanted, and those of hot grams.
-_ENTRIES, _SPANS, _WANTED, _HOT = 0, 1, 2, 3
+#: Kinds of rows: packed entries; spans (first and last start) of a document; anchors whose bytes are wanted, and those
+#: of hot grams; the number (text_key) of classes of a gram (doc_id) in one part.
+_ENTRIES, _SPANS, _WANTED, _HOT, _COUNTED = 0, 1, 2, 3, 4
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -212,11 +219,46 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
-def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes | None]], _Entries | None], strings: Callable, parts: int, wants: bool) -> DataFrame:
-    """Entries made of each slice, settled in their task and then by parts of the hash space.
+def _dealt(e: _Entries, part: np.ndarray) -> Iterator[tuple]:
+    """The entries as one packed row for each part."""
+    order = np.argsort(part, kind="stable")
+    e, part = e.take(order), part[order]
+    for a, b in zip(*(x.tolist() for x in runs(part)), strict=True):
+        yield int(part[a]), _ENTRIES, None, None, e.take(np.arange(a, b)).packed()
+
+
+def _sliced(entries_of: Callable[[pa.RecordBatch, list[bytes | None]], _Entries | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[_Entries]]:
+    def found(source: Iterator[pa.RecordBatch]) -> Iterator[_Entries]:
+        for batch, texts in batches(source):
+            e = entries_of(batch, texts)
+            if e is not None and len(e):
+                yield e
+
+    return found
+
+
+def _packed_entries(source: Iterator[pa.RecordBatch]) -> Iterator[_Entries]:
+    for batch in source:
+        for data in batch.column("data"):
+            yield _Entries.unpacked(data.as_buffer())
+
+
+_Rows = Iterator[tuple[int, int | None, int | None, bytes | None]]
+
+
+def _exchanged(
+    rows: DataFrame,
+    entries: Callable[[Iterator[pa.RecordBatch]], Iterator[_Entries]],
+    strings: Callable,
+    deal: Callable[[_Entries], np.ndarray],
+    told: Callable[[_Entries, np.ndarray], _Rows] | None = None,
+    hot: np.ndarray | None = None,
+) -> DataFrame:
+    """Entries settled in their task and then by the parts to which they are dealt.
 
-    Gives the spans (``strings``) of those that are later in their class and, if
-    that ``wants`` them, the earliest of each class of a gram with several.
+    Gives the spans (``strings``) of those that are later in their class, and the
+    rows (kind, doc_id, text_key, data) ``told`` of the earliest ones and the number
+    of classes of their grams. Entries of ``hot`` grams aren't dealt, but given as they are.
     """
 
     def mapped(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,18 +270,17 @@ def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes
             held.clear()
             e, later, _ = joined.settled()
             gone = e.take(later)
-            rows = [(parts + key % parts, _SPANS, i, key, data) for i, key, data in _rows(gone, *strings(gone))]
+            rows = [(-1 - key % SPREAD, _SPANS, i, key, data) for i, key, data in _rows(gone, *strings(gone))]
             e = e.take(~later)
-            part = (e.h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            e, part = e.take(order), part[order]
-            rows += [(int(part[a]), _ENTRIES, None, None, e.take(np.arange(a, b)).packed()) for a, b in zip(*(x.tolist() for x in runs(part)), strict=True)]
+            if hot is not None:
+                out = np.isin(e.h, hot)
+                aside = e.take(out)
+                rows += [(-1 - key % SPREAD, _HOT, i, key, data) for i, key, data in _rows(aside, aside.at)]
+                e = e.take(~out)
+            rows += _dealt(e, deal(e))
             return _batch(rows)
 
-        for batch, texts in batches(source):
-            found = entries_of(batch, texts)
-            if found is None or not len(found):
-                continue
+        for found in entries(source):
             held.append(found)
             size += len(found)
             if size >= GATHERED:
@@ -258,18 +299,16 @@ def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes
                 e, later, classes = joined.settled()
                 gone = e.take(later)
                 rows = [(part, _SPANS, *r) for r in _rows(gone, *strings(gone))]
-                if wants:
-                    for kind, which in ((_WANTED, (classes > 1) & (classes <= HOT)), (_HOT, classes > HOT)):
-                        wanted = e.take(~later & which)
-                        rows += [(part, kind, *r) for r in _rows(wanted, wanted.at)]
+                if told is not None:
+                    rows += [(part, *r) for r in told(e.take(~later), classes[~later])]
                 if rows:
                     yield _batch(rows)
 
         for batch in source:
-            entries = pc.equal(batch.column("kind"), _ENTRIES)
-            if (spans := batch.filter(pc.invert(entries))).num_rows:
-                yield spans
-            sent = batch.filter(entries)
+            open_rows = pc.equal(batch.column("kind"), _ENTRIES)
+            if (given := batch.filter(pc.invert(open_rows))).num_rows:
+                yield given
+            sent = batch.filter(open_rows)
             for i, at in enumerate(sent.column("part").to_pylist()):
                 if at != part:
                     yield from done()
@@ -280,8 +319,10 @@ def _exchanged(rows: DataFrame, entries_of: Callable[[pa.RecordBatch, list[bytes
     return rows.mapInArrow(mapped, _SENT).repartition("part").sortWithinPartitions("part").mapInArrow(reduced, _SENT)
 
 
-def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """Spans of what is settled by classes, and the anchors whose bytes are wanted."""
+def classed_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
+    """Spans of what is settled by classes, the earliest anchor of each class, and counts of grams that may be hot."""
+    salts = np.uint64(min(SALTS, parts))
+    least = max(hot // (2 * int(salts)), 1)  # a gram with ``hot`` classes has half of them at least in parts that count them
 
     def found(batch: pa.RecordBatch, texts: list[bytes | None]) -> _Entries | None:
         data, joined, offsets = _plain(texts)
@@ -293,7 +334,34 @@ def settled_anchors(docs: DataFrame, parts: int) -> DataFrame:
         start, end = offsets[doc], offsets[doc + 1]
         return _Entries((ids, keys, np.diff(offsets)), h[at], _reach(data, h, at, start, end), doc.astype(np.int32), (at - start).astype(np.uint32))
 
-    return _exchanged(_named(docs), found, _strings, parts, True)
+    def told(e: _Entries, classes: np.ndarray) -> _Rows:
+        if len(e):
+            yield _ENTRIES, None, None, e.packed()
+        a, b = runs(e.h)
+        for i in np.flatnonzero(b - a >= least).tolist():
+            yield _COUNTED, int(e.h[a[i]].view(np.int64)), int(b[i] - a[i]), None
+
+    def deal(e: _Entries) -> np.ndarray:
+        return ((e.h % np.uint64(parts) + e.x % salts) % np.uint64(parts)).astype(np.int64)
+
+    return _exchanged(_named(docs), _sliced(found), _strings, deal, told)
+
+
+def hot_grams(classed: DataFrame, hot: int) -> np.ndarray:
+    """The grams with half of ``hot`` classes or more, all with ``hot`` among them; no more than twice the classes over ``hot``."""
+    counts = classed.where(F.col("kind") == _COUNTED).groupBy("doc_id").agg(F.sum("text_key").alias("n")).where(F.col("n") >= hot / 2)
+    return np.array([r["doc_id"] for r in counts.select("doc_id").toLocalIterator()], np.int64).view(np.uint64)
+
+
+def met_anchors(classed: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+    """The anchors whose bytes are wanted, as their gram has several classes, and those of hot grams."""
+
+    def told(e: _Entries, classes: np.ndarray) -> _Rows:
+        wanted = e.take(classes > 1)
+        for r in _rows(wanted, wanted.at):
+            yield _WANTED, *r
+
+    return _exchanged(classed.where(F.col("kind") == _ENTRIES), _packed_entries, _strings, lambda e: (e.h % np.uint64(parts)).astype(np.int64), told, hot)
 
 
 def _with_places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -325,7 +393,7 @@ def hot_strings(docs: DataFrame, hot: DataFrame, parts: int) -> DataFrame:
             made.append(_Entries(doc, x, y, np.zeros(len(starts), np.int32), starts.astype(np.uint32)))
         return _Entries.joined(made) if made else None
 
-    return _exchanged(_with_places(docs, hot), found, lambda e: (e.at, e.at), parts, False)
+    return _exchanged(_with_places(docs, hot), _sliced(found), lambda e: (e.at, e.at), lambda e: (e.h % np.uint64(parts)).astype(np.int64))
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
@@ -436,17 +504,21 @@ def compared(sent: DataFrame) -> DataFrame:
 
 def found_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, spans): for each document that loses bytes, the ranges of its repeated strings' starts."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    first = staged(settled_anchors(docs, ceil(max(size, 1) * 2 / (GRAMS + 1) / PART)), "suffix-anchors")
-    wanted = first.where(F.col("kind") == _WANTED)
+    expected = max(size, 1) * 2 // (GRAMS + 1)
+    parts, least = parts_for(spark, expected, PART, LEAST_PART), max(HOT, expected // HOT_GRAMS)
+    classed = staged(classed_anchors(docs, parts, least), "suffix-classes")
+    met = staged(met_anchors(classed, hot_grams(classed, least), parts), "suffix-anchors")
+    wanted, hot = (met.where(F.col("kind") == k) for k in (_WANTED, _HOT))
     n = (wanted.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 4
-    more = compared(contexts(docs, wanted, ceil(max(n, 1) / CONTEXTS)))
-    both = first.where(F.col("kind") == _SPANS).unionByName(more)
-    hot = first.where(F.col("kind") == _HOT)
+    both = classed.where(F.col("kind") == _SPANS).unionByName(compared(contexts(docs, wanted, parts_for(spark, n, CONTEXTS, LEAST_PART))))
     n = (hot.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // 4
     if n:
-        both = both.unionByName(hot_strings(docs, hot, ceil(n * GRAMS / PART)))
-    return ranged(both.select("doc_id", "text_key", F.col("data").alias("spans")), 2)
+        both = both.unionByName(hot_strings(docs, hot, parts_for(spark, n * GRAMS, PART, LEAST_PART)))
+    spans = ranged(both.select("doc_id", "text_key", F.col("data").alias("spans")), 2)
+    discarded(classed, met)
+    return spans
 
 
 def suffixes_removed(docs: DataFrame) -> DataFrame:

@@ -181,15 +181,28 @@ def repeated_bytes(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [op4_suffix.HOT, 1])
+@pytest.mark.parametrize("hot", [op4_suffix.HOT, 1, 8])
 def test_suffixes(docs_of, texts, monkeypatch, hot):
+    from loupe.llm import spans
     from loupe.llm.spans import covered, joined_spans
 
-    monkeypatch.setattr(op4_suffix, "HOT", hot)
-    rows = plain(texts)
+    if hot < 1 << 16:  # strings of hot grams go their own ways, and no broadcast is small enough
+        monkeypatch.setattr(op4_suffix, "HOT", hot)
+        monkeypatch.setattr(op4_suffix, "PART", 200)
+        monkeypatch.setattr(op4_suffix, "GATHERED", 300)
+        monkeypatch.setattr(op4_suffix, "CONTEXTS", 50)
+        monkeypatch.setattr(op4_suffix, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(spans, "BROADCAST_BYTES", 0)
+    rng = random.Random(41)
+    say = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    quoted = say(25)
+    rows = [*plain(texts), *((800 + i, say(30) + quoted + say(30)) for i in range(40)), (900, say(20_000))]
     want = repeated_bytes(rows)
     docs = docs_of(rows).select("doc_id", "text")
-    assert (op4_suffix.settled_anchors(docs, 4).where(F.col("kind") == op4_suffix._HOT).count() > 0) == (hot == 1)
+    classed = op4_suffix.classed_anchors(docs, 4, hot).cache()
+    grams = op4_suffix.hot_grams(classed, hot)
+    entries = op4_suffix.met_anchors(classed, grams, 4)
+    assert (len(grams) > 0) == (entries.where(F.col("kind") == op4_suffix._HOT).count() > 0) == (hot < 1 << 16)
     got = joined_spans(docs, op4_suffix.found_spans(docs)).collect()
     for r in got:
         b = (r["text"] or "").encode()
