@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loupe.llm.common import staged
+from loupe.llm.common import discarded, join_counted, staged
 
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """Each directed pair (u, v) with the least node next to u, u itself included."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _stars(pairs: DataFrame, total: int) -> DataFrame:
+    """Each directed pair (u, v) with the least node next to u, u itself included; nodes with very many pairs are looked up without a shuffle."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(pairs, least, "u", total)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
             break
         told = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _stars(large)
+        large = _stars(both, state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _stars(large, state[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    return staged(_roots(now), "components")
+        before, now = now, staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        discarded(before)
+    found = staged(_roots(now), "components")
+    discarded(now)
+    return found
 
 
 def _roots(now: DataFrame) -> DataFrame:

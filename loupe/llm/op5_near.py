@@ -15,7 +15,10 @@ buckets that still hold nodes of different components are searched further, in
 blocks of bounded size: all pairs across components, each in the first bucket
 that it shares, that neither the signatures nor, inside the task, the halved
 shingle hashes rule out are verified. So no link between components is lost, and
-none within a component is needed.
+none within a component is needed. Buckets of more than a block's nodes (texts of
+one template) aren't paired at all: two of their nodes can only be similar enough
+if they share one of the rarest shingles of each, so those shingles, rare by the
+count over all such nodes, are the buckets in which they meet instead.
 
 Defined results: a text without words, null or empty, has no shingles and is
 linked with nothing; one with fewer words than a shingle is the whole sequence;
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import batches, hashes, join_counted, staged, table, unwrapped, whole, windows, wrapped
+from loupe.llm.common import batches, discarded, hashes, join_counted, staged, table, unwrapped, whole, windows, wrapped
 from loupe.llm.components import components
 
 #: Hash functions of a signature, and how many are compared at a time.
@@ -50,6 +53,8 @@ BLOCK = 1024
 SHORT_MARGIN = 0.01
 #: Rows of a table of node names that is broadcast.
 BROADCAST_ROWS = 1 << 20
+#: Pairs of one node that are given its facts in one task, and the most nodes that are dealt over several.
+DEALT, MOST_HUBS = 4096, 1 << 16
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -177,11 +182,20 @@ def banded(nodes: DataFrame, rows: int) -> DataFrame:
 
 
 def _fetched(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) with ``column`` of both nodes as x and y. A hub's pairs stream past its one row,
-    and adaptive execution splits them where they are many."""
-    for end, name in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(facts.select(F.col("node").alias(end), F.col(column).alias(name)), end)
-    return pairs
+    """The staged pairs (a, b) with ``column`` of both nodes as x and y.
+
+    A hub's pairs are dealt over salts, and its one row is copied to each, so no task gives one node's facts to
+    more than about DEALT pairs. There are fewer than MOST_HUBS hubs, whatever the data, so they are broadcast.
+    """
+    least = max(DEALT, pairs.count() // MOST_HUBS)
+    out = pairs
+    for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        hubs = F.broadcast(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(end, F.ceil(F.col("n") / DEALT).cast("int").alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        copied = facts.select(F.col("node").alias(end), F.col(column).alias(name)).join(hubs, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        dealt = out.join(hubs, end, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
+        out = dealt.join(copied, [end, "salt"]).drop("salt")
+    return out
 
 
 def pruned(pairs: DataFrame, signatures: DataFrame, how: Near) -> DataFrame:
@@ -254,13 +268,38 @@ def shortened(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(made, "node binary, short binary")
 
 
-def _across(members: DataFrame, how: Near) -> DataFrame:
+def prefixed(nodes: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
+    """(band, node, root, n): nodes (node, root) in the buckets of their rarest shingles, where these hold several roots.
+
+    Of two sets that reach the threshold, each shares so much that one of its rarest members, one more than it may
+    have for itself, is among the other's; rare is what few of these nodes have. Nothing is missed.
+    """
+
+    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for full in source:
+            for i in range(full.num_rows):
+                found = np.frombuffer(full.column("shingles")[i].as_buffer(), np.int64)
+                keep = len(found) - -(-how.numerator * len(found) // how.denominator) + 1
+                yield pa.record_batch([full.column("node").slice(i, 1).take(pa.array(np.zeros(len(found), np.int64))), pa.array(found), pa.array(np.full(len(found), keep))], names=["node", "token", "keep"])
+
+    tokens = staged(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(made, "node binary, token long, keep long"), "near-tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("held", F.col("n"))
+    counted = join_counted(tokens, counts, "token", tokens.count())
+    rarest = counted.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("held", "token"))), F.lit(1), F.min("keep").cast("int")).alias("rare"))  # no more than a text has
+    placed = staged(rarest.select("node", F.explode("rare.token").alias("band")).join(nodes, "node"), "near-rarest")
+    several = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
+    out = staged(placed.join(several, "band").select("band", "node", "root", "n"), "near-rare-members")
+    discarded(tokens, placed)
+    return out
+
+
+def _across(members: DataFrame, how: Near, banded: bool = True) -> DataFrame:
     """Likely pairs of members (band, node, root, sig, short, n) of one bucket and different roots.
 
     The members of a bucket fall into parts of about BLOCK; each two parts, and
     each part with itself, meet in one task. A pair comes from the first bucket
-    that its nodes share, if neither its signatures nor the upper halves of its
-    shingle hashes (``short``) rule it out.
+    that its nodes share, if they are ``banded``, and if neither its signatures nor
+    the upper halves of its shingle hashes (``short``) rule it out.
     """
     least = least_matches(how.threshold)
     rows = how.rows
@@ -283,7 +322,8 @@ def _across(members: DataFrame, how: Near) -> DataFrame:
             js = js[roots[js] != roots[i]]
             if not len(js):
                 continue
-            js = js[keys[i][(keys[js] == keys[i]).argmax(1)] == band]
+            if banded:
+                js = js[keys[i][(keys[js] == keys[i]).argmax(1)] == band]
             js = js[plausible(np.repeat(sigs[i : i + 1], len(js), 0), sigs[js], least)]
             js = [j for j in js.tolist() if similarity(sets[i], sets[j]) >= how.threshold - SHORT_MARGIN]
             out_a += [names[i]] * len(js)
@@ -306,7 +346,9 @@ def linked(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("hub")).select("band", F.col("hub.node").alias("hub"), F.col("hub.degree").alias("hub_degree"))
     votes = ranked.join(hubs, "band").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("hub_degree").alias("hub_degree"))
     first = votes.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub_degree", "hub")).alias("hub"))
-    first = staged(pruned(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), nodes, how), "near-pairs")
+    first = staged(first.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct(), "near-votes")
+    first = staged(pruned(first, nodes, how), "near-pairs")
+    discarded(ranked)
 
     owners = nodes.select("node", "doc_id")
     rows = rows.drop("sig")
@@ -318,8 +360,13 @@ def linked(docs: DataFrame, how: Near) -> tuple[DataFrame, DataFrame]:
     mixed_bands = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
     members = staged(labelled.join(mixed_bands, "band"), "near-members")
     sets = sets_of(docs, owners, members.select("node").distinct(), how)
-    members = members.join(nodes.select("node", "sig"), "node").join(shortened(sets), "node")
-    more = staged(_across(members, how), "near-pairs")
+    facts = staged(nodes.select("node", "sig").join(shortened(sets), "node"), "near-facts")
+    more = _across(members.where(F.col("n") <= BLOCK).join(facts, "node"), how)
+    large = members.where(F.col("n") > BLOCK).select("node", "root").distinct()
+    if not large.isEmpty():
+        more = more.unionByName(_across(prefixed(staged(large, "near-large"), sets, how).join(facts, "node"), how, False)).distinct()
+    more = staged(more, "near-pairs")
+    discarded(met, members, facts)
     if more.isEmpty():
         return rows, found
     return rows, components(links.unionByName(verified(more, sets, how)))

@@ -255,15 +255,28 @@ def near_components(rows, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+@pytest.mark.parametrize("small", [False, True])
 @pytest.mark.parametrize("how", [op5_near.Near(3, 85, 100), op5_near.Near()])
-def test_near_duplicates(docs_of, texts, how):
+def test_near_duplicates(docs_of, texts, how, small, monkeypatch):
     rows = plain(texts)
+    if small:  # hubs are dealt, nothing is broadcast by its size, and templated texts fill whole buckets
+        monkeypatch.setattr(op5_near, "BLOCK", 4)
+        monkeypatch.setattr(op5_near, "DEALT", 2)
+        monkeypatch.setattr(op5_near, "BROADCAST_ROWS", 0)
+        rng = random.Random(51)
+        say = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+        template, own = say(60), [say(rng.choice((3, 12, 30))) for _ in range(25)]
+        rows = [*rows, *((600 + i, template + " " + x) for i, x in enumerate(own)), *((650 + i, template + " " + x + " end") for i, x in enumerate(own[:10])), (699, say(9000))]
+        counted = []
+        fits = op5_near.prefixed
+        monkeypatch.setattr(op5_near, "prefixed", lambda *a: counted.append(1) or fits(*a))
     want = near_components(rows, how.words, how.numerator, how.denominator)
     got = op5_near.near_duplicates(docs_of(rows), how).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
         assert r["kept"] == (r["doc_id"] == r["component_id"])
+    assert not small or counted
 
 
 def test_near_deduplicated(docs_of, texts):
