@@ -1,6 +1,6 @@
 """Substring dedup on windows of words, behind a count-min prefilter.
 
-First pass: every task cuts its documents into chunks and sketches the windows of
+Documents are packed into chunks. First pass: every task sketches the windows of
 each chunk, counting each window once for a document. A sketch has ``ROWS`` rows of
 cells whose counts stop at 2. The cells of a row are dealt into parts, whose number
 grows with the corpus while a part keeps its size, so that the sketch has the same
@@ -46,8 +46,8 @@ ROWS = 2
 SPARE = 4
 #: Windows expected in a part of a row of cells, and those that make a part worth while.
 SKETCH_PART, LEAST_SKETCH_PART = 8 << 20, 1 << 14
-#: Windows that a chunk and a task gather before they send them.
-GATHERED = 1 << 21
+#: Bytes of a chunk's texts, and windows that a task gathers before it sends them.
+CHUNK_BYTES, GATHERED = 12 << 20, 1 << 21
 #: Windows of one part of the second pass, if all were repeated, and those that make a part worth while.
 PART, LEAST_PART = 10 << 20, 1 << 14
 
@@ -112,13 +112,22 @@ class Sketch:
                     yield row * self.parts + part, _pack(_gaps(c[a:b]), np.packbits(n[a:b]))
 
 
+def _planes(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers byte plane by byte plane: the upper planes of small ones compress."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return planes.reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
+
+
 def _gaps(cells: np.ndarray) -> np.ndarray:
-    """Sorted places as the gaps between them, byte plane by byte plane: the upper planes compress."""
-    return np.diff(cells.astype(np.uint32), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.copy()
+    """Sorted places as the gaps between them."""
+    return _planes(np.diff(cells.astype(np.uint32), prepend=np.uint32(0)))
 
 
 def _places(planes: np.ndarray) -> np.ndarray:
-    return np.cumsum(planes.reshape(4, -1).T.copy().view(np.uint32).reshape(-1), dtype=np.uint32)
+    return np.cumsum(_whole(planes), dtype=np.uint32)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -135,51 +144,73 @@ def _unpack(data: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
-_CHUNKS = "chunk long, part long, doc_id long, text_key long, data binary"
-_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("data", pa.binary())])
+_CHUNKS = "chunk long, part long, data binary"
+_CHUNK_SCHEMA = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 #: The part of rows that hold documents.
 _TEXT = -1
 
 
-def _lists(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    """(chunk, part, data) as rows that name no document."""
-    none = pa.nulls(len(rows), pa.int64())
-    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), none, none, pa.array([r[2] for r in rows], pa.binary())], schema=_CHUNK_SCHEMA)
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(_CHUNK_SCHEMA.types)], schema=_CHUNK_SCHEMA)
 
 
-def chunked(docs: DataFrame, n: int, sketch: Sketch) -> DataFrame:
-    """The documents that have windows, each in a chunk, and the partial sketches of the chunks."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """The documents, some packed into each row, with the chunk they belong to."""
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def sent() -> pa.RecordBatch:
-            h, twice = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            return _lists([(chunk, part, data) for part, data in sketch.partial(h, twice)])
-
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         for batch, texts in batches(source):
-            w = _Windows(texts, n)
-            if not len(w.h):
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
+            data = b"".join(t or b"" for t in texts)
+            if not data:
                 continue
-            has = pa.array(np.unique(w.doc))
-            named = [batch.column(c).take(has) for c in ("doc_id", "text_key")]
-            yield pa.record_batch([pa.array(np.full(len(has), chunk)), pa.array(np.full(len(has), _TEXT)), *named, batch.column("text").cast(pa.binary()).take(has)], schema=_CHUNK_SCHEMA)
-            order = np.argsort(w.h, kind="stable")  # documents stay in order within a window
-            h, doc = w.h[order], w.doc[order]
-            starts, ends = runs(h)
-            held.append((h[starts], doc[starts] != doc[ends - 1]))
-            size += len(starts)
-            if size >= GATHERED:
-                yield sent()
-                chunk, held, size = chunk + 1, [], 0
-        if size:
-            yield sent()
+            sizes = np.array([len(t or b"") for t in texts], np.int64)
+            yield _batch([(chunk, _TEXT, _pack(ids, keys, sizes, np.frombuffer(data, np.uint8)))])
+            size += len(data)
+            if size >= CHUNK_BYTES:
+                chunk, size = chunk + 1, 0
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(made, _CHUNKS)
 
 
-def answered(chunks: DataFrame, sketch: Sketch) -> DataFrame:
+def _documents(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, text keys and texts of one row of chunked()."""
+    ids, keys, sizes, text = _unpack(data, np.int64, np.int64, np.int64, np.uint8)
+    ends = np.cumsum(sizes)
+    whole = text.tobytes()
+    return ids, keys, [whole[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+def sketched(chunks: DataFrame, n: int, sketch: Sketch) -> DataFrame:
+    """The partial sketches of the chunks, part by part."""
+
+    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, size = None, [], 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if size:
+                h, twice = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+                yield _batch([(chunk, part, data) for part, data in sketch.partial(h, twice)])
+
+        for batch in source:
+            for at, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                if at != chunk or size >= GATHERED:
+                    yield from sent()
+                    chunk, held, size = at, [], 0
+                w = _Windows(_documents(data.as_buffer())[2], n)
+                if len(w.h):
+                    order = np.argsort(w.h, kind="stable")  # documents stay in order within a window
+                    h, doc = w.h[order], w.doc[order]
+                    starts, ends = runs(h)
+                    held.append((h[starts], doc[starts] != doc[ends - 1]))
+                    size += len(starts)
+        yield from sent()
+
+    return chunks.mapInArrow(made, _CHUNKS)
+
+
+def answered(sketches: DataFrame, sketch: Sketch) -> DataFrame:
     """For each chunk and part, the cells of the chunk that were counted twice in all."""
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +222,7 @@ def answered(chunks: DataFrame, sketch: Sketch) -> DataFrame:
             for i in range(0, len(held), 256):
                 told = [(chunk, c[counts[c] > 1]) for chunk, c, _ in held[i : i + 256]]
                 if rows := [(chunk, part, _pack(_gaps(c))) for chunk, c in told if len(c)]:
-                    yield _lists(rows)
+                    yield _batch(rows)
             for _, c, _ in held:
                 counts[c] = 0
 
@@ -205,7 +236,7 @@ def answered(chunks: DataFrame, sketch: Sketch) -> DataFrame:
                 held.append((chunk, c, np.unpackbits(twice, count=len(c))))
         yield from done()
 
-    return chunks.where(F.col("part") != _TEXT).repartition("part").sortWithinPartitions("part").mapInArrow(made, _CHUNKS)
+    return sketches.repartition("part").sortWithinPartitions("part").mapInArrow(made, _CHUNKS)
 
 
 def estimated_repeated(h: np.ndarray, told: list[np.ndarray], sketch: Sketch) -> np.ndarray:
@@ -248,22 +279,20 @@ def _by_document(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.n
 def repeated_windows(chunks: DataFrame, answers: DataFrame, n: int, sketch: Sketch, parts: int) -> DataFrame:
     """(doc_id, text_key, spans): the starts of windows that a document with a smaller id has as well."""
 
-    def met(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    def met(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[np.ndarray]]]:
         """The documents of each chunk that got answers, with its cells counted twice; the answers come first."""
         chunk, lists, told = None, [[] for _ in range(ROWS)], None
         for batch in source:
-            keys = np.stack([batch.column("chunk").to_numpy(), batch.column("part").to_numpy() == _TEXT], 1)
-            for a, b in zip(*(x.tolist() for x in runs(keys[:, 0], keys[:, 1])), strict=True):
-                if keys[a, 0] != chunk:
-                    chunk, lists, told = keys[a, 0], [[] for _ in range(ROWS)], None
-                if keys[a, 1]:
+            for at, part, data in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                if at != chunk:
+                    chunk, lists, told = at, [[] for _ in range(ROWS)], None
+                if part == _TEXT:
                     told = told or [np.sort(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in lists]
                     if all(map(len, told)):
-                        yield batch.slice(a, b - a), told
-                    continue
-                for part, data in zip(batch.column("part").slice(a, b - a).to_pylist(), batch.column("data").slice(a, b - a).to_pylist(), strict=True):
+                        yield data.as_buffer(), told
+                else:
                     row, part = divmod(part, sketch.parts)
-                    lists[row].append(_places(_unpack(data, np.uint8)[0]).astype(np.uint64) | (np.uint64(part) << np.uint64(32)))
+                    lists[row].append(_places(_unpack(data.as_buffer(), np.uint8)[0]).astype(np.uint64) | (np.uint64(part) << np.uint64(32)))
 
     def mapped(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -275,7 +304,7 @@ def repeated_windows(chunks: DataFrame, answers: DataFrame, n: int, sketch: Sket
             h, check, place = (np.concatenate([x[i] for x in held]) for i in (2, 3, 5))
             doc = np.concatenate([x[4] + b for x, b in zip(held, base[:-1], strict=True)])
             later = _settled(h, check, ids[doc])
-            rows = [(parts + int(k % SPREAD), i, k, data) for i, k, data in _by_document(ids, keys, doc[later], place[later])]
+            rows = [(parts + (i + k) % SPREAD, i, k, data) for i, k, data in _by_document(ids, keys, doc[later], place[later])]
             at = np.flatnonzero(~later)
             part = (h[at] % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -283,21 +312,20 @@ def repeated_windows(chunks: DataFrame, answers: DataFrame, n: int, sketch: Sket
             for a, b in zip(*(x.tolist() for x in runs(part)), strict=True):
                 x = at[a:b]
                 names, local = np.unique(doc[x], return_inverse=True)
-                rows.append((int(part[a]), None, None, _pack(ids[names], keys[names], h[x], check[x], local.astype(np.uint32), place[x])))
+                rows.append((int(part[a]), None, None, _pack(ids[names], keys[names], h[x], check[x], _planes(local), _planes(place[x]))))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SENT_SCHEMA.types, strict=True)], schema=_SENT_SCHEMA) if rows else pa.RecordBatch.from_pylist([], schema=_SENT_SCHEMA)
 
-        for run, told in met(source):
-            for batch, texts in batches(iter([run]), "data"):
-                w = _Windows(texts, n)
-                keep = estimated_repeated(w.h, told, sketch)
-                if not len(keep):
-                    continue
-                ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
-                held.append((ids, keys, w.h[keep], w.check(keep), w.doc[keep], w.place[keep]))
-                size += len(keep)
-                if size >= GATHERED // 2:
-                    yield from sent()
-                    held, size = [], 0
+        for data, told in met(source):
+            ids, keys, texts = _documents(data)
+            w = _Windows(texts, n)
+            keep = estimated_repeated(w.h, told, sketch)
+            if not len(keep):
+                continue
+            held.append((ids, keys, w.h[keep], w.check(keep), w.doc[keep], w.place[keep]))
+            size += len(keep)
+            if size >= GATHERED // 2:
+                yield from sent()
+                held, size = [], 0
         if size:
             yield from sent()
 
@@ -325,10 +353,11 @@ def repeated_windows(chunks: DataFrame, answers: DataFrame, n: int, sketch: Sket
                 if at != part:
                     yield from done()
                     part, held = at, []
-                held.append(_unpack(open_rows.column("data")[i].as_buffer(), np.int64, np.int64, np.uint64, np.uint32, np.uint32, np.uint32))
+                *held_, local, place = _unpack(open_rows.column("data")[i].as_buffer(), np.int64, np.int64, np.uint64, np.uint32, np.uint8, np.uint8)
+                held.append((*held_, _whole(local), _whole(place)))
         yield from done()
 
-    rows = answers.unionByName(chunks.where(F.col("part") == _TEXT)).withColumn("_text", F.col("part") == _TEXT)
+    rows = answers.unionByName(chunks).withColumn("_text", F.col("part") == _TEXT)
     rows = rows.repartition("chunk").sortWithinPartitions("chunk", "_text").drop("_text")
     return rows.mapInArrow(mapped, _SENT).repartition("part").sortWithinPartitions("part").mapInArrow(reduced, "doc_id long, text_key long, spans binary")
 
@@ -339,8 +368,8 @@ def found_spans(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = max(size // 6, 1)  # windows: words of five letters and a space
     sketch = Sketch.of(spark, expected)
-    chunks = staged(chunked(docs, n, sketch), "windows")
-    found = repeated_windows(chunks, answered(chunks, sketch), n, sketch, parts_for(spark, expected, PART, LEAST_PART))
+    chunks = staged(chunked(docs), "chunks")
+    found = repeated_windows(chunks, answered(sketched(chunks, n, sketch), sketch), n, sketch, parts_for(spark, expected, PART, LEAST_PART))
     spans = ranged(found, 1)
     discarded(chunks)
     return spans
