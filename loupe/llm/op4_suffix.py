@@ -270,12 +270,12 @@ def _exchanged(
             held.clear()
             e, later, _ = joined.settled()
             gone = e.take(later)
-            rows = [(-1 - key % SPREAD, _SPANS, i, key, data) for i, key, data in _rows(gone, *strings(gone))]
+            rows = [(-1 - (i + key) % SPREAD, _SPANS, i, key, data) for i, key, data in _rows(gone, *strings(gone))]
             e = e.take(~later)
             if hot is not None:
                 out = np.isin(e.h, hot)
                 aside = e.take(out)
-                rows += [(-1 - key % SPREAD, _HOT, i, key, data) for i, key, data in _rows(aside, aside.at)]
+                rows += [(-1 - (i + key) % SPREAD, _HOT, i, key, data) for i, key, data in _rows(aside, aside.at)]
                 e = e.take(~out)
             rows += _dealt(e, deal(e))
             return _batch(rows)
