@@ -2,16 +2,17 @@
 
 All DataFrame expressions. The benchmark's windows of ``n`` words (an item with
 fewer words is one window of its own length) form a hash set, broadcast after a
-check of its size; a larger set meets the documents' windows through a shuffle
-instead. Documents are cut into overlapping chunks of words before windows are
+check of its size, items included; a larger set meets the probes through a shuffle
+instead, without texts, and only the chunks that it may hit are looked up to verify
+them. Documents are cut into overlapping chunks of words before windows are
 made, so a row's memory doesn't grow with a document. The set is probed with a
 hash of three words of a window, and each hit verified by the equality of the
 whole window; then spans or documents are removed.
 
 Defined results: null and empty texts have no words and no hits; rows with the
 same id and text give the same result each; a null ``doc_id`` is an id like any
-other; an empty benchmark or an item without words hits nothing. Other columns
-are kept by ``decontaminated`` and ignored by ``contamination``.
+other; an empty benchmark or an item without words hits nothing; items that share a
+window are all named; a long text is cut into chunks first. Other columns are kept by ``decontaminated`` and ignored by ``contamination``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.llm.common import table, unwrapped, wrapped
+from loupe.llm.common import staged, table, unwrapped, wrapped
 
 #: What stands between words, once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,7 +30,7 @@ WORDS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a chunk that start windows.
 CHUNK = 512
-#: Largest hash set, in bytes of its strings and 64 a row, that is broadcast.
+#: Largest hash set, in bytes of its windows and item ids and 64 a row, that is broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -68,8 +69,9 @@ def _key(docs: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
     """For each document with a hit: doc_id, _text_key, spans (start, end; sorted), items."""
-    grams = benchmark_grams(benchmark, n)
-    size = grams.groupBy("length").agg(F.sum(F.length("gram") + 64).alias("bytes")).collect()  # n rows at most
+    grams = staged(benchmark_grams(benchmark, n), "grams")
+    weight = F.octet_length("gram") + 64 + F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
+    size = grams.groupBy("length").agg(F.sum(weight).alias("bytes")).collect()  # n rows at most
     lengths = sorted(r["length"] for r in size)
     words = _key(docs.select("doc_id", "text")).select("doc_id", "_text_key", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / CHUNK).cast("int")), lambda i: F.struct((i * CHUNK).alias("at"), F.slice("w", i * CHUNK + 1, CHUNK + n - 1).alias("w")))
@@ -81,12 +83,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
         return F.struct(F.lit(k).alias("length"), F.when(starts >= 1, made).otherwise(F.array().cast("array<bigint>")).alias("probes"))
 
     sets = F.array(*(probes(k) for k in lengths)) if lengths else F.array().cast("array<struct<length:int,probes:array<bigint>>>")
-    seen = chunks.select("doc_id", "_text_key", "at", "w", F.explode(sets).alias("s")).select("doc_id", "_text_key", "at", "w", F.col("s.length").alias("k"), F.posexplode("s.probes").alias("place", "probe"))
     grams = grams.withColumn("probe", _probe(F.split("gram", " ", -1), F.lit(0), F.col("length")))
-    grams = F.broadcast(grams) if sum(r["bytes"] for r in size) <= BROADCAST_BYTES else grams
     window = F.concat_ws(" ", F.slice("w", F.col("place") + 1, F.col("k")))
     # between, as an equality would become a join key and be computed for every window
-    found = seen.join(grams, "probe").where((F.col("k") == F.col("length")) & F.col("gram").between(window, window))
+    same = (F.col("k") == F.col("length")) & F.col("gram").between(window, window)
+    if sum(r["bytes"] for r in size) <= BROADCAST_BYTES:
+        seen = chunks.select("doc_id", "_text_key", "at", "w", F.explode(sets).alias("s")).select("doc_id", "_text_key", "at", "w", F.col("s.length").alias("k"), F.posexplode("s.probes").alias("place", "probe"))
+        found = seen.join(F.broadcast(grams), "probe").where(same)
+    else:
+        seen = chunks.select("doc_id", "_text_key", "at", F.explode(sets).alias("s")).select("doc_id", "_text_key", "at", F.col("s.length").alias("k"), F.posexplode("s.probes").alias("place", "probe"))
+        likely = seen.join(grams.drop("items"), "probe").where("k = length").select(F.col("doc_id").alias("_doc"), F.col("_text_key").alias("_key"), F.col("at").alias("_at"), "k", "place", "gram", "length").distinct()
+        met = chunks.join(likely, chunks["doc_id"].eqNullSafe(likely["_doc"]) & (chunks["_text_key"] == likely["_key"]) & (chunks["at"] == likely["_at"]))
+        found = met.where(same).select("doc_id", "_text_key", "at", "place", "gram", "length").join(grams.select("gram", "length", "items"), ["gram", "length"])
     found = found.select("doc_id", "_text_key", (F.col("at") + F.col("place")).alias("start"), "length", "items")
     return (
         found
