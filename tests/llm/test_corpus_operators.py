@@ -139,12 +139,14 @@ def contaminated(text, items, n=13):
     return len(w), len(hit), sorted(ids)
 
 
-def test_contamination(spark, docs_of, texts):
+@pytest.mark.parametrize("limit", [op3_decontaminate.BROADCAST_BYTES, 0])
+def test_contamination(spark, docs_of, texts, monkeypatch, limit):
+    monkeypatch.setattr(op3_decontaminate, "BROADCAST_BYTES", limit)
     passage = texts[-20][1]
     items = [(1, " ".join(passage.split()[25:50])), (2, "One  TWO"), (3, None), (4, "..."), (10, passage.upper())]
     items += [(5, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = [*plain(texts), (500, "see one, two. One two!"), (501, "x " * 700 + items[0][1])]
+    rows = [*plain(texts), (500, "see one, two. One two!"), (501, "x " * 700 + items[0][1]), (502, "y " * 20_000 + items[0][1] + " z" * 600)]
     got = {r["doc_id"]: r for r in op3_decontaminate.contamination(docs_of(rows), bench).collect()}
     for i, t in rows:
         n, hit, ids = contaminated(t, items)
@@ -315,6 +317,7 @@ def test_substrings(docs_of, texts, monkeypatch, small):
     if small:  # many parts, many chunks, and spans that meet their texts through a shuffle
         monkeypatch.setattr(op6_substring, "SKETCH_PART", 512)
         monkeypatch.setattr(op6_substring, "GATHERED", 256)
+        monkeypatch.setattr(op6_substring, "CHUNK_BYTES", 1000)
         monkeypatch.setattr(op6_substring, "PART", 512)
         monkeypatch.setattr(spans, "BROADCAST_BYTES", 0)
     rng = random.Random(61)
@@ -342,28 +345,29 @@ def test_few_unique_windows_pass_at_any_size(spark, docs_of, monkeypatch, n_docs
     from loupe.llm.common import staged
 
     monkeypatch.setattr(op6_substring, "SKETCH_PART", 1024)
-    monkeypatch.setattr(op6_substring, "GATHERED", 2048)
+    monkeypatch.setattr(op6_substring, "CHUNK_BYTES", 4000)
     rng = random.Random(62)
     say = lambda n: " ".join(str(rng.randrange(10_000)) for _ in range(n))
     shared = say(40)
     docs = docs_of([(i, say(60) + (" " + shared if i % 10 == 0 else "")) for i in range(n_docs)]).select("doc_id", "text")
     sketch = op6_substring.Sketch.of(spark, n_docs * 55)
     assert sketch.parts >= n_docs * 55 // 1024
-    chunks = staged(op6_substring.chunked(docs, 13, sketch), "test-windows")
+    chunks = staged(op6_substring.chunked(docs), "test-windows")
     lists = defaultdict(lambda: [[] for _ in range(op6_substring.ROWS)])
-    for r in op6_substring.answered(chunks, sketch).collect():
+    for r in op6_substring.answered(op6_substring.sketched(chunks, 13, sketch), sketch).collect():
         row, part = divmod(r["part"], sketch.parts)
         lists[r["chunk"]][row].append(op6_substring._places(op6_substring._unpack(bytes(r["data"]), np.uint8)[0]).astype(np.uint64) | np.uint64(part << 32))
     held = Counter(g for r in docs.collect() for g in set(word_windows(r["text"])))
     unique = passed = 0
-    for r in chunks.where("part = -1").collect():
-        text = bytes(r["data"]).decode()
+    for r in chunks.collect():
         told = [np.sort(np.concatenate(x)) if x else np.empty(0, np.uint64) for x in lists[r["chunk"]]]
-        kept = set(op6_substring.estimated_repeated(op6_substring._Windows([text.encode()], 13).h, told, sketch).tolist())
-        for k, g in enumerate(word_windows(text)):
-            assert held[g] == 1 or k in kept
-            unique += held[g] == 1
-            passed += held[g] == 1 and k in kept
+        w = op6_substring._Windows(texts := op6_substring._documents(bytes(r["data"]))[2], 13)
+        kept = set(op6_substring.estimated_repeated(w.h, told, sketch).tolist())
+        for k, (doc, place) in enumerate(zip(w.doc.tolist(), w.place.tolist(), strict=True)):
+            alone = held[word_windows(texts[doc].decode())[place]] == 1
+            assert alone or k in kept
+            unique += alone
+            passed += alone and k in kept
     assert passed < 0.1 * unique
 
 
@@ -424,7 +428,9 @@ def test_long_texts_are_cut_where_no_token_is():
 # -- 9
 
 
-def test_warc_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [op9_warc.BROADCAST_ROWS, 0])
+def test_warc_round_trip(spark, monkeypatch, limit):
+    monkeypatch.setattr(op9_warc, "BROADCAST_ROWS", limit)
     big = "<p>" + "ü" * 700_000
     rows = [(1, "http://a/ö%\r\n", "<a>"), (2, None, "<a>"), (3, "u", None), (4, "u", ""), (5, "u", big), (6, "u", big), (None, "n", "<a>"), (None, "n", "alone"), (8, "u", "WARC/1.1\r\n\r\n"), (8, "u", "WARC/1.1\r\n\r\n")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, data string").repartition(3)
@@ -439,7 +445,9 @@ def test_warc_round_trip(spark, monkeypatch):
         if kind == "response" and page is not None:
             assert data == (html[page] or "").encode()
         assert page != 1 or url == rows[0][1]
-    got = Counter(tuple(r) for r in op9_warc.read_records(archives).collect())
+    records = op9_warc.read_records(archives)
+    assert records.where("error is not null or (record_type = 'response' and not digest_ok)").count() == 0
+    got = Counter(tuple(r) for r in records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
     import base64
 
     digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
@@ -456,6 +464,41 @@ def test_warc_round_trip(spark, monkeypatch):
     assert op9_warc.read_records(op9_warc.write_archives(op9_warc.decided(pages.limit(0)))).count() == 0
 
 
+def test_foreign_archives(spark):
+    import base64
+    import gzip
+
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    record = lambda *lines, block: "\r\n".join(["WARC/1.0", *lines, f"content-LENGTH: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    body = b"<html>" + b"x" * 300_000
+    http = b"HTTP/1.1 200 OK\r\nServer: a\r\nX-Long: " + b"h" * 500 + b"\r\n\r\n"
+    info = record("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/warc-fields", block=b"software: x\r\n")
+    request = record("warc-type: request", "warc-record-id: <urn:uuid:2>", "content-type: application/http; msgtype=request", block=b"GET / HTTP/1.1\r\nHost: a\r\n\r\n")
+    good = record("Warc-Type: response", "WARC-Record-ID: <urn:uuid:3>", "WARC-Target-URI: <http://a/%20>", f"warc-payload-digest:", f" SHA1:{sha(body)}", "Content-Type: application/http; msgtype=response", block=http + body)
+    wrong = record("WARC-Type: response", "WARC-Record-ID: <urn:uuid:4>", f"WARC-Payload-Digest: sha1:{sha(b'no')}", "Content-Type: application/http", block=http + body)
+    plain_ = record("WARC-Type: conversion", "WARC-Record-ID: <urn:uuid:5>", "Content-Type: text/plain", block=b"a\n\nb")
+    files = {
+        "plain": info + request + good + wrong + plain_,
+        "gzip": b"".join(gzip.compress(x) for x in (info, request, good, wrong, plain_)),
+        "cut": info + good[:-1000],
+        "cut-gzip": gzip.compress(info) + gzip.compress(good)[:-300],
+        "bad-gzip": gzip.compress(info) + b"\x1f\x8b\x08\x00" + b"\xff" * 40,
+        "junk": info + b"no record\r\n\r\n" + info,
+        "empty": b"",
+    }
+    rows = [(name, i // 1000, data[i : i + 1000], "clash") for name, data in files.items() for i in range(0, max(len(data), 1), 1000)]
+    archives = spark.createDataFrame(rows, "archive string, chunk long, data binary, url string").repartition(4)
+    got = defaultdict(list)
+    for r in op9_warc.read_records(archives).orderBy("archive", "record").collect():
+        got[r["archive"]].append(r)
+    for name in ("plain", "gzip"):
+        assert [(r["record_type"], r["payload_bytes"], r["digest_ok"], r["error"]) for r in got[name]] == [("warcinfo", 13, None, None), ("request", 0, None, None), ("response", len(body), True, None), ("response", len(body), False, None), ("conversion", 4, None, None)]
+        assert got[name][2]["url"] == "http://a/%20" and got[name][2]["payload_digest"] == sha(body)
+    for name in ("cut", "cut-gzip", "bad-gzip", "junk"):
+        assert [r["error"] is None for r in got[name]] == [True, False]
+    assert "empty" not in got
+
+
 # -- 10
 
 
