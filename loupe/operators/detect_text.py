@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loupe.functions.passes import parsed
 from loupe.registry import query
 from loupe.sources.artifacts import PLANTED, planted, table
 
@@ -36,101 +40,66 @@ _HINT = r"(?i)co-authored-by|generated|written|created|https?://"
 _SUSPICIOUS = r"[\p{Cc}\p{Cf}\p{Z}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}&&[^ \t\n\r]]"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """(offset, match) of every match, by the lengths of what lies between matches.
-
-    The end of the text matches as well, or what follows the last match would be
-    scanned once for each of its characters.
-    """
-    found = rf"(?s)(.*?)({pattern}|\z)"
-    before, hit = F.regexp_extract_all(text, F.lit(found), F.lit(1)), F.regexp_extract_all(text, F.lit(found), F.lit(2))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,match:string>>").alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x["b"]) + F.length(x["h"])).alias("at"),
-        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["b"])).alias("offset"), x["h"].alias("match")))).alias("out"),
-    )
-    return F.aggregate(F.arrays_zip(before.alias("b"), hit.alias("h")), start, step, lambda a: F.filter(a["out"], lambda m: m["match"] != ""))
-
-
-def line_of(text: Column, offset: Column) -> Column:
-    head = F.substr(text, F.lit(1), offset)
-    return (F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1).cast("int")
-
+def _unicode_rows(text: str | None) -> Iterator[tuple]:
+    from loupe.detection.model import Artifact
+    from loupe.detection.text import UNUSUAL, classified
 
-def column_of(text: Column, offset: Column) -> Column:
-    head = F.substr(text, F.lit(1), offset)
-    return (F.length(F.substring_index(head, "\n", -1)) + 1).cast("int")
+    a = Artifact("", "text", text or "", None)
+    for m in UNUSUAL.finditer(a.string):
+        if found := classified(m[0], m.start()):
+            kind, severity = found
+            place = a.place(m.start())
+            yield "invisible_unicode" if kind in INVISIBLE_CLASSES else "suspicious_unicode", severity, kind, f"U+{ord(m[0]):04X}", m.start(), place["line"], place["column"], ord(m[0]) in REMOVABLE
 
 
 def unicode_findings(artifacts: DataFrame) -> DataFrame:
     """Each unusual character, classified in order of precedence.
 
-    Texts without one are dropped by a scan before any is taken apart.
+    Texts without one are dropped by a scan before any is taken apart; the others are read once, and places are
+    found by binary search over their lines.
     """
-    hit = artifacts.where(F.col("text").rlike(_SUSPICIOUS)).select("artifact_path", "text", F.explode(located(F.col("text"), _SUSPICIOUS)).alias("m"))
-    code = F.ascii("m.match")
-    named = F.create_map(*(x for k, (c, s) in NAMED.items() for x in (F.lit(k), F.struct(F.lit(c).alias("safety_class"), F.lit(s).alias("severity")))))
-    kind = lambda c, s: F.struct(F.lit(c).alias("safety_class"), F.lit(s).alias("severity"))
-    judged = (
-        F.when((code == 0xFEFF) & (F.col("m.offset") == 0), kind("safe", "info"))
-        .when(code.isin(*BIDI_CONTROLS), kind("control", "medium"))
-        .when(code.between(0xFE00, 0xFE0F) | code.between(0xE0100, 0xE01EF), kind("language_dependent", "info"))
-        .when(code.isin(*NAMED), F.element_at(named, code))
-        .when(F.col("m.match").rlike(r"\p{Cc}"), kind("control", "medium"))
-        .when(F.col("m.match").rlike(r"\p{Cf}"), kind("suspicious", "low"))
-        .otherwise(kind("typographic", "info"))
-    )
-    return hit.withColumn("k", judged).select(
-        "artifact_path",
-        F.when(F.col("k.safety_class").isin(*INVISIBLE_CLASSES), "invisible_unicode").otherwise("suspicious_unicode").alias("category"),
-        "k.severity",
-        "k.safety_class",
-        F.concat(F.lit("U+"), F.when(F.length(F.hex(code)) < 4, F.lpad(F.hex(code), 4, "0")).otherwise(F.hex(code))).alias("code_point"),
-        F.col("m.offset").alias("offset"),
-        line_of(F.col("text"), F.col("m.offset")).alias("line"),
-        column_of(F.col("text"), F.col("m.offset")).alias("col"),
-        code.isin(*REMOVABLE).alias("removable"),
-    )
+    hit = artifacts.where(F.col("text").rlike(_SUSPICIOUS))
+    return parsed(hit, "text", _unicode_rows, "category string, severity string, safety_class string, code_point string, offset int, line int, col int, removable boolean").drop("error")
+
+
+def _whitespace_rows(text: str | None) -> Iterator[tuple]:
+    from loupe.detection.model import Artifact
+
+    a = Artifact("", "text", text or "", None)
+    for name, pattern in WHITESPACE:
+        yield from ((name, m.start(), m.end() - m.start(), a.place(m.start())["line"]) for m in re.finditer(pattern, a.string))
 
 
 def whitespace_findings(artifacts: DataFrame) -> DataFrame:
     """Long runs of blanks inside a line, and four or more line breaks in a row."""
-    each = F.concat(*(F.transform(located(F.col("text"), p), _tagged(name)) for name, p in WHITESPACE))
-    hit = artifacts.where(F.col("text").rlike(r"[ \t]{8}|\n[ \t\r\n]*\n")).select("artifact_path", "text", F.explode(each).alias("m"))
-    return hit.select("artifact_path", F.col("m.pattern").alias("pattern"), F.col("m.offset").alias("offset"), F.length("m.match").alias("length"), line_of(F.col("text"), F.col("m.offset")).alias("line"))
+    hit = artifacts.where(F.col("text").rlike(r"[ \t]{8}|\n[ \t\r\n]*\n"))
+    return parsed(hit, "text", _whitespace_rows, "pattern string, offset int, length int, line int").drop("error")
 
 
-def _tagged(name: str):
-    return lambda m: F.struct(F.lit(name).alias("pattern"), m["offset"].alias("offset"), m["match"].alias("match"))
+def _attribution_rows(context: str) -> Callable[[str | None], Iterator[tuple]]:
+    def rows(text: str | None) -> Iterator[tuple]:
+        from loupe.detection.model import Artifact, attributions, standalone
+
+        a = Artifact("", "text", text or "", None)
+        for rule, provider, confidence, m in attributions(a.string, context):
+            start, _ = a.line_span(m.start())
+            stop = a.string.find("\n", m.end())
+            line = a.string[start : len(a.string) if stop < 0 else stop]
+            yield rule, provider, confidence, m.start(), a.place(m.start())["line"], m[0], standalone(line, m.start() - start, m.end() - start)
+
+    return rows
 
 
 def attribution_findings(artifacts: DataFrame, context: str = TEXT_CONTEXT) -> DataFrame:
     """Literal attributions by the rules of a context; removable where the line holds nothing else."""
-
-    def of(rule: str, provider: str, confidence: float, pattern: str) -> Column:
-        return F.transform(located(F.col("text"), f"(?i:{pattern})"), lambda m: F.struct(F.lit(rule).alias("rule_id"), F.lit(provider).alias("provider"), F.lit(confidence).alias("confidence"), m["offset"].alias("offset"), m["match"].alias("match")))
-
-    each = F.concat(*(of(r, p, c, pattern) for r, p, c, contexts, pattern in RULES if context in contexts))
-    hit = artifacts.where(F.col("text").rlike(_HINT)).select("artifact_path", "text", F.explode(each).alias("m")).select("artifact_path", "text", "m.*")
-    head = F.substr("text", F.lit(1), F.col("offset"))
-    before = F.substring_index(head, "\n", -1)
-    after = F.substring_index(F.substr("text", F.col("offset") + F.length("match") + 1), "\n", 1)
-    return hit.select(
-        "artifact_path",
-        "rule_id",
-        "provider",
-        "confidence",
-        "offset",
-        line_of(F.col("text"), F.col("offset")).alias("line"),
-        "match",
-        (~F.concat(before, after).rlike(r"[\p{L}\p{N}]")).alias("standalone"),
-    )
+    hit = artifacts.where(F.col("text").rlike(_HINT))
+    return parsed(hit, "text", _attribution_rows(context), "rule_id string, provider string, confidence double, offset int, line int, match string, standalone boolean").drop("error")
 
 
-@query(
-    "unicode_findings",
-    f"""
-    WITH a AS ({PLANTED}),
+def unicode_sql(source: str) -> str:
+    """The unusual characters of (artifact_path, text), for DuckDB."""
+    return f"""
+    WITH a AS ({source}),
     c AS (SELECT artifact_path, text, i - 1 AS o, substr(text, i, 1) AS ch, unicode(substr(text, i, 1)) AS u FROM (SELECT artifact_path, text, unnest(range(1, length(text) + 1)) AS i FROM a WHERE regexp_matches(text, '[^\\x20-\\x7e\\t\\n\\r]'))),
     s AS (SELECT *, CASE
         WHEN u = 65279 AND o = 0 THEN 'safe'
@@ -142,12 +111,18 @@ def attribution_findings(artifacts: DataFrame, context: str = TEXT_CONTEXT) -> D
     SELECT artifact_path, CASE WHEN safety_class IN ('invisible', 'language_dependent', 'typographic') THEN 'invisible_unicode' ELSE 'suspicious_unicode' END AS category,
       CASE WHEN safety_class = 'control' THEN 'medium' WHEN safety_class IN ('invisible', 'suspicious') OR u IN (160, 8239) THEN 'low' ELSE 'info' END AS severity,
       safety_class, 'U+' || lpad(upper(to_hex(u)), CAST(greatest(4, length(to_hex(u))) AS INT), '0') AS code_point, CAST(o AS INT) AS "offset",
-      CAST(length(substr(text, 1, o)) - length(replace(substr(text, 1, o), chr(10), '')) + 1 AS INT) AS line,
-      CAST(o - coalesce(length(substr(text, 1, o)) - instr(reverse(substr(text, 1, o)), chr(10)) + 1, 0) * CASE WHEN contains(substr(text, 1, o), chr(10)) THEN 1 ELSE 0 END + 1 AS INT) AS col,
-      u IN (8203, 8288) AS removable
+      {place_sql("text", "o")[0]} AS line, {place_sql("text", "o")[1]} AS col, u IN (8203, 8288) AS removable
     FROM s WHERE safety_class IS NOT NULL
-    """,
-)
+    """
+
+
+def place_sql(text: str, offset: str) -> tuple[str, str]:
+    """Line and column of an offset, for DuckDB."""
+    head = f"substr({text}, 1, {offset})"
+    return f"CAST(length({head}) - length(replace({head}, chr(10), '')) + 1 AS INT)", f"CAST({offset} - coalesce(length({head}) - instr(reverse({head}), chr(10)) + 1, 0) * CASE WHEN contains({head}, chr(10)) THEN 1 ELSE 0 END + 1 AS INT)"
+
+
+@query("unicode_findings", unicode_sql(PLANTED))
 def q_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unicode_findings(planted(spark, sf_dir))
 
@@ -182,7 +157,7 @@ def q_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitespace_findings(planted(spark, sf_dir))
 
 
-def _attribution_sql(source: str, context: str) -> str:
+def attribution_sql(source: str, context: str) -> str:
     """The rules of a context over (artifact_path, text), for DuckDB."""
     parts = []
     for rule, provider, confidence, contexts, pattern in RULES:
@@ -199,7 +174,7 @@ def _attribution_sql(source: str, context: str) -> str:
     """
 
 
-@query("attribution_findings", _attribution_sql(PLANTED, TEXT_CONTEXT))
+@query("attribution_findings", attribution_sql(PLANTED, TEXT_CONTEXT))
 def q_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution_findings(planted(spark, sf_dir))
 
@@ -217,7 +192,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("commit/"), "conv_id", F.lit("/"), "turn").alias("artifact_path"), F.concat(F.coalesce("text", F.lit("")), trailer, note).alias("text"))
 
 
-@query("git_attribution", f"SELECT artifact_path, rule_id, provider, line, false AS removable, 'git.rewrite-history' AS remediation_id FROM ({_attribution_sql(COMMITS, GIT_COMMIT)})")
+@query("git_attribution", f"SELECT artifact_path, rule_id, provider, line, false AS removable, 'git.rewrite-history' AS remediation_id FROM ({attribution_sql(COMMITS, GIT_COMMIT)})")
 def q_git(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = attribution_findings(commits(spark, sf_dir), GIT_COMMIT)
     return found.select("artifact_path", "rule_id", "provider", "line", F.lit(False).alias("removable"), F.lit("git.rewrite-history").alias("remediation_id"))

@@ -16,13 +16,13 @@ import xml.parsers.expat
 import zipfile
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loupe.functions.passes import parsed, problems
 from loupe.operators.detect_text import COMMENT, HTML_COMMENT, METADATA, PROTECTED_MARKERS, RULES
 from loupe.registry import query
 from loupe.sources.artifacts import table
@@ -30,7 +30,7 @@ from loupe.sources.artifacts import table
 # Budgets, elements without content, and where containers keep what they tell.
 MAX_EVENTS, MAX_DEPTH, MAX_PARTS, MAX_INFLATED, MAX_RATIO = 100_000, 512, 10_000, 64 << 20, 200
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-RIFF_INFO = {"IART": "artist", "ICMT": "comment", "ICOP": "copyright", "ICRD": "created", "IENG": "engineer", "IGNR": "genre", "IKEY": "keywords", "INAM": "title", "IPRD": "product", "ISFT": "software", "ISRC": "source"}
+RIFF_INFO = {"IART": "artist", "ICMT": "comment", "ICOP": "copyright", "ICRD": "creation_date", "IENG": "engineer", "IGNR": "genre", "INAM": "title", "IPRD": "product", "ISBJ": "subject", "ISFT": "software", "ISRC": "source"}
 ID3V22 = {"TT2": "TIT2", "TP1": "TPE1", "TP2": "TPE2", "TAL": "TALB", "TCM": "TCOM", "TCR": "TCOP", "TEN": "TENC", "TSS": "TSSE", "COM": "COMM", "TXX": "TXXX"}
 ATOMS = {"©nam": "title", "©ART": "artist", "aART": "album_artist", "©wrt": "composer", "©cmt": "comment", "©cpy": "copyright", "©day": "creation_date", "©too": "encoder_software"}
 XMP_UUID = bytes.fromhex("be7acfcb97a942e89c71999491e3afac")
@@ -44,30 +44,6 @@ RENDERING = ("Orientation", "XResolution", "YResolution", "ResolutionUnit", "Col
 PDF_INFO = ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "ModDate")
 
 
-def parsed(artifacts: DataFrame, column: str, parse: Callable[[object], Iterator[tuple]], schema: str) -> DataFrame:
-    """(artifact_path, ...): the rows that ``parse`` makes of each artifact's ``column``; an error is a row with its name."""
-    names = ["artifact_path", *(part.split()[0] for part in schema.split(", ")), "error"]
-
-    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            rows = []
-            for path, value in zip(batch.column("artifact_path"), batch.column(column), strict=True):
-                path = path.as_py()
-                try:
-                    rows += [(path, *r, None) for r in parse(value.as_py())]
-                except Exception as e:  # an artifact that can't be read is a finding, not a failed scan
-                    rows.append((path, *[None] * (len(names) - 2), type(e).__name__))
-                if len(rows) > 10_000:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
-                    rows = []
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
-
-    full = "artifact_path string, " + schema + ", error string"
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
-    arrow = pa.schema([(p.split()[0], kinds[p.split()[1]]) for p in full.split(", ")])
-    return artifacts.select("artifact_path", column).mapInArrow(made, full)
-
-
 # -- HTML
 
 
@@ -91,9 +67,15 @@ class _Events(HTMLParser):
         self._add("comment", None, None, data)
 
 
+MAX_UNCLOSED_WORK = 150_000_000
+
+
 def _html_events(text: str | None) -> Iterator[tuple]:
+    text = text or ""
+    if sum(">" not in piece for piece in text.split("<")[1:]) * len(text) > MAX_UNCLOSED_WORK:
+        raise OverflowError("unclosed tags")
     p = _Events()
-    p.feed(text or "")
+    p.feed(text)
     p.close()
     return iter(p.rows)
 
@@ -112,23 +94,33 @@ def _rule_hits(text_column: str, context: str):
     return out
 
 
+def _alone(text_column: str, context: str):
+    """Whether nothing but signs and white space stands beside an attribution of a context."""
+    out = F.lit(False)
+    for _, _, _, contexts, pattern in RULES:
+        if context in contexts:
+            whole = f"(?i:{pattern})"
+            out = out | (F.col(text_column).rlike(whole) & ~F.regexp_replace(text_column, whole, "").rlike(r"[\p{L}\p{N}]"))
+    return out
+
+
 def html_findings(events: DataFrame) -> DataFrame:
-    """Generator metadata, hidden elements, scripts, data URIs and attributed comments."""
+    """Generator metadata, hidden elements with all their reasons, scripts, data URIs and attributed comments.
+
+    Pages that couldn't be read are in ``problems`` of the same events.
+    """
     e = events.where("error is null")
     starts = e.where("kind = 'start' AND tag = 'script'").select("artifact_path", "line", F.lit("security_issue").alias("category"), F.lit("script").alias("detail"), F.lit(False).alias("removable"))
     attrs = e.where("kind = 'attribute'")
     tidy = F.lower(F.replace("value", F.lit(" "), F.lit("")))
-    reason = (
-        F.when(F.col("name") == "hidden", "hidden attribute")
-        .when((F.col("name") == "style") & tidy.contains("display:none"), "display:none")
-        .when((F.col("name") == "style") & tidy.contains("visibility:hidden"), "visibility:hidden")
-        .when((F.col("name") == "style") & tidy.contains("opacity:0"), "zero opacity")
-    )
-    hidden = attrs.withColumn("detail", reason).where("detail is not null").select("artifact_path", "line", F.lit("hidden_element").alias("category"), "detail", F.lit(False).alias("removable"))
+    styled = lambda sign: F.max((F.col("name") == "style") & tidy.contains(sign))
+    reasons = F.array_compact(F.array(F.when(F.max(F.col("name") == "hidden"), "hidden attribute"), F.when(styled("display:none"), "display:none"), F.when(styled("visibility:hidden"), "visibility:hidden"), F.when(styled("opacity:0"), "zero opacity")))
+    hidden = attrs.where("name IN ('hidden', 'style')").groupBy("artifact_path", "line", "col").agg(F.array_join(reasons, ", ").alias("detail")).where("detail <> ''")
+    hidden = hidden.select("artifact_path", "line", F.lit("hidden_element").alias("category"), "detail", F.lit(False).alias("removable"))
     data = attrs.where(F.lower(F.ltrim("value")).startswith("data:")).select("artifact_path", "line", F.lit("structural_signal").alias("category"), F.lit("data uri").alias("detail"), F.lit(False).alias("removable"))
     meta = attrs.where("tag = 'meta'").groupBy("artifact_path", "line", "col").agg(F.max(F.when(F.col("name") == "name", F.lower("value"))).alias("n"), F.max(F.when(F.col("name") == "content", F.col("value"))).alias("c"))
     meta = meta.where("n = 'generator'").select("artifact_path", "line", F.lit("generator_metadata").alias("category"), F.coalesce("c", F.lit("")).alias("detail"), F.lit(True).alias("removable"))
-    notes = e.where("kind = 'comment'").withColumn("detail", _rule_hits("value", HTML_COMMENT)).where("detail is not null").select("artifact_path", "line", F.lit("generated_comment").alias("category"), "detail", F.lit(True).alias("removable"))
+    notes = e.where("kind = 'comment'").withColumn("detail", _rule_hits("value", HTML_COMMENT)).where("detail is not null").select("artifact_path", "line", F.lit("generated_comment").alias("category"), "detail", _alone("value", HTML_COMMENT).alias("removable"))
     return starts.unionByName(hidden).unionByName(data).unionByName(meta).unionByName(notes)
 
 
@@ -139,9 +131,12 @@ class _Topology(HTMLParser):
         self.n: Counter[str] = Counter()
         self.ids: Counter[str] = Counter()
         self.classes: Counter[str] = Counter()
+        self.tags: Counter[str] = Counter()
+        self.depths: Counter[int] = Counter()
 
     def handle_starttag(self, tag, attrs):
         self.n["elements"] += 1
+        self.tags[tag] += 1
         if self.n["elements"] > MAX_EVENTS:
             raise OverflowError("elements")
         self.n["markup_characters"] += len(self.get_starttag_text() or "")
@@ -154,6 +149,7 @@ class _Topology(HTMLParser):
             if len(self.stack) > MAX_DEPTH:
                 raise OverflowError("depth")
             self.n["max_depth"] = max(self.n["max_depth"], len(self.stack))
+            self.depths[len(self.stack)] += 1
         self.n["script_elements"] += tag == "script"
         self.n["style_elements"] += tag == "style"
         for key, value in attrs:
@@ -205,7 +201,7 @@ class _Topology(HTMLParser):
 TOPOLOGY = ("elements", "max_depth", "void_elements", "mismatched_closes", "unclosed_elements", "wrapper_only_elements", "comments", "inline_styles", "distinct_ids", "duplicate_ids", "class_tokens", "distinct_class_tokens", "attributes", "text_characters", "markup_characters", "script_elements", "style_elements", "external_references")
 
 
-def topology_of(text: str | None) -> Iterator[tuple]:
+def _measured(text: str | None) -> tuple[_Topology, str | None]:
     p, stopped = _Topology(), None
     try:
         p.feed(text or "")
@@ -213,9 +209,33 @@ def topology_of(text: str | None) -> Iterator[tuple]:
     except OverflowError as e:  # what was measured so far is a lower bound, and says so
         stopped = str(e)
     p.n |= Counter({"unclosed_elements": len(p.stack), "distinct_ids": len(p.ids), "duplicate_ids": sum(c > 1 for c in p.ids.values()), "class_tokens": sum(p.classes.values()), "distinct_class_tokens": len(p.classes)})
+    return p, stopped
+
+
+def topology_of(text: str | None) -> Iterator[tuple]:
+    p, stopped = _measured(text)
     yield (*(p.n[k] for k in TOPOLOGY), stopped)
 
 
+def histograms_of(text: str | None) -> Iterator[tuple]:
+    """(histogram, value, n): elements by tag and by depth."""
+    p, _ = _measured(text)
+    yield from (("tag", tag, n) for tag, n in p.tags.items())
+    yield from (("depth", str(depth), n) for depth, n in p.depths.items())
+
+
+def measured_topology(text: str) -> dict[str, int | bool]:
+    """The measurements that a finding carries."""
+    p, stopped = _measured(text)
+    told = ("elements", "max_depth", "wrapper_only_elements", "inline_styles", "duplicate_ids", "class_tokens", "distinct_class_tokens", "attributes", "text_characters", "markup_characters", "comments", "script_elements", "style_elements", "external_references", "unclosed_elements", "mismatched_closes")
+    return {k: p.n[k] for k in told} | {"distinct_tags": len(p.tags), "complete": stopped is None}
+
+
+def dom_histograms(pages: DataFrame) -> DataFrame:
+    """Elements of each document by tag and by depth."""
+    return parsed(pages, "text", histograms_of, "histogram string, value string, n int")
+
+
 def dom_topology(pages: DataFrame) -> DataFrame:
     """The shape of each document, in one row."""
     return parsed(pages, "text", topology_of, ", ".join(f"{k} int" for k in TOPOLOGY) + ", truncated_by string")
@@ -224,31 +244,37 @@ def dom_topology(pages: DataFrame) -> DataFrame:
 # -- comments and style sheets
 
 
-def comment_spans(text: str, path: str) -> Iterator[tuple[str, int, bool]]:
-    """(comment, line, verified by a real tokenizer)."""
-    if path.endswith(".py"):
+def comment_places(text: str, path: str) -> Iterator[tuple[int, int, bool]]:
+    """(begin, end, verified by a real tokenizer) of the comments of a source file."""
+    if path.lower().endswith(".py"):
         try:
-            found = [(t.string, t.start[0], True) for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT]
-            yield from found
+            starts = [0, *(m.end() for m in re.finditer("\n", text))]
+            found = [(starts[t.start[0] - 1] + t.start[1], len(t.string)) for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type == tokenize.COMMENT]
+            yield from ((at, at + n, True) for at, n in found)
             return
         except (SyntaxError, tokenize.TokenError):
             pass
-    at, line, seen = 0, 1, 0
-    opener = re.compile(r"//|#|/\*|<!--")
-    while m := opener.search(text, at):
-        start = m.start()
-        close = {"/*": "*/", "<!--": "-->"}.get(m[0], "\n")
+    at = 0
+    closes = {"//": "\n", "#": "\n", "/*": "*/", "<!--": "-->"}
+    while closes and (m := re.compile("|".join(map(re.escape, closes))).search(text, at)):
+        close = closes[m[0]]
         end = text.find(close, m.end())
         if end < 0 and close != "\n":  # never closed: no comment, nor is any later one of its kind
             at = m.end()
-            if text.find(close, at) < 0:
-                opener = re.compile("|".join(re.escape(o) for o in ("//", "#", "/*", "<!--") if o != m[0] and o in opener.pattern.replace("\\", "")) or r"(?!)")
+            del closes[m[0]]
             continue
         end = len(text) if end < 0 else end + (0 if close == "\n" else len(close))
+        yield m.start(), end, False
+        at = end
+
+
+def comment_spans(text: str, path: str) -> Iterator[tuple[str, int, bool]]:
+    """(comment, line, verified by a real tokenizer)."""
+    line, seen = 1, 0
+    for start, end, verified in comment_places(text, path):
         line += text.count("\n", seen, start)
         seen = start
-        yield text[start:end], line, False
-        at = end
+        yield text[start:end], line, verified
 
 
 def source_comments(sources: DataFrame) -> DataFrame:
