@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loupe.functions.joins import folded_digest
 from loupe.plans.fixtures import CONSENTS, SAMPLES, bound
 from loupe.registry import query
 
@@ -22,6 +23,7 @@ class Policy:
     targets: Mapping[str, float] = field(default_factory=lambda: {"legal": 0.5, "software": 0.25, "medical": 0.25})
     tolerance: float = 0.1
     holdout_only: tuple[str, ...] = ("source3",)
+    required_uses: tuple[str, ...] = ("training",)
 
 
 DEFAULT = Policy()
@@ -40,18 +42,28 @@ def _expired(p: Policy) -> Column:
     return _now(p) >= F.col("collected_at") + F.make_dt_interval(F.lit(p.retain_days))
 
 
+def _unless(fine: Column, reason: str) -> Column:
+    """The reason, unless it is known that all is fine: what isn't known doesn't admit a sample."""
+    return F.when(~F.coalesce(fine, F.lit(False)), reason)
+
+
 def refusals(samples: DataFrame, consents: DataFrame, existing: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """All reasons to refuse each sample; none means that it is admitted."""
+    """All reasons to refuse each sample; none means that it is admitted. A null never admits.
+
+    A licence is a list of uses, ``permits``, that must hold every use of the policy, or else ``permits_training``.
+    """
     splits = existing.groupBy("content_sha256").agg(F.collect_set("split").alias("splits"))  # at most one of each split
     joined = samples.join(consents, "consent_id", "left").join(splits, "content_sha256", "left")
+    licensed = F.size(F.array_except(F.array(*map(F.lit, policy.required_uses)), F.col("permits"))) == 0 if "permits" in samples.columns else F.col("permits_training")
+    reserved = F.coalesce(F.col("source").isin(*policy.holdout_only), F.lit(True))
     reasons = F.array_compact(
         F.array(
-            F.when(F.col("status").isNull(), "no_consent").when(F.col("status") == "withdrawn", "withdrawn").when(~_covers(policy), "not_covered"),
-            F.when(~F.col("permits_training"), "license"),
-            F.when(~F.col("domain").isin(*policy.targets), "domain"),
-            F.when(_expired(policy), "retention"),
-            F.when(F.size(F.array_remove(F.col("splits"), F.col("split"))) > 0, "other_split"),
-            F.when(F.col("source").isin(*policy.holdout_only) & (F.col("split") != "test"), "holdout_source"),
+            F.when(F.col("status").isNull(), "no_consent").when(F.col("status") == "withdrawn", "withdrawn").otherwise(_unless(_covers(policy), "not_covered")),
+            _unless(licensed, "license"),
+            _unless(F.col("domain").isin(*policy.targets), "domain") if policy.targets else F.lit(None).cast("string"),
+            _unless(~_expired(policy), "retention"),
+            _unless(F.col("splits").isNull() | (F.size(F.array_remove("splits", F.col("split"))) == 0), "other_split"),
+            F.when(reserved, _unless(F.col("split") == "test", "holdout_source")),
         )
     )
     return joined.select(*samples.columns, F.array_join(reasons, ",").alias("refusals"), (F.size(reasons) == 0).alias("admitted"))
@@ -97,12 +109,9 @@ def imbalance(samples: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return F.broadcast(targets).join(counts, "domain", "left").join(F.broadcast(total)).withColumn("share", share).where(F.abs(share - F.col("target")) > policy.tolerance).select("domain", F.round("share", 6).alias("share"), "target")
 
 
-def corpus_digest(samples: DataFrame, buckets: int = 256) -> DataFrame:
-    """A digest of all samples that doesn't depend on their order, folded bucket by bucket."""
-    item = F.sha2(F.concat_ws("|", "sample_id", "content_sha256", "split"), 256)
-    each = samples.select(item.alias("h")).withColumn("bucket", F.substr("h", F.lit(1), F.lit(2)))
-    folded = each.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return folded.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+def corpus_digest(samples: DataFrame) -> DataFrame:
+    """A digest of all samples that doesn't depend on their order."""
+    return folded_digest(samples.select(F.sha2(F.concat_ws("|", "sample_id", "content_sha256", "split"), 256).alias("h")))
 
 
 def withdraw(consents: DataFrame, samples: DataFrame, consent_ids: DataFrame) -> DataFrame:
@@ -127,8 +136,8 @@ def _consents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _N = "TIMESTAMP '2000-01-01 00:00:00'"
 _COVER = f"(c.status = 'active' AND c.granted_at <= {_N} AND (c.expires_at IS NULL OR {_N} < c.expires_at) AND c.purpose = 'training')"
 _REFUSED = f"""s AS ({SAMPLES}), c AS ({CONSENTS}), cand AS (SELECT * FROM s WHERE ord % 4 = 0), ex AS (SELECT * FROM s WHERE ord % 4 <> 0 AND ord % 10 = 1),
-  r AS (SELECT cand.*, concat_ws(',', CASE WHEN c.status IS NULL THEN 'no_consent' WHEN c.status = 'withdrawn' THEN 'withdrawn' WHEN NOT {_COVER} THEN 'not_covered' END, CASE WHEN NOT permits_training THEN 'license' END,
-    CASE WHEN domain NOT IN ('legal', 'software', 'medical') THEN 'domain' END, CASE WHEN {_N} >= collected_at + INTERVAL 1460 DAY THEN 'retention' END,
+  r AS (SELECT cand.*, concat_ws(',', CASE WHEN c.status IS NULL THEN 'no_consent' WHEN c.status = 'withdrawn' THEN 'withdrawn' WHEN {_COVER} IS DISTINCT FROM true THEN 'not_covered' END, CASE WHEN list_contains(permits, 'training') IS DISTINCT FROM true THEN 'license' END,
+    CASE WHEN domain IN ('legal', 'software', 'medical') IS DISTINCT FROM true THEN 'domain' END, CASE WHEN {_N} >= collected_at + INTERVAL 1460 DAY THEN 'retention' END,
     CASE WHEN EXISTS (SELECT 1 FROM ex WHERE ex.content_sha256 = cand.content_sha256 AND ex.split <> cand.split) THEN 'other_split' END, CASE WHEN source = 'source3' AND split <> 'test' THEN 'holdout_source' END) AS refusals
   FROM cand LEFT JOIN c ON c.consent_id = cand.consent_id)"""
 
@@ -177,10 +186,7 @@ def q_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imbalance(_samples(spark, sf_dir))
 
 
-@query(
-    "corpus_digest",
-    f"""WITH s AS ({SAMPLES}), h AS (SELECT sha256(concat_ws('|', sample_id, content_sha256, split)) AS h FROM s), b AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM b""",
-)
+@query("corpus_digest", f"WITH s AS ({SAMPLES}), h AS (SELECT sha256(concat_ws('|', sample_id, content_sha256, split)) AS h FROM s), a AS (SELECT substr(h, 1, 4) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY substr(h, 1, 4)), b AS (SELECT substr(h, 1, 2) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM a GROUP BY substr(h, 1, 2)) SELECT sha256(string_agg(h, '' ORDER BY h)) AS digest FROM b")
 def q_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_digest(_samples(spark, sf_dir))
 

@@ -11,7 +11,7 @@ from loupe.registry import query
 # The interval's z, the group size that suffices, and the limits of a sound evaluation.
 Z = 1.959963984540054
 SUFFICIENT = 30
-GAP, ECE, COVERAGE, SPREAD = 0.05, 0.10, 0.90, 0.05
+GAP, ECE, COVERAGE, SPREAD = 0.05, 0.10, 0.90, 0.10
 BINS = 10
 
 
@@ -84,18 +84,21 @@ def evaluation(predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.count_if((F.col("kind") == "domain") & ok).alias("domains"),
         F.max(F.when((F.col("kind") == "subgroup") & ok, fp)).alias("worst_rate"),
         F.max_by("name", F.when((F.col("kind") == "subgroup") & ok, F.struct(fp.alias("r"), F.col("name").alias("m")))).alias("worst_subgroup"),
-        F.count_if((F.col("kind") == "subgroup") & ~ok).alias("undersized"),
+        F.count_if((F.col("kind") != "all") & ~ok).alias("undersized"),
+        F.max(F.when(F.col("kind") == "all", F.col("negatives"))).alias("negatives"),
+        F.max(F.when(F.col("kind") == "all", F.col("answered"))).alias("scored"),
     )
     facts = facts.withColumn("domain_spread", F.when(F.col("domains") >= 2, F.col("domain_spread")))
     error = calibration_error(calibration(predictions))
     joined = facts.join(F.broadcast(error))
     problems = F.array_compact(
         F.array(
+            F.when(F.coalesce(F.col("negatives"), F.lit(0)) < SUFFICIENT, "few_negatives"),
             F.when(F.col("worst_rate") - F.col("fp_rate") > GAP, "subgroup_gap"),
-            F.when(F.col("expected_error") > ECE, "calibration"),
+            F.when(F.col("undersized") > 0, "undersized"),
+            F.when(F.coalesce(F.col("scored"), F.lit(0)) < SUFFICIENT, "few_scored").when(F.col("expected_error") > ECE, "calibration"),
             F.when(F.col("coverage") < COVERAGE, "coverage"),
             F.when(F.col("domain_spread") > SPREAD, "domain_spread"),
-            F.when(F.col("undersized") > 0, "undersized"),
         )
     )
     return joined.select(*(F.round(c, 6).alias(c) for c in ("coverage", "fp_rate", "domain_spread", "worst_rate", "expected_error")), "worst_subgroup", "undersized", F.array_join(problems, ",").alias("problems"))
@@ -128,11 +131,12 @@ _CALIBRATION = f"c AS (SELECT CAST(least(9, floor(score * 10)) AS INT) AS bin, c
 _EVALUATION = f"""WITH {_GROUPS}, {_CALIBRATION}, r AS (SELECT *, CASE WHEN negatives > 0 THEN false_positives / negatives END AS fp FROM g),
   f AS (SELECT max(CASE WHEN kind = 'all' THEN answered / (answered + abstained) END) AS coverage, max(CASE WHEN kind = 'all' THEN fp END) AS fp_rate,
     CASE WHEN count(*) FILTER (WHERE kind = 'domain' AND negatives >= 30) >= 2 THEN max(CASE WHEN kind = 'domain' AND negatives >= 30 THEN fp END) - min(CASE WHEN kind = 'domain' AND negatives >= 30 THEN fp END) END AS domain_spread,
-    max(CASE WHEN kind = 'subgroup' AND negatives >= 30 THEN fp END) AS worst_rate, count(*) FILTER (WHERE kind = 'subgroup' AND negatives < 30) AS undersized FROM r),
+    max(CASE WHEN kind = 'subgroup' AND negatives >= 30 THEN fp END) AS worst_rate, count(*) FILTER (WHERE kind <> 'all' AND negatives < 30) AS undersized, max(CASE WHEN kind = 'all' THEN negatives END) AS negatives, max(CASE WHEN kind = 'all' THEN answered END) AS scored FROM r),
   w AS (SELECT max(name) AS worst_subgroup FROM r WHERE kind = 'subgroup' AND negatives >= 30 AND fp = (SELECT worst_rate FROM f)),
   e AS (SELECT round(sum(n * abs(mean_score - observed)) / sum(n), 6) AS expected_error FROM c)
   SELECT round(coverage, 6) AS coverage, round(fp_rate, 6) AS fp_rate, round(domain_spread, 6) AS domain_spread, round(worst_rate, 6) AS worst_rate, expected_error, worst_subgroup, undersized,
-    concat_ws(',', CASE WHEN worst_rate - fp_rate > 0.05 THEN 'subgroup_gap' END, CASE WHEN expected_error > 0.1 THEN 'calibration' END, CASE WHEN coverage < 0.9 THEN 'coverage' END, CASE WHEN domain_spread > 0.05 THEN 'domain_spread' END, CASE WHEN undersized > 0 THEN 'undersized' END) AS problems
+    concat_ws(',', CASE WHEN coalesce(negatives, 0) < 30 THEN 'few_negatives' END, CASE WHEN worst_rate - fp_rate > 0.05 THEN 'subgroup_gap' END, CASE WHEN undersized > 0 THEN 'undersized' END, CASE WHEN coalesce(scored, 0) < 30 THEN 'few_scored' WHEN expected_error > 0.1 THEN 'calibration' END,
+      CASE WHEN coverage < 0.9 THEN 'coverage' END, CASE WHEN domain_spread > 0.1 THEN 'domain_spread' END) AS problems
   FROM f, w, e"""
 
 
@@ -182,6 +186,10 @@ def q_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return release_regression(evaluation(p, 0.5), evaluation(p, 0.45))
 
 
-@query("duplicate_samples", "SELECT concat('doc-', doc_id) AS sample_id, count(*) AS n FROM labels GROUP BY 1 HAVING count(*) > 1")
+#: Samples of which every thirteenth is scored again under another's name.
+_SCORED = "SELECT concat('doc-', CASE WHEN doc_id % 13 = 0 THEN doc_id + 1 ELSE doc_id END) AS sample_id FROM documents"
+
+
+@query("duplicate_samples", f"SELECT sample_id, count(*) AS n FROM ({_SCORED}) GROUP BY 1 HAVING count(*) > 1")
 def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_samples(bound(spark, sf_dir, "SELECT concat('doc-', doc_id) AS sample_id FROM labels"))
+    return duplicate_samples(bound(spark, sf_dir, _SCORED))

@@ -2,35 +2,96 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
+from loupe.functions.joins import SMALL, at_most
+from loupe.functions.staging import discarded, staged
 from loupe.plans.fixtures import ANCHORS, LEDGER, REVOCATIONS, bound
 from loupe.registry import query
 
 
+#: What an entry says besides its payload; what a table lacks is empty.
+_SAID = ("recorded", "kind", "subject_id")
+
+
+def _json_text(c: Column) -> Column:
+    """A string as JSON writes it."""
+    listed = F.to_json(F.array(F.coalesce(c, F.lit(""))))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def entry_digest(previous: Column, payload_sha256: Column, sequence: Column, recorded: Column, kind: Column, subject: Column) -> Column:
+    """The digest of an entry: everything it says and the digest of the entry before, as canonical JSON."""
+    before = F.coalesce(F.concat(F.lit('"'), previous, F.lit('"')), F.lit("null"))
+    return F.sha2(
+        F.concat(
+            F.lit('{"kind":'), _json_text(kind), F.lit(',"payload_sha256":"'), payload_sha256, F.lit('","previous_hash":'), before, F.lit(',"recorded_at":'), _json_text(recorded),
+            F.lit(',"sequence":'), sequence.cast("string"), F.lit(',"subject_id":'), _json_text(subject), F.lit("}"),
+        ),
+        256,
+    )
+
+
+def _said(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.lit("") for c in _SAID if c not in df.columns})
+
+
 def chained(entries: DataFrame) -> DataFrame:
-    """Entries with their sequence, the hash of the one before and their own.
+    """Entries (log_id, event_id, payload; recorded, kind, subject_id) with sequence, previous_hash and entry_hash.
 
-    Each entry signs the payload of the one before, so a chain is checked
-    without walking it.
+    Each digest covers the one before, so a log is folded from its first entry on, in one pass over its sorted rows
+    that holds one digest at a time; logs are independent of each other.
     """
-    w = Window.partitionBy("log_id").orderBy("event_id")
-    numbered = entries.withColumn("sequence", F.row_number().over(w)).withColumn("own", F.sha2(F.concat_ws("|", F.col("log_id").cast("string"), F.row_number().over(w).cast("string"), "payload"), 256))
-    return numbered.withColumn("previous_hash", F.coalesce(F.lag("own").over(w), F.lit(""))).withColumnRenamed("own", "entry_hash")
+    rows = _said(entries)
+
+    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, sequence, head = None, 0, None
+        for batch in source:
+            told = []
+            for log_id, payload, recorded, kind, subject in zip(*(batch.column(c).to_pylist() for c in ("log_id", "payload", *_SAID)), strict=True):
+                if log_id != log or not sequence:
+                    log, sequence, head = log_id, 0, None
+                sequence += 1
+                digest = hashlib.sha256((payload or "").encode()).hexdigest()
+                said = {"sequence": sequence, "recorded_at": recorded or "", "kind": kind or "", "subject_id": subject or "", "payload_sha256": digest, "previous_hash": head}
+                before, head = head, hashlib.sha256(json.dumps(said, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                told.append((sequence, digest, before, head))
+            if told:
+                new = [pa.array(c, t) for c, t in zip(zip(*told, strict=True), (pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "sequence", "payload_sha256", "previous_hash", "entry_hash"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("sequence", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("previous_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    return rows.repartition("log_id").sortWithinPartitions("log_id", "event_id").mapInArrow(made, schema)
 
 
 def ledger_problems(ledger: DataFrame) -> DataFrame:
-    """Entries whose own hash, link or place in the sequence doesn't hold."""
-    w = Window.partitionBy("log_id").orderBy("sequence")
-    own = F.sha2(F.concat_ws("|", F.col("log_id").cast("string"), F.col("sequence").cast("string"), "payload"), 256)
+    """Entries whose own digest, link or place in the sequence doesn't hold.
+
+    Digests are stored, so each entry is checked against the one before by an equality join; no log is walked, and a
+    long one is spread over tasks.
+    """
+    rows = _said(ledger).withColumn("own", entry_digest(F.col("previous_hash"), F.sha2(F.coalesce("payload", F.lit("")), 256), F.col("sequence"), F.col("recorded"), F.col("kind"), F.col("subject_id")))
+    before = ledger.select("log_id", (F.col("sequence") + 1).alias("sequence"), F.col("entry_hash").alias("head"), F.lit(True).alias("there"))
+    joined = rows.join(before, ["log_id", "sequence"], "left")
     problem = (
-        F.when(F.col("entry_hash") != own, "altered")
-        .when(F.col("previous_hash") != F.coalesce(F.lag("entry_hash").over(w), F.lit("")), "unlinked")
-        .when(F.col("sequence") != F.coalesce(F.lag("sequence").over(w) + 1, F.lit(1)), "gap")
+        F.when(F.col("entry_hash") != F.col("own"), "altered")
+        .when((F.col("sequence") > 1) & F.col("there").isNull(), "gap")
+        .when(~F.col("previous_hash").eqNullSafe(F.col("head")), "unlinked")
     )
-    return ledger.withColumn("problem", problem).where("problem is not null").select("log_id", "sequence", "problem")
+    return joined.withColumn("problem", problem).where("problem is not null").select("log_id", "sequence", "problem")
+
+
+def untrusted_entries(ledger: DataFrame) -> DataFrame:
+    """All entries from the first problem of their log on: none of what follows a broken link is vouched for."""
+    first = ledger_problems(ledger).groupBy("log_id").agg(F.min("sequence").alias("broken"))
+    return ledger.join(first, "log_id").where(F.col("sequence") >= F.col("broken")).select("log_id", "sequence")
 
 
 def rollbacks(ledger: DataFrame, heads: DataFrame) -> DataFrame:
@@ -41,11 +102,30 @@ def rollbacks(ledger: DataFrame, heads: DataFrame) -> DataFrame:
     return joined.withColumn("state", state).where("state is not null").select("log_id", "state")
 
 
-def binding_in_force(uses: DataFrame, bindings: DataFrame) -> DataFrame:
-    """The first binding whose half-open interval holds the moment of each use; none is null."""
-    b = bindings.withColumnsRenamed({"anchor_id": "bound_id"})
-    joined = uses.join(F.broadcast(b), (F.col("moment") >= F.col("not_before")) & (F.col("not_after").isNull() | (F.col("moment") < F.col("not_after"))), "left")
-    return joined.groupBy("use_id", "moment").agg(F.min_by("bound_id", F.struct("not_before", "bound_id")).alias("bound_id"))
+#: Ranges of time over which bindings are dealt where they are too many to be broadcast.
+TIME_BUCKETS = 1024
+
+
+def binding_in_force(uses: DataFrame, bindings: DataFrame, small: int = SMALL) -> DataFrame:
+    """The first binding whose half-open interval holds the moment of each use; none is null.
+
+    Few bindings are broadcast. More meet the uses in buckets of time: a use is in one, a binding in all that its
+    interval touches.
+    """
+    b = bindings.select(F.col("anchor_id").alias("bound_id"), "not_before", "not_after")
+    holds = (F.col("moment") >= F.col("not_before")) & (F.col("not_after").isNull() | (F.col("moment") < F.col("not_after")))
+    first = F.min_by("bound_id", F.struct("not_before", "bound_id")).alias("bound_id")
+    if at_most(bindings, small):
+        return uses.join(F.broadcast(b), holds, "left").groupBy("use_id", "moment").agg(first)
+    low, high = uses.agg(F.min("moment"), F.max("moment")).first()
+    if low is None:
+        return uses.select("use_id", "moment", F.lit(None).cast(b.schema["bound_id"].dataType).alias("bound_id"))
+    width = (high - low) // TIME_BUCKETS + 1
+    bucket = lambda c: F.floor((c - low) / width)
+    spread = b.where((F.col("not_before") <= high) & (F.col("not_after").isNull() | (F.col("not_after") > low)))
+    spread = spread.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("not_before", F.lit(low))), bucket(F.least(F.coalesce("not_after", F.lit(high)), F.lit(high))))))
+    found = uses.withColumn("bucket", bucket(F.col("moment"))).join(spread, "bucket").where(holds).groupBy("use_id", "moment").agg(first)
+    return uses.select("use_id", "moment").distinct().join(found, ["use_id", "moment"], "left")
 
 
 def active_anchors(anchors: DataFrame, revocations: DataFrame, now: int) -> DataFrame:
@@ -62,19 +142,55 @@ def rotation_gaps(anchors: DataFrame) -> DataFrame:
     return joined.withColumn("problem", problem).where("problem is not null").select("anchor_id", "problem")
 
 
+def _jumped(links: DataFrame) -> DataFrame:
+    """(node, last, steps) of (node, next): where the pointers of each node end, and after how many steps.
+
+    Every round doubles the reach, so a chain of n takes log n of them. Nodes that run into a circle never end and
+    aren't given.
+    """
+    known = links.select(F.col("node").alias("next"))
+    now = links.join(known, "next", "left_semi").select("node", F.col("next").alias("last"), F.lit(1).cast("long").alias("steps"))
+    now = staged(now.unionByName(links.join(now, "node", "left_anti").select("node", F.col("node").alias("last"), F.lit(0).cast("long").alias("steps"))), "jumps")
+    rounds = max(now.count(), 1).bit_length() + 1
+    for _ in range(rounds):
+        there = now.select(F.col("node").alias("last"), F.col("last").alias("further"), F.col("steps").alias("more"))
+        joined = now.join(there, "last")
+        before, now = now, staged(joined.select("node", F.col("further").alias("last"), (F.col("steps") + F.col("more")).alias("steps"), F.col("more")), "jumps")
+        done = now.where("more > 0").isEmpty()
+        discarded(before)
+        now = now.drop("more") if done else _kept(now)
+        if done:
+            break
+    ends = now.where("steps = 0").select(F.col("node").alias("last"))
+    return staged(now.join(ends, "last", "left_semi").select("node", "last", "steps"), "chains")
+
+
+def _kept(now: DataFrame) -> DataFrame:
+    out = now.drop("more")
+    out._staged_at = now._staged_at
+    return out
+
+
 def rotation_chains(anchors: DataFrame) -> DataFrame:
-    """How many rotations lie behind each anchor. A cycle ends where it meets itself."""
-    spark = anchors.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE chain(anchor_id, at, depth, seen) AS (
-          SELECT anchor_id, replaces, 0, concat(',', anchor_id, ',') FROM {a}
-          UNION ALL
-          SELECT c.anchor_id, a.replaces, c.depth + 1, concat(c.seen, a.anchor_id, ',') FROM chain c JOIN {a} a ON a.anchor_id = c.at WHERE NOT contains(c.seen, concat(',', a.anchor_id, ',')))
-        SELECT anchor_id, max(depth) AS depth FROM chain GROUP BY anchor_id
-        """,
-        a=anchors,
-    )
+    """How many rotations lie behind each anchor, however many there are. A circle ends where it meets itself."""
+    links = staged(anchors.select(F.col("anchor_id").alias("node"), F.col("replaces").alias("next")).dropDuplicates(["node"]), "links")
+    ended = _jumped(links)
+    depths = ended.select(F.col("node").alias("anchor_id"), F.col("steps").alias("depth"))
+    left = staged(links.join(ended, "node", "left_anti"), "circling")
+    if left.isEmpty():
+        return depths
+    # far enough along, only nodes on circles remain: their smallest member names a circle, its members are its length
+    at = staged(left.select("node", F.col("next").alias("at"), F.col("node").alias("least")), "circling")
+    for _ in range(left.count().bit_length() + 1):
+        there = at.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("least").alias("other"))
+        before, at = at, staged(at.join(there, "at").select("node", F.col("further").alias("at"), F.least("least", "other").alias("least")), "circling")
+        discarded(before)
+    on = staged(at.select(F.col("at").alias("node")).distinct().join(at.select("node", "least"), "node"), "circles")
+    sizes = on.groupBy("least").agg(F.count(F.lit(1)).alias("size"))
+    size_of = staged(on.join(sizes, "least").select(F.col("node").alias("last"), "size"), "circles")
+    tails = _jumped(left.join(on.select("node").withColumn("on", F.lit(True)), "node", "left").select("node", F.when(F.col("on").isNull(), F.col("next")).alias("next")))
+    circling = tails.join(size_of, "last").select(F.col("node").alias("anchor_id"), (F.col("steps") + F.col("size") - 1).alias("depth"))
+    return depths.unionByName(circling)
 
 
 # Precedence of signature states, and what a verification status says of each facet.
@@ -94,10 +210,56 @@ def _mapped(values: dict[str, str], column: str) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col(column))
 
 
-def provenance_facets(verifications: DataFrame) -> DataFrame:
-    """One verification status as separate answers."""
-    signer = F.when(F.col("status") == "trusted", "trusted").when(F.col("status") == "valid", F.when(F.col("anchors_configured"), "not_covered").otherwise("no_anchors_configured")).otherwise("not_applicable")
-    return verifications.select("artifact_path", _mapped(MARKER, "status").alias("marker"), _mapped(SIGNATURE, "status").alias("signature"), signer.alias("signer_trust"))
+UNKNOWN = ("not_examined", "unchecked", "not_established", "no_anchors_configured", "not_attempted", "unavailable")
+
+
+def provenance_facets(verifications: DataFrame, watermarks: DataFrame | None = None) -> DataFrame:
+    """One verification status (artifact_path, status, anchors_configured; provider_status, provider_verified) as four
+    separate answers, with what is unknown, which caveats hold, and the one headline that is safe.
+
+    ``watermarks`` are findings of provider markers: seen, which isn't verified.
+    """
+    v = verifications.withColumns({c: F.lit(None).cast(t) for c, t in (("provider_status", "string"), ("provider_verified", "boolean")) if c not in verifications.columns})
+    if watermarks is not None:
+        v = v.join(watermarks.groupBy("artifact_path").agg(F.count(F.lit(1)).alias("markers")), "artifact_path", "left")
+    else:
+        v = v.withColumn("markers", F.lit(None).cast("long"))
+    signature = _mapped(SIGNATURE, "status")
+    signer = F.when(signature == "no_signature", "not_applicable").when(signature != "valid", "not_established").when(F.col("status") == "trusted", "trusted").when(F.col("anchors_configured"), "not_trusted").otherwise("no_anchors_configured")
+    provider = (
+        F.when(F.col("provider_status").isNull(), F.when(F.col("markers") > 0, "not_verified").otherwise("not_attempted"))
+        .when(F.col("provider_status") == "verification_unavailable", "unavailable")
+        .when(F.col("provider_status") == "not_supported", "not_supported")
+        .when(F.col("provider_verified"), "verified")
+        .otherwise("not_verified")
+    )
+    f = v.select("artifact_path", _mapped(MARKER, "status").alias("marker"), signature.alias("signature"), signer.alias("signer_trust"), provider.alias("provider"))
+    unknown = F.array_compact(F.array(*(F.when(F.col(c).isin(*UNKNOWN), c) for c in ("marker", "signature", "signer_trust", "provider"))))
+    caveats = F.array_compact(
+        F.array(
+            F.when((F.col("signature") == "valid") & (F.col("signer_trust") == "not_trusted"), "intact_is_not_identity"),
+            F.when(F.col("signer_trust") == "no_anchors_configured", "trust_not_evaluated"),
+            F.when(F.col("marker") == "not_examined", "nothing_follows"),
+            F.when(F.col("provider") == "unavailable", "unanswered"),
+            F.when(F.col("marker") == "absent", "other_forms_not_read"),
+        )
+    )
+    headline = (
+        F.when((F.col("marker") == "present") & (F.col("signature") == "valid") & (F.col("signer_trust") == "trusted"), "established")
+        .when(F.col("marker") == "not_examined", "not_examined")
+        .when(F.col("marker") == "absent", "none_found")
+        .when(F.col("signature") == "invalid", "does_not_verify")
+        .when(F.col("signature") == "unchecked", "not_checked")
+        .when(F.col("signer_trust") == "no_anchors_configured", "trust_not_evaluated")
+        .otherwise("signer_not_covered")
+    )
+    return f.select("*", F.array_join(unknown, ",").alias("unknown"), F.array_join(caveats, ",").alias("caveats"), headline.alias("headline"))
+
+
+def identities(uses: DataFrame, bindings: DataFrame, root_checked: bool) -> DataFrame:
+    """What a verified key establishes at its moment: a key alone, a bound organization, or one that a root attests."""
+    bound_ = binding_in_force(uses, bindings)
+    return bound_.select("use_id", "bound_id", F.when(F.col("bound_id").isNull(), "key_only").otherwise("root_attested" if root_checked else "profile_bound").alias("assurance"))
 
 
 def certificate_states(certificates: DataFrame, revoked: DataFrame, now: int) -> DataFrame:
@@ -156,34 +318,55 @@ def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.withColumn("change", change).where("change is not null").select("object", "field", "change")
 
 
-_CHAIN = f"""l AS ({LEDGER}), n AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY event_id) AS sequence FROM l),
-  h AS (SELECT *, sha256(concat_ws('|', log_id, sequence, payload)) AS entry_hash FROM n)"""
+_SAID_SQL = "CAST(CAST(recorded_at AS DATE) AS STRING) AS recorded"
+_CANON = """sha256('{{"kind":"' || {n}.kind || '","payload_sha256":"' || sha256({n}.payload) || '","previous_hash":' || {p} || ',"recorded_at":"' || {n}.recorded || '","sequence":' || {n}.sequence || ',"subject_id":"' || {n}.subject_id || '"}}')"""
+_CHAIN = f"""l AS (SELECT *, {_SAID_SQL} FROM ({LEDGER})), n AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY event_id) AS sequence FROM l),
+  h AS (SELECT n.*, CAST(NULL AS VARCHAR) AS previous_hash, {_CANON.format(n="n", p="'null'")} AS entry_hash FROM n WHERE sequence = 1
+    UNION ALL SELECT n.*, h.entry_hash, {_CANON.format(n="n", p="'\"' || h.entry_hash || '\"'")} FROM h JOIN n ON n.log_id = h.log_id AND n.sequence = h.sequence + 1)"""
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound(spark, sf_dir, f"SELECT *, {_SAID_SQL} FROM ({LEDGER})")
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger in which some payloads were altered after they were signed, and some entries are gone."""
-    full = chained(bound(spark, sf_dir, LEDGER))
-    return full.withColumn("payload", F.when(F.col("tampered"), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))).where("event_id % 101 <> 50")
+    """A ledger in which some payloads were altered after they were recorded, some of those entries were hashed anew,
+    and some entries are gone."""
+    full = chained(_entries(spark, sf_dir))
+    edited = full.withColumn("payload", F.when(F.col("tampered"), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    again = entry_digest(F.col("previous_hash"), F.sha2("payload", 256), F.col("sequence"), F.col("recorded"), F.col("kind"), F.col("subject_id"))
+    return edited.withColumn("entry_hash", F.when(F.col("tampered") & (F.col("event_id") % 2 == 0), again).otherwise(F.col("entry_hash"))).where("event_id % 101 <> 50")
 
 
-@query(
-    "ledger_verify",
-    f"""WITH {_CHAIN}, c AS (SELECT *, coalesce(lag(entry_hash) OVER (PARTITION BY log_id ORDER BY sequence), '') AS previous_hash FROM h), k AS (SELECT * FROM c WHERE event_id % 101 <> 50),
-    p AS (SELECT log_id, sequence, CASE WHEN tampered THEN 'altered' WHEN previous_hash <> coalesce(lag(entry_hash) OVER w, '') THEN 'unlinked' WHEN sequence <> coalesce(lag(sequence) OVER w + 1, 1) THEN 'gap' END AS problem FROM k WINDOW w AS (PARTITION BY log_id ORDER BY sequence))
-    SELECT * FROM p WHERE problem IS NOT NULL""",
-)
+_PROBLEMS = f"""WITH RECURSIVE {_CHAIN},
+    k AS (SELECT *, tampered AND event_id % 2 = 0 AS hidden FROM h WHERE event_id % 101 <> 50),
+    p AS (SELECT k.log_id, k.sequence, CASE WHEN k.tampered AND NOT k.hidden THEN 'altered' WHEN k.sequence > 1 AND b.log_id IS NULL THEN 'gap' WHEN coalesce(b.hidden, false) THEN 'unlinked' END AS problem FROM k LEFT JOIN k AS b ON b.log_id = k.log_id AND b.sequence = k.sequence - 1),
+    q AS (SELECT * FROM p WHERE problem IS NOT NULL)"""
+
+
+@query("ledger_verify", f"{_PROBLEMS} SELECT * FROM q")
 def q_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger_problems(_ledger(spark, sf_dir))
 
 
-@query("ledger_rollback", f"WITH {_CHAIN}, m AS (SELECT log_id, max(sequence) AS s FROM h GROUP BY 1) SELECT log_id, CASE WHEN log_id % 5 = 0 THEN 'rolled_back' ELSE 'forked' END AS state FROM m WHERE log_id % 5 = 0 OR log_id % 7 = 0")
+@query("ledger_untrusted", f"{_PROBLEMS} SELECT k.log_id, k.sequence FROM k JOIN (SELECT log_id, min(sequence) AS broken FROM q GROUP BY 1) USING (log_id) WHERE sequence >= broken")
+def q_untrusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return untrusted_entries(_ledger(spark, sf_dir))
+
+
+@query("ledger_chain", f"WITH RECURSIVE {_CHAIN} SELECT log_id, sequence, previous_hash, entry_hash FROM h")
+def q_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chained(_entries(spark, sf_dir)).select("log_id", "sequence", "previous_hash", "entry_hash")
+
+
+@query("ledger_rollback", f"WITH l AS ({LEDGER}), m AS (SELECT log_id, count(*) AS s FROM l GROUP BY 1) SELECT log_id, CASE WHEN log_id % 5 = 0 THEN 'rolled_back' ELSE 'forked' END AS state FROM m WHERE log_id % 5 = 0 OR log_id % 7 = 0")
 def q_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = chained(bound(spark, sf_dir, LEDGER))
+    ledger = chained(_entries(spark, sf_dir))
     heads = ledger.groupBy("log_id").agg((F.max("sequence") + F.when(F.col("log_id") % 5 == 0, 3).otherwise(0)).alias("known_sequence"), F.when(F.col("log_id") % 7 == 0, "x").otherwise(F.max_by("entry_hash", "sequence")).alias("known_hash"))
     return rollbacks(ledger, heads)
 
 
-_USES = "SELECT n_nationkey AS use_id, CAST(n_nationkey * 5 + 10 AS BIGINT) AS moment FROM nation"
+_USES = "SELECT o_orderkey AS use_id, CAST(o_custkey % 1100 AS BIGINT) AS moment FROM orders"
 
 
 @query("key_interval_join", f"WITH u AS ({_USES}), a AS ({ANCHORS}) SELECT use_id, moment, (SELECT arg_min(anchor_id, not_before * 100000 + CAST(substr(anchor_id, 2) AS BIGINT)) FROM a WHERE moment >= not_before AND (not_after IS NULL OR moment < not_after)) AS bound_id FROM u")
@@ -191,6 +374,16 @@ def q_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding_in_force(bound(spark, sf_dir, _USES), bound(spark, sf_dir, ANCHORS))
 
 
+@query("key_interval_buckets", f"WITH u AS ({_USES}), a AS ({ANCHORS}) SELECT use_id, moment, (SELECT arg_min(anchor_id, not_before * 100000 + CAST(substr(anchor_id, 2) AS BIGINT)) FROM a WHERE moment >= not_before AND (not_after IS NULL OR moment < not_after)) AS bound_id FROM u")
+def q_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binding_in_force(bound(spark, sf_dir, _USES), bound(spark, sf_dir, ANCHORS), 0)
+
+
+@query("identity_assurance", f"WITH u AS ({_USES}), a AS ({ANCHORS}), r AS (SELECT use_id, (SELECT arg_min(anchor_id, not_before * 100000 + CAST(substr(anchor_id, 2) AS BIGINT)) FROM a WHERE moment >= not_before AND (not_after IS NULL OR moment < not_after)) AS bound_id FROM u) SELECT use_id, bound_id, CASE WHEN bound_id IS NULL THEN 'key_only' ELSE 'profile_bound' END AS assurance FROM r")
+def q_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identities(bound(spark, sf_dir, _USES), bound(spark, sf_dir, ANCHORS), False)
+
+
 @query("active_anchors", f"WITH a AS ({ANCHORS}), r AS ({REVOCATIONS}) SELECT anchor_id FROM a WHERE not_before <= 150 AND (not_after IS NULL OR 150 < not_after) AND anchor_id NOT IN (SELECT anchor_id FROM r WHERE revoked_at <= 150)")
 def q_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active_anchors(bound(spark, sf_dir, ANCHORS), bound(spark, sf_dir, REVOCATIONS), 150)
@@ -201,9 +394,17 @@ def q_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotation_gaps(bound(spark, sf_dir, ANCHORS))
 
 
-@query("rotation_chain", f"WITH RECURSIVE a AS ({ANCHORS}), c AS (SELECT anchor_id, replaces AS at, 0 AS depth FROM a UNION ALL SELECT c.anchor_id, a.replaces, c.depth + 1 FROM c JOIN a ON a.anchor_id = c.at) SELECT anchor_id, max(depth) AS depth FROM c GROUP BY 1")
+#: Anchors that replace each other in chains of 300 and longer, and in circles.
+_ROTATED = """SELECT concat('r', o_orderkey) AS anchor_id, CASE WHEN o_orderkey % 1201 = 0 THEN concat('r', o_orderkey + 40) WHEN o_orderkey % 307 = 1 THEN NULL ELSE concat('r', o_orderkey - 1) END AS replaces FROM (SELECT DISTINCT o_orderkey FROM orders)"""
+
+
+@query(
+    "rotation_chain",
+    f"""WITH RECURSIVE a AS ({_ROTATED}), c AS (SELECT anchor_id, replaces AS at, 0 AS depth, anchor_id AS here FROM a UNION ALL SELECT c.anchor_id, a.replaces, c.depth + 1, a.anchor_id FROM c JOIN a ON a.anchor_id = c.at WHERE c.depth < 700),
+    d AS (SELECT anchor_id, count(DISTINCT here) - 1 AS depth FROM c GROUP BY 1) SELECT anchor_id, CAST(depth AS BIGINT) AS depth FROM d""",
+)
 def q_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rotation_chains(bound(spark, sf_dir, ANCHORS))
+    return rotation_chains(bound(spark, sf_dir, _ROTATED))
 
 
 _SIGNATURES = "SELECT o_custkey AS record_id, CASE o_orderkey % 2 WHEN 0 THEN 'claimant' ELSE 'reviewer' END AS role, CASE o_orderkey % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'error' WHEN 2 THEN 'invalid' WHEN 3 THEN 'unverified' ELSE 'absent' END AS status FROM orders WHERE o_orderkey % 5 > 0 OR o_orderkey % 3 = 0"
@@ -214,16 +415,26 @@ def q_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_states(bound(spark, sf_dir, _SIGNATURES))
 
 
-_VERIFICATIONS = "SELECT concat('page/', page_id) AS artifact_path, CASE page_id % 6 WHEN 0 THEN 'trusted' WHEN 1 THEN 'valid' WHEN 2 THEN 'invalid' WHEN 3 THEN 'no_manifest' WHEN 4 THEN 'unsupported_container' ELSE 'verifier_unavailable' END AS status, page_id % 4 = 1 AS anchors_configured FROM pages"
+_VERIFICATIONS = """SELECT concat('page/', page_id) AS artifact_path, CASE page_id % 6 WHEN 0 THEN 'trusted' WHEN 1 THEN 'valid' WHEN 2 THEN 'invalid' WHEN 3 THEN 'no_manifest' WHEN 4 THEN 'unsupported_container' ELSE 'verifier_unavailable' END AS status, page_id % 4 = 1 AS anchors_configured,
+  CASE page_id % 5 WHEN 0 THEN 'supported' WHEN 1 THEN 'not_supported' WHEN 2 THEN 'verification_unavailable' ELSE NULL END AS provider_status, page_id % 10 = 0 AS provider_verified FROM pages"""
+_WATERMARKS = "SELECT concat('page/', page_id) AS artifact_path FROM pages WHERE page_id % 7 = 0 UNION ALL SELECT concat('page/', page_id) FROM pages WHERE page_id % 14 = 0"
 
 
 def _case(values: dict[str, str]) -> str:
     return "CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
 
-@query("provenance_facets", f"WITH v AS ({_VERIFICATIONS}) SELECT artifact_path, {_case(MARKER)} AS marker, {_case(SIGNATURE)} AS signature, CASE WHEN status = 'trusted' THEN 'trusted' WHEN status = 'valid' AND anchors_configured THEN 'not_covered' WHEN status = 'valid' THEN 'no_anchors_configured' ELSE 'not_applicable' END AS signer_trust FROM v")
+@query(
+    "provenance_facets",
+    f"""WITH v AS ({_VERIFICATIONS}), f AS (SELECT artifact_path, {_case(MARKER)} AS marker, {_case(SIGNATURE)} AS signature, CASE WHEN status = 'no_manifest' THEN 'not_applicable' WHEN status = 'trusted' THEN 'trusted' WHEN status = 'valid' AND anchors_configured THEN 'not_trusted' WHEN status = 'valid' THEN 'no_anchors_configured' ELSE 'not_established' END AS signer_trust,
+      CASE WHEN provider_status IS NULL THEN CASE WHEN artifact_path IN ({_WATERMARKS}) THEN 'not_verified' ELSE 'not_attempted' END WHEN provider_status = 'verification_unavailable' THEN 'unavailable' WHEN provider_status = 'not_supported' THEN 'not_supported' WHEN provider_verified THEN 'verified' ELSE 'not_verified' END AS provider, status, anchors_configured FROM v)
+    SELECT artifact_path, marker, signature, signer_trust, provider,
+      concat_ws(',', CASE WHEN marker = 'not_examined' THEN 'marker' END, CASE WHEN signature = 'unchecked' THEN 'signature' END, CASE WHEN signer_trust IN ('not_established', 'no_anchors_configured') THEN 'signer_trust' END, CASE WHEN provider IN ('not_attempted', 'unavailable') THEN 'provider' END) AS unknown,
+      concat_ws(',', CASE WHEN signer_trust = 'not_trusted' THEN 'intact_is_not_identity' END, CASE WHEN signer_trust = 'no_anchors_configured' THEN 'trust_not_evaluated' END, CASE WHEN marker = 'not_examined' THEN 'nothing_follows' END, CASE WHEN provider = 'unavailable' THEN 'unanswered' END, CASE WHEN marker = 'absent' THEN 'other_forms_not_read' END) AS caveats,
+      CASE status WHEN 'trusted' THEN 'established' WHEN 'valid' THEN CASE WHEN anchors_configured THEN 'signer_not_covered' ELSE 'trust_not_evaluated' END WHEN 'invalid' THEN 'does_not_verify' WHEN 'no_manifest' THEN 'none_found' ELSE 'not_examined' END AS headline FROM f""",
+)
 def q_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance_facets(bound(spark, sf_dir, _VERIFICATIONS))
+    return provenance_facets(bound(spark, sf_dir, _VERIFICATIONS), bound(spark, sf_dir, _WATERMARKS))
 
 
 _CERTIFICATES = "SELECT o_orderkey AS certificate_id, CAST(o_custkey % 100 AS BIGINT) AS not_before, CAST(o_custkey % 100 + 60 AS BIGINT) AS not_after, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS signature_ok, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS subject_ok FROM orders"

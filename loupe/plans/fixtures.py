@@ -50,17 +50,17 @@ FROM labels l JOIN documents d ON d.doc_id = l.doc_id GROUP BY l.doc_id
 #: A governed corpus: samples, consents and their policy.
 SAMPLES = """
 SELECT concat('s', o_orderkey) AS sample_id, concat('sha', o_orderkey % 997) AS content_sha256,
-  CASE o_custkey % 4 WHEN 0 THEN 'legal' WHEN 1 THEN 'software' WHEN 2 THEN 'medical' ELSE 'news' END AS domain,
+  CASE WHEN o_custkey % 23 = 5 THEN NULL ELSE CASE o_custkey % 4 WHEN 0 THEN 'legal' WHEN 1 THEN 'software' WHEN 2 THEN 'medical' ELSE 'news' END END AS domain,
   CASE o_orderkey % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split,
   concat('source', o_custkey % 12) AS source, o_orderdate AS collected_at, concat('c', o_custkey) AS consent_id,
-  o_orderkey % 3 <> 0 AS permits_training, o_orderkey AS ord
+  CASE WHEN o_orderkey % 17 = 4 THEN NULL ELSE o_orderkey % 3 <> 0 END AS permits_training, CASE WHEN o_orderkey % 17 = 4 THEN NULL ELSE split(CASE o_orderkey % 3 WHEN 0 THEN 'evaluation' WHEN 1 THEN 'training,evaluation' ELSE 'training' END, ',') END AS permits, o_orderkey AS ord
 FROM orders
 """
 CONSENTS = """
 SELECT concat('c', c_custkey) AS consent_id, TIMESTAMP '1993-01-01 00:00:00' AS granted_at,
   CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '1997-01-01 00:00:00' ELSE TIMESTAMP '2003-01-01 00:00:00' END ELSE NULL END AS expires_at,
   CASE WHEN c_custkey % 7 = 0 THEN 'withdrawn' ELSE 'active' END AS status,
-  CASE WHEN c_custkey % 6 = 0 THEN 'research' ELSE 'training' END AS purpose
+  CASE WHEN c_custkey % 13 = 6 THEN NULL WHEN c_custkey % 6 = 0 THEN 'research' ELSE 'training' END AS purpose
 FROM customer WHERE c_custkey % 9 <> 0
 """
 
@@ -78,7 +78,7 @@ VECTORS_SPARK, VECTORS_DUCK = VECTORS.format(doubles="ARRAY<DOUBLE>"), VECTORS.f
 
 #: A hash-chained ledger for each user; some entries are broken.
 LEDGER = """
-SELECT user_id AS log_id, event_id, ts AS recorded_at, event_type AS kind, concat(event_id, ':', event_type) AS payload, event_id % 97 = 0 AS tampered
+SELECT user_id AS log_id, event_id, ts AS recorded_at, event_type AS kind, concat('s', event_id) AS subject_id, concat(event_id, ':', event_type) AS payload, event_id % 97 = 0 AS tampered
 FROM events
 """
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loupe.functions.joins import bounded, folded_digest
 from loupe.plans.fixtures import bound
 from loupe.registry import query
 from loupe.sources.artifacts import PLANTED, described, planted
@@ -58,10 +59,8 @@ def parsed_log(raw: DataFrame, limit: int = COMMIT_LIMIT) -> DataFrame:
 
 
 def inventory_digest(artifacts: DataFrame) -> DataFrame:
-    """A digest of all artifacts, folded over 256 buckets of their own digests."""
-    each = artifacts.select(F.sha2(F.concat_ws("|", "artifact_path", "sha256"), 256).alias("h"))
-    folded = each.groupBy(F.substr("h", F.lit(1), F.lit(2)).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return folded.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    """A digest of all artifacts that doesn't depend on their order."""
+    return folded_digest(artifacts.select(F.sha2(F.concat_ws("|", "artifact_path", "sha256"), 256).alias("h")))
 
 
 @query("artifact_inventory", f"WITH a AS ({PLANTED}) SELECT artifact_path, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256, strlen(text) <= 8000 AS scanned FROM a")
@@ -69,7 +68,7 @@ def q_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(planted(spark, sf_dir)).select("artifact_path", "size", "sha256", (F.col("size") <= 8000).alias("scanned"))
 
 
-@query("inventory_digest", f"WITH a AS ({PLANTED}), h AS (SELECT sha256(concat_ws('|', artifact_path, sha256(text))) AS h FROM a), b AS (SELECT substr(h, 1, 2) AS bucket, sha256(string_agg(h, '' ORDER BY h)) AS d FROM h GROUP BY 1) SELECT sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM b")
+@query("inventory_digest", f"WITH s AS ({PLANTED}), h AS (SELECT sha256(concat_ws('|', artifact_path, sha256(text))) AS h FROM s), a AS (SELECT substr(h, 1, 4) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY substr(h, 1, 4)), b AS (SELECT substr(h, 1, 2) || sha256(string_agg(h, '' ORDER BY h)) AS h FROM a GROUP BY substr(h, 1, 2)) SELECT sha256(string_agg(h, '' ORDER BY h)) AS digest FROM b")
 def q_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory_digest(described(planted(spark, sf_dir)))
 
@@ -91,14 +90,6 @@ def q_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_rule(bound(spark, sf_dir, _PATHS), spark.sql(_IGNORE.format(s="STRING")))
 
 
-@query("git_log_parse", "SELECT CAST(conv_id AS INT) AS position, concat('h', conv_id) AS commit_hash, 'Ann' AS author, concat('m ', conv_id) AS message, conv_id = 40 AS over_limit FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id BETWEEN 0 AND 40)")
-def q_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    commits = bound(spark, sf_dir, "SELECT DISTINCT conv_id FROM conversations WHERE conv_id BETWEEN 0 AND 50")
-    one = F.concat(F.lit("h"), "conv_id", F.lit("\0Ann\0a@x\0m "), "conv_id", F.lit("\x1e"))
-    log = commits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", one.alias("c")))), lambda x: x["c"]), "").alias("log"))
-    return parsed_log(log, 40)
-
-
 #: Every conversation is a commit; 500 successive ids share a repository, so no log grows with the table.
 _COMMITS = "SELECT DISTINCT CAST(floor(coalesce(conv_id, -1) / 500) AS BIGINT) AS repository, coalesce(conv_id, -1) AS conv_id FROM conversations"
 

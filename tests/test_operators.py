@@ -194,7 +194,7 @@ def test_rates_and_intervals(spark):
     assert rows[("domain", "a")]["fp_rate"] == 0.07
     assert not rows[("subgroup", "tiny")]["sufficient"]
     e = stats.evaluation(p).first()
-    assert e["worst_subgroup"] == "x" and e["undersized"] == 1 and e["domain_spread"] is None and "coverage" in e["problems"]
+    assert e["worst_subgroup"] == "x" and e["undersized"] == 2 and e["domain_spread"] is None and "coverage" in e["problems"]
     nothing = spark.createDataFrame([(0, 0), (0, 30), (40, 40)], "k long, n long").select(*(c.alias(n) for c, n in zip(stats.wilson(F.col("k"), F.col("n")), ("low", "high")))).collect()
     assert (nothing[0]["low"], nothing[0]["high"]) == (None, None)
     assert nothing[1]["low"] == 0 and nothing[1]["high"] > 0 and nothing[2]["low"] < 1
