@@ -123,9 +123,21 @@ def q_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.where("dimension <> 'total'").join(F.broadcast(total)).select("dimension", (F.col("n") == F.col("total")).alias("consistent"))
 
 
-@query("report_order", f'WITH f AS ({FINDINGS}) SELECT id, artifact_path, coalesce("offset", -1) AS at, detector_id FROM f')
+def positions(ordered: DataFrame) -> DataFrame:
+    """Findings of a report with their place in it, numbered from 1 range by range of a global sort."""
+    from loupe.functions.staging import staged
+
+    sorted_ = staged(report_order(ordered).withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "report")
+    sizes = sorted_.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # one row for each range of the sort
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_at"))
+    return sorted_.withColumn("_in", inside).join(F.broadcast(bases), "_range").withColumn("position", F.col("base") + F.col("_in")).drop("_range", "_at", "_in", "base")
+
+
+@query("report_order", f'WITH f AS ({FINDINGS}) SELECT id, artifact_path, coalesce("offset", -1) AS at, detector_id, row_number() OVER (ORDER BY lower(artifact_path), coalesce("offset", -1), detector_id, id) AS position FROM f')
 def q_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report_order(findings_of(spark, sf_dir)).select("id", "artifact_path", F.coalesce("offset", F.lit(-1)).alias("at"), "detector_id")
+    return positions(findings_of(spark, sf_dir)).select("id", "artifact_path", F.coalesce("offset", F.lit(-1)).alias("at"), "detector_id", F.col("position").cast("long").alias("position"))
 
 
 @query(

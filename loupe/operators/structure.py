@@ -22,8 +22,9 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.functions.passes import parsed, problems
+from loupe.functions.passes import parsed, problems  # noqa: F401
 from loupe.operators.detect_text import COMMENT, HTML_COMMENT, METADATA, PROTECTED_MARKERS, RULES
+from loupe.plans.fixtures import bound
 from loupe.registry import query
 from loupe.sources.artifacts import table
 
@@ -322,10 +323,38 @@ def sheet_of(text: str | None) -> Iterator[tuple]:
 
 
 def stylesheet_features(sheets: DataFrame) -> DataFrame:
-    """Rules, declarations, hiding rules, data URIs and forced declarations of each sheet."""
+    """Innermost rules, their declarations, hiding rules, data URIs and forced declarations of each sheet."""
     return parsed(sheets, "text", sheet_of, "rules int, declarations int, hiding_rules int, data_uris int, important int, truncated_by string")
 
 
+SHEET_COUNTS = ("rules", "selectors", "declarations", "important_declarations", "vendor_prefixed_properties", "custom_properties", "max_selector_parts", "duplicate_selectors", "distinct_properties", "comments", "embedded_data_uris")
+
+
+def _sheet_measures(text: str | None) -> Iterator[tuple]:
+    from loupe.detection.text import sheet_features
+
+    found = sheet_features(text or "", MAX_EVENTS)
+    yield (*(found[k] for k in SHEET_COUNTS), found["truncated_by"])
+
+
+def _sheet_histograms(text: str | None) -> Iterator[tuple]:
+    from loupe.detection.text import sheet_features
+
+    found = sheet_features(text or "", MAX_EVENTS)
+    for name, counts in (("at_rule", "at_rules"), ("specificity", "specificity_histogram"), ("property", "property_histogram")):
+        yield from ((name, value, n, rank) for rank, (value, n) in enumerate(found[counts].items(), 1))
+
+
+def sheet_measures(sheets: DataFrame) -> DataFrame:
+    """The shape of each sheet as rules at the top and inside at-rules make it."""
+    return parsed(sheets, "text", _sheet_measures, ", ".join(f"{k} int" for k in SHEET_COUNTS) + ", truncated_by string")
+
+
+def sheet_histograms(sheets: DataFrame) -> DataFrame:
+    """At-rules, specificities and the 50 most frequent properties of each sheet, the most frequent first; ties as they stand."""
+    return parsed(sheets, "text", _sheet_histograms, "histogram string, value string, n int, rank int")
+
+
 # -- containers
 
 
@@ -773,42 +802,93 @@ def planted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.concat(F.lit("page/"), "page_id", F.lit(".html")).alias("artifact_path"), "page_id", F.concat(F.coalesce("html", F.lit("")), trace).alias("text"))
 
 
+#: The planted pages for DuckDB, piece by piece: what stands before each trace tells where it is.
+_PLANTED_PAGES = """SELECT *, b || CASE WHEN page_id % 7 = 0 THEN '<!-- generated by ChatGPT -->' ELSE '' END AS text FROM (SELECT *, i || CASE WHEN page_id % 6 = 0 THEN '<img src="data:image/png;base64,AA">' ELSE '' END AS b FROM (SELECT *, m || CASE WHEN page_id % 5 = 0 THEN '<div style="display: none">x</div>' ELSE '' END AS i
+  FROM (SELECT *, h || CASE WHEN page_id % 4 = 0 THEN '<meta name="generator" content="Maker 1">' ELSE '' END AS m FROM (SELECT concat('page/', page_id, '.html') AS artifact_path, page_id, coalesce(html, '') AS h FROM pages))))"""
+_LINE = "CAST(length({p}) - length(replace({p}, chr(10), '')) + 1 AS INT) AS line"
+
+
 @query(
     "html_findings",
-    """
-    SELECT 'generator_metadata' AS category, count(*) FILTER (WHERE page_id % 4 = 0) AS n FROM pages UNION ALL SELECT 'hidden_element', count(*) FILTER (WHERE page_id % 5 = 0) FROM pages
-    UNION ALL SELECT 'structural_signal', count(*) FILTER (WHERE page_id % 6 = 0) FROM pages UNION ALL SELECT 'generated_comment', count(*) FILTER (WHERE page_id % 7 = 0) FROM pages
-    UNION ALL SELECT 'security_issue', CAST(sum(len(regexp_extract_all(html, '(?i)<script[ >]'))) AS BIGINT) FROM pages
-    """,
+    f"""WITH p AS ({_PLANTED_PAGES}), s AS (SELECT artifact_path, regexp_extract_all(text, '(?is)(.*?)<script[ >]', 1) AS before FROM p), t AS (SELECT artifact_path, array_to_string(before[1:i], '') AS head FROM (SELECT artifact_path, before, unnest(range(1, len(before) + 1)) AS i FROM s WHERE len(before) > 0))
+    SELECT artifact_path, 'generator_metadata' AS category, 'Maker 1' AS detail, true AS removable, {_LINE.format(p="h")} FROM p WHERE page_id % 4 = 0 UNION ALL SELECT artifact_path, 'hidden_element', 'display:none', false, {_LINE.format(p="m")} FROM p WHERE page_id % 5 = 0
+    UNION ALL SELECT artifact_path, 'structural_signal', 'data uri', false, {_LINE.format(p="i")} FROM p WHERE page_id % 6 = 0 UNION ALL SELECT artifact_path, 'generated_comment', 'openai', true, {_LINE.format(p="b")} FROM p WHERE page_id % 7 = 0
+    UNION ALL SELECT artifact_path, 'security_issue', 'script', false, {_LINE.format(p="head")} FROM t""",
 )
 def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_findings(html_events(planted_pages(spark, sf_dir))).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return html_findings(html_events(planted_pages(spark, sf_dir)))
 
 
-@query("dom_topology")
+#: Fragments whose shape their numbers tell: nested boxes, items, an image, an unclosed tag, one closed twice.
+_FRAGMENTS = """SELECT concat('frag/', p_partkey) AS artifact_path, p_size % 7 AS a, p_partkey % 4 AS b, p_partkey % 3 AS c, p_partkey % 2 AS d,
+  concat('<main id="m">', repeat('<div class="x y">', CAST(p_size % 7 AS INT)), 'text', repeat('</div>', CAST(p_size % 7 AS INT)), repeat('<p id="q" style="s">t</p>', CAST(p_partkey % 4 AS INT)), repeat('<img src="u.png">', CAST(p_partkey % 3 AS INT)), CASE WHEN p_partkey % 2 = 1 THEN '<b>open' ELSE '</i><!-- c -->' END) AS text FROM part"""
+
+
+@query(
+    "dom_topology",
+    f"""WITH f AS ({_FRAGMENTS}) SELECT artifact_path, CAST(1 + a + b + c + d AS INT) AS elements, CAST(greatest(1 + a, CASE WHEN b + d > 0 THEN 2 ELSE 1 END) AS INT) AS max_depth, CAST(c AS INT) AS void_elements, CAST(1 - d AS INT) AS mismatched_closes, CAST(1 + d AS INT) AS unclosed_elements, CAST(greatest(a - 1, 0) AS INT) AS wrapper_only_elements, CAST(1 - d AS INT) AS comments,
+    CAST(b AS INT) AS inline_styles, CAST(CASE WHEN b > 0 THEN 2 ELSE 1 END AS INT) AS distinct_ids, CAST(CASE WHEN b > 1 THEN 1 ELSE 0 END AS INT) AS duplicate_ids, CAST(2 * a AS INT) AS class_tokens, CAST(CASE WHEN a > 0 THEN 2 ELSE 0 END AS INT) AS distinct_class_tokens, CAST(1 + a + 2 * b + c AS INT) AS attributes, CAST(4 + b + 4 * d AS INT) AS text_characters,
+    CAST(length(text) - 4 - b - 4 * d AS INT) AS markup_characters, 0::INT AS script_elements, 0::INT AS style_elements, CAST(c AS INT) AS external_references, CAST(NULL AS VARCHAR) AS truncated_by, CAST(NULL AS VARCHAR) AS error FROM f""",
+)
 def q_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom_topology(planted_pages(spark, sf_dir))
+    return dom_topology(bound(spark, sf_dir, _FRAGMENTS))
 
 
-@query("stylesheet_features", "SELECT concat('css/', p_partkey) AS artifact_path, 2 + CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS rules, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS hiding_rules, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS data_uris FROM part")
+@query(
+    "dom_histograms",
+    f"""WITH f AS ({_FRAGMENTS}), t AS (SELECT artifact_path, 'tag' AS histogram, unnest(['main', 'div', 'p', 'img', 'b']) AS value, unnest([1, a, b, c, d]) AS n FROM f), e AS (SELECT artifact_path, unnest(range(1, 9)) AS depth, a, b, d FROM f)
+    SELECT artifact_path, histogram, value, CAST(n AS INT) AS n FROM t WHERE n > 0 UNION ALL SELECT artifact_path, 'depth', CAST(depth AS VARCHAR), CAST(n AS INT) FROM (SELECT artifact_path, depth, CASE WHEN depth = 1 THEN 1 ELSE 0 END + CASE WHEN depth BETWEEN 2 AND a + 1 THEN 1 ELSE 0 END + CASE WHEN depth = 2 THEN b + d ELSE 0 END AS n FROM e) WHERE n > 0""",
+)
+def q_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom_histograms(bound(spark, sf_dir, _FRAGMENTS)).select("artifact_path", "histogram", "value", "n")
+
+
+#: Style sheets with numbers of rules, declarations and selectors that vary, inside and outside at-rules.
+_SHEETS = """SELECT concat('css/', p_partkey) AS artifact_path, concat('/* a { */ @media x { .a { color: red } .b, p > q { margin: 1px; --v: 2 } } ', CASE WHEN p_size % 4 = 0 THEN '.c{display : none}' ELSE '' END, CASE WHEN p_size % 3 = 0 THEN '.d { background: url( data:x) !important; -webkit-x: 1 }' ELSE '' END,
+  repeat('.r { a: b; c: d !important }', CAST(p_partkey % 4 AS INT)), CASE WHEN p_partkey % 6 = 0 THEN ' .open { x: y' ELSE '' END) AS text FROM part"""
+
+
+@query(
+    "stylesheet_features",
+    rf"""WITH s AS ({_SHEETS}), b AS (SELECT artifact_path, regexp_replace(text, '/\*.*?\*/', '', 'g') AS t FROM s), r AS (SELECT artifact_path, t, regexp_extract_all(t, '\{{([^{{}}]*)\}}', 1) AS bodies FROM b)
+    SELECT artifact_path, CAST(len(bodies) AS INT) AS rules, CAST(len(list_filter(bodies, lambda x: regexp_matches(x, 'display\s*:\s*none'))) AS INT) AS hiding_rules, CAST(len(regexp_extract_all(t, 'url\(\s*data:')) AS INT) AS data_uris, CAST(coalesce(list_sum(list_transform(bodies, lambda x: length(x) - length(replace(x, ':', '')))), 0) AS INT) AS declarations, CAST(coalesce(list_sum(list_transform(bodies, lambda x: len(regexp_extract_all(x, '!important')))), 0) AS INT) AS important FROM r""",
+)
 def q_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    text = F.concat(F.lit("/* a { */ @media x { .a { color: red } .b { margin: 1px } } "), F.when(F.col("p_size") % 4 == 0, ".c{display : none}").otherwise(""), F.when(F.col("p_size") % 3 == 0, " url( 'data:x')").otherwise(""), F.lit(" .open { x: y"))
-    return stylesheet_features(p.select(F.concat(F.lit("css/"), "p_partkey").alias("artifact_path"), text.alias("text"))).select("artifact_path", "rules", "hiding_rules", "data_uris")
+    return stylesheet_features(bound(spark, sf_dir, _SHEETS)).select("artifact_path", "rules", "hiding_rules", "data_uris", "declarations", "important")
+
+
+_SHEET_SQL = rf"""s AS ({_SHEETS}), b AS (SELECT artifact_path, regexp_replace(text, '/\*.*?\*/', ' ', 'g') AS t, len(regexp_extract_all(text, '/\*.*?\*/')) AS comments FROM s), r AS (SELECT *, regexp_extract_all(t, '([^{{}}]*)\{{[^{{}}]*\}}', 1) AS heads, regexp_extract_all(t, '\{{([^{{}}]*)\}}', 1) AS bodies FROM b),
+    sel AS (SELECT artifact_path, trim(x) AS selector FROM (SELECT artifact_path, unnest(flatten(list_transform(heads, lambda h: string_split(h, ',')))) AS x FROM r)), dec AS (SELECT artifact_path, lower(trim(split_part(x, ':', 1))) AS name, lower(x) AS x FROM (SELECT artifact_path, unnest(flatten(list_transform(bodies, lambda h: string_split(h, ';')))) AS x FROM r) WHERE contains(x, ':'))"""
+
+
+@query(
+    "sheet_measures",
+    f"""WITH {_SHEET_SQL}, q AS (SELECT artifact_path, count(*) AS selectors, max(len(string_split(selector, ' '))) AS parts, count(*) - count(DISTINCT selector) AS extra FROM sel GROUP BY 1), u AS (SELECT artifact_path, count(*) AS n FROM (SELECT artifact_path, selector FROM sel GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
+    e AS (SELECT artifact_path, count(*) AS declarations, count(*) FILTER (WHERE contains(x, '!important')) AS important, count(*) FILTER (WHERE starts_with(name, '-webkit-')) AS vendor, count(*) FILTER (WHERE starts_with(name, '--')) AS custom, count(DISTINCT name) AS properties, count(*) FILTER (WHERE contains(replace(x, ' ', ''), 'url(data:')) AS uris FROM dec GROUP BY 1)
+    SELECT artifact_path, CAST(1 + len(bodies) AS INT) AS rules, CAST(selectors AS INT) AS selectors, CAST(declarations AS INT) AS declarations, CAST(important AS INT) AS important_declarations, CAST(vendor AS INT) AS vendor_prefixed_properties, CAST(custom AS INT) AS custom_properties, CAST(parts AS INT) AS max_selector_parts,
+      CAST(coalesce(n, 0) AS INT) AS duplicate_selectors, CAST(properties AS INT) AS distinct_properties, CAST(comments AS INT) AS comments, CAST(uris AS INT) AS embedded_data_uris FROM r JOIN q USING (artifact_path) JOIN e USING (artifact_path) LEFT JOIN u USING (artifact_path)""",
+)
+def q_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheet_measures(bound(spark, sf_dir, _SHEETS)).select("artifact_path", *SHEET_COUNTS)
+
+
+@query("sheet_properties", f"WITH {_SHEET_SQL} SELECT artifact_path, name AS value, CAST(count(*) AS INT) AS n FROM dec GROUP BY 1, 2")
+def q_sheet_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sheet_histograms(bound(spark, sf_dir, _SHEETS)).where("histogram = 'property'").select("artifact_path", "value", "n")
+
+
+#: Source files whose comments begin on lines that vary.
+_SOURCES = """SELECT concat('src/', conv_id, '-', turn, CASE WHEN turn % 2 = 0 THEN '.py' ELSE '.js' END) AS artifact_path, concat(repeat('\n', CAST(conv_id % 5 AS INT)), CASE WHEN turn % 2 = 0 THEN concat('x = 1 # n\ny = ''created with Codex # no comment''\n# ', CASE WHEN conv_id % 3 = 0 THEN 'generated by ChatGPT' WHEN conv_id % 3 = 1 THEN 'see written by Claude' ELSE 'plain' END, '\n')
+  ELSE concat('let x = 1; // n\n/* ', CASE WHEN conv_id % 3 = 0 THEN 'generated by ChatGPT' WHEN conv_id % 3 = 1 THEN 'see written by Claude' ELSE 'plain' END, ' */\n') END) AS text FROM conversations"""
 
 
 @query(
     "comment_findings",
-    """SELECT concat('src/', conv_id, '-', turn, CASE WHEN turn % 2 = 0 THEN '.py' ELSE '.js' END) AS artifact_path, CAST(2 AS INT) AS line, 'openai' AS provider, turn % 2 = 0 AS verified, 'generated_comment' AS category, CASE WHEN turn % 2 = 0 THEN 0.99 ELSE 0.65 END::DOUBLE AS confidence
-    FROM conversations WHERE conv_id % 3 = 0""",
+    f"""SELECT concat('src/', conv_id, '-', turn, CASE WHEN turn % 2 = 0 THEN '.py' ELSE '.js' END) AS artifact_path, CAST(conv_id % 5 + CASE WHEN turn % 2 = 0 THEN 3 ELSE 2 END AS INT) AS line, CASE WHEN conv_id % 3 = 0 THEN 'openai' ELSE 'anthropic' END AS provider, turn % 2 = 0 AS verified, 'generated_comment' AS category, CASE WHEN turn % 2 = 0 THEN 0.99 ELSE 0.65 END::DOUBLE AS confidence
+    FROM conversations WHERE conv_id % 3 < 2""",
 )
 def q_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    py = F.col("turn") % 2 == 0
-    mark = F.when(F.col("conv_id") % 3 == 0, "generated by ChatGPT").otherwise("plain note")
-    text = F.when(py, F.concat(F.lit("x = 'created with Codex # no comment'\n# "), mark, F.lit("\n"))).otherwise(F.concat(F.lit("let x = 1;\n/* "), mark, F.lit(" */\n")))
-    rows = c.select(F.concat(F.lit("src/"), "conv_id", F.lit("-"), "turn", F.when(py, ".py").otherwise(".js")).alias("artifact_path"), text.alias("text"))
-    return comment_findings(source_comments(rows))
+    return comment_findings(source_comments(bound(spark, sf_dir, _SOURCES).select("artifact_path", "text")))
 
 
 def sample_files() -> dict[str, bytes]:

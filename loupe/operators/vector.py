@@ -73,7 +73,7 @@ def svg_findings(rows: DataFrame) -> DataFrame:
     def found(df: DataFrame, category: str, detail, removable) -> DataFrame:
         return df.select("artifact_path", F.lit(category).alias("category"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail"), (F.lit(removable) if isinstance(removable, bool) else removable).alias("removable"))
 
-    blocks = found(elements.where(F.col("tag").isin(*METADATA) & ~F.col("inside_metadata")), "document_metadata", "metadata block", True)
+    blocks = found(elements.where(F.col("tag").isin(*METADATA) & ~F.col("inside_metadata")), "generator_metadata", "metadata block", True)
     own = attrs.where(F.lower("name").rlike("|".join(EDITORS)) & ~F.col("name").startswith("xmlns")).groupBy("artifact_path", "element").agg(F.max(_protected(F.concat_ws(" ", "name", "value"))).alias("p"))
     editors = found(own, "generator_metadata", "editor attributes", ~F.col("p"))
     style = F.lower(F.replace("value", F.lit(" "), F.lit("")))
@@ -113,11 +113,11 @@ CASE WHEN p_partkey % 13 = 0 THEN '<script/>' ELSE '' END, CASE WHEN p_partkey %
 
 @query(
     "svg_findings",
-    """WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 17 <> 0) SELECT category, detail, removable, count(*) AS n FROM (
-      SELECT 'document_metadata' AS category, 'metadata block' AS detail, true AS removable FROM p WHERE k % 3 = 0 UNION ALL SELECT 'generator_metadata', 'editor attributes', true FROM p WHERE k % 2 = 0 UNION ALL SELECT 'hidden_element', 'hidden', false FROM p WHERE k % 5 = 0
-      UNION ALL SELECT 'structural_signal', 'off canvas', false FROM p WHERE k % 7 = 0 UNION ALL SELECT 'structural_signal', 'duplicate paths', false FROM p WHERE k % 4 = 0 UNION ALL SELECT 'structural_signal', 'unreferenced ids', false FROM p WHERE k % 6 <> 0
-      UNION ALL SELECT 'generator_metadata', 'comment', true FROM p WHERE k % 11 = 0 UNION ALL SELECT 'explicit_ai_attribution', 'openai', true FROM p WHERE k % 11 = 0 UNION ALL SELECT 'security_issue', 'script', false FROM p WHERE k % 13 = 0) GROUP BY ALL""",
+    """WITH p AS (SELECT p_partkey AS k, concat('svg/', p_partkey) AS artifact_path FROM part WHERE p_partkey % 17 <> 0) SELECT * FROM (
+      SELECT artifact_path, 'generator_metadata' AS category, 'metadata block' AS detail, true AS removable FROM p WHERE k % 3 = 0 UNION ALL SELECT artifact_path, 'generator_metadata', 'editor attributes', true FROM p WHERE k % 2 = 0 UNION ALL SELECT artifact_path, 'hidden_element', 'hidden', false FROM p WHERE k % 5 = 0
+      UNION ALL SELECT artifact_path, 'structural_signal', 'off canvas', false FROM p WHERE k % 7 = 0 UNION ALL SELECT artifact_path, 'structural_signal', 'duplicate paths', false FROM p WHERE k % 4 = 0 UNION ALL SELECT artifact_path, 'structural_signal', 'unreferenced ids', false FROM p WHERE k % 6 <> 0
+      UNION ALL SELECT artifact_path, 'generator_metadata', 'comment', true FROM p WHERE k % 11 = 0 UNION ALL SELECT artifact_path, 'explicit_ai_attribution', 'openai', true FROM p WHERE k % 11 = 0 UNION ALL SELECT artifact_path, 'security_issue', 'script', false FROM p WHERE k % 13 = 0)""",
 )
 def q_svg(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = bound(spark, sf_dir, _IMAGES).select(F.concat(F.lit("svg/"), "p_partkey").alias("artifact_path"), "text")
-    return svg_findings(svg_elements(images)).groupBy("category", "detail", "removable").agg(F.count(F.lit(1)).alias("n"))
+    return svg_findings(svg_elements(images))
