@@ -7,8 +7,6 @@ letters A-Z, which is what the operators' word definitions ask for.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from math import ceil
 
@@ -19,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loupe.functions.staging import discarded, shared_dir, staged  # noqa: F401
+
 #: Bytes of text that one numpy pass takes at a time, besides a single longer text.
 SLICE_BYTES = 1 << 19
 #: Words whose hashes a worker remembers before it starts afresh.
@@ -32,39 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Where none is named, a local session gets a temporary one; on a cluster that is an error, as the
-    driver couldn't read what executors write to their own disks.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loupe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found._staged_at = path
-    return found
-
-
-def discarded(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more: whatever was made of them is staged itself."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parts_for(spark: SparkSession, n: int, part: int, least: int) -> int:
     """Parts for ``n`` rows: ``part`` rows each at most, and work for every core where they have ``least``."""
     return max(ceil(n / part), min(4 * spark.sparkContext.defaultParallelism, ceil(n / least)), 1)

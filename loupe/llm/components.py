@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from loupe.llm.common import discarded, join_counted, staged
 
 
+#: Pairs of one node that a task may join; in smaller tables no node has more.
+PAIRS = 1 << 20
+
+
 def _stars(pairs: DataFrame, total: int) -> DataFrame:
     """Each directed pair (u, v) with the least node next to u, u itself included; nodes with very many pairs are looked up without a shuffle."""
+    if total <= PAIRS:
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     return join_counted(pairs, least, "u", total)
 

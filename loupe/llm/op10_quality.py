@@ -35,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loupe.llm.common import batches, hashes, staged, table, windows
+from loupe.llm.common import batches, hashes, staged, table, unwrapped, windows
 
 #: Labelled documents from whose proposing part the lexicon is learned, at most.
 SAMPLE = 50_000
@@ -161,19 +162,22 @@ def lexicon_of(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
     return frozenset(picked)
 
 
-def scored(docs: DataFrame, lexicon: frozenset[bytes]) -> DataFrame:
-    """doc_id, stratum, holdout, counts and scores of every document."""
+def scored(docs: DataFrame, lexicon: frozenset[bytes], whole: bool = False) -> DataFrame:
+    """doc_id, stratum, holdout, counts and scores of every document; with its whole row, if that is asked for."""
     names = [*_COUNTS, *(f"s_{k}" for k in GRIDS)]
+    held = ["doc_id", "stratum", "holdout", *(["row"] if whole else [])]
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source):
             rows = list(zip(*(measured(t, lexicon) for t in texts), strict=True))
-            held = ["doc_id", "stratum", "holdout"]
             yield pa.record_batch([*(batch.column(c) for c in held), *(pa.array(r, pa.int64() if i < len(_COUNTS) else pa.float64()) for i, r in enumerate(rows))], names=[*held, *names])
 
     stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stratum.alias("stratum"), _held_out(F.col("text")).alias("holdout"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(made, "doc_id long, stratum string, holdout boolean, " + ", ".join(f"{n} long" for n in _COUNTS) + ", " + ", ".join(f"s_{k} double" for k in GRIDS))
+    row = [F.struct("*").alias("row")] if whole else []
+    picked = docs.select(*row, F.col("doc_id").cast("long").alias("doc_id"), stratum.alias("stratum"), F.col("text").cast("string").alias("text"))
+    picked = picked.withColumn("holdout", _held_out(F.col("text")))
+    schema = T.StructType([picked.schema[c] for c in held] + [T.StructField(n, T.LongType() if i < len(_COUNTS) else T.DoubleType()) for i, n in enumerate(names)])
+    return picked.select(*held, "text").mapInArrow(made, schema)
 
 
 def base_failed() -> Column:
@@ -223,10 +227,10 @@ def cutoffs(scores: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[s
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """doc_id, counts, base_failed and kept of every document."""
+def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), whole: bool = False) -> DataFrame:
+    """doc_id, counts, base_failed and kept of every document; with its ``whole`` row, if that is asked for."""
     spark = docs.sparkSession
-    scores = staged(scored(docs, lexicon_of(docs, labels)), "quality-scores")
+    scores = staged(scored(docs, lexicon_of(docs, labels), whole), "quality-scores")
     found = cutoffs(scores, labels, risk)
     schema = "stratum string, " + ", ".join(f"c_{k} double" for k in GRIDS)
     limits = spark.createDataFrame([(s, *(rules.get(k) for k in GRIDS)) for s, rules in sorted(found.items())], schema)
@@ -239,23 +243,9 @@ def judged(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame
 
 
 def quality_filtered(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    lexicon = lexicon_of(docs, labels)
-    limits = cutoffs(staged(scored(docs, lexicon), "quality-scores"), labels, risk)
-    at = {k: i + len(_COUNTS) for i, k in enumerate(GRIDS)}
-    has_lang = "lang" in docs.columns
-
-    def kept(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in batches(source):
-            strata = [x or "" for x in batch.column("lang").cast(pa.string()).to_pylist()] if has_lang else [""] * len(texts)
-            stay = []
-            for text, stratum in zip(texts, strata, strict=True):
-                m = measured(text, lexicon)
-                failed = m[0] < 20 or 100 * m[4] > 30 * m[0]
-                stay.append(not failed and all(m[at[k]] < c for k, c in limits.get(stratum, limits[REST]).items()))
-            yield batch.filter(pa.array(stay))
-
-    return docs.mapInArrow(kept, docs.schema)
+    """The documents that the rules keep, with all their columns. Texts are scored once, beside their rows."""
+    kept = judged(docs, labels, risk, True).where("kept")
+    return unwrapped(kept, docs)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,14 +185,19 @@ def _fetched(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     """The staged pairs (a, b) with ``column`` of both nodes as x and y.
 
     A hub's pairs are dealt over salts, and its one row is copied to each, so no task gives one node's facts to
-    more than about DEALT pairs. There are fewer than MOST_HUBS hubs, whatever the data, so they are broadcast.
+    more than about DEALT pairs. There are fewer than MOST_HUBS hubs, whatever the data, so the driver tells them to all.
     """
     least = max(DEALT, pairs.count() // MOST_HUBS)
     out = pairs
     for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
-        hubs = F.broadcast(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(end, F.ceil(F.col("n") / DEALT).cast("int").alias("salts")))
+        named = facts.select(F.col("node").alias(end), F.col(column).alias(name))
+        found = pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).select(end, F.ceil(F.col("n") / DEALT).cast("int").alias("salts")).collect()
+        if not found:
+            out = out.join(named, end)
+            continue
+        hubs = F.broadcast(pairs.sparkSession.createDataFrame(found, f"{end} binary, salts int"))
         salts = F.coalesce("salts", F.lit(1))
-        copied = facts.select(F.col("node").alias(end), F.col(column).alias(name)).join(hubs, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        copied = named.join(hubs, end, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
         dealt = out.join(hubs, end, "left").withColumn("salt", F.pmod(F.xxhash64(other), salts).cast("int")).drop("salts")
         out = dealt.join(copied, [end, "salt"]).drop("salt")
     return out

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loupe.llm import op1_shard, op2_mix, op3_decontaminate, op4_suffix, op5_near, op6_substring, op7_chat, op8_tokens, op9_warc, op10_quality
+from loupe.llm import components, op1_shard, op2_mix, op3_decontaminate, op4_suffix, op5_near, op6_substring, op7_chat, op8_tokens, op9_warc, op10_quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -108,16 +108,86 @@ def test_raking_meets_marginals():
     assert abs(sum(m for k, m in mass.items() if k[1] == "en") / total - 0.5) < 1e-6
 
 
+def plain_raking(cells, targets, share, rounds=2000):
+    """The same fit, cell by cell: scale to each marginal in turn, and give no more than there is."""
+    mass = {k: n * share for k, n in cells.items()}
+    budget = sum(cells.values()) * share
+    for _ in range(rounds):
+        for d, want in enumerate(targets):
+            got = defaultdict(float)
+            for k, m in mass.items():
+                got[k[d]] += m
+            mass = {k: min(m * want[k[d]] * budget / got[k[d]], cells[k]) if got[k[d]] else 0.0 for k, m in mass.items()}
+    return {k: m / cells[k] for k, m in mass.items()}
+
+
+def mixed_by_hand(rows, topics, mix):
+    """(id, text) -> cell, tokens, probability and decision of rows (doc_id, source, lang, text)."""
+    import xxhash
+
+    named = {c: set(getattr(mix, c).shares) for c in ("source", "lang", "topic")}
+    facts, cells = {}, Counter()
+    for i, source, lang, text in rows:
+        words = (text or "").encode().split()
+        topic = 0
+        if words:
+            v = np.zeros(op2_mix.CELLS)
+            for w in words:
+                v[int(op2_mix.mixed(np.array([xxhash.xxh3_64_intdigest(w)], np.uint64))[0]) % op2_mix.CELLS] += 1
+            v = np.log1p(v)
+            topic = int(np.argmax(topics.centres @ (v / np.sqrt((v * v).sum()) - topics.mean)))
+        cell = (source if source in named["source"] else op2_mix.OTHER, lang if lang in named["lang"] else op2_mix.OTHER, str(topic))
+        cells[cell] += len(words)
+        facts[i, text] = cell, len(words)
+    held = {k: n for k, n in cells.items() if n}
+    targets = []
+    for d, name in enumerate(("source", "lang", "topic")):
+        seen = Counter()
+        for k, n in held.items():
+            seen[k[d]] += n
+        targets.append(op2_mix.targets_of(getattr(mix, name), dict(seen)))
+    p = plain_raking(held, targets, mix.budget) if held else {}
+    u = lambda i, t: xxhash.xxh3_64_intdigest(f"{i}\n".encode() + (t or "").encode(), mix.seed) / 2.0**64
+    return {k: (cell, n, p.get(cell, 1.0), u(*k) < p.get(cell, 1.0)) for k, (cell, n) in facts.items()}
+
+
 def test_mixing(docs_of, texts):
     docs = docs_of(texts)
     rows = op2_mix.measured(docs, op2_mix.GENTLE).collect()
     assert Counter(r["n_tokens"] for r in rows) == Counter(len(WORD.findall(t or "")) for _, t in texts)
     kept = op2_mix.mixed_docs(docs)
     assert kept.columns == docs.columns
-    assert not Counter((r["doc_id"], r["text"]) for r in kept.collect()) - Counter(texts)
+    want = mixed_by_hand([(r["doc_id"], r["source"], r["lang"], r["text"]) for r in docs.collect()], op2_mix.fitted_topics(docs), op2_mix.GENTLE)
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(k for k in texts if want[k][-1])
     assert op2_mix.mixed_docs(docs_of([])).count() == 0
 
 
+def test_the_registered_mix(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = mixed_by_hand([(r["doc_id"], r["source"], r["lang"], r["text"]) for r in docs.collect()], op2_mix.fitted_topics(docs), op2_mix.PRODUCTION)
+    by_id = {i: v for (i, _), v in want.items()}
+    for r in op2_mix.op2_mix(spark, sf).collect():
+        cell, n, p, kept = by_id[r["doc_id"]]
+        assert ((r["source"], r["lang"], r["topic"]), r["n_tokens"]) == (cell, n)
+        assert r["probability"] == pytest.approx(p, abs=1e-4) and (r["kept"] == kept or abs(p - r["probability"]) > 0)
+    rows = op2_mix.mix_balance(spark, sf).collect()
+    for name in ("source", "lang", "topic"):
+        assert sum(r["target"] for r in rows if r["marginal"] == name) == pytest.approx(1)
+        assert sum(r["achieved"] for r in rows if r["marginal"] == name) == pytest.approx(1)
+
+
+def test_topics_are_clusters_of_words():
+    rng = random.Random(22)
+    groups = [[f"{g}w{i}" for i in range(30)] for g in range(4)]
+    texts = [(g, " ".join(rng.choice(groups[g]) for _ in range(40)).encode().split()) for g in range(4) for _ in range(50)]
+    found = op2_mix.clustered(np.array([op2_mix.bag(op2_mix.hashes(w)) for _, w in texts]), 4)
+    told = defaultdict(Counter)
+    for g, w in texts:
+        told[g][found.of(op2_mix.hashes(w))] += 1
+    assert all(max(c.values()) == 50 for c in told.values()) and len({c.most_common(1)[0][0] for c in told.values()}) == 4
+
+
 # -- 3
 
 
@@ -264,6 +334,7 @@ def test_near_duplicates(docs_of, texts, how, small, monkeypatch):
     if small:  # hubs are dealt, nothing is broadcast by its size, and templated texts fill whole buckets
         monkeypatch.setattr(op5_near, "BLOCK", 4)
         monkeypatch.setattr(op5_near, "DEALT", 2)
+        monkeypatch.setattr(components, "PAIRS", 0)
         monkeypatch.setattr(op5_near, "BROADCAST_ROWS", 0)
         rng = random.Random(51)
         say = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
@@ -590,5 +661,23 @@ def test_pipeline_stages(spark):
             items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             found = {r["doc_id"]: contaminated(r["text"], items) for r in before}
             assert set(ids) == {i for i, (n, hit, _) in found.items() if not (hit and 20 * hit >= n)}
+        if name == "mix":
+            want = mixed_by_hand([(r["doc_id"], r["source"], r["lang"], r["text"]) for r in before], op2_mix.fitted_topics(docs), op2_mix.GENTLE)
+            assert set(ids) == {i for (i, _), v in want.items() if v[-1]}
+        if name == "shard":
+            loads = Counter()
+            for r in rows:
+                loads[r["shard"]] += r["size"]
+            sizes = {r["doc_id"]: len((r["text"] or "").encode()) + 8 for r in before}
+            assert {r["doc_id"]: r["size"] for r in rows} == sizes
+            ordered, room = sorted(sizes.values(), reverse=True), []
+            for n in ordered:  # best fit decreasing at the capacity that the shards came to
+                fits = [x for x in room if x >= n]
+                if fits:
+                    room.remove(min(fits))
+                    room.append(min(fits) - n)
+                else:
+                    room.append(max(loads.values()) - n)
+            assert len(loads) <= corpus_pipeline.N_SHARDS and len(room) <= corpus_pipeline.N_SHARDS
         docs = out
     assert sorted({r["shard"] for r in docs.collect()})[-1] < corpus_pipeline.N_SHARDS
