@@ -129,3 +129,71 @@ _ACTION = "coalesce(CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v
 def q_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings(scan_rows(artifacts(spark, sf_dir)))
     return remediation_plan(policy_decisions(found, "client-delivery")).groupBy("artifact_path", "remediation_id", "disposition").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _made(suffix: str, detector: str, category: str, severity: str, remediation: str | None, title: str, value: str, where: str) -> str:
+    gone = f"'{remediation}'" if remediation else "NULL"
+    return f"SELECT concat('made/', c_custkey, '.{suffix}') AS artifact_path, '{detector}' AS detector_id, '{category}' AS category, '{severity}' AS severity, CAST({gone} AS VARCHAR) AS remediation_id, '{title}' AS title, CAST({value} AS VARCHAR) AS value FROM customer WHERE {where}"
+
+
+_DOCX, _PPTX, _XLSX, _ODF, _PDF, _RASTER, _MEDIA, _SVG = "documents.docx-forensics.v1", "documents.pptx-forensics.v1", "documents.xlsx-forensics.v1", "documents.odf-forensics.v1", "documents.pdf-forensics.v1", "design.raster-metadata.v1", "media.container-metadata.v1", "design.svg-forensics.v1"
+_AT = [f"c_custkey % 12 = {i}" for i in range(12)]
+_FIFTH = "CASE WHEN c_custkey % 5 = 0 THEN 'generated by ChatGPT' ELSE '{}' END"
+_FILES = " UNION ALL ".join(
+    [
+        *(
+            part
+            for i, suffix, d in ((0, "docx", _DOCX), (1, "pptx", _PPTX), (2, "xlsx", _XLSX))
+            for part in (_made(suffix, d, "personal_metadata", "medium", f"{suffix}.remove-metadata-field", "property: creator", "c_name", _AT[i]), _made(suffix, d, "document_metadata", "low", f"{suffix}.remove-metadata-field", "property: title", "'T'", _AT[i]))
+        ),
+        _made("docx", _DOCX, "generator_metadata", "medium", "docx.remove-metadata-field", "property: Application", "'Maker'", _AT[0]),
+        _made("docx", _DOCX, "document_metadata", "low", "docx.remove-custom-property", "property: Tool", _FIFTH.format("plain"), _AT[0]),
+        _made("docx", _DOCX, "explicit_ai_attribution", "medium", "docx.remove-custom-property", "attribution in metadata", "'generated by ChatGPT'", f"{_AT[0]} AND c_custkey % 5 = 0"),
+        _made("docx", _DOCX, "document_metadata", "low", None, "comment", "NULL", _AT[0]),
+        _made("docx", _DOCX, "structural_signal", "medium", None, "tracked changes", "NULL", f"{_AT[0]} AND c_custkey % 2 = 1"),
+        _made("docx", _DOCX, "security_issue", "medium", None, "external or active relationship", "NULL", _AT[0]),
+        _made("pptx", _PPTX, "document_metadata", "low", None, "speaker notes", "NULL", _AT[1]),
+        _made("pptx", _PPTX, "explicit_ai_attribution", "medium", None, "attribution in metadata", "'generated by ChatGPT'", f"{_AT[1]} AND c_custkey % 5 = 0"),
+        _made("pptx", _PPTX, "personal_metadata", "medium", None, "comment author", "c_name", _AT[1]),
+        _made("pptx", _PPTX, "structural_signal", "info", None, "slides", "NULL", _AT[1]),
+        _made("xlsx", _XLSX, "hidden_element", "medium", None, "hidden worksheet", "NULL", _AT[2]),
+        _made("xlsx", _XLSX, "tooling_residue", "low", None, "defined name", _FIFTH.format("A1"), _AT[2]),
+        _made("xlsx", _XLSX, "explicit_ai_attribution", "medium", None, "attribution in metadata", "'generated by ChatGPT'", f"{_AT[2]} AND c_custkey % 5 = 0"),
+        _made("xlsx", _XLSX, "personal_metadata", "medium", None, "comment author", "c_name", _AT[2]),
+        _made("xlsx", _XLSX, "document_metadata", "low", None, "cell comment", "NULL", _AT[2]),
+        _made("xlsx", _XLSX, "security_issue", "medium", None, "external workbook links", "NULL", _AT[2]),
+        _made("odf", _ODF, "generator_metadata", "medium", "odf.remove-metadata-field", "property: generator", "'Maker'", _AT[3]),
+        _made("odf", _ODF, "personal_metadata", "medium", "odf.remove-metadata-field", "property: initial-creator", "c_name", _AT[3]),
+        _made("odf", _ODF, "document_metadata", "low", "odf.remove-metadata-field", "property: user-defined:Tool", _FIFTH.format("plain"), _AT[3]),
+        _made("odf", _ODF, "structural_signal", "medium", None, "macro storage", "NULL", f"{_AT[3]} AND c_custkey % 2 = 1"),
+        _made("pdf", _PDF, "personal_metadata", "medium", "pdf.remove-metadata-field", "Info: Author", "concat(c_name, ' (x)')", _AT[4]),
+        _made("pdf", _PDF, "generator_metadata", "medium", "pdf.remove-metadata-field", "Info: Producer", "'Maker'", _AT[4]),
+        _made("pdf", _PDF, "personal_metadata", "medium", "pdf.remove-metadata-field", "Info: Author", "c_name", _AT[5]),
+        _made("pdf", _PDF, "generator_metadata", "medium", "pdf.remove-metadata-field", "Info: Creator", "'Maker'", _AT[5]),
+        _made("png", _RASTER, "generator_metadata", "medium", "image.remove-metadata", "image metadata: Software", "'Maker'", _AT[6]),
+        _made("png", _RASTER, "personal_metadata", "medium", "image.remove-metadata", "image metadata: Author", "c_name", _AT[6]),
+        _made("jpeg", _RASTER, "image_metadata", "low", None, "image metadata: Orientation", "1 + c_custkey % 8", _AT[7]),
+        _made("jpeg", _RASTER, "personal_metadata", "medium", "image.remove-metadata", "image metadata: Artist", "c_name", _AT[7]),
+        _made("jpeg", _RASTER, "image_metadata", "low", "image.remove-metadata", "image metadata: comment", "'made by hand'", _AT[7]),
+        _made("wav", _MEDIA, "generator_metadata", "medium", "media.remove-metadata-field", "media metadata: software", "'Maker'", _AT[8]),
+        _made("wav", _MEDIA, "personal_metadata", "medium", "media.remove-metadata-field", "media metadata: artist", "c_name", _AT[8]),
+        _made("mp3", _MEDIA, "personal_metadata", "medium", "media.remove-metadata-field", "media metadata: artist", "c_name", _AT[9]),
+        _made("mp3", _MEDIA, "generator_metadata", "medium", "media.remove-metadata-field", "media metadata: encoder settings", _FIFTH.format("Maker"), _AT[9]),
+        _made("mp3", _MEDIA, "explicit_ai_attribution", "medium", "media.remove-metadata-field", "attribution in media metadata", "'generated by ChatGPT'", f"{_AT[9]} AND c_custkey % 5 = 0"),
+        _made("flac", _MEDIA, "generator_metadata", "medium", "media.remove-metadata-field", "media metadata: vendor", "'Maker'", _AT[10]),
+        _made("flac", _MEDIA, "personal_metadata", "medium", "media.remove-metadata-field", "media metadata: artist", "c_name", _AT[10]),
+        _made("svg", _SVG, "generator_metadata", "medium", "svg.remove-metadata-element", "metadata element", "NULL", _AT[11]),
+        _made("svg", _SVG, "generator_metadata", "low", "svg.remove-editor-attributes", "editor attributes", "NULL", _AT[11]),
+        _made("svg", _SVG, "generator_metadata", "low", "svg.remove-generator-comment", "generator comment", "NULL", f"{_AT[11]} AND c_custkey % 5 = 0"),
+        _made("svg", _SVG, "explicit_ai_attribution", "medium", "svg.remove-attribution-comment", "attribution in an SVG comment", "NULL", f"{_AT[11]} AND c_custkey % 5 = 0"),
+    ]
+)
+
+
+@query("scan_files", _FILES)
+def q_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in office, PDF, image, audio and SVG files made of the customers."""
+    from loupe.plans.made import made_files
+
+    found = findings(scan_rows(made_files(spark, sf_dir)))
+    return found.select("artifact_path", "detector_id", "category", "severity", "remediation_id", "title", F.get_json_object("evidence", "$.value").alias("value"))

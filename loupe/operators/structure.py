@@ -924,7 +924,18 @@ def sample_files() -> dict[str, bytes]:
     return {"a.png": png, "a.jpg": jpeg, "a.wav": wave, "a.flac": flac, "a.mp3": mp3, "a.pdf": pdf, "a.mp4": bmff, "a.docx": held.getvalue(), "items.m4a": items, "a.webm": webm, "photo.jpg": photo, "old.mp3": b"ID3\x02\0\0" + bytes([0, 0, 0, len(old)]) + old, "note.mp3": b"ID3\x03\0\0" + bytes([0, 0, 0, len(note)]) + note, "broken.pdf": b"%PDF-1.4"}
 
 
-@query("container_metadata")
+@query(
+    "container_metadata",
+    """WITH c AS (SELECT c_custkey AS k, c_name AS name FROM customer), r AS (
+      SELECT k, 'png' AS f, 'png' AS container, 'Software' AS field, 'Maker' AS value, 'generator_metadata' AS category, true AS removable FROM c WHERE k % 12 = 6 UNION ALL SELECT k, 'png', 'png', 'Author', name, 'personal_metadata', true FROM c WHERE k % 12 = 6
+      UNION ALL SELECT k, 'jpeg', 'exif', 'Orientation', CAST(1 + k % 8 AS VARCHAR), 'image_metadata', false FROM c WHERE k % 12 = 7 UNION ALL SELECT k, 'jpeg', 'exif', 'Artist', name, 'personal_metadata', true FROM c WHERE k % 12 = 7 UNION ALL SELECT k, 'jpeg', 'jpeg', 'comment', 'made by hand', 'image_metadata', true FROM c WHERE k % 12 = 7
+      UNION ALL SELECT k, 'wav', 'wave', 'software', 'Maker', 'generator_metadata', true FROM c WHERE k % 12 = 8 UNION ALL SELECT k, 'wav', 'wave', 'artist', name, 'personal_metadata', true FROM c WHERE k % 12 = 8
+      UNION ALL SELECT k, 'mp3', 'mp3', 'TPE1', name, 'personal_metadata', true FROM c WHERE k % 12 = 9 UNION ALL SELECT k, 'mp3', 'mp3', 'TSSE', CASE WHEN k % 5 = 0 THEN 'generated by ChatGPT' ELSE 'Maker' END, 'generator_metadata', true FROM c WHERE k % 12 = 9
+      UNION ALL SELECT k, 'flac', 'flac', 'vendor', 'Maker', 'generator_metadata', true FROM c WHERE k % 12 = 10 UNION ALL SELECT k, 'flac', 'flac', 'artist', name, 'personal_metadata', true FROM c WHERE k % 12 = 10)
+    SELECT concat('made/', k, '.', f) AS artifact_path, container, field, value, category, removable, CASE WHEN contains(value, 'ChatGPT') THEN 'openai' END AS provider FROM r""",
+)
 def q_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = spark.createDataFrame([(k, bytearray(v)) for k, v in sample_files().items()], "artifact_path string, content binary")
-    return metadata_findings(container_metadata(files))
+    """What images and audio files, made of the customers, tell."""
+    from loupe.plans.made import made_files
+
+    return metadata_findings(container_metadata(made_files(spark, sf_dir).where("artifact_type IN ('png', 'jpeg', 'audio')"))).select("artifact_path", "container", "field", "value", "category", "removable", "provider")
