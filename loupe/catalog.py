@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loupe import registry
 
-MODULES = ("operators.detect_text", "detection.queries", "operators.scan", "operators.policy", "operators.stats", "operators.corpus", "operators.style", "operators.trust", "operators.cache", "operators.measure", "operators.structure", "operators.vector", "operators.clean", "operators.gates", "operators.reports", "operators.media_clean", "sources.files", "streaming.scan")
+MODULES = ("operators.detect_text", "detection.queries", "operators.scan", "operators.policy", "operators.stats", "operators.corpus", "operators.style", "operators.trust", "operators.cache", "operators.measure", "operators.structure", "operators.vector", "operators.clean", "operators.gates", "operators.reports", "operators.media_clean", "operators.attest", "operators.contracts", "sources.files", "sources.discovery", "sources.loaders", "streaming.scan")
 
 for _name in MODULES:
     import_module(f"loupe.{_name}")

@@ -66,7 +66,7 @@ class Artifact:
         try:
             return data.decode(codec)
         except UnicodeDecodeError as error:
-            raise Incomplete(f"the content is no {codec} text", "artifact_unreadable") from error
+            raise Incomplete(f"the content is no {codec} text", "corrupt_artifact") from error
 
     @property
     def size(self) -> int:

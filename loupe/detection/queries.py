@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loupe.detection.engine import detectors_run, diagnostics, findings, report_summary, scan_rows, within_budget
 from loupe.detection.model import Options
+from loupe.operators.apply import register
 from loupe.operators.detect_text import TEXT_CONTEXT, attribution_sql, place_sql, unicode_sql
 from loupe.operators.measure import SHEETS
 from loupe.operators.policy import POLICIES, policy_decisions, remediation_plan
@@ -65,7 +66,7 @@ SCANNED = " UNION ALL ".join(
         _unicode("SELECT artifact_path, text FROM c"),
         _seen("d", "text.unicode-forensics.v1", "suspicious_unicode", "info", f"({_LONG})", "contains(text, 'left         right')", offset=True, confidence=0.65),
         _seen("d", "text.unicode-forensics.v1", "suspicious_unicode", "info", f"({_BREAKS})", "contains(text, 'above' || repeat(chr(10), 5))", offset=True, confidence=0.65),
-        f"""SELECT artifact_path, 'text.explicit-attribution.v1', 'explicit_ai_attribution', 'medium', provider, CAST(line AS BIGINT), CAST("offset" - (SELECT coalesce(max(z), 0) FROM (SELECT unnest(list_transform(range(1, CAST("offset" + 1 AS BIGINT)), lambda q: CASE WHEN substr(text, q, 1) = chr(10) THEN q ELSE 0 END)) AS z)) + 1 AS BIGINT), CAST("offset" AS BIGINT), standalone, CASE WHEN standalone THEN 'text.remove-attribution-line' END, 'attribution', confidence
+        f"""SELECT artifact_path, 'text.explicit-attribution.v1', 'explicit_ai_attribution', 'medium', provider, CAST(line AS BIGINT), CAST({place_sql("text", '"offset"')[1]} AS BIGINT), CAST("offset" AS BIGINT), standalone, CASE WHEN standalone THEN 'text.remove-attribution-line' END, 'attribution', confidence
         FROM ({attribution_sql("SELECT artifact_path, text FROM d", TEXT_CONTEXT).replace("standalone\n    FROM f", "standalone, text FROM f")})""",
     ]
 )
@@ -197,3 +198,6 @@ def q_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = findings(scan_rows(made_files(spark, sf_dir)))
     return found.select("artifact_path", "detector_id", "category", "severity", "remediation_id", "title", F.get_json_object("evidence", "$.value").alias("value"))
+
+
+register()

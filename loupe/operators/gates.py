@@ -36,6 +36,7 @@ def network_decisions(requests: DataFrame, consents: DataFrame, policy: str, all
         .when(F.col("endpoints").isNull(), "no_consent")
         .when(~F.array_contains("endpoints", F.col("endpoint")), "not_covered")
         .when(F.col("granted_for") != F.col("purpose"), "purpose")
+        .when(~F.coalesce("transport", F.lit(False)) if "transport" in requests.columns else F.lit(False), "transport")
         .when(F.col("timeout") <= 0, "timeout")
     )
     return joined.select("request_id", F.coalesce(reason, F.lit("")).alias("refusal"), reason.isNull().alias("allowed"))

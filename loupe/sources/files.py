@@ -9,6 +9,7 @@ from loupe.functions.joins import bounded, folded_digest
 from loupe.plans.fixtures import bound
 from loupe.registry import query
 from loupe.sources.artifacts import PLANTED, described, planted
+from loupe.sources.discovery import MAX_RULES, files  # noqa: F401
 
 # Commits read of a log; types by what a file begins with, then by suffix.
 COMMIT_LIMIT = 500
@@ -16,12 +17,6 @@ SIGNATURES = (("png", "89504E470D0A1A0A"), ("jpeg", "FFD8FF"), ("pdf", "25504446
 SUFFIXES = {"svg": "svg", "html": "html", "htm": "html", "css": "css", "md": "markdown", "markdown": "markdown", "py": "source_code", "js": "source_code", "ts": "source_code", "java": "source_code", "c": "source_code", "go": "source_code", "rs": "source_code", "txt": "text", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "odt": "odf"}
 
 
-def files(spark: SparkSession, path: str, limit_bytes: int = 64 << 20) -> DataFrame:
-    """All files below a folder, as Spark's binary source reads them; large ones stay unread."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.where(F.col("length") <= limit_bytes).select(F.col("path").alias("artifact_path"), F.col("length").alias("size"), "content")
-
-
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """Paths and sizes alone; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -44,7 +39,7 @@ def artifact_type(path: Column, head: Column) -> Column:
 
 def nearest_rule(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """The ignore rule that decides for a path: of those that match, the deepest scope's last."""
-    r = F.broadcast(rules)
+    r = bounded(rules, MAX_RULES, "ignore rules")
     joined = paths.join(r, F.expr("startswith(path, scope) AND (suffix IS NULL OR endswith(path, suffix))"), "left")
     best = joined.groupBy("path").agg(F.max_by("negated", F.struct(F.length("scope").alias("depth"), "position")).alias("negated"), F.count("scope").alias("n"))
     return best.select("path", ((F.col("n") > 0) & ~F.coalesce("negated", F.lit(False))).alias("ignored"))
