@@ -14,7 +14,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -116,19 +116,19 @@ class Detector(Protocol):
     def observe(self, artifact: Artifact, options: Options) -> Iterable[Observation]: ...
 
 
-#: The parts of a location, in the order in which an id covers them (sorted).
-PLACE = ("line", "column", "offset", "end_offset", "byte_offset", "package_part", "json_pointer")
+#: The parts of a location, in the order in which an id covers them.
+PLACE = ("byte_offset", "column", "end_offset", "json_pointer", "line", "offset", "package_part")
 
 
-def finding_id(path: str, detector: str, o: Observation) -> str:
-    """A name that two scans of the same evidence give alike."""
-    place = None if o.place is None else {k: o.place.get(k) for k in PLACE}
-    covered = {"artifact": path, "category": o.category, "detector": detector, "evidence": o.evidence, "location": place, "provider": o.provider}
-    return "fnd_" + hashlib.sha256(json.dumps(covered, sort_keys=True, ensure_ascii=True, default=str).encode()).hexdigest()[:20]
+#: Evidence as text, its keys in order.
+canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=True, default=str).encode
 
 
-def canonical(evidence: dict[str, Any]) -> str:
-    return json.dumps(evidence, sort_keys=True, ensure_ascii=True, default=str, separators=(",", ":"))
+def finding_id(path: str, detector: str, o: Observation, evidence: str | None = None) -> str:
+    """A name that two scans of the same evidence give alike: a digest of all that tells it from others, as sorted JSON."""
+    place = "null" if o.place is None else "{" + ", ".join(f'"{k}": {canonical(o.place.get(k))}' for k in PLACE) + "}"
+    covered = f'{{"artifact": {canonical(path)}, "category": "{o.category}", "detector": "{detector}", "evidence": {evidence or canonical(o.evidence)}, "location": {place}, "provider": {canonical(o.provider)}}}'
+    return "fnd_" + hashlib.sha256(covered.encode()).hexdigest()[:20]
 
 
 #: A row of a scan: a finding, a diagnostic, or a detector that ran.
@@ -144,9 +144,10 @@ ARROW = pa.schema([(n, _TYPES[t]) for n, t in (c.split(" ") for c in _COLUMNS.sp
 
 def finding_row(path: str, detector: str, position: int, o: Observation) -> dict[str, Any]:
     place = o.place or {}
+    evidence = canonical(o.evidence)
     return {
-        "kind": FINDING, "artifact_path": path, "detector_id": detector, "position": position, "id": finding_id(path, detector, o), "category": o.category, "provider": o.provider, "confidence": o.confidence, "confidence_type": o.confidence_type,
-        "severity": o.severity, "evidence_type": o.evidence_type, "title": o.title, "evidence": canonical(o.evidence), "line": place.get("line"), "col": place.get("column"), "offset": place.get("offset"), "end_offset": place.get("end_offset"),
+        "kind": FINDING, "artifact_path": path, "detector_id": detector, "position": position, "id": finding_id(path, detector, o, evidence), "category": o.category, "provider": o.provider, "confidence": o.confidence, "confidence_type": o.confidence_type,
+        "severity": o.severity, "evidence_type": o.evidence_type, "title": o.title, "evidence": evidence, "line": place.get("line"), "col": place.get("column"), "offset": place.get("offset"), "end_offset": place.get("end_offset"),
         "byte_offset": place.get("byte_offset"), "package_part": place.get("package_part"), "removable": o.remediation is not None, "remediation_id": o.remediation, "provenance_class": o.provenance, "tags": sorted(set(o.tags)),
     }
 
@@ -202,6 +203,7 @@ def attributions(text: str, context: str) -> Iterator[tuple[str, str, float, re.
                 yield from ((rule, provider, confidence, m) for m in pattern.finditer(text))
 
 
+@lru_cache(maxsize=1 << 14)
 def escaped(c: str) -> str:
     """A character as an excerpt shows it: what can't be seen is spelt out."""
     if c in "\n\r":

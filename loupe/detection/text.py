@@ -198,9 +198,18 @@ def css_blocks(text: str) -> Iterator[tuple[str, str, bool]]:
             yield prelude, text[brace + 1 : end], inner
 
 
+def _uncommented(text: str) -> tuple[str, int]:
+    """The sheet with a blank for each comment that closes, and their number; no later one closes if one doesn't."""
+    pieces, at, n = [], 0, 0
+    while (start := text.find("/*", at)) >= 0 and (end := text.find("*/", start + 2)) >= 0:
+        pieces.append(text[at:start])
+        at, n = end + 2, n + 1
+    return " ".join([*pieces, text[at:]]), n
+
+
 def sheet_features(text: str, most: int) -> dict:
     """Counts and distributions of a sheet; ``truncated_by`` says what stopped them, and they are lower bounds then."""
-    bare, comments = re.subn(r"/\*(?:[^*]|\*(?!/))*\*/", " ", text)
+    bare, comments = _uncommented(text)
     n: Counter[str] = Counter()
     at_rules, selectors, properties, shapes = Counter(re.findall(r"@([a-zA-Z-]+)", bare)), Counter(), Counter(), Counter()
     stopped = None
