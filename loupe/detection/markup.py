@@ -220,7 +220,7 @@ class Svg:
             for reason, hides in (
                 ("display:none", said("display")[0] == "none" or said("display")[1].startswith("none")),
                 ("visibility:hidden", said("visibility")[0] == "hidden" or said("visibility")[1].startswith("hidden")),
-                ("zero opacity", plain in ("0", "0.0", "0.00") or re.fullmatch(r"0(?:\.0+)?", styled) is not None),
+                ("zero opacity", plain in ("0", "0.0", "0.00") or re.match(r"0(?:\.0+)?\Z", styled) is not None),
             )
             if hides
         ]

@@ -124,9 +124,13 @@ PLACE = ("byte_offset", "column", "end_offset", "json_pointer", "line", "offset"
 canonical = json.JSONEncoder(sort_keys=True, ensure_ascii=True, default=str).encode
 
 
+def _plain(v: int | str | None) -> str:
+    return "null" if v is None else str(v) if type(v) is int else canonical(v)
+
+
 def finding_id(path: str, detector: str, o: Observation, evidence: str | None = None) -> str:
     """A name that two scans of the same evidence give alike: a digest of all that tells it from others, as sorted JSON."""
-    place = "null" if o.place is None else "{" + ", ".join(f'"{k}": {canonical(o.place.get(k))}' for k in PLACE) + "}"
+    place = "null" if o.place is None else "{" + ", ".join([f'"{k}": {_plain(o.place.get(k))}' for k in PLACE]) + "}"
     covered = f'{{"artifact": {canonical(path)}, "category": "{o.category}", "detector": "{detector}", "evidence": {evidence or canonical(o.evidence)}, "location": {place}, "provider": {canonical(o.provider)}}}'
     return "fnd_" + hashlib.sha256(covered.encode()).hexdigest()[:20]
 
@@ -166,7 +170,7 @@ class Registry:
     def with_plugin(self, plugin: Any, allowed: frozenset[str]) -> Registry:
         """The registry with one more detector, if it is one, is allowed and has a name of its own."""
         name = getattr(plugin, "id", None)
-        if not isinstance(name, str) or not re.fullmatch(r"[a-z][a-z0-9.-]{2,119}", name):
+        if not isinstance(name, str) or not re.match(r"[a-z][a-z0-9.-]{2,119}\Z", name):
             why = "it has no valid id"
         elif not isinstance(getattr(plugin, "types", None), frozenset) or not callable(getattr(plugin, "observe", None)):
             why = "it isn't a detector"
