@@ -178,3 +178,15 @@ def test_expiry_alarms(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert [r["consent_id"] for r in run_once(expiry_alarms(stream), "append").collect()] == ["a"]
+
+
+def test_plans_that_may_not_be_applied(spark):
+    found = spark.createDataFrame([("1", "a", "document_metadata"), ("2", "b", "c2pa_provenance"), ("3", "b", "document_metadata"), ("4", "c", "stylistic_signal")], "id string, artifact_path string, category string")
+    plan = spark.createDataFrame([("1", "a"), ("1", "a"), ("3", "b"), ("4", "x"), ("9", "a")], "id string, artifact_path string").withColumn("disposition", F.lit("planned"))
+    content = spark.createDataFrame([("a", 1), ("b", 1)], "artifact_path string, content int")
+    after = content.withColumn("content", F.when(F.col("artifact_path") == "a", 2).otherwise(1))
+    told = spark.createDataFrame([("z", "high"), ("y", "info")], "artifact_path string, severity string")
+    got = {tuple(r) for r in policy.plan_violations(plan, found, content, after, told, "privacy", "client-delivery").collect()}
+    assert got == {("policy", "privacy"), ("incomplete", "z"), ("content", "a"), ("missing", "9"), ("mismatched", "4"), ("duplicate", "1"), ("action", "4"), ("protected", "b")}
+    fine = plan.where("id = '1'").distinct()
+    assert policy.plan_violations(fine, found, content, content, told.where("severity = 'info'"), "client-delivery", "client-delivery").count() == 0
