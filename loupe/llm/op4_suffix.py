@@ -55,9 +55,9 @@ GRAM = 32
 #: Grams of a string, and the bytes to the left of an anchor that a string over it can reach.
 GRAMS = LENGTH - GRAM + 1
 LEFT = GRAMS - 1
-#: Anchors that a task gathers before it sends them, and those of a part.
+#: Anchors that a task gathers before it sends them, and those of a part: a task holds them some ten times over while it settles them.
 GATHERED = 1 << 19
-PART = 1 << 21
+PART = 1 << 19
 #: Contexts of a part of the second step.
 CONTEXTS = 1 << 17
 #: Anchors or contexts that make a part worth while.
@@ -283,6 +283,7 @@ def _exchanged(
         for found in entries(source):
             held.append(found)
             size += len(found)
+            del found
             if size >= GATHERED:
                 yield sent()
                 held, size = [], 0
@@ -308,12 +309,12 @@ def _exchanged(
             open_rows = pc.equal(batch.column("kind"), _ENTRIES)
             if (given := batch.filter(pc.invert(open_rows))).num_rows:
                 yield given
-            sent = batch.filter(open_rows)
-            for i, at in enumerate(sent.column("part").to_pylist()):
-                if at != part:
+            parts, packed = batch.column("part").to_pylist(), batch.column("data")  # not filtered: a batch may be all that a task reads
+            for i in np.flatnonzero(open_rows.to_numpy(zero_copy_only=False)).tolist():
+                if (at := parts[i]) != part:
                     yield from done()
                     part, held = at, []
-                held.append(_Entries.unpacked(sent.column("data")[i].as_buffer()))
+                held.append(_Entries.unpacked(packed[i].as_buffer()))
         yield from done()
 
     return rows.mapInArrow(mapped, _SENT).repartition("part").sortWithinPartitions("part").mapInArrow(reduced, _SENT)
@@ -439,20 +440,23 @@ def _classes(order: np.ndarray, prefixes: np.ndarray, group_changes: np.ndarray,
     return out
 
 
-def repeated_starts(e: _Entries, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, start) of every string over the anchors that an earlier entry holds at the same offset."""
+def repeated_starts(e: _Entries, around: np.ndarray) -> tuple[_Entries, np.ndarray, np.ndarray, np.ndarray]:
+    """The entries by document and place, and runs (entry, first and last start) of strings over them that an earlier entry holds at the same offset.
+
+    There are up to GRAMS strings an entry, so each is a bit of a table and only their runs become rows.
+    """
     by = np.lexsort((e.at, e.doc))  # from here, earlier is smaller
     e, around = e.take(by), around[by]
     place, size = e.at.astype(np.int64), e.sizes()
-    right, left = around[:, LEFT:], around[:, :LEFT][:, ::-1]
     _, group = np.unique(e.h, return_inverse=True)
     sides = []
-    for rows, shallow in ((right, SHALLOW_RIGHT), (left, SHALLOW_LEFT)):
-        rows = np.ascontiguousarray(rows)
+    for right, shallow in ((True, SHALLOW_RIGHT), (False, SHALLOW_LEFT)):
+        rows = np.ascontiguousarray(around[:, LEFT:] if right else around[:, :LEFT][:, ::-1])
         order = deep_shallow(group, rows, shallow)
         changes = np.concatenate([[True], group[order][1:] != group[order][:-1]])
         sides.append((order, common_prefixes(order, rows), changes))
-    whos, starts = [], []
+    del around, rows
+    gone = np.zeros((len(e), GRAMS), bool)  # by start: a column more is a byte on
     for offset in range(GRAMS):
         fits = np.flatnonzero((place >= offset) & (place - offset + LENGTH <= size))
         if len(fits) < 2:
@@ -461,10 +465,27 @@ def repeated_starts(e: _Entries, around: np.ndarray) -> tuple[np.ndarray, np.nda
         _, first = np.unique(key, return_index=True)
         later = np.ones(len(fits), bool)
         later[first] = False
-        whos.append(fits[later])
-        starts.append(place[fits[later]] - offset)
-    who = np.concatenate(whos) if whos else np.empty(0, np.int64)
-    return by[who], np.concatenate(starts) if starts else who
+        gone[fits[later], LEFT - offset] = True
+    edge = gone.copy()
+    edge[:, 1:] &= ~gone[:, :-1]
+    who, first = np.nonzero(edge)
+    edge[:] = gone
+    edge[:, :-1] &= ~gone[:, 1:]
+    last = np.nonzero(edge)[1]
+    return e, who, place[who] - LEFT + first, place[who] - LEFT + last
+
+
+def _merged(e: _Entries, first: np.ndarray, last: np.ndarray) -> tuple[_Entries, np.ndarray, np.ndarray]:
+    """Runs of starts (first, last) in the documents of the entries, as the fewest."""
+    order = np.lexsort((first, e.doc))
+    e, first = e.take(order), first[order]
+    base = e.doc.astype(np.int64) << 32  # a place has 32 bits: no run reaches into the next document
+    end = np.maximum.accumulate(base + last[order])
+    new = np.ones(len(first), bool)
+    new[1:] = (e.doc[1:] != e.doc[:-1]) | (base[1:] + first[1:] > end[:-1] + 1)
+    a = np.flatnonzero(new)
+    ends = (end - base)[np.append(a[1:], len(first)) - 1] if len(a) else last
+    return e.take(a), first[a], ends
 
 
 def compared(sent: DataFrame) -> DataFrame:
@@ -476,18 +497,12 @@ def compared(sent: DataFrame) -> DataFrame:
         def done() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            e, around = _Entries.joined([x for x, _ in held]), np.concatenate([y for _, y in held])
+            e, around = _Entries.joined([x for x, _ in held]), [y for _, y in held]
             held.clear()
-            who, start = repeated_starts(e, around)
-            gone = e.take(who)
-            gone.at = start
-            gone = gone.take(np.lexsort((gone.at, gone.doc)))
-            new = np.ones(len(gone), bool)  # runs of starts of one document
-            new[1:] = (gone.doc[1:] != gone.doc[:-1]) | (gone.at[1:] > gone.at[:-1] + 1)
-            a = np.flatnonzero(new)
-            last = gone.at[np.append(a[1:], len(gone)) - 1] if len(a) else gone.at
-            gone = gone.take(a)
-            if rows := [(part, _SPANS, *r) for r in _rows(gone, gone.at, last)]:
+            e, who, first, last = repeated_starts(e, np.concatenate(around))
+            gone, first, last = _merged(e.take(who), first, last)
+            gone.at = first
+            if rows := [(part, _SPANS, *r) for r in _rows(gone, first, last)]:
                 yield _batch(rows)
 
         for batch in source:

@@ -285,6 +285,25 @@ def test_suffixes(docs_of, texts, monkeypatch, hot):
     assert op4_suffix.suffixes_removed(docs_of([])).count() == 0
 
 
+def test_repeats_within_a_part_take_few_bytes_an_anchor():
+    import tracemalloc
+
+    n, size = 5000, op4_suffix.LEFT + op4_suffix.LENGTH  # copies: every string over every anchor but the first is a repeat
+    around = np.tile(np.random.default_rng(3).integers(98, 124, size).astype(np.uint8), (n, 1))
+    docs = (np.arange(n), np.zeros(n, np.int64), np.full(n, size))
+    e = op4_suffix._Entries(docs, np.ones(n, np.uint64), np.zeros(n, np.uint64), np.arange(n, dtype=np.int32), np.full(n, op4_suffix.LEFT, np.uint32))
+    tracemalloc.start()
+    found = op4_suffix.repeated_starts(e, around)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1500 * n
+    e, who, first, last = found
+    assert who.tolist() == list(range(1, n)) and set(first.tolist()) == {0} and set(last.tolist()) == {op4_suffix.LEFT}
+    twice = np.repeat(np.arange(1, 3), 2)  # runs that meet or overlap become one, those of another document don't
+    e, first, last = op4_suffix._merged(e.take(twice), np.array([0, 5, 3, 30]), np.array([4, 9, 20, 31]))
+    assert list(zip(e.doc.tolist(), first.tolist(), last.tolist())) == [(1, 0, 9), (2, 3, 20), (2, 30, 31)]
+
+
 def test_deep_shallow_sorts():
     from loupe.llm.deepshallow import common_prefixes, deep_shallow
 
