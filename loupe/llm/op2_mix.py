@@ -15,9 +15,12 @@ shares and others none, those without keep the share they were seen with, and
 the rest is split by the shares; so does OTHER in the registered mix.
 
 Tokens are words. Topics are clusters of documents by their words: spherical
-k-means on hashed bags of words, fitted on about ``SAMPLE`` documents that a hash
-of id and text picks; every document is then given the nearest centre. ``balance``
-tells, for each category, what was asked for and what the fit comes to.
+k-means on hashed bags of words, fitted on every document that has words. Bags are
+counts of 256 cells, staged beside the rows; each round is a pass over them that
+sends the driver one table of sums a task. Vectors are whole multiples of 1 / UNIT,
+so sums and products are exact and neither the order of documents nor their parts
+can change a topic. ``balance`` tells, for each category, what was asked for and
+what the fit comes to.
 
 Defined results: null and empty texts have no tokens, topic 0 and probability 1
 if their cell holds no tokens; null sources and languages are OTHER; repeated
@@ -27,22 +30,27 @@ columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loupe.llm.common import batches, hashes, mixed, staged, table, unwrapped
+from loupe.llm.common import batches, discarded, hashes, mixed, parts_for, staged, table, unwrapped
 
 OTHER = "other"
 TOPICS = tuple(str(i) for i in range(8))
-#: Documents on which topics are fitted, cells of a hashed bag of words, and rounds of the fit.
-SAMPLE, CELLS, ROUNDS = 4096, 256, 20
+#: Cells of a hashed bag of words, and rounds of the fit.
+CELLS, ROUNDS = 256, 20
+#: What a coordinate is a multiple of: products of two vectors of length 2 at most are exact in the 53 bits of a float.
+UNIT = float(1 << 25)
+#: Bags that a pass holds as floats, those of a task, those that make one worth while, and tasks that answer the driver.
+SLICE, PART, LEAST_PART, TASKS = 1 << 11, 1 << 17, 1 << 12, 1 << 10
 
 
 @dataclass(frozen=True)
@@ -80,48 +88,130 @@ class Topics:
     centres: np.ndarray
     mean: np.ndarray
 
+    def near(self, bags: np.ndarray) -> np.ndarray:
+        """The topic of each bag."""
+        return ((np.rint(bags * UNIT) - self.mean * UNIT) @ (self.centres * UNIT).T).argmax(1)
+
     def of(self, h: np.ndarray) -> int:
         """The topic of a bag of word hashes; a text without words has topic 0."""
-        return int((self.centres @ (bag(h) - self.mean)).argmax()) if len(h) else 0
+        return int(self.near(bag(h)[None])[0]) if len(h) else 0
+
+
+def _counted(h: np.ndarray) -> np.ndarray:
+    return np.bincount((mixed(h) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+
+
+_DAMPED = np.log1p(np.arange(256.0))
+
+
+def _of_length_one(damped: np.ndarray) -> np.ndarray:
+    return damped / np.maximum(np.sqrt((damped * damped).sum(-1, keepdims=True)), 1e-12)
 
 
 def bag(h: np.ndarray) -> np.ndarray:
     """A bag of word hashes as a vector of length 1: dampened counts over CELLS cells."""
-    counts = np.log1p(np.bincount((mixed(h) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS))
-    return counts / max(float(np.sqrt((counts * counts).sum())), 1e-12)
+    return _of_length_one(np.log1p(_counted(h)))
 
 
-def clustered(x: np.ndarray, k: int = len(TOPICS), rounds: int = ROUNDS) -> Topics:
-    """Spherical k-means from centres that lie far apart; the same rows in any order give the same topics."""
-    if not len(x):
+def packed_bag(h: np.ndarray) -> bytes | None:
+    """The counts of a bag, each in as few bytes as the largest needs; none without words."""
+    if not len(h):
+        return None
+    counts = _counted(h)
+    return counts.astype(np.min_scalar_type(counts.max())).tobytes()
+
+
+def unpacked_bags(packed: list[bytes]) -> np.ndarray:
+    """Packed bags as vectors."""
+    damped = np.empty((len(packed), CELLS))
+    widths = np.fromiter(map(len, packed), np.int64, len(packed)) // CELLS
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        counts = np.frombuffer(b"".join(packed[i] for i in at.tolist()), f"u{w}").reshape(-1, CELLS)
+        damped[at] = _DAMPED[counts] if w == 1 else np.log1p(counts.astype(np.float64))
+    return _of_length_one(damped)
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    return np.rint(v / np.maximum(np.sqrt((v * v).sum(-1, keepdims=True)), 1e-12) * UNIT)
+
+
+def _least(rows: np.ndarray) -> np.ndarray:
+    """The first of the rows in lexicographic order."""
+    for c in range(rows.shape[1]):
+        if len(rows) == 1:
+            break
+        rows = rows[rows[:, c] == rows[:, c].min()]
+    return rows[:1]
+
+
+#: Runs a step over slices of all bags, in units, and merges what it gives (rows of CELLS + 1 numbers); None if there are no bags.
+_Pass = Callable[[Callable[[np.ndarray], np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray | None]
+
+
+def _fitted(over: _Pass, k: int, rounds: int) -> Topics:
+    """Spherical k-means from centres that lie far apart."""
+    whole = over(lambda x: np.append(len(x), x.sum(0))[None], np.add)
+    if whole is None:
         return Topics(np.zeros((k, CELLS)), np.zeros(CELLS))
-    x = x[np.lexsort(x.T[::-1])]
-    mean = x.mean(0)
-    x = x - mean
-    unit = lambda v: v / np.maximum(np.sqrt((v * v).sum(-1, keepdims=True)), 1e-12)
-    x = unit(x)
-    centres = [x[0]]
-    while len(centres) < k:
-        centres.append(x[(x @ np.array(centres).T).max(1).argmin()])
-    c = np.array(centres)
+    mean = np.rint(whole[0, 1:] / whole[0, 0])
+    c = np.empty((0, CELLS))
+
+    def farthest(x: np.ndarray) -> np.ndarray:
+        close = (_units(x - mean) @ c.T).max(1) if len(c) else np.zeros(len(x))
+        at = close == close.min()
+        return _least(np.column_stack([close[at], x[at]]))
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        x = _units(x - mean)
+        own = ((x @ c.T).argmax(1)[:, None] == np.arange(k)).astype(np.float64)
+        return np.column_stack([own.sum(0), own.T @ x])
+
+    while len(c) < k:
+        c = np.concatenate([c, _units(over(farthest, lambda a, b: _least(np.concatenate([a, b])))[:, 1:] - mean)])
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        c = unit(np.array([x[near == i].sum(0) if (near == i).any() else c[i] for i in range(k)]))
-    return Topics(c, mean)
+        found = over(sums, np.add)
+        before, c = c, np.where(found[:, :1] > 0, _units(found[:, 1:].astype(np.float64)), c)
+        if (before == c).all():  # nothing would change from here
+            break
+    return Topics(c / UNIT, mean / UNIT)
 
 
-def fitted_topics(docs: DataFrame) -> Topics:
-    """Topics of about SAMPLE documents, no more than twice as many."""
+def clustered(x: np.ndarray, k: int = len(TOPICS), rounds: int = ROUNDS) -> Topics:
+    """Topics of bags that are at hand; the same rows in any order give the same topics."""
+    x = np.rint(x * UNIT)
+    return _fitted(lambda step, merged: step(x).astype(np.int64) if len(x) else None, k, rounds)
+
+
+def topics_of(bags: DataFrame) -> Topics:
+    """Topics of all packed bags of a staged table: a pass over its column ``bag`` for each centre and round."""
+    held = bags.where("bag is not null").select("bag")
+    held = held.coalesce(min(parts_for(bags.sparkSession, held.count(), PART, LEAST_PART), TASKS))
+
+    def over(step: Callable[[np.ndarray], np.ndarray], merged: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+        def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = None
+            for batch in source:
+                for i in range(0, batch.num_rows, SLICE):
+                    x = np.rint(unpacked_bags(batch.column("bag").slice(i, SLICE).to_pylist()) * UNIT)
+                    part = step(x).astype(np.int64)
+                    found = part if found is None else merged(found, part)
+            if found is not None:
+                yield pa.record_batch([pa.array([found.tobytes()], pa.binary())], names=["found"])
+
+        rows = held.mapInArrow(made, "found binary").collect()  # one row of up to 16 KB for each of TASKS tasks at most
+        parts = [np.frombuffer(bytes(r["found"]), np.int64).reshape(-1, CELLS + 1) for r in rows]
+        return reduce(merged, parts) if parts else None
+
+    return _fitted(over, len(TOPICS), ROUNDS)
 
-    def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in batches(source):
-            bags = [bag(h).astype(np.float32).tobytes() for h in (hashes((t or b"").split()) for t in texts) if len(h)]
-            yield pa.record_batch([pa.array(bags, pa.binary())], names=["bag"])
 
-    share = SAMPLE / max(docs.count(), 1)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(min(share, 1) * (1 << 20))) if share < 1 else docs
-    rows = picked.select(F.col("text").cast("string").alias("text")).mapInArrow(made, "bag binary").limit(2 * SAMPLE).collect()
-    return clustered(np.frombuffer(b"".join(bytes(r["bag"]) for r in rows), np.float32).reshape(-1, CELLS).astype(np.float64))
+def fitted_topics(docs: DataFrame) -> Topics:
+    """Topics of all documents."""
+    bags = staged(counted(docs, GENTLE).select("bag"), "mix-bags")
+    topics = topics_of(bags)
+    discarded(bags)
+    return topics
 
 
 def draw(doc_id: int | None, text: bytes | None, seed: int) -> float:
@@ -129,12 +219,12 @@ def draw(doc_id: int | None, text: bytes | None, seed: int) -> float:
     return xxhash.xxh3_64_intdigest(f"{doc_id}\n".encode() + (text or b""), seed) / 2.0**64
 
 
-def _features(batch: pa.RecordBatch, texts: list[bytes | None], named: dict[str, frozenset[str]], topics: Topics) -> list[tuple[str, str, str, int]]:
+def _features(batch: pa.RecordBatch, texts: list[bytes | None], named: dict[str, frozenset[str]]) -> list[tuple[str, str, int, bytes | None]]:
     def category(name: str) -> list[str]:
         return [x if x in named[name] else OTHER for x in batch.column(name).to_pylist()]
 
-    counted = [hashes((t or b"").split()) for t in texts]
-    return list(zip(category("source"), category("lang"), [str(topics.of(h)) for h in counted], map(len, counted), strict=True))
+    words = [hashes((t or b"").split()) for t in texts]
+    return list(zip(category("source"), category("lang"), map(len, words), map(packed_bag, words), strict=True))
 
 
 def _named(mix: Mix) -> dict[str, frozenset[str]]:
@@ -199,26 +289,52 @@ def balance(cells: dict[tuple[str, str, str], int], chances: dict[tuple[str, str
     return out
 
 
-def measured(docs: DataFrame, mix: Mix, topics: Topics | None = None, whole: bool = False) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens and the draw of every document; with its whole row, if that is asked for."""
-    named, topics = _named(mix), topics or fitted_topics(docs)
+def counted(docs: DataFrame, mix: Mix, whole: bool = False) -> DataFrame:
+    """doc_id, source, lang, n_tokens, the packed bag and the draw of every document; with its whole row, if that is asked for."""
+    named = _named(mix)
     held = ["doc_id", *(["row"] if whole else [])]
-    types = {"source": pa.string(), "lang": pa.string(), "topic": pa.string(), "n_tokens": pa.int64(), "u": pa.float64()}
+    types = {"source": pa.string(), "lang": pa.string(), "n_tokens": pa.int64(), "bag": pa.binary(), "u": pa.float64()}
+    told = {"n_tokens": T.LongType(), "bag": T.BinaryType(), "u": T.DoubleType()}
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in batches(source):
             ids = batch.column("doc_id").to_pylist()
-            found = _features(batch, texts, named, topics)
+            found = _features(batch, texts, named)
             columns = zip(*((*f, draw(i, t, mix.seed)) for i, f, t in zip(ids, found, texts, strict=True)), strict=True)
             yield pa.record_batch([*(batch.column(c) for c in held), *(pa.array(c, t) for c, t in zip(columns, types.values(), strict=True))], names=[*held, *types])
 
     columns = [F.col(c).cast("string").alias(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")]
     row = [F.struct("*").alias("row")] if whole else []
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row, *columns)
-    schema = T.StructType([picked.schema[c] for c in held] + [T.StructField(c, T.LongType() if c == "n_tokens" else T.DoubleType() if c == "u" else T.StringType()) for c in types])
+    schema = T.StructType([picked.schema[c] for c in held] + [T.StructField(c, told.get(c, T.StringType())) for c in types])
     return picked.mapInArrow(made, schema)
 
 
+def _topic(topics: Topics) -> Column:
+    """The topic of the packed bag; 0 without words."""
+
+    @F.arrow_udf("string")
+    def near(bags: pa.Array) -> pa.Array:
+        out = []
+        for i in range(0, len(bags), SLICE):
+            some = bags.slice(i, SLICE).to_pylist()
+            held = [b for b in some if b is not None]
+            found = iter(topics.near(unpacked_bags(held)).tolist() if held else [])
+            out += ["0" if b is None else str(next(found)) for b in some]
+        return pa.array(out, pa.string())
+
+    return near("bag")
+
+
+def measured(docs: DataFrame, mix: Mix, topics: Topics | None = None, whole: bool = False) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens and the draw of every document; with its whole row, if that is asked for.
+
+    Texts are read once: what is counted of them is staged, topics are fitted on the bags there and given as they are read.
+    """
+    rows = staged(counted(docs, mix, whole), "mix-rows")
+    return rows.withColumn("topic", _topic(topics or topics_of(rows))).select("doc_id", *(["row"] if whole else []), *_COLUMNS, "n_tokens", "u")
+
+
 def cells_of(rows: DataFrame) -> dict[tuple[str, str, str], int]:
     found = rows.groupBy(*_COLUMNS).agg(F.sum("n_tokens").alias("n")).collect()  # bounded by the named categories
     return {tuple(r[c] for c in _COLUMNS): r["n"] for r in found}
@@ -232,13 +348,12 @@ def _decided(rows: DataFrame, mix: Mix) -> DataFrame:
 
 def mixed_docs(docs: DataFrame, mix: Mix = GENTLE) -> DataFrame:
     """The sampled documents, with all their columns. Texts are measured once, beside their rows."""
-    rows = staged(measured(docs, mix, whole=True), "mix-rows")
-    return unwrapped(_decided(rows, mix).where("kept"), docs)
+    return unwrapped(_decided(measured(docs, mix, whole=True), mix).where("kept"), docs)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, probability and decision of every document."""
-    rows = staged(measured(table(spark, sf_dir, "documents"), PRODUCTION), "mix-rows")
+    rows = measured(table(spark, sf_dir, "documents"), PRODUCTION)
     return _decided(rows, PRODUCTION).select("doc_id", *_COLUMNS, "n_tokens", "probability", "kept")
 
 

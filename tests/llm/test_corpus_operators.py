@@ -177,6 +177,39 @@ def test_the_registered_mix(spark):
         assert sum(r["achieved"] for r in rows if r["marginal"] == name) == pytest.approx(1)
 
 
+def topics_by_hand(bags, k, rounds):
+    """Centres and mean of spherical k-means over all bags, from the least bag and those farthest from the centres so far."""
+    bags = np.array(sorted(map(tuple, bags)))
+    mean = bags.mean(0)
+    x = bags - mean
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    centres = [x[0]]
+    while len(centres) < k:
+        centres.append(x[np.argmin([max(np.round(c @ v, 6) for c in centres) for v in x])])
+    for _ in range(rounds):
+        own = [int(np.argmax([c @ v for c in centres])) for v in x]
+        sums = [sum(v for v, o in zip(x, own) if o == i) if i in own else centres[i] for i in range(k)]
+        centres = [s / max(np.linalg.norm(s), 1e-12) for s in sums]
+    return np.array(centres), mean
+
+
+def test_topics_are_fitted_on_every_document(spark, monkeypatch):
+    rng = random.Random(77)
+    groups = [[f"{g}w{i}" for i in range(12)] for g in range(9)]
+    texts = [" ".join(rng.choice(groups[i % 8]) for _ in range(10)) for i in range(5000)]
+    texts += [" ".join(rng.choice(groups[8]) for _ in range(10)) + " rare" * 300] * 3 + ["", None, " "]  # counts past a byte
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bags = [op2_mix.bag(op2_mix.hashes(t.encode().split())) for t in texts if (t or "").split()]
+    packed = [op2_mix.packed_bag(op2_mix.hashes(t.encode().split())) for t in texts if (t or "").split()]
+    assert (op2_mix.unpacked_bags(packed) == np.array(bags)).all() and {len(p) for p in packed} == {256, 512}
+    centres, mean = topics_by_hand(bags, 8, op2_mix.ROUNDS)
+    monkeypatch.setattr(op2_mix, "LEAST_PART", 500)
+    found = [op2_mix.fitted_topics(d) for d in (docs.repartition(7), docs.orderBy(F.desc("doc_id")).repartition(2, "text"))]
+    for topics in found:  # all documents, wherever they lie
+        assert np.abs(topics.mean - mean).max() < 1e-6 and np.abs(topics.centres - centres).max() < 1e-5
+    assert (found[0].centres == found[1].centres).all() and (found[0].mean == found[1].mean).all()
+
+
 def test_topics_are_clusters_of_words():
     rng = random.Random(22)
     groups = [[f"{g}w{i}" for i in range(30)] for g in range(4)]
