@@ -733,3 +733,19 @@ def test_pipeline_stages(spark):
             assert len(loads) <= corpus_pipeline.N_SHARDS and len(room) <= corpus_pipeline.N_SHARDS
         docs = out
     assert sorted({r["shard"] for r in docs.collect()})[-1] < corpus_pipeline.N_SHARDS
+
+
+def test_the_pipelines_mix_knows_the_topics_of_all_documents(spark, sf_dir):
+    from types import SimpleNamespace
+
+    import corpus_pipeline
+
+    rng = random.Random(78)
+    groups = [[f"{g}w{i}" for i in range(12)] for g in range(10)]
+    rows = [(i, f"src{i % 3}", "en", " ".join(rng.choice(groups[min(int(rng.expovariate(0.5)), 9)]) for _ in range(12))) for i in range(4500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(5)
+    centres, mean = topics_by_hand([op2_mix.bag(op2_mix.hashes(t.encode().split())) for *_, t in rows], 8, op2_mix.ROUNDS)
+    want = mixed_by_hand(rows, SimpleNamespace(centres=centres, mean=mean), op2_mix.GENTLE)
+    cells = {r["doc_id"]: (r["source"], r["lang"], r["topic"]) for r in op2_mix.measured(docs, op2_mix.GENTLE).collect()}
+    assert cells == {i: v[0] for (i, _), v in want.items()}
+    assert {r["doc_id"] for r in corpus_pipeline.mix(spark, docs, sf_dir).collect()} == {i for (i, _), v in want.items() if v[-1]}
