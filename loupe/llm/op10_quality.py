@@ -13,10 +13,12 @@ documents to prove anything are one stratum together; if that is too small as
 well, it keeps all that the base rules keep.
 
 One score counts words of a lexicon, a decision list that is learned greedily
-from the proposing part of a bounded sample of labelled documents (``SAMPLE``):
-the word that tells most of the toxic documents not yet told, with few others,
-comes next. Nothing else is fitted on a sample; base rules, scores and tests
-cover every row.
+from the proposing part of all labelled documents: the word that tells most of
+the toxic documents not yet told, with few others, comes next. Toxic documents
+stay on the cluster; a pass over their likely words brings the driver the words
+that gain most and how many documents hold each combination of these, from which
+all picks follow that no other word can come before. Nothing is fitted on a
+sample.
 
 Defined results: null and empty texts have no words and fail the base rules; a
 null stratum is one of its own; repeated labels of an id count as bad if any is;
@@ -37,12 +39,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loupe.llm.common import batches, hashes, staged, table, unwrapped, windows
+from loupe.llm.common import batches, discarded, hashes, join_counted, staged, table, unwrapped, windows
 
-#: Labelled documents from whose proposing part the lexicon is learned, at most.
-SAMPLE = 50_000
 #: Words that may stand in the lexicon, and toxic documents that a word must tell.
 LEXICON, SUPPORT = 200, 5
+#: Words that a pass over the toxic documents weighs: the driver gets up to 2 ** AT_ONCE counts.
+AT_ONCE = 16
 #: Of the labelled texts, the share out of 10 that decides; the rest proposes.
 HOLDOUT = 5
 #: The stratum of all whose labelled documents are too few.
@@ -139,26 +141,53 @@ def _plain_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(made, "doc_id long, toxic int, word binary")
 
 
-def lexicon_of(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
-    """The decision list, from at most SAMPLE labelled documents."""
-    chosen = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)).cast("int")).alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_held_out(F.col("text"))).join(F.broadcast(chosen), "doc_id")
-    words = staged(_plain_words(found), "quality-words")
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    likely = counts.where((F.col("bad") >= SUPPORT) & (F.col("bad") >= 4 * F.col("good"))).orderBy(F.desc("bad"), "word").limit(10 * LEXICON)
-    told: dict[bytes, set[int]] = {}
-    for r in words.where("toxic = 1").join(F.broadcast(likely.select("word")), "word").select("word", "doc_id").distinct().collect():  # SAMPLE ids for each of few words at most
-        told.setdefault(bytes(r["word"]), set()).add(r["doc_id"])
-    good = {bytes(r["word"]): r["good"] for r in likely.collect()}
+def _toxic_sets(words: DataFrame) -> DataFrame:
+    """(doc_id, words): the likely words of each toxic document that has some, with the good documents that hold them; staged."""
+    counts = words.groupBy("word").agg(F.sum("toxic").alias("n"), F.sum(1 - F.col("toxic")).alias("good"))
+    likely = staged(counts.where((F.col("n") >= SUPPORT) & (F.col("n") >= 4 * F.col("good"))), "quality-likely")
+    total = likely.agg(F.sum("n")).first()[0] or 0
+    pairs = join_counted(words.where("toxic = 1").select("doc_id", "word"), likely, "word", total).distinct()
+    sets = staged(pairs.groupBy("doc_id").agg(F.collect_list(F.struct("word", "good")).alias("words")), "quality-toxic")
+    discarded(likely)
+    return sets
+
+
+def _decision_list(sets: DataFrame) -> list[bytes]:
+    """The words picked greedily, first one first; of equal gains the greatest word."""
+    held = F.col("words.word")
     picked: list[bytes] = []
-    while told and len(picked) < LEXICON:
-        word = max(told, key=lambda w: (len(told[w]) - 4 * good.get(w, 0), w))
-        new = told.pop(word)
-        if len(new) < SUPPORT or len(new) < 4 * good.get(word, 0):
+    while len(picked) < LEXICON:
+        rest = sets.where(~F.arrays_overlap(held, F.array(*map(F.lit, picked)))) if picked else sets
+        counts = rest.select(F.explode("words").alias("w")).groupBy("w.word", "w.good").count()
+        gains = counts.where(F.col("count") >= SUPPORT).select("word", "good", (F.col("count") - 4 * F.col("good")).alias("gain")).where("gain >= 0")
+        first = gains.orderBy(F.desc("gain"), F.desc("word")).limit(AT_ONCE + 1).collect()
+        if not first:
+            break
+        words = [(bytes(r["word"]), r["good"]) for r in first[:AT_ONCE]]
+        bound = [(r["gain"], bytes(r["word"])) for r in first[AT_ONCE:]]  # no other word gains more, now or later
+        mask = sum((F.when(F.array_contains(held, F.lit(w)), 1 << i).otherwise(0) for i, (w, _) in enumerate(words)), F.lit(0))
+        masks = {r["mask"]: r["count"] for r in rest.groupBy(mask.alias("mask")).count().where("mask > 0").collect()}  # fewer than 2 ** AT_ONCE
+        while len(picked) < LEXICON:
+            new = [sum(n for m, n in masks.items() if m >> i & 1) for i in range(len(words))]
+            able = [(n - 4 * good, w, i) for i, (n, (w, good)) in enumerate(zip(new, words, strict=True)) if n >= SUPPORT and n >= 4 * good]
+            if not able or (bound and max(able)[:2] < bound[0]):
+                break
+            _, word, i = max(able)
+            picked.append(word)
+            masks = {m: n for m, n in masks.items() if not m >> i & 1}
+        if not bound:
             break
-        picked.append(word)
-        told = {w: rest for w, ids in told.items() if len(rest := ids - new) >= SUPPORT}
+    return picked
+
+
+def lexicon_of(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
+    """The decision list, from the proposing part of all labelled documents."""
+    told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)).cast("int")).alias("toxic"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_held_out(F.col("text"))).join(told, "doc_id")  # Spark broadcasts few labels
+    words = staged(_plain_words(found), "quality-words")
+    sets = _toxic_sets(words)
+    picked = _decision_list(sets)
+    discarded(words, sets)
     return frozenset(picked)
 
 

@@ -667,6 +667,56 @@ def test_quality_rejects_what_labels_tell(spark, docs_of):
     assert sum(got[i] for i in range(900) if i not in set(good)) <= 10
 
 
+def lexicon_by_hand(rows):
+    """The decision list of (doc_id, toxic, words), and how many words were likely."""
+    bad, good, told = Counter(), Counter(), defaultdict(set)
+    for i, toxic, words in rows:
+        (bad if toxic else good).update(words)
+        for w in words if toxic else ():
+            told[w].add(i)
+    likely = {w for w in bad if bad[w] >= op10_quality.SUPPORT and bad[w] >= 4 * good[w]}
+    picked, gone = [], set()
+    while len(picked) < op10_quality.LEXICON:
+        new = {w: len(told[w] - gone) for w in likely}
+        able = [(n - 4 * good[w], w) for w, n in new.items() if n >= op10_quality.SUPPORT and n >= 4 * good[w]]
+        if not able:
+            break
+        picked.append(max(able)[1])
+        gone |= told[picked[-1]]
+    return picked, len(likely)
+
+
+def test_the_pipelines_lexicon_knows_all_labelled_documents(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(79)
+    rows, labels = [], []
+    for i in range(60_000):
+        toxic = i % 12 == 0
+        n = min(int(rng.expovariate(0.8)), 4) if toxic else int(rng.random() < 0.002)
+        words = [f"é{min(int(rng.expovariate(0.02)), 299)}" for _ in range(n)]
+        rows.append((i, f"d{i} " + " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    proposing = {r["doc_id"] for r in docs.where(~op10_quality._held_out(F.col("text"))).select("doc_id").collect()}
+    want, likely = lexicon_by_hand([(i, i % 12 == 0, set(t.encode().split())) for i, t in rows if i in proposing])
+    assert 40 < len(want) < likely and len(want) < op10_quality.LEXICON
+    assert op10_quality.lexicon_of(docs, labels) == frozenset(want)
+    monkeypatch.setattr(op10_quality, "AT_ONCE", 5)
+    monkeypatch.setattr(op10_quality, "LEXICON", 23)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert op10_quality.lexicon_of(docs, labels) == frozenset(want[:23])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    used = []
+    monkeypatch.setattr(op10_quality, "scored", lambda d, lexicon, *a, scored=op10_quality.scored: used.append(lexicon) or scored(d, lexicon, *a))
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels)
+    corpus_pipeline.quality(spark, docs, "")
+    assert used == [frozenset(want[:23])]
+
+
 def test_binomial_tail_is_exact():
     from fractions import Fraction
     from math import comb
