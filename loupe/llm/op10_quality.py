@@ -183,7 +183,7 @@ def _decision_list(sets: DataFrame) -> list[bytes]:
 def lexicon_of(docs: DataFrame, labels: DataFrame) -> frozenset[bytes]:
     """The decision list, from the proposing part of all labelled documents."""
     told = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(F.col("toxic"), F.lit(0)).cast("int")).alias("toxic"))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_held_out(F.col("text"))).join(told, "doc_id")  # Spark broadcasts few labels
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(~_held_out(F.col("text"))).join(told.hint("merge"), "doc_id")  # labels grow with the documents
     words = staged(_plain_words(found), "quality-words")
     sets = _toxic_sets(words)
     picked = _decision_list(sets)
