@@ -102,7 +102,7 @@ def exit_codes(reports: DataFrame) -> DataFrame:
 def q_capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = """SELECT p_partkey AS detector_id, p_partkey % 7 <> 0 AS declared, array(CASE WHEN p_partkey % 5 = 0 THEN '0.0' ELSE '0.1' END) AS schemas,
       CASE WHEN p_size % 3 = 0 THEN array('read', 'network') ELSE array('read') END AS capabilities FROM part"""
-    blocked = spark.range(0, 200_000, 11).select(F.col("id").alias("detector_id"))
+    blocked = bound(spark, sf_dir, "SELECT p_partkey AS detector_id FROM part WHERE p_partkey % 11 = 0")
     return capability_decisions(bound(spark, sf_dir, sql), ("read",), blocked, "0.1")
 
 
