@@ -91,8 +91,11 @@ def leaks(published: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def stage_summaries(claims: DataFrame, actors: DataFrame) -> DataFrame:
-    """Who carried each stage, by the strongest claim of it, in one line for each record; nobody is called an author."""
-    order = F.struct("evidence_rank", "level_rank", (-F.col("position")).alias("p"))
+    """Who carried each stage, by the strongest claim of it, in one line for each record; nobody is called an author.
+
+    Of claims that are equal in rank and position, that of the last actor by id counts.
+    """
+    order = F.struct("evidence_rank", "level_rank", (-F.col("position")).alias("p"), "actor_id")
     best = claims.groupBy("record_id", "dimension").agg(F.max_by(F.struct("actor_id", "level_rank"), order).alias("c"))
     named = best.where("c.level_rank > 0").select("record_id", "dimension", F.col("c.actor_id").alias("actor_id")).join(actors.select("actor_id", F.col("kind").alias("actor_kind")), "actor_id", "left")
     who = F.when(F.col("actor_kind") == "ai_system", "AI").otherwise("human")
