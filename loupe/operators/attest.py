@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loupe.plans.fixtures import bound
+from loupe.functions.staging import staged
+from loupe.plans.fixtures import bound, dealt
 from loupe.registry import query
 
 # Prefixes of content identifiers, what a stage's claim is called, and which disclosures stay as they are.
@@ -127,11 +128,12 @@ def timestamp_states(tokens: DataFrame) -> DataFrame:
 def manifest_problems(manifests: DataFrame, files: DataFrame, found: DataFrame) -> DataFrame:
     """What of a model's manifest doesn't hold: its own id, its signature, and each of its files on this disk.
 
-    Files are read or they aren't: without ``found`` rows of a manifest only its id and signature are told.
+    Files are read or they aren't: without ``found`` rows of a manifest only its id and signature are told. Files meet in sorted
+    shuffles, since what is made of few bytes looks small enough to be broadcast and isn't.
     """
     own = manifests.select("manifest_id", F.array_compact(F.array(F.when(content_id("model", F.col("canonical")) != F.col("manifest_id"), "id"), F.when(F.col("signature_ok").isNull(), "unsigned").when(~F.col("signature_ok"), "signature"))).alias("p"))
     read = found.select("manifest_id").distinct().withColumn("read", F.lit(True))
-    checked = files.join(read, "manifest_id").join(found.withColumnsRenamed({"sha256": "have", "size_bytes": "have_size"}), ["manifest_id", "path"], "left")
+    checked = files.join(read.hint("merge"), "manifest_id").join(found.withColumnsRenamed({"sha256": "have", "size_bytes": "have_size"}).hint("merge"), ["manifest_id", "path"], "left")
     bad = F.when(F.col("have").isNull(), "missing").when(F.col("have") != F.col("sha256"), "digest").when(F.col("have_size") != F.col("size_bytes"), "size")
     problems = own.select("manifest_id", F.explode("p").alias("problem"), F.lit("").alias("path"))
     return problems.unionByName(checked.select("manifest_id", bad.alias("problem"), "path").where("problem is not null"))
@@ -286,14 +288,15 @@ def q_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT k, CASE WHEN f = 0 THEN 'missing' WHEN f = 1 THEN 'digest' ELSE 'size' END, concat('f', f) FROM m, (SELECT unnest(range(4)) AS f) WHERE k % 4 > 0 AND f < k % 4""",
 )
 def q_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = bound(spark, sf_dir, "SELECT p_partkey AS k FROM part")
+    k = bound(spark, sf_dir, "SELECT p_partkey AS k FROM part", part=dealt(spark, sf_dir, "part", "p_partkey"))
     canonical = F.concat(F.lit("manifest "), "k")
     m = k.select("k", canonical.alias("canonical"), content_id("model", F.when(F.col("k") % 5 == 0, F.concat(canonical, F.lit("!"))).otherwise(canonical)).alias("manifest_id"), F.when(F.col("k") % 3 == 0, None).otherwise(F.col("k") % 3 == 2).alias("signature_ok"))
+    m = staged(m, "manifests")
     each = m.select("k", "manifest_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("f"))
     files = each.select("manifest_id", F.concat(F.lit("f"), "f").alias("path"), F.concat(F.lit("sha"), "f").alias("sha256"), F.lit(10).alias("size_bytes"))
     broken = F.col("f") < F.col("k") % 4
     found = each.where((F.col("k") % 4 > 0) & ~(broken & (F.col("f") == 0))).select("manifest_id", F.concat(F.lit("f"), "f").alias("path"), F.when(broken & (F.col("f") == 1), "x").otherwise(F.concat(F.lit("sha"), "f")).alias("sha256"), F.when(broken & (F.col("f") > 1), 11).otherwise(10).alias("size_bytes"))
-    return manifest_problems(m, files, found).join(m.select("manifest_id", "k"), "manifest_id").select("k", "problem", "path")
+    return manifest_problems(m, files, found).join(m.select("manifest_id", "k").hint("merge"), "manifest_id").select("k", "problem", "path")
 
 
 @query(
