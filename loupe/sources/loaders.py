@@ -19,6 +19,8 @@ SCHEMAS = {
     "anchors": "anchor_id string, kind string, material string, not_before long, not_after long, replaces string",
 }
 ACTIONS = ("ignore", "report", "review", "remove", "preserve", "error")
+#: Lines of a compressed file, which is read by one task.
+LINES_OF_A_FILE = 1_000_000
 #: Bytes of a policy that is read.
 MAX_POLICY = 1 << 20
 
@@ -76,7 +78,7 @@ def q_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loupe.operators.scan import findings_of
 
     path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
-    json_lines(findings_of(spark, sf_dir)).select("json").write.text(path)
+    json_lines(findings_of(spark, sf_dir)).select("json").write.option("compression", "gzip").option("maxRecordsPerFile", LINES_OF_A_FILE).text(path)
     return load(spark, "findings", path).select("id", "artifact_path", "category", "offset")
 
 
